@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
-from vigilake.functions.text import record, strip, text
+from vigilake.functions.text import bind, record, strip, text
 
 MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 
@@ -43,19 +43,34 @@ VERSION_IN_TEXT = r"(?iU)\b(?:version|ver\.?|v|rev\.?|revision)\s*[:\-]?\s*([0-9
 VERSION_ALONE = r"^([0-9]+(?:\.[0-9]+)*)$"
 
 
-def _month_case(c: Column) -> Column:
-    """Month words in the spelling Spark's formatter expects (``JUNE`` → ``June``)."""
-    return F.initcap(F.regexp_replace(c, "-", " -- "))
+def _shape(fmt: str) -> str:
+    """Regular expression of the strings a format can read."""
+    parts = (
+        ("'T'", "T"), ("MMMM", "[A-Za-z]+"), ("MMM", "[A-Za-z]{3}"), ("HHmmss", r"\d{6}"), ("yyyyMMdd", r"\d{8}"),
+        ("yyyy", r"\d{4}"), ("M", r"\d{1,2}"), ("d", r"\d{1,2}"),
+    )
+    out, at = "", 0
+    while at < len(fmt):
+        token, pattern = next(((t, p) for t, p in parts if fmt.startswith(t, at)), (fmt[at], fmt[at]))
+        out, at = out + pattern, at + len(token)
+    return f"^{out}$"
 
 
 def _try(c: Column, formats: tuple[str, ...]) -> Column:
-    """First format that fits. Each attempt is guarded by the shape of the
-    string, because the formatter refuses month words in other cases."""
-    spelled = F.regexp_replace(_month_case(c), " -- ", "-")
-    return F.coalesce(*(F.try_to_timestamp(spelled, F.lit(f)).cast("timestamp_ntz") for f in formats))
+    """First format that fits; ``c`` is cheap to repeat. Only strings of the
+    right shape are parsed, because a failed parse is slow. Month words are
+    spelled the way the formatter expects (``JUNE`` → ``June``)."""
+    def attempt(fmt: str) -> Column:
+        spelled = c
+        if "MMM" in fmt:
+            spelled = F.replace(F.initcap(F.replace(c, F.lit("-"), F.lit(" - "))), F.lit(" - "), F.lit("-"))
+        parsed = F.try_to_timestamp(spelled, F.lit(fmt)).cast("timestamp_ntz")
+        return F.when(F.rlike(c, F.lit(_shape(fmt))), parsed)
+
+    return F.coalesce(*(attempt(f) for f in formats))
 
 
-@F.pandas_udf("timestamp")
+@F.pandas_udf(T.TimestampNTZType())
 def _lenient(values: pd.Series) -> pd.Series:
     from dateutil import parser
 
@@ -67,7 +82,7 @@ def _lenient(values: pd.Series) -> pd.Series:
         except (ValueError, OverflowError, TypeError):
             return None
 
-    return pd.to_datetime(values.map(one), errors="coerce", utc=True)
+    return pd.to_datetime(values.map(one), errors="coerce")
 
 
 def parse_label_date(c: Column, lenient: bool = False) -> Column:
@@ -78,31 +93,37 @@ def parse_label_date(c: Column, lenient: bool = False) -> Column:
     Arrow UDF; without it those read as NULL and the plan stays free of
     Python.
     """
-    raw = strip(text(c))
-    found = F.regexp_extract(raw, DATE_IN_TEXT, 1)
-    target = F.when(found != "", strip(found)).otherwise(raw)
-    target = strip(F.regexp_replace(target, r"(?i)\(SUPPL[^)]*\)", ""))
-    date_part = strip(F.split(F.split(target, " ")[0], "T")[0])
-    strict = F.coalesce(_try(date_part, NUMERIC_FORMATS), _try(target, TEXTUAL_FORMATS))
+    def target_of(raw: Column) -> Column:
+        found = F.regexp_extract(raw, DATE_IN_TEXT, 1)
+        target = F.when(found != "", strip(found)).otherwise(raw)
+        return strip(F.regexp_replace(target, r"(?i)\(SUPPL[^)]*\)", ""))
+
+    def read(target: Column) -> Column:
+        date_part = strip(F.split(F.split(target, " ")[0], "T")[0])
+        return F.coalesce(bind(date_part, lambda d: _try(d, NUMERIC_FORMATS)), _try(target, TEXTUAL_FORMATS))
+
+    target = bind(strip(text(c)), target_of)
+    strict = bind(target, read)
     if not lenient:
         return strict
-    leftover = F.when(strict.isNull() & (target != ""), target)
-    return F.coalesce(strict, _lenient(leftover).cast("timestamp_ntz"))
+    leftover = bind(target, lambda t: F.when((t != "") & read(t).isNull(), t))
+    return F.coalesce(strict, _lenient(leftover))
 
 
 def parse_register_date(c: Column) -> Column:
     """A whole-string date in one of the register's formats, else a day-month-year
     or ISO date inside the string."""
-    value = text(c)
-    cleaned = strip(F.regexp_replace(strip(value), r"(?U)[^\w\s/.-]", ""))
-    inner = F.regexp_extract(value, r"(?U)(\d{1,2}\s+[A-Za-z]+\s+\d{4})", 1)
-    iso = F.regexp_extract(value, r"(?U)(\d{4}-\d{2}-\d{2})", 1)
-    return F.when(
-        cleaned != "",
-        F.coalesce(
-            _try(cleaned, TGA_FORMATS), _try(inner, ("d MMMM yyyy", "d MMM yyyy")), _try(iso, ("yyyy-MM-dd",))
-        ),
-    )
+    def read(value: Column) -> Column:
+        cleaned = strip(F.regexp_replace(strip(value), r"(?U)[^\w\s/.-]", ""))
+        inner = F.regexp_extract(value, r"(?U)(\d{1,2}\s+[A-Za-z]+\s+\d{4})", 1)
+        iso = F.regexp_extract(value, r"(?U)(\d{4}-\d{2}-\d{2})", 1)
+        return F.coalesce(
+            bind(cleaned, lambda x: _try(x, TGA_FORMATS)),
+            bind(inner, lambda x: _try(x, ("d MMMM yyyy", "d MMM yyyy"))),
+            bind(iso, lambda x: _try(x, ("yyyy-M-d",))),
+        )
+
+    return bind(text(c), read)
 
 
 def extract_amendment_date(c: Column) -> Column:
@@ -149,26 +170,33 @@ SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
 YMD = r"^(\d{4})-(\d{1,2})-(\d{1,2})"
 
 
-def _part(c: Column, pattern: str, group: int) -> Column:
-    return F.expr("CAST(NULL AS INT)") if c is None else F.nullif(F.regexp_extract(c, pattern, group), F.lit("")).cast("int")
+def _parts(c: Column) -> Column:
+    """STRUCT of the number groups of the three accepted shapes."""
+    day_text = strip(F.split(strip(text(c)), "T")[0])
 
+    def number(pattern: str, group: int) -> Column:
+        return F.nullif(F.regexp_extract(day_text, pattern, group), F.lit("")).cast("int")
 
-def _request_date(c: Column, us_order: Column) -> tuple[Column, Column]:
-    """(timestamp, error) of one bound; NULL error when blank or valid."""
-    s = strip(text(c))
-    day_text = strip(F.split(s, "T")[0])
-    d1, d2, dy = (_part(day_text, DMY, i) for i in (1, 2, 3))
-    s1, s2, sy = (_part(day_text, SLASH, i) for i in (1, 2, 3))
-    y1, y2, y3 = (_part(day_text, YMD, i) for i in (1, 2, 3))
+    return record(
+        blank=strip(text(c)) == "",
+        **{f"d{i}": number(DMY, i) for i in (1, 2, 3)},
+        **{f"s{i}": number(SLASH, i) for i in (1, 2, 3)},
+        **{f"y{i}": number(YMD, i) for i in (1, 2, 3)},
+    )
+
+
+def _request_date(p: Column, us_order: Column) -> Column:
+    """STRUCT<ts, error> of one bound; both NULL when blank."""
+    d1, d2, s1, s2 = p["d1"], p["d2"], p["s1"], p["s2"]
     dash_month_first = ((d2 > 12) & (d1 <= 12)) | (~((d1 > 12) & (d2 <= 12)) & us_order)
     slash_day_first = (s1 > 12) & (s2 <= 12)
-    year = F.coalesce(dy, sy, y1)
-    month = F.coalesce(F.when(dash_month_first, d1).otherwise(d2), F.when(slash_day_first, s2).otherwise(s1), y2)
-    day = F.coalesce(F.when(dash_month_first, d2).otherwise(d1), F.when(slash_day_first, s1).otherwise(s2), y3)
+    year = F.coalesce(p["d3"], p["s3"], p["y1"])
+    month = F.coalesce(F.when(dash_month_first, d1).otherwise(d2), F.when(slash_day_first, s2).otherwise(s1), p["y2"])
+    day = F.coalesce(F.when(dash_month_first, d2).otherwise(d1), F.when(slash_day_first, s1).otherwise(s2), p["y3"])
     zero = F.lit(0)
     ts = F.try_make_timestamp_ntz(year, month, day, zero, zero, zero.cast("decimal(16,6)"))
-    error = F.when(s == "", None).when(year.isNull(), "format").when(ts.isNull(), "calendar")
-    return F.when(s != "", ts), error
+    return bind(ts, lambda t: record(
+        ts=t, error=F.when(p["blank"], None).when(year.isNull(), "format").when(t.isNull(), "calendar")))
 
 
 def validate_date_range(start: Column, end: Column) -> Column:
@@ -179,23 +207,26 @@ def validate_date_range(start: Column, end: Column) -> Column:
     end bound is the last microsecond of its day. ``error`` names the first
     problem: format, calendar or order.
     """
-    s_text = strip(F.split(text(start), "T")[0])
-    e_text = strip(F.split(text(end), "T")[0])
-    s1, s2 = _part(s_text, DMY, 1), _part(s_text, DMY, 2)
-    e1, e2 = _part(e_text, DMY, 1), _part(e_text, DMY, 2)
-    us_order = F.coalesce(
-        (s1 <= 12) & (s2 <= 12) & (e1 <= 12) & (e2 <= 12) & (s1 == e1) & (s2 <= e2), F.lit(False)
-    )
-    start_ts, start_error = _request_date(start, us_order)
-    end_ts, end_error = _request_date(end, us_order)
-    error = F.coalesce(
-        F.concat(F.lit("startDate:"), start_error), F.concat(F.lit("endDate:"), end_error),
-        F.when(start_ts > end_ts, "order"),
-    )
-    last_instant = end_ts + F.expr("INTERVAL '0 23:59:59.999999' DAY TO SECOND")
-    return record(
-        start_ts=F.when(error.isNull(), start_ts), end_ts=F.when(error.isNull(), last_instant), error=error
-    )
+    def dates_of(p: Column) -> Column:
+        s, e = p["s"], p["e"]
+        us_order = F.coalesce(
+            (s["d1"] <= 12) & (s["d2"] <= 12) & (e["d1"] <= 12) & (e["d2"] <= 12)
+            & (s["d1"] == e["d1"]) & (s["d2"] <= e["d2"]), F.lit(False),
+        )
+        return record(s=_request_date(s, us_order), e=_request_date(e, us_order))
+
+    def checked(b: Column) -> Column:
+        start_ts, end_ts = b["s"]["ts"], b["e"]["ts"]
+        error = F.coalesce(
+            F.concat(F.lit("startDate:"), b["s"]["error"]), F.concat(F.lit("endDate:"), b["e"]["error"]),
+            F.when(start_ts > end_ts, "order"),
+        )
+        last_instant = end_ts + F.expr("INTERVAL '0 23:59:59.999999' DAY TO SECOND")
+        return record(
+            start_ts=F.when(error.isNull(), start_ts), end_ts=F.when(error.isNull(), last_instant), error=error
+        )
+
+    return bind(bind(record(s=_parts(start), e=_parts(end)), dates_of), checked)
 
 
 def transpose_day_month(ts: Column) -> Column:

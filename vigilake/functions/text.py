@@ -6,6 +6,8 @@ removes every Unicode white-space character, not only blanks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1c-\x1e\x85  ]"
@@ -19,6 +21,15 @@ def record(**fields: Column) -> Column:
     return F.named_struct(*parts)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once.
+
+    A long expression that is used many times would be copied into the plan
+    each time, until the generated code no longer compiles.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text(c: Column) -> Column:
     """NULL reads as the empty string."""
     return F.coalesce(c, F.lit(""))
@@ -171,8 +182,10 @@ def product_name_from_file(
         stem = strip(F.regexp_replace(stem, "(?iU)" + pattern, ""))
     cleaned = strip(F.regexp_replace(stem, "[_-]", " "))
     cleaned = strip(F.regexp_replace(cleaned, r"(?iU)\s+can$", ""))
-    usable = (cleaned != "") & ~F.lower(cleaned).isin(*GENERIC_FILE_NAMES)
-    from_file = F.when(usable, _capitalize_words(cleaned))
+    from_file = bind(
+        cleaned,
+        lambda c: F.when((c != "") & ~F.lower(c).isin(*GENERIC_FILE_NAMES), _capitalize_words(c)),
+    )
     if first_page is None:
         return F.coalesce(from_file, stem_raw)
     page = text(first_page)
@@ -182,7 +195,7 @@ def product_name_from_file(
     invented = strip(F.split(F.regexp_replace(strip(invented), "[™®]", ""), r"[,;/()\n]")[0])
 
     def plausible(c: Column, placeholders: tuple[str, ...]) -> Column:
-        return F.when((F.length(c) >= 3) & ~F.upper(c).isin(*placeholders), title_case(c))
+        return bind(c, lambda x: F.when((F.length(x) >= 3) & ~F.upper(x).isin(*placeholders), title_case(x)))
 
     candidates = F.slice(F.filter(F.transform(F.split(page, "\n"), strip), lambda x: x != ""), 1, 8)
     candidates = F.transform(candidates, lambda x: strip(F.regexp_replace(x, "[™®]", "")))

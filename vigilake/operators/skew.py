@@ -95,3 +95,20 @@ def neighbour(
         *keys, (F.col(ordinal) - F.lit(offset)).alias(ordinal), *(F.col(c).alias(o) for c, o in columns.items())
     )
     return df.join(other, [*keys, ordinal], "left")
+
+
+def previous_value(
+    df: DataFrame, keys: Sequence[str], ordinal: str, value: Column, out: str, block_size: int = BLOCK,
+) -> DataFrame:
+    """``value`` of the row before, for ordinals with gaps."""
+    d = _blocked(df, ordinal, block_size).withColumn("_value", F.struct(value.alias("v")))
+    inside = Window.partitionBy(*keys, "_block").orderBy(ordinal)
+    local = d.withColumn("_local", F.lag("_value").over(inside))
+    tails = d.groupBy(*keys, "_block").agg(F.max_by("_value", ordinal).alias("_tail"))
+    before = Window.partitionBy(*keys).orderBy("_block")
+    carried = tails.withColumn("_carry", F.lag("_tail").over(before)).drop("_tail")
+    return (
+        local.join(carried, [*keys, "_block"])
+        .withColumn(out, F.coalesce("_local", "_carry")["v"])
+        .drop("_block", "_value", "_local", "_carry")
+    )
