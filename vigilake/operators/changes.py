@@ -11,7 +11,7 @@ from vigilake.functions.sections import (
     clean_adverse_text, is_whitelisted, normalize_section_name, section_kind, section_sort_key,
 )
 from vigilake.functions.text import normalize_drug_name, normalize_text, text
-from vigilake.operators.skew import pick, previous_value, rows_at_extreme, running_sum
+from vigilake.operators.skew import cut_lineage, links, pick, rows_at_extreme
 
 DRUG_KEY = ["normalized_name", "source"]
 CHANGE_KEY = ["drug_id", "section", "source_record_id"]
@@ -96,19 +96,18 @@ STATE = ("content_hash", "source_date", "original_text", "updated_text", "fda_co
 
 
 def classify_changes(current: DataFrame, batch: DataFrame) -> DataFrame:
-    """Batch rows with ``action`` NEW / CHANGED / UNCHANGED.
+    """Batch rows with ``action`` NEW / CHANGED / UNCHANGED and ``_replaced``,
+    the state each row meets.
 
     Several rows of one key are taken in ``seq`` order: each is compared with
     the row before, the first one with the current table.
     """
-    known = current.select(*CHANGE_KEY, F.col("content_hash").alias("_known"))
-    before = previous_value(batch, CHANGE_KEY, "seq", F.col("content_hash"), "_before")
-    joined = before.join(known, CHANGE_KEY, "left").withColumn("_prev", F.coalesce("_before", "_known"))
-    action = (
-        F.when(F.col("_prev").isNull(), "NEW").when(F.col("_prev") != F.col("content_hash"), "CHANGED")
-        .otherwise("UNCHANGED")
-    )
-    return joined.withColumn("action", action).drop("_before", "_known", "_prev")
+    linked = links(batch, CHANGE_KEY, "seq", F.struct(*STATE), "_before", "_place")
+    base = current.select(*CHANGE_KEY, F.struct(*STATE).alias("_base"))
+    joined = linked.join(base, CHANGE_KEY, "left").withColumn("_replaced", F.coalesce("_before", "_base"))
+    old = F.col("_replaced.content_hash")
+    action = F.when(old.isNull(), "NEW").when(old != F.col("content_hash"), "CHANGED").otherwise("UNCHANGED")
+    return joined.withColumn("action", action).drop("_before", "_place")
 
 
 def apply_changes(current: DataFrame, versions: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -116,49 +115,47 @@ def apply_changes(current: DataFrame, versions: DataFrame, batch: DataFrame) ->
 
     An unchanged row only moves ``last_verified_at``; a changed one archives
     what was there under the next version number. Running the same batch again
-    adds nothing.
+    adds nothing. The classified batch is written once, because the change
+    table, the archive and the counters all read it.
     """
-    actions = classify_changes(current, batch.where(F.size("errors") == 0))
-    effective = actions.where(F.col("action") != "UNCHANGED")
-    base = current.select(
-        *CHANGE_KEY, F.struct(*STATE, F.col("last_verified_at").alias("verified_at")).alias("_base")
-    )
-    # What each effective row replaces: the effective row before it, else the
-    # current record. An empty original text is filled with the text replaced.
-    raw_state = F.struct(*STATE, F.col("verified_at"))
-    linked = previous_value(effective, CHANGE_KEY, "seq", raw_state, "_prior").join(base, CHANGE_KEY, "left")
-    linked = linked.withColumn("_replaced", F.coalesce("_prior", "_base"))
-    filled = F.coalesce(F.nullif(F.col("original_text"), F.lit("")), F.col("_replaced.updated_text"))
-    linked = linked.withColumn(
-        "original_text", F.when(F.col("action") == "CHANGED", filled).otherwise(F.col("original_text"))
+    actions = cut_lineage(classify_changes(current, batch.where(F.size("errors") == 0)))
+    # Rows between two effective ones repeat the content of the first, so the
+    # row before always shows what an effective row replaces. Its original
+    # text, when empty, was filled with the text that it replaced itself.
+    effective = actions.where(F.col("action") != "UNCHANGED").withColumn(
+        "original_text",
+        F.when(F.col("action") == "CHANGED",
+               F.coalesce(F.nullif(F.col("original_text"), F.lit("")), F.col("_replaced.updated_text")))
+        .otherwise(F.col("original_text")),
     )
-    state = F.struct(*STATE, F.col("verified_at"))
-    archived = previous_value(linked, CHANGE_KEY, "seq", state, "_old").withColumn(
-        "_old", F.coalesce("_old", "_base")
-    ).where(F.col("action") == "CHANGED")
-    numbered = running_sum(archived, CHANGE_KEY, "seq", F.lit(1), "_n")
+    chained = links(effective, CHANGE_KEY, "seq", F.col("original_text"), "_old_original", "_place")
+    started_new = F.col("_base").isNull()
     counts = versions.groupBy(*CHANGE_KEY).agg(F.max("version_number").alias("_count"))
-    # The archived row was verified until the last unchanged row before it.
-    new_versions = numbered.join(counts, CHANGE_KEY, "left").select(
-        *CHANGE_KEY, (F.coalesce("_count", F.lit(0)) + F.col("_n")).cast("long").alias("version_number"),
-        F.col("_old.content_hash").alias("content_hash"), F.col("_old.original_text").alias("original_text"),
-        F.col("_old.updated_text").alias("updated_text"),
-        F.concat(F.col("section"), F.lit(": "), text(F.col("_old.updated_text"))).alias("normalized_content"),
+    new_versions = chained.where(F.col("action") == "CHANGED").join(counts, CHANGE_KEY, "left").select(
+        *CHANGE_KEY,
+        (F.coalesce("_count", F.lit(0)) + F.col("_place") - started_new.cast("int")).cast("long").alias("version_number"),
+        F.col("_replaced.content_hash").alias("content_hash"),
+        F.coalesce("_old_original", "_base.original_text").alias("original_text"),
+        F.col("_replaced.updated_text").alias("updated_text"),
+        F.concat(F.col("section"), F.lit(": "), text(F.col("_replaced.updated_text"))).alias("normalized_content"),
     )
+    hit = F.col("action") != "UNCHANGED"
+    filled = F.when(
+        F.col("action") == "CHANGED",
+        F.coalesce(F.nullif(F.col("original_text"), F.lit("")), F.col("_replaced.updated_text")),
+    ).otherwise(F.col("original_text"))
+    place = F.when(hit, F.col("seq"))
 
     def last_set(name: str) -> Column:
-        return F.max_by(name, F.when(text(F.col(name).cast("string")) != "", F.col("seq"))).alias(f"_{name}")
+        return F.max_by(name, F.when(hit & (text(F.col(name).cast("string")) != ""), F.col("seq"))).alias(f"_{name}")
 
-    latest = linked.groupBy(*CHANGE_KEY).agg(
-        *(F.max_by(c, "seq").alias(f"_{c}") for c in ("content_hash", "original_text", "updated_text")),
+    latest = actions.groupBy(*CHANGE_KEY).agg(
+        F.bool_or(hit).alias("_hit"), F.max_by(filled, place).alias("_original_text"),
+        *(F.max_by(c, place).alias(f"_{c}") for c in ("content_hash", "updated_text")),
         *(last_set(c) for c in ("source_date", "fda_comment", "source_url")),
+        F.max("verified_at").alias("_verified"), F.min("verified_at").alias("_seen"),
     )
-    verified = actions.groupBy(*CHANGE_KEY).agg(
-        F.max("verified_at").alias("_verified"), F.min("verified_at").alias("_seen")
-    )
-    merged = current.join(latest.withColumn("_hit", F.lit(True)), CHANGE_KEY, "full_outer").join(
-        verified, CHANGE_KEY, "left"
-    )
+    merged = current.join(latest, CHANGE_KEY, "full_outer")
 
     def replaced(name: str) -> Column:
         return F.when(F.col("_hit"), F.col(f"_{name}")).otherwise(F.col(name)).alias(name)
@@ -169,7 +166,7 @@ def apply_changes(current: DataFrame, versions: DataFrame, batch: DataFrame) ->
         F.coalesce("first_seen_at", "_seen").alias("first_seen_at"),
         F.greatest("last_verified_at", "_verified").alias("last_verified_at"),
     )
-    return changes, versions.unionByName(new_versions), actions
+    return changes, versions.unionByName(new_versions), actions.drop("_replaced", "_base")
 
 
 CHANGES_SCHEMA = (
@@ -299,7 +296,9 @@ def change_timeline(changes: DataFrame, drugs: DataFrame) -> DataFrame:
         F.min_by("source_url", F.when(F.lower(text(F.col("source_url"))).contains(".pdf"), F.col("id"))).alias("pdf_url"),
         F.count(F.lit(1)).alias("n_changes"),
     )
-    return groups.join(unique, ["drug_id", "day"], "left").fillna(
+    side = unique.withColumnsRenamed({"drug_id": "_drug", "day": "_day"})
+    same = (groups.drug_id == F.col("_drug")) & groups.day.eqNullSafe(F.col("_day"))
+    return groups.join(side, same, "left").drop("_drug", "_day").fillna(
         0, ["adverse_bodies", "warning_bodies", "population_bodies"]
     )
 

@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -97,18 +98,43 @@ def neighbour(
     return df.join(other, [*keys, ordinal], "left")
 
 
-def previous_value(
-    df: DataFrame, keys: Sequence[str], ordinal: str, value: Column, out: str, block_size: int = BLOCK,
+
+def links(
+    df: DataFrame, keys: Sequence[str], ordinal: str, value: Column, previous: str, index: str,
+    block_size: int = BLOCK,
 ) -> DataFrame:
-    """``value`` of the row before, for ordinals with gaps."""
+    """``value`` of the row before and the 1-based place of each row within its
+    key, for ordinals with gaps."""
     d = _blocked(df, ordinal, block_size).withColumn("_value", F.struct(value.alias("v")))
     inside = Window.partitionBy(*keys, "_block").orderBy(ordinal)
-    local = d.withColumn("_local", F.lag("_value").over(inside))
-    tails = d.groupBy(*keys, "_block").agg(F.max_by("_value", ordinal).alias("_tail"))
+    local = d.withColumn("_local", F.lag("_value").over(inside)).withColumn("_local_place", F.row_number().over(inside))
+    tails = d.groupBy(*keys, "_block").agg(
+        F.max_by("_value", ordinal).alias("_tail"), F.count(F.lit(1)).alias("_n")
+    )
     before = Window.partitionBy(*keys).orderBy("_block")
-    carried = tails.withColumn("_carry", F.lag("_tail").over(before)).drop("_tail")
+    carried = tails.select(
+        *keys, "_block", F.lag("_tail").over(before).alias("_carry"),
+        F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"),
+    )
     return (
         local.join(carried, [*keys, "_block"])
-        .withColumn(out, F.coalesce("_local", "_carry")["v"])
-        .drop("_block", "_value", "_local", "_carry")
+        .withColumn(previous, F.coalesce("_local", "_carry")["v"])
+        .withColumn(index, F.col("_earlier") + F.col("_local_place"))
+        .drop("_block", "_value", "_local", "_local_place", "_carry", "_earlier")
     )
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows written to the cluster's checkpoint folder, plan cut off.
+
+    The folder comes from ``spark.checkpoint.dir``; only a local session may
+    fall back to a temporary one.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint(eager=True)
