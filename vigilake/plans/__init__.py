@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables."""
 
-from vigilake.plans import label_queries, listing_queries, text_queries  # noqa: F401
+from vigilake.plans import document_queries, label_queries, listing_queries, text_queries  # noqa: F401
 from vigilake.plans.registry import COVERS, ORACLES, QUERIES
 
 __all__ = ["COVERS", "ORACLES", "QUERIES"]
