@@ -75,7 +75,11 @@ dr AS (
 
 def batch(spark: SparkSession, sf: str) -> DataFrame:
     """Crawled change rows, several per key, with repeated contents."""
-    return table(spark, sf, "events").selectExpr(
+    return batch_of(table(spark, sf, "events"))
+
+
+def batch_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "user_id AS drug_id", f"{SECTION} AS section", "concat('SUPPL-', event_id % 3) AS source_record_id",
         "event_id AS seq", "concat('Drug ', user_id) AS display_name", "CAST(NULL AS STRING) AS active_ingredient",
         "CAST('2024-01-01 00:00:00' AS TIMESTAMP_NTZ) AS source_date", "'' AS source_url",

@@ -111,7 +111,7 @@ def parse_article(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join(F.transform("sections", lambda s: s["heading"]), "|").alias("headings"), F.element_at("sections", -1)["text"].alias("last_text"))
 
 
-@query("A6 U2", """SELECT p_partkey AS page_id, v.* FROM part CROSS JOIN LATERAL (VALUES (p_brand, 'seed', ''), ('Brand' || p_partkey, lower(p_type) || ' acid', 'New data'), ('', 'All ' || p_name, 'New data')) v(product_name, generic_name, section_heading)""")
+@query("A6 U2", """SELECT p_partkey AS page_id, v.* FROM part CROSS JOIN LATERAL (VALUES (p_brand, 'seed', ''), ('New data' || chr(10) || 'Brand' || p_partkey, lower(p_type) || ' acid', 'New data'), ('', 'All ' || p_name, 'New data')) v(product_name, generic_name, section_heading)""")
 def product_mentions(spark: SparkSession, sf: str) -> DataFrame:
     seeds = table(spark, sf, "part").selectExpr("p_partkey AS page_id", "p_brand AS product_name", "'seed' AS generic_name")
     return src.product_mentions(_articles(spark, sf).join(seeds, "page_id")).select("page_id", "product_name", "generic_name", "section_heading")
