@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilake.functions.listing import (
     onset_for, outcome_for, parse_event_onsets, parse_event_verbatim, parse_outcomes, parse_products,
 )
 from vigilake.functions.text import clean_xml_hex, strip, text
-from vigilake.operators.skew import pick, running_sum
+from vigilake.operators.skew import BLOCK, pick
 
 # Listing headers and the case column each one feeds.
 REQUIRED = ("Case Number", "Event Verbatim")
@@ -80,27 +80,39 @@ def _first_rows(listing: DataFrame) -> DataFrame:
 def dedupe_repeat_rows(items: DataFrame, item: str) -> DataFrame:
     """Items of a case's first row all stay; later rows only add new ones.
 
-    ``items`` has ``first_row``, ``source_row`` and ``idx``. The first
-    occurrence per (case, item) is an aggregate that combines on the map side.
+    ``items`` has ``source_row``, ``idx`` and ``repeat_no``: how often the item
+    occurred before in the case's first row, 0 in later rows. One aggregate,
+    which combines on the map side, keeps the first row of every
+    (case, item, repeat).
     """
-    from_first = items.where(F.col("source_row") == F.col("first_row"))
-    later = items.where(F.col("source_row") > F.col("first_row"))
-    new = pick(later, [*CASE_KEY, item], F.struct("source_row", "idx"), largest=False)
-    new = new.join(from_first.select(*CASE_KEY, item).distinct(), [*CASE_KEY, item], "left_anti")
-    return from_first.unionByName(new)
+    return pick(items, [*CASE_KEY, item, "repeat_no"], F.struct("source_row", "idx"), largest=False)
 
 
-def explode_events(listing: DataFrame, clean_first: bool = False, row_block: int = 65_536) -> DataFrame:
-    """Event rows with 1-based positions that go on over repeated case rows."""
+def _repeat_no(values: Column, index: Column) -> Column:
+    """Earlier occurrences of the element at ``index`` in the case's first row."""
+    own = F.get(values, index)
+    earlier = F.filter(F.slice(values, F.lit(1), index), lambda v: v == own)
+    return F.when(F.col("source_row") == F.col("first_row"), F.size(earlier)).otherwise(0)
+
+
+def explode_events(listing: DataFrame, clean_first: bool = False, row_block: int = BLOCK) -> DataFrame:
+    """Event rows with 1-based positions that go on over repeated case rows.
+
+    Within a row positions follow the cell and keep their gaps, so the
+    position is the running sum of the steps from one kept event to the next.
+    The outer explode keeps the optimizer from parsing every cell once more to
+    filter out the empty ones.
+    """
     parsed = listing.join(_first_rows(listing), list(CASE_KEY)).select(
         *CASE_KEY, "product_name", "source_row", "first_row", "primary_soc", "case_outcome",
         parse_outcomes(F.col("_outcomes")).alias("_outcomes"),
         parse_event_onsets(F.col("_onsets")).alias("_onsets"),
-        F.posexplode(parse_event_verbatim(F.col("_events"), clean_first)).alias("idx", "_event"),
-    )
+        parse_event_verbatim(F.col("_events"), clean_first).alias("_parsed"),
+    ).select("*", F.posexplode_outer("_parsed").alias("idx", "_event")).where(F.col("idx").isNotNull())
     onset = onset_for(F.col("_onsets"), F.col("idx"))
+    terms = F.transform("_parsed", lambda e: e["normalized_term"])
     exploded = parsed.select(
-        *CASE_KEY, "product_name", "source_row", "first_row", "primary_soc", "idx",
+        *CASE_KEY, "product_name", "source_row", "primary_soc", "idx", _repeat_no(terms, F.col("idx")).alias("repeat_no"),
         F.col("_event.normalized_term").alias("normalized_term"),
         F.col("_event.raw_verbatim").alias("raw_verbatim"),
         F.col("_event.seriousness").alias("seriousness_flag"),
@@ -112,17 +124,23 @@ def explode_events(listing: DataFrame, clean_first: bool = False, row_block: int
         ),
     )
     kept = dedupe_repeat_rows(exploded, "normalized_term")
-    steps = kept.groupBy(*CASE_KEY, "source_row").agg((F.max("idx") + 1).cast("long").alias("_step"))
-    offsets = running_sum(
-        steps, CASE_KEY, "source_row", F.col("_step"), "_offset", block_size=row_block, inclusive=False
-    ).drop("_step")
-    placed = kept.join(offsets, [*CASE_KEY, "source_row"])
-    return placed.select(
-        *CASE_KEY, "product_name", "source_row",
-        (F.col("_offset") + F.col("idx") + 1).alias("position"),
+    # A source row never spans two blocks.
+    blocked = kept.withColumn("_block", F.floor(F.col("source_row") / F.lit(row_block)).cast("long"))
+    inside = Window.partitionBy(*CASE_KEY, "_block").orderBy("source_row", "idx")
+    same_row = F.lag("source_row").over(inside) == F.col("source_row")
+    step = F.col("idx") - F.when(same_row, F.lag("idx").over(inside)).otherwise(-1)
+    placed = blocked.withColumn("_step", step).withColumn(
+        "_local", F.sum("_step").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    per_row = blocked.groupBy(*CASE_KEY, "_block", "source_row").agg((F.max("idx") + 1).alias("_width"))
+    totals = per_row.groupBy(*CASE_KEY, "_block").agg(F.sum("_width").alias("_total"))
+    before = Window.partitionBy(*CASE_KEY).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*CASE_KEY, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carry"))
+    position = (F.col("_carry") + F.col("_local")).cast("long")
+    return placed.join(carried, [*CASE_KEY, "_block"]).withColumn("position", position).select(
+        *CASE_KEY, "product_name", "source_row", "position",
         "normalized_term", "raw_verbatim", "seriousness_flag", "listedness_flag", "causality_flag",
         "event_onset", "onset_mapping_status", "event_outcome",
-        F.when(F.col("_offset") + F.col("idx") == 0, F.col("primary_soc")).alias("soc"),
+        F.when(F.col("position") == 1, F.col("primary_soc")).alias("soc"),
     )
 
 
@@ -132,10 +150,12 @@ def explode_products(listing: DataFrame) -> DataFrame:
         F.col("_products"), F.col("product_name"), F.col("_dose"), F.col("_form"), F.col("_duration"),
         F.col("_indication"),
     )
-    exploded = listing.join(_first_rows(listing), list(CASE_KEY)).select(
-        *CASE_KEY, "source_row", "first_row", F.posexplode(products).alias("idx", "_p")
-    ).select(*CASE_KEY, "source_row", "first_row", "idx", "_p.*")
-    return dedupe_repeat_rows(exploded, "product_name_raw").drop("first_row")
+    parsed = listing.join(_first_rows(listing), list(CASE_KEY)).select(
+        *CASE_KEY, "source_row", "first_row", products.alias("_parsed")
+    ).select("*", F.posexplode_outer("_parsed").alias("idx", "_p")).where(F.col("idx").isNotNull())
+    names = F.transform("_parsed", lambda p: p["product_name_raw"])
+    exploded = parsed.select(*CASE_KEY, "source_row", "idx", _repeat_no(names, F.col("idx")).alias("repeat_no"), "_p.*")
+    return dedupe_repeat_rows(exploded, "product_name_raw").drop("repeat_no")
 
 
 # Reporting periods recognised from a file or product name.

@@ -124,6 +124,17 @@ def links(
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the input has fewer splits than that.
+
+    Row work that costs far more than moving the row (parsing of cells, texts
+    and pages) would otherwise run in as many tasks as a small input has files.
+    Inputs with enough splits, as at scale, pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``; only a
     local session may fall back to a temporary one."""

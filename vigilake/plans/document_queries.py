@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vigilake.functions import documents as fn
 from vigilake.operators import documents as ops, tables, versions
 from vigilake.operators.skew import cut_lineage, pick
-from vigilake.plans.registry import query, table
+from vigilake.plans.registry import query, spread_table, table
 
 NUMBERS = "15", "16", "16.1", "16.1.1", "16.2", "16.2.1", "17", "18"
 _ARRAY = "array(" + ", ".join(f"'{n}'" for n in NUMBERS) + ")"
 
 
 def raw_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").selectExpr(
+    return spread_table(spark, sf, "documents", "doc_id", "text").selectExpr(
         "CAST(doc_id AS STRING) AS doc", r"posexplode(split(text, '\n')) AS (pos, line)"
     ).selectExpr(
         "doc", "CAST(pos AS LONG) AS ord", "pos DIV 10 + 1 AS page_num", "'paragraph' AS block_type",

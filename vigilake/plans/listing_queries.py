@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vigilake.functions import listing as cells
 from vigilake.operators import dictionary, listing as ops, reports, search
 from vigilake.plans import listing_tables as t
-from vigilake.plans.registry import query, table
+from vigilake.plans.registry import query, spread_table, table
 
 
 @query("S1", f"WITH {t.SQL_LI} SELECT dataset_id, case_number, source_row, o_orderstatus AS country,"
@@ -36,8 +36,8 @@ _PARSED = """SELECT case_number, source_row, idx, normalized_term, raw_verbatim,
 def parse_event_verbatim(spark: SparkSession, sf: str) -> DataFrame:
     """Every cell of the listing parsed back into its terms and flags."""
     parsed = t.listing(spark, sf).select(
-        "case_number", "source_row", F.posexplode(cells.parse_event_verbatim(F.col("_events"))).alias("idx", "e")
-    )
+        "case_number", "source_row", F.posexplode_outer(cells.parse_event_verbatim(F.col("_events"))).alias("idx", "e")
+    ).where("idx IS NOT NULL")
     return parsed.select("case_number", "source_row", "idx", "e.*")
 
 
@@ -263,7 +263,7 @@ SELECT CAST(doc_id AS VARCHAR) AS case_number, kw AS matched_term,
 FROM hit WHERE nth = 1""")
 def narrative_keyword(spark: SparkSession, sf: str) -> DataFrame:
     """Whole document texts as narratives; first configured keyword wins."""
-    cases = table(spark, sf, "documents").selectExpr(
+    cases = spread_table(spark, sf, "documents").selectExpr(
         "'ds' AS dataset_id", "CAST(doc_id AS STRING) AS case_number", "text AS narrative", "doc_id AS source_row"
     )
     concern = spark.createDataFrame(

@@ -12,7 +12,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilake.operators import listing as ops
-from vigilake.plans.registry import table
+from vigilake.plans.registry import spread_table, table
 
 ROW_BLOCK = 100_000_000_000_000_000
 # Order of the rows inside a case, unique per line item.
@@ -23,7 +23,10 @@ SOURCE_ROW = (
 
 
 def listing_rows(spark: SparkSession, sf: str) -> DataFrame:
-    li, o, p = (table(spark, sf, n) for n in ("lineitem", "orders", "part"))
+    li = spread_table(
+        spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount",
+        "l_returnflag", "l_linestatus", "l_shipdate")
+    o, p = table(spark, sf, "orders"), table(spark, sf, "part")
     joined = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     return joined.selectExpr(
         "concat('ds_', substring(o_orderpriority, 1, 1), '_', year(o_orderdate)) AS dataset_id",

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilake.operators import projections as pr
-from vigilake.plans.registry import query, table
+from vigilake.plans.registry import query, spread_table, table
 from vigilake.sources import feeds, html, pages as src
 
 
 def _page(spark: SparkSession, sf: str, body: str, url: str = "'https://www.fda.gov/x/list?q=1'") -> DataFrame:
-    return table(spark, sf, "part").selectExpr("p_partkey AS page_id", f"{url} AS url", f"concat('<html><body>', {body}, '</body></html>') AS html")
+    return spread_table(spark, sf, "part").selectExpr("p_partkey AS page_id", f"{url} AS url", f"concat('<html><body>', {body}, '</body></html>') AS html")
 
 
 @query("F23", r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
@@ -22,7 +22,7 @@ def _page(spark: SparkSession, sf: str, body: str, url: str = "'https://www.fda.
  CAST(len(regexp_extract_all(html, '<p>')) AS INTEGER) AS n_paragraphs FROM pages""")
 def html_elements(spark: SparkSession, sf: str) -> DataFrame:
     """Every page of the driver's crawl tokenized."""
-    d = html.html_elements(table(spark, sf, "pages"))
+    d = html.html_elements(spread_table(spark, sf, "pages"))
     n = lambda t: F.size(html.elements_of(t))
     return d.select("page_id", html.first_text("h1").alias("title"), n("li").alias("n_items"), n("a").alias("n_links"), n("p").alias("n_paragraphs"))
 
@@ -38,7 +38,7 @@ def sanitize_html(spark: SparkSession, sf: str) -> DataFrame:
 SELECT page_id, host || href AS url FROM a WHERE NOT (starts_with(href, '#')) AND href <> '' GROUP BY ALL""")
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
     """Absolute links of every crawled page, unique per page."""
-    return src._anchors(table(spark, sf, "pages")).select("page_id", "url").distinct()
+    return src._anchors(spread_table(spark, sf, "pages")).select("page_id", "url").distinct()
 
 
 @query("S9", """SELECT p_partkey AS page_id, v.url, CAST(v.rank AS INTEGER) AS rank, v.t AS discovery_type FROM part CROSS JOIN LATERAL (VALUES

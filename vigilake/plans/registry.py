@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigilake.operators.skew import spread
 from vigilake.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +37,9 @@ def query(covers: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table whose rows are expensive to work on, over all cores."""
+    df = table(spark, sf_dir, name)
+    return spread(df.select(*columns) if columns else df)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilake.functions import classify, dates, hashing, matching, sections, text
-from vigilake.plans.registry import query, table
+from vigilake.plans.registry import query, spread_table, table
 
 PART = ["p_partkey"]
 
@@ -87,7 +87,7 @@ _DATE_TEXT = """CASE o_orderkey % 9
 def parse_label_date(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.expr(_DATE_TEXT)
     ts = dates.parse_label_date(raw)
-    return table(spark, sf, "orders").select(
+    return spread_table(spark, sf, "orders").select(
         "o_orderkey", F.date_format(ts, "yyyy-MM-dd").alias("day"), dates.format_report_date(ts).alias("report_date"),
         dates.extract_supplement_id(raw).alias("supplement"),
     )
@@ -99,7 +99,7 @@ def parse_label_date_lenient(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.expr("""CASE o_orderkey % 3 WHEN 0 THEN date_format(o_orderdate, 'M/d/yy')
       WHEN 1 THEN date_format(o_orderdate, 'dd-MMM-yy') ELSE date_format(o_orderdate, 'MMMM dd, yyyy') END""")
     ts = dates.parse_label_date(raw, lenient=True)
-    return table(spark, sf, "orders").select("o_orderkey", F.date_format(ts, "yyyy-MM-dd HH:mm").alias("at"))
+    return spread_table(spark, sf, "orders").select("o_orderkey", F.date_format(ts, "yyyy-MM-dd HH:mm").alias("at"))
 
 
 @query("F11 F12", """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 7 THEN NULL WHEN 6 THEN strftime(o_orderdate, '%Y-%m-01') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day,
@@ -115,7 +115,7 @@ def parse_register_date(spark: SparkSession, sf: str) -> DataFrame:
     def day(ts):
         return F.date_format(ts, "yyyy-MM-dd")
 
-    return table(spark, sf, "orders").select(
+    return spread_table(spark, sf, "orders").select(
         "o_orderkey", day(dates.parse_register_date(raw)).alias("day"),
         day(dates.extract_amendment_date(amended)).alias("amended"),
         day(dates.extract_approval_date(approved)).alias("approved"),
@@ -165,7 +165,7 @@ def section_and_result_hash(spark: SparkSession, sf: str) -> DataFrame:
     """Hashes over whole document texts."""
     source = F.col("source")
     empty = F.lit("")
-    return table(spark, sf, "documents").select(
+    return spread_table(spark, sf, "documents").select(
         "doc_id",
         hashing.section_hash(F.concat(F.lit(" Drug "), source), F.upper("lang"), F.lit("05/06/2024"), F.col("text")).alias("section_hash"),
         hashing.sorted_json_hash({
@@ -198,7 +198,7 @@ SELECT doc_id, regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g
 def clean_general_text(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents with a section 17 behind them."""
     raw = F.expr(r"concat(text, '\n\n\n\t 17 ', source, '\nrest')")
-    return table(spark, sf, "documents").select("doc_id", sections.clean_general_text(raw).alias("cleaned"))
+    return spread_table(spark, sf, "documents").select("doc_id", sections.clean_general_text(raw).alias("cleaned"))
 
 
 @query("F22", r"""SELECT p_partkey, p_name || chr(10) || '• ' || p_type || chr(10) || 'more ' || chr(10) || p_brand AS cleaned FROM part""")
@@ -264,7 +264,7 @@ def intro_sentence(spark: SparkSession, sf: str) -> DataFrame:
 @query("P10", r"""SELECT doc_id, length(text) >= 5 AND (length(regexp_replace(text, '[^<]', '', 'g')) > length(regexp_replace(text, '[^ ]', '', 'g'))
  OR (length(regexp_replace(text, '[^\pL]', '', 'g')) > 0 AND length(regexp_replace(text, '[\pL\pN\s]', '', 'g')) > length(regexp_replace(text, '[^\pL]', '', 'g')))) AS corrupted FROM documents""")
 def corrupted_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.is_corrupted_text(F.col("text")).alias("corrupted"))
+    return spread_table(spark, sf, "documents").select("doc_id", text.is_corrupted_text(F.col("text")).alias("corrupted"))
 
 
 @query("P9", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'display_name is required and cannot be empty; ' ELSE '' END
@@ -277,7 +277,7 @@ def record_validation(spark: SparkSession, sf: str) -> DataFrame:
         {"updated_text": F.expr("CASE WHEN o_orderpriority = '1-URGENT' THEN '<a><b>' ELSE 'plain text' END")},
         {"source_date": raw_date}, {"source_date": dates.parse_label_date(raw_date)},
     )
-    return table(spark, sf, "orders").select(
+    return spread_table(spark, sf, "orders").select(
         "o_orderkey", F.concat_ws("", F.transform(errors, lambda e: F.concat(e, F.lit("; ")))).alias("errors"))
 
 
@@ -294,7 +294,7 @@ def validate_date_range(spark: SparkSession, sf: str) -> DataFrame:
     bounds = dates.validate_date_range(F.expr(_BOUNDS), F.expr(
         "CASE WHEN o_orderkey % 7 = 0 THEN date_format(o_orderdate + INTERVAL 40 DAY, 'dd-MM-yyyy')"
         " ELSE date_format(o_orderdate + INTERVAL 40 DAY, 'yyyy-MM-dd') END"))
-    return table(spark, sf, "orders").select("o_orderkey", bounds.alias("b")).select(
+    return spread_table(spark, sf, "orders").select("o_orderkey", bounds.alias("b")).select(
         "o_orderkey", F.date_format("b.start_ts", "yyyy-MM-dd").alias("start_day"),
         F.date_format("b.end_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("end_at"), "b.error",
     )
@@ -367,7 +367,7 @@ def client_labels(spark: SparkSession, sf: str) -> DataFrame:
       WHEN '3-MEDIUM' THEN 'UK_MHRA' WHEN '5-LOW' THEN 'FDA_MEDWATCH' WHEN '4-NOT SPECIFIED' THEN NULL END""")
     start = F.expr("CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + INTERVAL 17 YEAR END")
     cover = classify.coverage(start, start)
-    return table(spark, sf, "orders").select(
+    return spread_table(spark, sf, "orders").select(
         "o_orderkey", classify.website_name(source).alias("website"), cover["coverage"].alias("coverage"),
         cover["note"].isNotNull().alias("has_note"),
     )
@@ -376,4 +376,4 @@ def client_labels(spark: SparkSession, sf: str) -> DataFrame:
 @query("P21", """SELECT o_orderkey, o_orderpriority IN ('1-URGENT', '2-HIGH') AS kept FROM orders""")
 def source_filter(spark: SparkSession, sf: str) -> DataFrame:
     source = F.expr("CASE o_orderpriority WHEN '1-URGENT' THEN 'AUSTRALIA_TGA' WHEN '2-HIGH' THEN 'TGA' WHEN '3-MEDIUM' THEN 'UK_MHRA' END")
-    return table(spark, sf, "orders").select("o_orderkey", matching.source_has_tag(source, "AUSTRALIA_TGA").alias("kept"))
+    return spread_table(spark, sf, "orders").select("o_orderkey", matching.source_has_tag(source, "AUSTRALIA_TGA").alias("kept"))

@@ -33,6 +33,7 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "vigil
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", os.environ.get("VIGILAKE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in ADAPTIVE.items():
