@@ -58,6 +58,7 @@ def stream_changes(source: DataFrame, root: str, checkpoint: str, interval: str
     return writer.start()
 
 
+FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
 SCAN_SCHEMA = (
     "path STRING, filename STRING, mtime TIMESTAMP, size LONG, file_hash STRING, outcome STRING"
 )
@@ -93,7 +94,8 @@ def watch_folder(spark: SparkSession, folder: str, root: str, checkpoint: str, p
                  interval: str | None = None) -> StreamingQuery:
     """New and changed files of a folder, each processed once."""
     source = (
-        spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+        spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", "true").load(folder)
     )
     writer = source.writeStream.foreachBatch(folder_sink(root)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
