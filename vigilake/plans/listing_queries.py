@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilake.functions import listing as cells
 from vigilake.operators import dictionary, listing as ops, reports, search
+from vigilake.operators.skew import cut_lineage
 from vigilake.plans import listing_tables as t
 from vigilake.plans.registry import query, spread_table, table
 
@@ -195,12 +196,18 @@ def active_dataset(spark: SparkSession, sf: str) -> DataFrame:
 
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
     concerns = t.concerns(spark, sf)
+    # Events are a stored table: two searches read them.
     return search.run_searches(
-        t.case_records(spark, sf), t.case_events(spark, sf), t.case_products(spark, sf), t.smq_terms(spark, sf),
+        t.case_records(spark, sf), cut_lineage(t.case_events(spark, sf)), t.case_products(spark, sf), t.smq_terms(spark, sf),
         concerns, search.all_datasets(concerns, t.datasets(spark, sf)),
     )
 
 
+def _stored_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches as the stored table that reports read several times."""
+    return cut_lineage(_matches(spark, sf))
+
+
 def _term_matches(spark: SparkSession, sf: str) -> DataFrame:
     concerns = t.concerns(spark, sf)
     parsed = search.parse_search_config(concerns)
@@ -434,7 +441,7 @@ pt AS (
 
 @query("G4", f"{_PT_SQL} SELECT * FROM pt")
 def pt_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.pt_summary(_matches(spark, sf), t.assessments(spark, sf))
+    return reports.pt_summary(_stored_matches(spark, sf), t.assessments(spark, sf))
 
 
 @query("G3 F34", f"""{_PT_SQL}, m AS (
@@ -459,7 +466,7 @@ SELECT m.*, 'During the review period (' || coalesce(reporting_period, 'None') |
 FROM m JOIN concerns_t USING (concern_id) LEFT JOIN terms USING (concern_id, dataset_id)""")
 def concern_report(spark: SparkSession, sf: str) -> DataFrame:
     return reports.concern_report(
-        t.concerns(spark, sf), _matches(spark, sf), t.assessments(spark, sf), t.case_records(spark, sf)
+        t.concerns(spark, sf), _stored_matches(spark, sf), t.assessments(spark, sf), t.case_records(spark, sf)
     )
 
 
@@ -475,7 +482,7 @@ UNION ALL SELECT dataset_id, case_number, 'assessment', 0, concern_id || '|' ||
 @query("J18", _DETAIL_SQL)
 def case_detail(spark: SparkSession, sf: str) -> DataFrame:
     return reports.case_detail(
-        t.case_records(spark, sf), t.case_events(spark, sf), t.case_products(spark, sf), _matches(spark, sf),
+        t.case_records(spark, sf), t.case_events(spark, sf), t.case_products(spark, sf), _stored_matches(spark, sf),
         t.assessments(spark, sf),
     )
 
@@ -520,7 +527,7 @@ WHERE contains(lower(case_number), 'ring') OR contains(lower(country), 'ring') O
    OR EXISTS (SELECT 1 FROM matches_t m WHERE m.concern_id = x.concern_id AND m.case_number = x.case_number
               AND contains(lower(matched_term), 'ring'))""")
 def case_text_filter(spark: SparkSession, sf: str) -> DataFrame:
-    matches = _matches(spark, sf)
+    matches = _stored_matches(spark, sf)
     cases = reports.search_summary_cases(
         reports.matched_cases(matches, t.assessments(spark, sf)), t.case_records(spark, sf))
     return reports.case_text_filter(cases, matches, "Ring").select("concern_id", "dataset_id", "case_number", "outcome")

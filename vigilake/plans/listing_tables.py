@@ -94,9 +94,9 @@ TEMPLATES = (
     ("broad", "Broad group", "Important Identified Risks", "BROAD_SMQ", {"smq_name": "Brand#1 (SMQ)", "scope": "Broad"}),
     ("narrow", "Narrow group", "other potential risk", "NARROW_SMQ", {"smq_name": "Brand#2 (SMQ)"}),
     ("sub", "Sub-filtered group", "Important Potential Risks", "SMQ_SUBFILTER",
-     {"smq_name": "Brand#3 (SMQ)", "sub_filter_pts": ["old ring PROMO", " New Anvil small", "red bolt ECONOMY",
-                                                      "hot plate LARGE", "cold gear MEDIUM", "small rod STANDARD",
-                                                      "blue gizmo PROMO", "large widget SMALL"]}),
+     {"smq_name": "Brand#3 (SMQ)", "sub_filter_pts": [
+         f" {size} {thing} {kind}" for size in ("old", "New", "red", "hot", "cold", "small", "blue", "Large")
+         for thing in ("ring", "anvil", "bolt", "plate", "Gear", "rod", "gizmo", "widget") for kind in ("PROMO", "small")]}),
     ("soc", "Organ class", "Missing Information", "SOC", {"soc_name": "Economy", "include_event_level": True}),
     ("single", "Single term", "Important Identified Risks", "SINGLE_PT", {"pt": "Red Bolt Economy"}),
     ("many", "Listed terms", "identified, minor", "MULTIPLE_PTS", {"pts": ["Promo", "Hot Ring Small", "PROMO"]}),
