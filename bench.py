@@ -11,9 +11,9 @@ from vigilake.plans import QUERIES
 from vigilake.session import local_session
 
 HEADLINE = (
-    "parse_event_verbatim", "case_events", "smq_lookup", "section_16_1_table", "search_summary", "narrative_keyword",
-    "content_hash", "apply_changes", "latest_date_records", "search_drugs", "product_lookup_cascade",
-    "candidate_scoring", "process_blocks", "section_carry_forward", "boundary_extract", "html_elements",
+    "parse_event_verbatim", "case_events", "smq_lookup", "section_16_1_table", "narrative_keyword",
+    "content_hash", "latest_date_records", "search_drugs", "product_lookup_cascade",
+    "candidate_scoring", "process_blocks", "section_carry_forward", "html_elements",
     "parse_label_date", "latest_document",
 )
 

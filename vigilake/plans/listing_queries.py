@@ -482,7 +482,8 @@ UNION ALL SELECT dataset_id, case_number, 'assessment', 0, concern_id || '|' ||
 @query("J18", _DETAIL_SQL)
 def case_detail(spark: SparkSession, sf: str) -> DataFrame:
     return reports.case_detail(
-        t.case_records(spark, sf), t.case_events(spark, sf), t.case_products(spark, sf), _stored_matches(spark, sf),
+        cut_lineage(t.case_records(spark, sf)), t.case_events(spark, sf), t.case_products(spark, sf),
+        _stored_matches(spark, sf),
         t.assessments(spark, sf),
     )
 
