@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,9 +25,25 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in ADAPTIVE.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per context: functions that run
+    in Python workers are found by module name there."""
+    context = spark.sparkContext
+    if getattr(context, "vigilake_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "vigilake.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context.vigilake_shipped = True
+
+
 def local_session(cores: str | int = "*", partitions: int = 8, app: str = "vigilake") -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = (
