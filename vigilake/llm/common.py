@@ -61,3 +61,8 @@ def joined(spans: Column) -> Column:
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
     )
+
+
+def count_of(spans: str, kind: str) -> Column:
+    """Number of spans of one kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")

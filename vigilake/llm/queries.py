@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilake.llm import near_dup
+from vigilake.llm import near_dup, secrets
 from vigilake.plans.registry import table
 from vigilake.session import tune
 
@@ -33,3 +33,45 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def op10_minhash(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return near_dup.near_groups(table(spark, sf, "documents"))
+
+
+SECRETS_SQL = r"""
+WITH kinds(kind, place, pattern, grp, least) AS (VALUES
+  ('assign', 1, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1, 8),
+  ('access', 2, 'AKIA[A-Z0-9]+', 0, 16),
+  ('hex', 3, '[0-9a-f]+', 0, 32),
+  ('private_key', 4, '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----', 0, 1),
+  ('web_token', 5, 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}', 0, 1),
+  ('forge_token', 6, 'gh[pousr]_[A-Za-z0-9]{36,}', 0, 1)),
+cut AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (SELECT r, kind, place, least,
+    CASE kind WHEN 'assign' THEN regexp_split_to_array(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)')
+      WHEN 'access' THEN regexp_split_to_array(text, 'AKIA[A-Z0-9]+') WHEN 'hex' THEN regexp_split_to_array(text, '[0-9a-f]+')
+      WHEN 'private_key' THEN regexp_split_to_array(text, '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----')
+      WHEN 'web_token' THEN regexp_split_to_array(text, 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}')
+      ELSE regexp_split_to_array(text, 'gh[pousr]_[A-Za-z0-9]{36,}') END AS pieces,
+    CASE kind WHEN 'assign' THEN regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)')
+      WHEN 'access' THEN regexp_extract_all(text, 'AKIA[A-Z0-9]+') WHEN 'hex' THEN regexp_extract_all(text, '[0-9a-f]+')
+      WHEN 'private_key' THEN regexp_extract_all(text, '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----')
+      WHEN 'web_token' THEN regexp_extract_all(text, 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}')
+      ELSE regexp_extract_all(text, 'gh[pousr]_[A-Za-z0-9]{36,}') END AS found,
+    CASE kind WHEN 'assign' THEN regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) END AS groups
+  FROM cut, kinds),
+rows AS (SELECT r, kind, place, least, i, length(pieces[i]) AS gap, found[i] AS hit, coalesce(groups[i], found[i]) AS asked
+  FROM parts, unnest(range(1, len(found) + 1)) AS t(i)),
+placed AS (SELECT r, kind, place, hit, length(asked) >= least AS good,
+    sum(gap + length(hit)) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM rows),
+spans AS (SELECT r, kind, place, e - length(hit) AS s, e FROM placed WHERE good),
+told AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, place) FILTER (place <= 3) AS base,
+    string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, place) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM cut LEFT JOIN told USING (r)
+"""
+
+
+@query(SECRETS_SQL)
+def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets of all documents: counts, digest and spans."""
+    return secrets.digest(secrets.scan(table(spark, sf, "documents")))
