@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilake.llm import near_dup, secrets
+from vigilake.llm import near_dup, pii, secrets
 from vigilake.plans.registry import table
 from vigilake.session import tune
 
@@ -75,3 +75,9 @@ FROM cut LEFT JOIN told USING (r)
 def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets of all documents: counts, digest and spans."""
     return secrets.digest(secrets.scan(table(spark, sf, "documents")))
+
+
+@query()
+def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data of all documents: counts, digest and spans."""
+    return pii.digest(pii.detect(table(spark, sf, "documents")))
