@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilake.llm import near_dup, pii, secrets
+from vigilake.llm import decontaminate, langid, near_dup, pii, secrets, vectors
 from vigilake.plans.registry import table
 from vigilake.session import tune
 
@@ -81,3 +81,22 @@ def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
 def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
     """Personal data of all documents: counts, digest and spans."""
     return pii.digest(pii.detect(table(spark, sf, "documents")))
+
+
+@query()
+def op6_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings."""
+    return vectors.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query()
+def op8_language(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of all documents."""
+    docs = table(spark, sf, "documents")
+    return langid.predicted(docs, langid.train(docs)).withColumn("held_out", langid.held_out())
+
+
+@query()
+def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlaps of all documents with the benchmark."""
+    return decontaminate.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
