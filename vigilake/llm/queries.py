@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilake.llm import decontaminate, langid, near_dup, pii, secrets, vectors
+from vigilake.llm import decontaminate, langid, mixing, near_dup, pii, secrets, vectors
 from vigilake.plans.registry import table
 from vigilake.session import tune
 
@@ -100,3 +100,9 @@ def op8_language(spark: SparkSession, sf: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Overlaps of all documents with the benchmark."""
     return decontaminate.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """What a mix of all documents to target weights takes of each."""
+    return mixing.taken(table(spark, sf, "documents")).drop("source")
