@@ -106,6 +106,34 @@ def _slices(items: DataFrame) -> Iterator[Benchmark]:
         yield Benchmark(ids, texts)
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that overlap with no item, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def without(part: Benchmark) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = sent.value
+            for batch in batches:
+                texts, keep = batch.column(at).to_pylist(), []
+                for cut in chunks(texts):
+                    words, counts = word_hashes(texts[cut])
+                    ends = np.cumsum(counts)
+                    keep += [next(known.overlaps(words[e - n:e]), None) is None for e, n in zip(ends, counts, strict=True)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    for part in _slices(_items(benchmark, item_col, item_text)):
+        docs = without(part)
+    return docs
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of ``docs`` and benchmark item that overlap: id, item,
     the stretch of words (begin, end) in the document, begin in the item, equal
@@ -116,7 +144,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     texts match nothing. Repeated rows give repeated results, NULL ids rows with
     NULL ids. Other columns are not read, whatever their names.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    items = _items(benchmark, item_col, item_text)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, item long, begin long, end long, item_begin long, equal long, share double, covered double"
 

@@ -147,12 +147,24 @@ def _loaded(stored: bytes) -> Model:
     return pickle.loads(stored)
 
 
+def _judged(known: Model, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+    """Language, score and whether it is rejected, of each text."""
+    out = []
+    for part in chunks(texts):
+        for t in texts[part]:
+            letters = bool(t) and any(map(str.isalpha, t))
+            lang, score = known.predict(t) if letters and known.languages else ("und", 0.0)
+            out.append((lang, score, not letters or bool(known.languages) and score < known.threshold))
+    return out
+
+
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, lang_pred, score, rejected.
 
-    NULL texts and texts without a letter get ``und``, score 0, rejected; so
-    does every text if no language was learned. NULL ids, repeated rows and
-    empty tables need no care. Only the two named columns are read.
+    NULL texts and texts without a letter get ``und``, score 0, and are
+    rejected; if no language was learned, others get ``und`` and are not. NULL
+    ids, repeated rows and empty tables need no care. Only the two named columns
+    are read.
     """
     stored = pickle.dumps(model)
     kind = docs.schema[id_col].dataType
@@ -160,14 +172,22 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _loaded(stored)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out: list[tuple[str, float]] = []
-            for part in chunks(texts):
-                out += [known.predict(t) if t and known.languages and any(map(str.isalpha, t)) else ("und", 0.0) for t in texts[part]]
+            out = _judged(known, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()),
-                pa.array([o[0] == "und" or o[1] < known.threshold for o in out], pa.bool_()),
+                batch.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.bool_()),
             ], names=["id", "lang_pred", "score", "rejected"])
 
     pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return pairs.mapInArrow(run, f"id {kind.simpleString()}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns."""
+    stored, at = pickle.dumps(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _loaded(stored)
+        for batch in batches:
+            yield batch.filter(pa.array([not o[2] for o in _judged(known, batch.column(at).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

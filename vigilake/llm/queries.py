@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilake.llm import decontaminate, langid, mixing, near_dup, pii, secrets, vectors
+from vigilake.llm import decontaminate, langid, mixing, near_dup, pii, quotes, revisits, secrets, url_filter, vectors
 from vigilake.plans.registry import table
 from vigilake.session import tune
 
@@ -106,3 +106,60 @@ def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """What a mix of all documents to target weights takes of each."""
     return mixing.taken(table(spark, sf, "documents")).drop("source")
+
+
+URL_SQL = """
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parsed AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+ruled AS (SELECT *, '.' || host AS h, CASE
+  WHEN '.' || host LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1'
+  WHEN '.' || host LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
+  WHEN '.' || host LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
+  WHEN '.' || host LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/'
+  WHEN '.' || host LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule FROM parsed)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN regexp_matches(host, 'casino|adult|pills|spam|ads-track') OR regexp_matches(path, '\\.(exe|zip|iso)$') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled"""
+
+
+@query(URL_SQL)
+def op5_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """A verdict on the URL of every page."""
+    return url_filter.judge(table(spark, sf, "pages")).drop("glob")
+
+
+REVISIT_SQL = r"""
+WITH seen AS (SELECT page_id, url, page_id * 977 % 2000000 AS t, page_id * 977 % 2000000 + 3600 * (page_id % 72 + 1) AS l, '"' || md5(html) || '"' AS tag,
+    strlen(html) AS size, regexp_replace(url, '#.*$', '') AS bare FROM pages),
+parts AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^www\.', ''), ':(?:80|443)$', '') AS host,
+    regexp_replace(regexp_extract(bare, '^[^?]*?://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_'))), '&') AS query FROM seen),
+c AS (SELECT *, CASE WHEN contains(url, '://') THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS curl,
+    strftime(make_timestamp((t - t % 86400) * 1000000), '%a, %d %b %Y %H:%M:%S GMT') AS modified FROM parts),
+revisits AS (SELECT page_id * 2 + 1 AS record_id, curl AS url, l AS time, modified,
+    CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 7 = 0 THEN '"other"' ELSE 'W/' || tag END AS etag FROM c),
+met AS (SELECT r.record_id, max_by(struct_pack(i := f.page_id * 2, t := f.t, tag := f.tag, modified := f.modified, size := f.size), f.t * 10000000000 + f.page_id) AS f
+  FROM revisits r JOIN c f ON f.curl = r.url AND f.t < r.time GROUP BY r.record_id),
+told AS (SELECT r.*, m.f, CASE WHEN m.f IS NULL THEN 'missing' WHEN coalesce(regexp_replace(r.etag, '^W/', '') = m.f.tag, r.modified = m.f.modified) THEN 'resolved' ELSE 'changed' END AS status
+  FROM revisits r LEFT JOIN met m USING (record_id))
+SELECT record_id, url, time, status, f.i AS response_id, f.t AS response_time,
+  CASE WHEN status = 'resolved' THEN 'content-length: ' || f.size || chr(10) || 'content-type: text/html' ELSE 'content-length: 0' END || chr(10) ||
+  'date: ' || strftime(make_timestamp(time * 1000000), '%a, %d %b %Y %H:%M:%S GMT') ||
+  CASE WHEN etag IS NOT NULL THEN chr(10) || 'etag: ' || etag WHEN status = 'resolved' THEN chr(10) || 'etag: ' || f.tag ELSE '' END ||
+  chr(10) || 'last-modified: ' || modified AS headers
+FROM told"""
+
+
+@query(REVISIT_SQL)
+def op7_revisits(spark: SparkSession, sf: str) -> DataFrame:
+    """All revisits of an archive told from the pages, resolved."""
+    found = revisits.resolve(revisits.captures(table(spark, sf, "pages").select("page_id", "url", "html")))
+    return found.withColumn("headers", revisits.rendered(F.col("headers")))
+
+
+@query()
+def op4_chat(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations, sent as mails with quotes, linked and cleaned."""
+    return quotes.conversations(quotes.as_mails(table(spark, sf, "conversations")))

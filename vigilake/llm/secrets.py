@@ -98,15 +98,15 @@ def _in_order(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id and ``found``, the array of (kind, start,
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id (with ``whole``, the whole row) and ``found``, the array of (kind, start,
     end) of all secrets by start, then by the order of the rules.
 
     NULL and empty texts hold nothing. Rows without an id are scanned with every
     rule, since no posting can name them; repeated rows get equal results. Other
     columns are not read, whatever their names.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([F.struct("*").alias("row")] if whole else []))
     asked = [r for r in rules if all(trigram_query(r))]
     grams = sorted({g for r in asked for q in trigram_query(r) for g in q})
     marked = staged(candidates(postings(texts, grams), tuple(asked)), "candidates")
@@ -117,7 +117,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
         # A cheap test first: most texts that are scanned in full hold nothing.
         check = F.array_contains("kinds", rule.kind) if rule in asked else F.col("text").rlike(rule.pattern)
         parts.append(F.when(check, _found(rule, F.col("text"))).otherwise(none))
-    return rows.select(F.col("id").alias(id_col), _in_order(reduce(F.concat, parts), rules).alias("found"))
+    return rows.select(F.col("row") if whole else F.col("id").alias(id_col), _in_order(reduce(F.concat, parts), rules).alias("found"))
 
 
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id") -> DataFrame:
@@ -131,21 +131,18 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
     )
 
 
-def redacted(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``[kind]`` in place of each secret; overlapping secrets are
-    cut out together under the kind of the first. Texts without any stay."""
-    spans = found.select(F.col(id_col).alias("_secret_id"), "found").where(F.size("found") > 0).dropDuplicates(["_secret_id"])
-    text, start = F.col(text_col), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``[kind]`` in place of each secret, all columns kept;
+    overlapping secrets are cut out together under the kind of the first."""
+    rows = scan(docs, rules, id_col, text_col, whole=True)
+    text = F.col(f"row.{text_col}")
 
     def step(state: Column, s: Column) -> Column:
-        inside = s["start"] < state["at"]
         gap = F.substr(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
         return F.struct(
             F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(inside, state["out"]).otherwise(F.concat(state["out"], gap, F.lit("["), s["kind"], F.lit("]"))).alias("out"),
+            F.when(s["start"] < state["at"], state["out"]).otherwise(F.concat(state["out"], gap, F.lit("["), s["kind"], F.lit("]"))).alias("out"),
         )
 
-    clean = F.aggregate("found", start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
-    kept = [c for c in docs.columns]
-    rows = docs.join(spans, docs[id_col] == spans["_secret_id"], "left")
-    return rows.select(*[F.when(F.col("found").isNotNull(), clean).otherwise(text).alias(c) if c == text_col else docs[c] for c in kept])
+    cut = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
+    return rows.select(*[F.when(F.size("found") > 0, cut).otherwise(text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
