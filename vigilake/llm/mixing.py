@@ -69,9 +69,12 @@ def plan(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """One row per slot: src, slot, shard, block and the words it takes."""
     shards = sources.agg(F.greatest(F.ceil(F.sum("slots") / F.lit(shard_slots)), F.lit(1)).cast("long").alias("shards")).scalar()
+    # Few rows become many: the number of partitions is given, as Spark would
+    # size them by the rows before, and the join below is told not to broadcast.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunked = (
         sources.where("slots > 0").select("src", "blocks", "passes", "part", "short", "short_at", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1L) div {CHUNK})")).alias("chunk"))
-        .repartition("src", "chunk")
+        .repartition(tasks, "src", "chunk")
     )
     upto = f"least(slots, (chunk + 1L) * {CHUNK}) - 1L"
     every = chunked.select("src", "blocks", "passes", "part", "short", "short_at", F.explode(F.expr(f"sequence(chunk * {CHUNK}, {upto})")).alias("slot"))
@@ -138,7 +141,7 @@ def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = staged(_sized(docs, id_col, text_col, source_col).drop("text"), "sizes")
     sources = staged(plan(rows, block_words), "sources")
     where = staged(placed(rows, sources), "placed")
-    met = slots(sources, block_words).join(pieces(where, block_words), ["src", "block"])
+    met = slots(sources, block_words).hint("merge").join(pieces(where, block_words), ["src", "block"])
     words = F.least("hi", "take") - F.col("lo")
     counted = met.where(words > 0).groupBy("src", "offset").agg(F.sum(words).alias("taken"))
     some = F.when(F.col("size") > 0, F.col("offset"))  # empty documents share an offset with the next
@@ -157,7 +160,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     sized = _sized(docs, id_col, text_col, source_col)
     sources = staged(plan(sized.select("source", "size"), block_words), "sources")
     parts = pieces(placed(sized, sources, "text"), block_words, texts=True)
-    met = slots(sources, block_words).join(parts, ["src", "block"]).withColumn("n_words", F.least("hi", "take") - F.col("lo")).where("n_words > 0")
+    met = slots(sources, block_words).hint("merge").join(parts, ["src", "block"]).withColumn("n_words", F.least("hi", "take") - F.col("lo")).where("n_words > 0")
     return met.join(sources.select("src", "source"), "src").select(
         "shard", F.xxhash64(F.lit(SEED + 4), "src", "slot").alias("turn"), F.col("source").alias(source_col), "slot", "block", "lo", F.col("id").alias(id_col),
         "first", "n_words", F.array_join(F.slice("words", F.lit(1), F.col("n_words").cast("int")), " ").alias(text_col),
