@@ -6,11 +6,10 @@ coordinates of the signature as minima. Coordinates are banded. Documents with
 equal shingle sets form a class of which one stands for all. A class is first
 compared with one hub of its bands' buckets, and links join it to a component.
 Only buckets that still hold several components are looked at again, with other
-hubs and in the end pair by pair across components. Of those pairs only such
-are compared that can still link: by the number of shingles each shares with
-anyone (exact), and by one-bit coordinates of a longer signature, which a pair
-of similarity 0.75 fails with a chance of 1e-6. Every link is confirmed on the
-full shingle sets.
+hubs and in the end as a whole: the sets of an open bucket, or of two parts of a
+large one, meet in a task that counts their intersections as a matrix product
+and returns links between components only, never the pairs. Every link is
+confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -30,9 +29,7 @@ CIRCLE = 1 << 20  # places of the circle
 BANDS, ROWS = 32, 4  # a pair of similarity 0.75 shares no band with a chance of 5e-6
 SHINGLE, SIMILAR = 5, 75  # words; percent
 HUB_ROUNDS = 2
-CODE_BITS = 2048
-# Bits that differ at similarity 0.75: an eighth on average; 4.75 deviations more.
-CODE_LIMIT = CODE_BITS // 8 + int(4.75 * (CODE_BITS * 7 / 64) ** 0.5)
+PART = 200_000  # shingles of a part of an open bucket, about
 
 
 @lru_cache(maxsize=2)
@@ -88,11 +85,64 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Units (key, x, y) of sorted rows with their ids, labels and sets."""
+    unit, ids, labels, sets = None, [], [], []
     for batch in batches:
-        sets = [np.asarray(s, dtype=np.int64).view(np.uint64) for s in batch.column(1).to_pylist()]
-        codes = [np.packbits((signature(s, CODE_BITS) & 1).astype(np.uint8)).view(np.int64) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["id", "code"])
+        column = batch.column(5)
+        values, cut = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        for i, (key, doc, label) in enumerate(zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            if key != unit:
+                if len(ids) > 1:
+                    yield unit, np.array(ids), np.array(labels), sets
+                unit, ids, labels, sets = key, [], [], []
+            ids.append(doc)
+            labels.append(label)
+            sets.append(values[cut[i]:cut[i + 1]].copy())
+    if len(ids) > 1:
+        yield unit, np.array(ids), np.array(labels), sets
+
+
+def crossing(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join all components which similar sets of the rows join."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[token] > 1
+    owner, token = owner[shared], (np.cumsum(times > 1) - 1)[token[shared]]
+    by = np.argsort(token, kind="stable")
+    owner, token = owner[by], token[by]
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for at in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+        lo, hi = np.searchsorted(token, (at, at + 4096))
+        grid = np.zeros((len(sets), 4096), dtype=np.float32)
+        grid[owner[lo:hi], token[lo:hi] - at] = 1
+        both += grid @ grid.T
+    either = size[:, None] + size[None, :] - both
+    x, y = np.nonzero((100 * both >= SIMILAR * either) & (labels[:, None] < labels[None, :]))
+    root = {int(label): int(label) for label in labels}
+
+    def top(label: int) -> int:
+        while root[label] != label:
+            root[label] = root[root[label]]
+            label = root[label]
+        return label
+
+    links = []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        p, q = top(int(labels[i])), top(int(labels[j]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            links.append((int(ids[i]), int(ids[j])))
+    return links
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, ids, labels, sets in _sets_of(batches):
+        if links := crossing(ids, labels, sets):
+            a, b = zip(*links, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -152,55 +202,36 @@ def _labels(texts: DataFrame, classes: DataFrame) -> DataFrame:
         texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets"
     )
     labels = None  # (node, label); a node without a row is alone
-    tested = None
     for turn in range(HUB_ROUNDS + 1):
         now = members.withColumn("label", F.col("id"))
         if labels is not None:
             now = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         hub = F.min_by(F.struct("id", "n", "label"), F.struct(F.xxhash64(F.col("id"), F.lit(turn)), "id"))
         open_keys = now.groupBy("key").agg(hub.alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        if turn < HUB_ROUNDS:
-            # One hub per document and round: the one it shares most buckets with.
-            meets = (
-                now.join(open_keys.select("key", "hub"), "key").where((F.col("label") != F.col("hub.label")) & _close("n", "hub.n"))
-                .groupBy("id", F.col("hub.id").alias("hub")).agg(F.count(F.lit(1)).alias("times"))
-                .groupBy("id").agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("hub"))
-            )
-            pairs = meets.select(*_pair("id", "hub")).distinct()
-        else:
-            pairs = _open_pairs(staged(now.join(open_keys.select("key"), "key"), "open"), sets, classes)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = _verified(pairs, sets)
-        labels = _merged(labels, links)
-    return labels
-
-
-def _open_pairs(some: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that share a bucket across components and can still be links."""
-    ids = some.select("id").distinct()
-    mine = sets.join(ids, "id", "left_semi")
-    # A shingle that one document alone holds is in no intersection.
-    alone = (
-        mine.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("id"))
-        .where("many = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    )
-    codes = mine.mapInArrow(_codes, "id long, code array<long>")
-    facts = staged(
-        codes.join(classes.select(F.col("rep").alias("id"), "n", "bands"), "id").join(alone, "id", "left")
-        .select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"), "bands", "code"), "facts"
-    )
-    rows = some.select("id", "key", "label").join(facts, "id")
-    x, y = rows.alias("x"), rows.alias("y")
-    first = F.coalesce(*[F.when(F.col("x.bands")[i] == F.col("y.bands")[i], F.col("x.bands")[i]) for i in range(BANDS)])
-    differ = sum((F.bit_count(F.col("x.code")[i].bitwiseXOR(F.col("y.code")[i])) for i in range(CODE_BITS // 64)), F.lit(0))
-    most = F.least("x.shared", "y.shared")
-    can = (F.lit(100) * most >= F.lit(SIMILAR) * (F.col("x.n") + F.col("y.n") - most)) & (differ <= CODE_LIMIT)
-    # Each pair is named once: by its first common bucket, smaller label first.
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & can & (first == F.col("x.key"))
-    return x.join(y, on).select(*_pair("x.id", "y.id")).distinct()
+        if turn == HUB_ROUNDS:
+            return _merged(labels, _open_links(staged(now.join(open_keys.select("key"), "key"), "open"), sets))
+        # One hub per document and round: the one it shares most buckets with.
+        meets = (
+            now.join(open_keys.select("key", "hub"), "key").where((F.col("label") != F.col("hub.label")) & _close("n", "hub.n"))
+            .groupBy("id", F.col("hub.id").alias("hub")).agg(F.count(F.lit(1)).alias("times"))
+            .groupBy("id").agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("hub"))
+        )
+        pairs = staged(meets.select(*_pair("id", "hub")).distinct(), "pairs")
+        labels = _merged(labels, _verified(pairs, sets))
+
+
+def _open_links(some: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components that an open bucket still holds. A large
+    bucket is cut into parts of bounded size, and every two of them meet."""
+    spark = some.sparkSession
+    parts = some.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(PART)).cast("int").alias("parts"))
+    dealt = some.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
+    other = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: (o != F.col("part")) | (F.col("parts") == 1))
+    meet = F.transform(other, lambda o: F.struct(F.least(o, F.col("part")).alias("x"), F.greatest(o, F.col("part")).alias("y")))
+    units = dealt.select("id", "key", "label", F.explode(meet).alias("m")).select("key", "m.x", "m.y", "id", "label")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = units.join(sets, "id").select("key", "x", "y", "id", "label", "shingles")
+    return rows.repartition(tasks, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_crossing, "a long, b long").distinct()
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
