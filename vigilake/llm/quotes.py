@@ -97,13 +97,17 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
 def _roots(replies: DataFrame) -> DataFrame:
     """(conv, turn, root) by doubling pointers: replies name earlier turns, so
     the number of rounds is the logarithm of the longest chain."""
-    now = staged(replies.select("conv", "turn", F.col("to").alias("root"), F.lit(True).alias("moved")), "roots")
+    moving, done = staged(replies.select("conv", "turn", F.col("to").alias("root")), "roots"), None
     while True:
-        ahead = now.select("conv", F.col("turn").alias("root"), F.col("root").alias("further"))
-        now = staged(
-            now.join(ahead, ["conv", "root"], "left").select("conv", "turn", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
-        if now.where("moved").isEmpty():
-            return now.drop("moved")
+        every = moving if done is None else moving.union(done)
+        ahead = every.select("conv", F.col("turn").alias("root"), F.col("root").alias("further"))
+        step = staged(
+            moving.join(ahead, ["conv", "root"], "left").select("conv", "turn", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        # Rows at the start of their chain are left alone from here on.
+        still, moving = step.where("not moved").drop("moved"), step.where("moved").drop("moved")
+        done = still if done is None else done.union(still)
+        if moving.isEmpty():
+            return done
 
 
 def as_mails(chats: DataFrame) -> DataFrame:
