@@ -138,7 +138,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         F.col("id").isNotNull() & ~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     shares = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
     draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = labelled.join(shares, "lang").where(draw < F.col("share")).select("text", "lang").collect()
+    # One short map, one entry per language; the texts need no shuffle.
+    known = shares.agg(F.map_from_entries(F.collect_list(F.struct("lang", "share"))).alias("shares")).scalar()
+    rows = labelled.where(draw < F.element_at(known, F.col("lang"))).select("text", "lang").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
 
 
