@@ -66,9 +66,9 @@ def trigram_query(rule: Rule) -> list[frozenset[str]]:
 def postings(texts: DataFrame, grams: list[str]) -> DataFrame:
     """The index: one row (gram, id) for every trigram of the vocabulary that
     the case-folded text of a row holds."""
-    low = F.lower("text")
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams])) if grams else F.array().cast("array<string>")
-    return texts.where("text <> ''").select("id", F.explode(found).alias("gram")).distinct()
+    folded = texts.where("text <> ''").select("id", F.lower("text").alias("low"))
+    found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams])) if grams else F.array().cast("array<string>")
+    return folded.select("id", F.explode(found).alias("gram")).distinct()
 
 
 def candidates(posted: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
