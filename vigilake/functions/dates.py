@@ -19,7 +19,7 @@ DATE_IN_TEXT = (
 # Date formats in the order in which they are tried.
 NUMERIC_FORMATS = (
     "M/d/yyyy", "M-d-yyyy", "yyyy-M-d", "d/M/yyyy",
-    "d-MMM-yyyy", "d-MMMM-yyyy", "MMM-d-yyyy", "MMMM-d-yyyy",
+    "d-MMM-yyyy", "d-MMMM-yyyy", "d-MMM-yy", "MMM-d-yyyy", "MMMM-d-yyyy", "M/d/yy", "M-d-yy",
 )
 TEXTUAL_FORMATS = (
     "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy",
@@ -47,7 +47,7 @@ def _shape(fmt: str) -> str:
     """Regular expression of the strings a format can read."""
     parts = (
         ("'T'", "T"), ("MMMM", "[A-Za-z]+"), ("MMM", "[A-Za-z]{3}"), ("HHmmss", r"\d{6}"), ("yyyyMMdd", r"\d{8}"),
-        ("yyyy", r"\d{4}"), ("M", r"\d{1,2}"), ("d", r"\d{1,2}"),
+        ("yyyy", r"\d{4}"), ("yy", r"\d{2}"), ("M", r"\d{1,2}"), ("d", r"\d{1,2}"),
     )
     out, at = "", 0
     while at < len(fmt):
@@ -65,6 +65,10 @@ def _try(c: Column, formats: tuple[str, ...]) -> Column:
         if "MMM" in fmt:
             spelled = F.replace(F.initcap(F.replace(c, F.lit("-"), F.lit(" - "))), F.lit(" - "), F.lit("-"))
         parsed = F.try_to_timestamp(spelled, F.lit(fmt)).cast("timestamp_ntz")
+        if not fmt.endswith("yyyy") and fmt.endswith("yy"):
+            # A year of two digits is at most 49 years ahead.
+            far = F.year(parsed) >= F.year(F.current_date()) + 50
+            parsed = F.when(far, parsed - F.expr("INTERVAL '100' YEAR")).otherwise(parsed)
         return F.when(F.rlike(c, F.lit(_shape(fmt))), parsed)
 
     return F.coalesce(*(attempt(f) for f in formats))
@@ -89,7 +93,7 @@ def parse_label_date(c: Column, lenient: bool = False) -> Column:
     """A date found anywhere in ``c``; supplement notes are dropped.
 
     Month comes before day where both readings are possible. With ``lenient``
-    whatever is left over (two-digit years, times of day) goes through an
+    whatever is left over (times of day, odd spellings) goes through an
     Arrow UDF; without it those read as NULL and the plan stays free of
     Python.
     """

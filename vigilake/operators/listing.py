@@ -182,7 +182,7 @@ def dataset_identity(file_name: Column, content: Column, product: Column, today:
         hit = file_name.contains(stamp) | F.lower(name).contains(word)
         period = F.when(hit, known).otherwise(period)
         lock = F.when(hit, known_lock).otherwise(lock)
-    dataset_id = F.concat(F.lit("ds_"), F.lower(name), F.lit("_"), F.substring(file_hash, 1, 8))
+    dataset_id = F.concat(F.lit("ds_"), F.lower(name), F.lit("_"), file_hash)
     return F.struct(
         dataset_id.alias("dataset_id"), file_hash.alias("file_hash"), name.alias("product_name"),
         period.alias("reporting_period"), lock.alias("data_lock_point"),

@@ -233,7 +233,7 @@ def score_candidates(pairs: DataFrame) -> DataFrame:
     ).drop("_dated", "_any")
 
 
-def rank_candidates(candidates: DataFrame, query: str, top: int = 3) -> DataFrame:
+def rank_candidates(candidates: DataFrame, query: str, top: int | None = None) -> DataFrame:
     """One candidate per application, best first; the top few are read."""
     q = F.lit(query.strip().lower())
     ingredient, name = F.lower(strip(text(F.col("active_ingredient")))), F.lower(strip(text(F.col("drug_name"))))
@@ -243,14 +243,19 @@ def rank_candidates(candidates: DataFrame, query: str, top: int = 3) -> DataFram
     )
     app = F.coalesce(F.nullif("application_number", F.lit("")), F.col("drug_name"))
     unique = pick(candidates.withColumn("_app", app).withColumn("_rank", rank), ["_app"], F.col("_rank"), largest=False)
-    return unique.orderBy("_rank").limit(top).drop("_rank", "_app")
+    return _first(unique.orderBy("_rank"), top).drop("_rank", "_app")
 
 
-def rank_site_results(results: DataFrame, query: str, top: int = 5) -> DataFrame:
-    """Title hits first, then the newest; only the first is read in full."""
+def _first(ranked: DataFrame, top: int | None) -> DataFrame:
+    """All rows, or the first ones if the caller asks for so many."""
+    return ranked if top is None else ranked.limit(top)
+
+
+def rank_site_results(results: DataFrame, query: str, top: int | None = None) -> DataFrame:
+    """Title hits first, then the newest."""
     order = [F.desc("_hit"), F.desc_nulls_last("source_date"), F.asc("ordinal")]
     hit = F.lower("title").contains(query.lower()).cast("int")
-    return results.withColumn("_hit", hit).orderBy(*order).limit(top).drop("_hit")
+    return _first(results.withColumn("_hit", hit).orderBy(*order), top).drop("_hit")
 
 
 def first_drug_with_changes(ranked: DataFrame, changes: DataFrame) -> DataFrame:

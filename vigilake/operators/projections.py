@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilake.functions.classify import section_of_type
-from vigilake.functions.hashing import record_id, short_md5
+from vigilake.functions.hashing import record_id
 from vigilake.functions.sections import section_kind
 from vigilake.functions.text import normalize_drug_name, record, strip, text
 
@@ -72,19 +72,19 @@ def newsletter_changes(mentions: DataFrame, articles: DataFrame, index_url: str)
     year, newsletter_type, product_name, generic_name, full_text, pdf_text.
     """
     caught = articles.where(text(F.col("product_name")) != "").join(mentions.select("page_id").distinct(), "page_id", "left_anti").select(
-        "page_id", "product_name", "generic_name", F.substring("full_text", 1, 2000).alias("context_text"))
+        "page_id", "product_name", "generic_name", F.col("full_text").alias("context_text"))
     all_mentions = mentions.select("page_id", "product_name", "generic_name", "context_text").unionByName(caught)
     info = articles.drop("product_name", "generic_name", "full_text")
     d = all_mentions.join(info, "page_id")
     with_pdf = F.when(
         _named(F.col("pdf_text")).isNotNull(),
-        F.concat(F.col("context_text"), F.lit("\n\n[PDF content]\n"), F.substring("pdf_text", 1, 3000))).otherwise(F.col("context_text"))
+        F.concat(F.col("context_text"), F.lit("\n\n[PDF content]\n"), F.col("pdf_text"))).otherwise(F.col("context_text"))
     name = F.coalesce(_named(F.col("product_name")), F.col("generic_name"))
     row = change_row(
         section=section_of_type(F.col("article_type")), change_type=F.col("article_type"),
         source_date=F.date_format("publication_date", "yyyy-MM-dd"),
         source_record_id=record_id(F.col("article_url"), normalize_drug_name(name)), source_url=index_url,
-        original_text=_named(F.substring("context_text", 1, 4000)), updated_text=_named(F.substring(with_pdf, 1, 4000)),
+        original_text=_named(F.col("context_text")), updated_text=_named(with_pdf),
         fda_comment=F.concat(F.lit("Health Canada "), F.col("newsletter_type"), F.lit(" — "), F.col("month"), F.lit(" "), F.col("year").cast("string")))
     return d.where(text(name) != "").select(
         "page_id", name.alias("display_name"), normalize_drug_name(name).alias("normalized_name"),
@@ -99,7 +99,7 @@ def tga_changes(documents: DataFrame) -> DataFrame:
     documents: product_name, pdf_url, doc_date, rev_date, title_46, text_46,
     pages_46, title_48, text_48, pages_48, tables (caption, page, markdown).
     """
-    embedded = F.exists("tables", lambda t: (text(t["markdown"]) != "") & F.contains(F.col("text_48"), F.substring(t["markdown"], 1, 60)))
+    embedded = F.exists("tables", lambda t: (text(t["markdown"]) != "") & F.contains(F.col("text_48"), t["markdown"]))
     listed = F.array_join(F.transform("tables", lambda t: F.concat(
         F.lit("### "), t["caption"], F.lit(" (Page "), t["page"].cast("string"), F.lit(")\n"), t["markdown"])), "\n\n")
     summary = F.when((F.size("tables") > 0) & ~embedded, F.concat(F.lit("\n\n"), listed)).otherwise("")
@@ -113,7 +113,7 @@ def tga_changes(documents: DataFrame) -> DataFrame:
         return change_row(
             section=canonical, change_type=f"Product Information - Section {number}",
             source_date=F.coalesce(_named(F.col("rev_date")), F.col("doc_date")),
-            source_record_id=F.concat(F.lit(f"TGA-PI-{number}-"), F.upper(F.substring(digest, 1, 10))),
+            source_record_id=F.concat(F.lit(f"TGA-PI-{number}-"), F.upper(digest)),
             source_url=F.col("pdf_url"), original_text=F.col(body),
             updated_text=F.concat(F.col(f"title_{n}"), F.lit("\nPages: "), pages, F.lit("\nDocument Date: "), day, F.lit("\n\n"), F.col(body)),
             fda_comment=F.concat(F.lit(f"Australian TGA Product Information Section {number} (Pages: "), pages, note, F.col("pdf_url")))
@@ -134,7 +134,7 @@ def tga_metadata_rows(results: DataFrame, query: Column, now: Column) -> DataFra
     row = change_row(
         section="Product Information (PI)", change_type="TGA Registered Medicine",
         source_date=F.date_format(F.coalesce("source_date", now), "yyyy-MM-dd'T'HH:mm:ss"),
-        source_record_id=F.concat(F.lit("TGA-"), F.upper(F.substring(F.sha2("url", 256), 1, 12))), source_url=F.col("url"),
+        source_record_id=F.concat(F.lit("TGA-"), F.upper(F.sha2("url", 256))), source_url=F.col("url"),
         original_text=F.col("title"), updated_text=strip(F.concat_ws("\n\n", "title", "snippet")),
         fda_comment=F.concat(F.lit("Sourced from Australian TGA eBS: "), F.col("url")))
     return results.select(
@@ -197,11 +197,11 @@ def medwatch_changes(articles: DataFrame, recalls: DataFrame) -> DataFrame:
     )
     article = change_row(
         section="MedWatch Safety Communication",
-        change_type=F.concat(F.lit("FDA MedWatch Alert: "), F.substring("title", 1, 60)),
+        change_type=F.concat(F.lit("FDA MedWatch Alert: "), F.col("title")),
         source_date=F.coalesce(_named(F.col("publication_date")), F.lit(UNDATED)),
         updated_text=F.coalesce(_named(F.col("summary")), F.col("title")), source_url=F.col("url"),
         fda_comment="Official FDA MedWatch Safety Communication.",
-        source_record_id=F.concat(F.lit("MW-ART-"), short_md5(F.col("url"))))
+        source_record_id=F.concat(F.lit("MW-ART-"), F.md5(text(F.col("url")))))
     own = explode_rows(articles, ["article_id"], [
         first, section("warnings", "Warnings and Precautions", "Section 5", "SEC5", "pages_5"),
         section("pregnancy", "Use in Specific Populations", "Pregnancy 8.1", "SEC8", "pages_8"), article])
@@ -262,8 +262,8 @@ def bulletin_rows(articles: DataFrame, live: bool = False) -> DataFrame:
     note = (F.concat(F.lit("Published in MHRA Drug Safety Update ("), date, F.lit(").")) if live
             else F.concat(F.lit("UK MHRA Drug Safety Update notice ("), date, F.lit(").")))
     row = change_row(
-        section="MHRA Drug Safety Update Article", change_type=F.substring("title", 1, 120), source_date=UNDATED,
-        source_record_id=F.concat(F.lit(prefix), short_md5(F.col("title"))), source_url=F.col("url"),
+        section="MHRA Drug Safety Update Article", change_type=F.col("title"), source_date=UNDATED,
+        source_record_id=F.concat(F.lit(prefix), F.md5(text(F.col("title")))), source_url=F.col("url"),
         original_text=F.col("title"),
         updated_text=F.concat(F.col("title"), F.lit(". "), text(F.col("description")), F.lit(". "), F.lit(tail)), fda_comment=note)
     return articles.where(text(F.col("title")) != "").select(row.alias("r")).select("r.*")

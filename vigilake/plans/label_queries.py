@@ -185,19 +185,19 @@ def needs_recrawl(spark: SparkSession, sf: str) -> DataFrame:
 @query("P1 O1", f"""WITH {t.SQL_DRUGS} SELECT id, display_name FROM dr WHERE source IN ('FDA_SRLC', 'FDA') AND
  (normalized_name ILIKE '%red_b%' OR active_ingredient ILIKE '%red_b%' OR display_name ILIKE '%red_b%' OR application_number ILIKE '%red_b%')
 ORDER BY CASE WHEN lower(display_name) = 'red_b' THEN 0 ELSE 1 END, CASE WHEN normalized_name = 'red_b' THEN 0 ELSE 1 END,
- CASE WHEN lower(trim(active_ingredient)) = 'red_b' THEN 0 ELSE 1 END, CASE WHEN active_ingredient NOT ILIKE '%;%' THEN 0 ELSE 1 END, display_name, id LIMIT 50""")
+ CASE WHEN lower(trim(active_ingredient)) = 'red_b' THEN 0 ELSE 1 END, CASE WHEN active_ingredient NOT ILIKE '%;%' THEN 0 ELSE 1 END, display_name, id""")
 def search_drugs(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranked search; ``_`` of the query is a wildcard; the first 50."""
+    """Ranked search; ``_`` of the query is a wildcard."""
     found = lookup.search_drugs(t.drugs(spark, sf), "Red_B", source="FDA")
-    return found.orderBy(*lookup.search_order("Red_B")).limit(50).select("id", "display_name")
+    return found.orderBy(*lookup.search_order("Red_B")).select("id", "display_name")
 
 
 @query("P2 O1", f"""WITH {t.SQL_DRUGS} SELECT id FROM dr WHERE source = 'FDA_SRLC' AND (display_name ILIKE '%l%' OR active_ingredient ILIKE '%l%')
  AND (active_ingredient ILIKE '%o%' OR display_name ILIKE '%o%') AND active_ingredient ILIKE '%m%' AND active_ingredient ILIKE '%l%'
-ORDER BY CASE WHEN lower(trim(active_ingredient)) = 'm' THEN 0 ELSE 1 END, CASE WHEN active_ingredient NOT LIKE '%;%' THEN 0 ELSE 1 END, display_name, id LIMIT 50""")
+ORDER BY CASE WHEN lower(trim(active_ingredient)) = 'm' THEN 0 ELSE 1 END, CASE WHEN active_ingredient NOT LIKE '%;%' THEN 0 ELSE 1 END, display_name, id""")
 def search_drugs_filtered(spark: SparkSession, sf: str) -> DataFrame:
     found = lookup.search_drugs_filtered(t.drugs(spark, sf), " l ", "o", "m, l;")
-    return found.orderBy(*lookup.filtered_order(" l ", "o", "m, l;")).limit(50).select("id")
+    return found.orderBy(*lookup.filtered_order(" l ", "o", "m, l;")).select("id")
 
 
 @query("L4", """SELECT p_partkey AS id FROM part WHERE p_name || ' ' || p_type ILIKE '%ring s%'
@@ -269,14 +269,14 @@ def candidate_scoring(spark: SparkSession, sf: str) -> DataFrame:
   CASE WHEN lower(active_ingredient) = 'promo' OR lower(display_name) = 'promo' THEN 0 ELSE 1 END AS a, CASE WHEN lower(active_ingredient) = 'promo' THEN 0 ELSE 1 END AS b,
   CASE WHEN contains(active_ingredient, ';') THEN 1 ELSE 0 END AS c FROM dr),
 u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY app ORDER BY a, b, c, id) = 1)
-SELECT id FROM u ORDER BY a, b, c, id LIMIT 3""")
+SELECT id FROM u ORDER BY a, b, c, id""")
 def candidate_rank(spark: SparkSession, sf: str) -> DataFrame:
     candidates = t.drugs(spark, sf).withColumnRenamed("display_name", "drug_name").withColumn("ordinal", F.col("id"))
     return lookup.rank_candidates(candidates, "Promo").select("id")
 
 
 @query("O8", """SELECT o_orderkey FROM orders JOIN part ON p_partkey = o_custkey
-ORDER BY CAST(contains(p_name, 'bolt') AS INTEGER) DESC, o_orderdate DESC, o_orderkey LIMIT 5""")
+ORDER BY CAST(contains(p_name, 'bolt') AS INTEGER) DESC, o_orderdate DESC, o_orderkey""")
 def site_result_rank(spark: SparkSession, sf: str) -> DataFrame:
     o, p = table(spark, sf, "orders"), table(spark, sf, "part")
     results = o.join(p, o.o_custkey == p.p_partkey).selectExpr(

@@ -104,7 +104,7 @@ def case_products(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("S17 X11", """SELECT p_partkey, 'ds_' || lower(split_part(p_name, ' ', 1)) || '_' || substr(sha256(p_name), 1, 8) AS dataset_id,
+@query("S17 X11", """SELECT p_partkey, 'ds_' || lower(split_part(p_name, ' ', 1)) || '_' || sha256(p_name) AS dataset_id,
  sha256(p_name) AS file_hash, upper(substr(p_name, 1, 1)) || substr(split_part(p_name, ' ', 1), 2) AS product_name,
  CASE WHEN p_size < 10 THEN '29-Apr-2025 to 28-Apr-2026' WHEN p_size < 20 THEN '13-Apr-2025 to 12-Apr-2026'
       ELSE 'Current Reporting Period' END AS reporting_period FROM part""")
@@ -472,8 +472,8 @@ def concern_report(spark: SparkSession, sf: str) -> DataFrame:
 
 _DETAIL_SQL = f"""WITH {t.SQL_STATUS} SELECT dataset_id, case_number, 'record' AS part, CAST(0 AS BIGINT) AS ordinal,
   product_name || '|' || country || '|' || case_outcome AS value FROM cases_t
-UNION ALL SELECT dataset_id, case_number, 'event', position, normalized_term || '|' || CAST(EXISTS (
-   SELECT 1 FROM matches_t m WHERE m.case_number = e.case_number AND upper(m.matched_term) = e.normalized_term) AS VARCHAR) FROM events_t e
+UNION ALL SELECT dataset_id, case_number, 'event', position, normalized_term || '|' || CAST(m.term IS NOT NULL AS VARCHAR) FROM events_t e
+   LEFT JOIN (SELECT DISTINCT case_number AS cn, upper(matched_term) AS term FROM matches_t) m ON m.cn = e.case_number AND m.term = e.normalized_term
 UNION ALL SELECT dataset_id, case_number, 'product', source_row, product_name_raw || '|' || role FROM products_t
 UNION ALL SELECT dataset_id, case_number, 'match', coalesce(position, 0), concern_id || '|' || matched_term FROM matches_t
 UNION ALL SELECT dataset_id, case_number, 'assessment', 0, concern_id || '|' || status FROM assess_t"""

@@ -153,7 +153,7 @@ def recalls(spark: SparkSession, sf: str) -> DataFrame:
     return feeds.recalls(docs, "json")
 
 
-@query("S12", """SELECT event_id, CAST(event_id AS VARCHAR) AS report_id, 'a,' || event_type || ',c,d' AS reactions FROM events""")
+@query("S12", """SELECT event_id, CAST(event_id AS VARCHAR) AS report_id, 'a,' || event_type || ',c,d,e' AS reactions FROM events""")
 def adverse_events(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "events").selectExpr(
         "event_id", "concat('{\"safetyreportid\": \"', event_id, '\", \"patient\": {\"reaction\": [{\"reactionmeddrapt\": \"a\"}, {\"reactionmeddrapt\": \"\"}, {\"reactionmeddrapt\": \"', event_type, '\"}, {\"reactionmeddrapt\": \"c\"}, {\"reactionmeddrapt\": \"d\"}, {\"reactionmeddrapt\": \"e\"}]}}') AS json")
@@ -209,7 +209,7 @@ def srlc_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("PR3 X9 F19", """SELECT p_partkey AS page_id, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_brand END AS display_name, 'Safety Brief' AS section, substr(sha256('https://a/' || p_partkey || '|' || CASE WHEN p_size % 2 = 0 THEN p_name ELSE lower(p_brand) END), 1, 32) AS source_record_id,
- CASE WHEN p_size % 2 = 0 THEN 'ctx ' || p_type || chr(10) || chr(10) || '[PDF content]' || chr(10) || repeat('p', 3000) ELSE substr(repeat(p_name || ' ', 400), 1, 2000) || chr(10) || chr(10) || '[PDF content]' || chr(10) || repeat('p', CAST(4000 - 2000 - 2 - 14 AS INTEGER)) END AS updated_text,
+ CASE WHEN p_size % 2 = 0 THEN 'ctx ' || p_type || chr(10) || chr(10) || '[PDF content]' || chr(10) || repeat('p', 5000) ELSE repeat(p_name || ' ', 400) || chr(10) || chr(10) || '[PDF content]' || chr(10) || repeat('p', 5000) END AS updated_text,
  'Health Canada InfoWatch — August 2026' AS fda_comment FROM part""")
 def newsletter_changes(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
@@ -219,8 +219,8 @@ def newsletter_changes(spark: SparkSession, sf: str) -> DataFrame:
     return pr.newsletter_changes(mentions, articles, "https://index").select("page_id", "display_name", "section", "source_record_id", "updated_text", "fda_comment")
 
 
-@query("PR4", """SELECT p_partkey || p_name AS product_name, v.* FROM part CROSS JOIN LATERAL (VALUES ('Use in Specific Populations', 'TGA-PI-4.6-' || upper(substr(sha256(p_partkey || p_name || '|4.6|' || p_type), 1, 10)), p_type, 'T46' || chr(10) || 'Pages: N/A' || chr(10) || 'Document Date: 2026-01-02' || chr(10) || chr(10) || p_type),
- ('Adverse Reactions', 'TGA-PI-4.8-' || upper(substr(sha256(p_partkey || p_name || '|4.8|' || p_brand || CASE WHEN p_size % 2 = 0 THEN chr(10) || chr(10) || '### Cap (Page 3)' || chr(10) || '| m |' ELSE ' | m | x' END), 1, 10)),
+@query("PR4", """SELECT p_partkey || p_name AS product_name, v.* FROM part CROSS JOIN LATERAL (VALUES ('Use in Specific Populations', 'TGA-PI-4.6-' || upper(sha256(p_partkey || p_name || '|4.6|' || p_type)), p_type, 'T46' || chr(10) || 'Pages: N/A' || chr(10) || 'Document Date: 2026-01-02' || chr(10) || chr(10) || p_type),
+ ('Adverse Reactions', 'TGA-PI-4.8-' || upper((sha256(p_partkey || p_name || '|4.8|' || p_brand || CASE WHEN p_size % 2 = 0 THEN chr(10) || chr(10) || '### Cap (Page 3)' || chr(10) || '| m |' ELSE ' | m | x' END))),
   p_brand || CASE WHEN p_size % 2 = 0 THEN chr(10) || chr(10) || '### Cap (Page 3)' || chr(10) || '| m |' ELSE ' | m | x' END,
   'T48' || chr(10) || 'Pages: 18–20' || chr(10) || 'Document Date: 2026-01-02' || chr(10) || chr(10) || p_brand || CASE WHEN p_size % 2 = 0 THEN chr(10) || chr(10) || '### Cap (Page 3)' || chr(10) || '| m |' ELSE ' | m | x' END)) v(section, source_record_id, original_text, updated_text)""")
 def tga_changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -231,7 +231,7 @@ def tga_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("PR5", """SELECT p_name AS display_name, CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'QUERY' END AS active_ingredient, CASE p_size % 3 WHEN 0 THEN 'AUST R' WHEN 1 THEN 'AUST R 123' ELSE 'AUST L 9' END AS application_number,
- 'TGA-' || upper(substr(sha256('u' || p_partkey), 1, 12)) AS source_record_id, p_name || chr(10) || chr(10) || p_brand AS updated_text FROM part""")
+ 'TGA-' || upper(sha256('u' || p_partkey)) AS source_record_id, p_name || chr(10) || chr(10) || p_brand AS updated_text FROM part""")
 def tga_metadata_rows(spark: SparkSession, sf: str) -> DataFrame:
     results = table(spark, sf, "part").selectExpr("p_name AS title", "concat('u', p_partkey) AS url", "p_brand AS snippet", "CAST(NULL AS TIMESTAMP_NTZ) AS source_date",
                                                   "CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN '123' ELSE 'AUST L 9' END AS artg_number", "CASE WHEN p_size % 2 = 0 THEN p_type END AS active_ingredient")
@@ -244,14 +244,14 @@ def tga_metadata_rows(spark: SparkSession, sf: str) -> DataFrame:
  ('Adverse Reactions', 'Official Prescribing Information (Section 6 Not Found)', 'MW-LBL-' || p_name || '-SEC6-NF', 'Official FDA Prescribing Information PDF: d (Status: ADVERSE_REACTIONS_SECTION_NOT_FOUND)', p_size % 3 = 1),
  ('Adverse Reactions', 'Official Prescribing Information (Extraction Failed)', 'MW-LBL-' || p_name || '-PDF-FAIL', 'Official FDA Prescribing Information PDF: d (Status: PDF_EXTRACTION_FAILED)', p_size % 3 = 2),
  ('Warnings and Precautions', 'Official Prescribing Information (Section 5)', 'MW-LBL-' || p_name || '-SEC5', 'Official FDA Prescribing Information PDF: d (Page: 3)', p_size % 3 = 0),
- ('MedWatch Safety Communication', 'FDA MedWatch Alert: ' || p_brand, 'MW-ART-' || substr(md5('u' || p_partkey), 1, 8), 'Official FDA MedWatch Safety Communication.', TRUE),
+ ('MedWatch Safety Communication', 'FDA MedWatch Alert: ' || repeat(p_brand || ' ', 20), 'MW-ART-' || md5('u' || p_partkey), 'Official FDA MedWatch Safety Communication.', TRUE),
  ('FDA Recall Notice (Class I)', 'FDA Recall: R-' || p_type, 'MW-RECALL-R-' || p_type, 'FDA Enforcement Notice for ' || p_name || '.', p_name = 'red ring')) v(section, t, r, c, ok)
  JOIN (VALUES (0)) z(z) ON ok WHERE v.section <> 'FDA Recall Notice (Class I)'
 UNION ALL SELECT a.p_partkey, 'FDA Recall Notice (Class I)', 'FDA Recall: R-' || r.p_partkey, 'MW-RECALL-R-' || r.p_partkey, 'FDA Enforcement Notice for ' || a.p_name || '.' FROM part a JOIN part r ON a.p_name = r.p_name WHERE r.p_size = 1""")
 def medwatch_changes(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
     articles = part.selectExpr(
-        "p_partkey AS article_id", "p_name AS product", "p_brand AS title", "'' AS summary", "concat('u', p_partkey) AS url", "'2026-01-01' AS publication_date", "'d' AS pdf_url", "'2025-01-01' AS document_date",
+        "p_partkey AS article_id", "p_name AS product", "repeat(concat(p_brand, ' '), 20) AS title", "'' AS summary", "concat('u', p_partkey) AS url", "'2026-01-01' AS publication_date", "'d' AS pdf_url", "'2025-01-01' AS document_date",
         "CASE WHEN p_size % 3 = 0 THEN p_type END AS adverse", "CASE p_size % 3 WHEN 1 THEN 'ADVERSE_REACTIONS_SECTION_NOT_FOUND' WHEN 2 THEN 'PDF_EXTRACTION_FAILED' ELSE 'OK' END AS adverse_status",
         "CASE WHEN p_size % 3 = 0 THEN 'w' END AS warnings", "'' AS pregnancy", "'4-9' AS pages_6", "'3' AS pages_5", "'' AS pages_8", "2 AS n_subsections", "1 AS n_tables")
     notices = part.where("p_size = 1").selectExpr("p_name AS product", "concat('R-', p_partkey) AS recall_number", "'Class I' AS classification", "'x' AS reason", "'y' AS firm")
@@ -269,7 +269,7 @@ def monograph_rows(spark: SparkSession, sf: str) -> DataFrame:
     return pr.monograph_rows(products, alerts, F.lit("q")).select("brand_name", "section", "source_record_id", "updated_text")
 
 
-@query("PR8", """SELECT substr(p_name || repeat('x', 150), 1, 120) AS change_type, 'MHRA-DSU-' || substr(md5(p_name || repeat('x', 150)), 1, 8) AS source_record_id, p_name || repeat('x', 150) || '. ' || p_type || '. Guidance issued by the UK MHRA and the Commission on Human Medicines.' AS updated_text FROM part""")
+@query("PR8", """SELECT p_name || repeat('x', 150) AS change_type, 'MHRA-DSU-' || md5(p_name || repeat('x', 150)) AS source_record_id, p_name || repeat('x', 150) || '. ' || p_type || '. Guidance issued by the UK MHRA and the Commission on Human Medicines.' AS updated_text FROM part""")
 def bulletin_rows(spark: SparkSession, sf: str) -> DataFrame:
     articles = table(spark, sf, "part").selectExpr("concat(p_name, repeat('x', 150)) AS title", "'u' AS url", "'May' AS date", "p_type AS description")
     return pr.bulletin_rows(articles).select("change_type", "source_record_id", "updated_text")

@@ -74,7 +74,7 @@ def product_name_from_file(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _DATE_TEXT = """CASE o_orderkey % 9
-  WHEN 0 THEN date_format(o_orderdate, 'MM/dd/yyyy') WHEN 1 THEN concat(date_format(o_orderdate, 'M/d/yyyy'), ' (SUPPL-50)')
+  WHEN 0 THEN date_format(o_orderdate, 'MM/dd/yyyy') WHEN 1 THEN concat(date_format(o_orderdate, 'M/d/yy'), ' (SUPPL-50)')
   WHEN 2 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 3 THEN concat('Approved ', date_format(o_orderdate, 'MMMM d, yyyy'), '.')
   WHEN 4 THEN date_format(o_orderdate, 'dd-MMM-yyyy') WHEN 5 THEN upper(date_format(o_orderdate, 'MMM dd yyyy'))
   WHEN 6 THEN date_format(o_orderdate, 'd MMMM yyyy') WHEN 7 THEN concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T00:00:00')

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vigilake.functions.hashing import short_md5
 from vigilake.functions.matching import article_match
 from vigilake.functions.text import squeeze, strip, text
 from vigilake.operators.skew import pick
@@ -72,12 +71,12 @@ def recalls(df: DataFrame, json: str) -> DataFrame:
 
 
 def adverse_events(df: DataFrame, json: str) -> DataFrame:
-    """Event reports with their first four named reactions."""
+    """Event reports with all their named reactions."""
     e = F.from_json(json, EVENT_SCHEMA)
     names = F.filter(F.transform(e["patient"]["reaction"], lambda x: x["reactionmeddrapt"]), lambda n: text(n) != "")
     return df.select(
         *[c for c in df.columns if c != json], text(e["safetyreportid"]).alias("report_id"),
-        F.slice(F.coalesce(names, F.array().cast("array<string>")), 1, 4).alias("reactions"), text(e["receiptdate"]).alias("date"))
+        F.coalesce(names, F.array().cast("array<string>")).alias("reactions"), text(e["receiptdate"]).alias("date"))
 
 
 RSS_SCHEMA = "channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, description: STRING, pubDate: STRING>>>"
@@ -180,4 +179,4 @@ def upsert_product_sections(current: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def article_record_id(prefix: str, c: Column) -> Column:
-    return F.concat(F.lit(prefix), short_md5(c))
+    return F.concat(F.lit(prefix), F.md5(text(c)))

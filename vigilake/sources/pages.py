@@ -205,7 +205,7 @@ def product_mentions(articles: DataFrame) -> DataFrame:
         F.filter(F.transform(alone, lambda g: record(brand=F.lit(""), generic=strip(g))), lambda m: F.length(m["generic"]) >= 4))
     scanned = exploded.select(
         "page_id", (F.col("section_no") + 1).alias("section_no"), F.col("s.heading").alias("section_heading"),
-        F.substring("s.text", 1, 2000).alias("context_text"), F.posexplode(found).alias("place", "m"))
+        F.col("s.text").alias("context_text"), F.posexplode(found).alias("place", "m"))
     seeds = articles.where((text(F.col("product_name")) != "") | (text(F.col("generic_name")) != "")).select(
         "page_id", F.lit(0).alias("section_no"), F.lit("").alias("section_heading"), F.lit("").alias("context_text"),
         F.lit(0).alias("place"), F.named_struct(F.lit("brand"), text(F.col("product_name")), F.lit("generic"), text(F.col("generic_name"))).alias("m"))
