@@ -106,6 +106,28 @@ def test_quotes_of_mails(spark):
         assert found.text == r.text.strip(strip) and found.reply_to == (r.turn - 1 if r.turn else None) and found.thread == 0
 
 
+def test_long_and_branching_chains(spark):
+    # Conversation 1 answers the turn before over three stretches; 2 jumps back.
+    to = {(1, t): t - 1 for t in range(1, 700)} | {(2, t): (t // 2 if t % 7 else t - 1) for t in range(2, 300)} | {(3, 5): 2}
+    got = {(r.conv, r.turn): r.root for r in quotes._roots(spark.createDataFrame([(c, t, v) for (c, t), v in to.items()], "conv long, turn long, to long")).collect()}
+    assert set(got) == set(to)
+    for (c, t), root in got.items():
+        while (c, t) in to:
+            t = to[c, t]
+        assert root == t
+    assert quotes._roots(spark.createDataFrame([], "conv long, turn long, to long")).count() == 0
+
+
+def test_mails_across_stretches(spark):
+    rows = [(1, t, "user", f"text {t}") for t in range(600)] + [(1, 255, "user", "a"), (None, 3, "user", None), (2, None, "user", "x"), (2, 7, None, None)]
+    got = [(r.conv_id, r.turn, r.text) for r in quotes.as_mails(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()]
+    assert len(got) == len(rows) and {(None, 3, ""), (2, None, "x"), (2, 7, "")} <= set(got)
+    said = {t: f"text {t}" for t in range(600)} | {255: "a"}
+    for c, t, text in got:
+        if c == 1 and t > 1 and text.startswith("text"):
+            assert text == f"text {t}\nOn an earlier day they wrote:\n> {said[t - 1]}\n>> {said[t - 2]}"
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs

@@ -15,6 +15,8 @@ from vigilake.llm.common import SPACE_CHARS, SPACES, staged
 
 MARKS = r"^(?:[\x20\t]*>)+[\x20\t]?"
 ATTRIBUTION = r"^(?:On .* wrote|Am .* schrieb.*|Le .* a écrit|El .* escribió)\s*:\s*$"
+# A conversation is worked on in stretches of so many turns (2 to the power).
+STRETCH_BITS = 8
 
 
 def normal(text: Column) -> Column:
@@ -95,27 +97,50 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
 
 
 def _roots(replies: DataFrame) -> DataFrame:
-    """(conv, turn, root) by doubling pointers: replies name earlier turns, so
-    the number of rounds is the logarithm of the longest chain."""
-    moving, done = staged(replies.select("conv", "turn", F.col("to").alias("root")), "roots"), None
-    while True:
+    """(conv, turn, root): where the chain of replies of a turn starts.
+
+    Turns of one stretch of the conversation that each answer the turn before
+    are one run, found in one pass. The first turns of runs are then linked by
+    doubling pointers: replies name earlier turns, so the number of rounds is
+    the logarithm of the longest chain of runs.
+    """
+    order = Window.partitionBy("conv", F.shiftright("turn", STRETCH_BITS)).orderBy("turn")
+    first = F.when(~F.lag("turn").over(order).eqNullSafe(F.col("to")), F.col("turn"))
+    runs = staged(
+        replies.withColumn("first", first).withColumn("first", F.max("first").over(order.rowsBetween(Window.unboundedPreceding, 0))), "runs")
+    run_of = runs.select("conv", F.col("turn").alias("to"), F.col("first").alias("further"))
+    moving, done = staged(
+        runs.where("turn = first").join(run_of, ["conv", "to"], "left").select("conv", "first", F.coalesce("further", "to").alias("root")), "roots"), None
+    while not moving.isEmpty():
         every = moving if done is None else moving.union(done)
-        ahead = every.select("conv", F.col("turn").alias("root"), F.col("root").alias("further"))
+        ahead = every.select("conv", F.col("first").alias("root"), F.col("root").alias("further"))
         step = staged(
-            moving.join(ahead, ["conv", "root"], "left").select("conv", "turn", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
-        # Rows at the start of their chain are left alone from here on.
+            moving.join(ahead, ["conv", "root"], "left").select("conv", "first", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        # Runs at the start of their chain are left alone from here on.
         still, moving = step.where("not moved").drop("moved"), step.where("moved").drop("moved")
         done = still if done is None else done.union(still)
-        if moving.isEmpty():
-            return done
+    return runs.join(done if done is not None else moving, ["conv", "first"]).select("conv", "turn", "root")
 
 
 def as_mails(chats: DataFrame) -> DataFrame:
-    """Conversations as mail clients send them: a turn quotes the turn before
-    under a line that introduces it, and what that one quoted one level deeper."""
-    order = Window.partitionBy("conv_id").orderBy("turn")
+    """Conversations as mail clients send them: a turn quotes the turn numbered
+    one less under a line that introduces it, and the one before that one level
+    deeper; of repeated turns the smallest text is quoted. Turns without a
+    conversation or number quote nothing.
+
+    Stretches of a conversation are built apart; each is also given the last
+    two turns of the stretch before it.
+    """
+    stretch, place = F.shiftright("turn", STRETCH_BITS), F.pmod(F.col("turn"), F.lit(2**STRETCH_BITS))
+    keyed = chats.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = keyed.where("conv_id is not null and turn is not null").withColumn(
+        "stretch", F.explode(F.when(place >= 2**STRETCH_BITS - 2, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))))
+    order = Window.partitionBy("conv_id", "stretch").orderBy("turn")
+    before, two = F.min("text").over(order.rangeBetween(-1, -1)), F.min("text").over(order.rangeBetween(-2, -2))
     marked = lambda text, marks: F.concat(F.lit(marks), F.regexp_replace(text, "\n", f"\n{marks}"))
-    before, two = F.lag("text").over(order), F.lag("text", 2).over(order)
-    quoted = F.when(before.isNull(), "").otherwise(F.concat(
-        F.lit("\nOn an earlier day they wrote:\n"), marked(before, "> "), F.when(two.isNull(), "").otherwise(F.concat(F.lit("\n"), marked(two, ">> ")))))
-    return chats.select("conv_id", "turn", "role", F.concat(F.coalesce("text", F.lit("")), quoted).alias("text"))
+    seen = dealt.withColumn("before", before).withColumn("two", two).where(F.col("stretch") == stretch)
+    quoted = F.when(F.col("before").isNull(), "").otherwise(F.concat(
+        F.lit("\nOn an earlier day they wrote:\n"), marked(F.col("before"), "> "),
+        F.when(F.col("two").isNull(), "").otherwise(F.concat(F.lit("\n"), marked(F.col("two"), ">> ")))))
+    sent = seen.select("conv_id", "turn", "role", F.concat("text", quoted).alias("text"))
+    return sent.union(keyed.where("conv_id is null or turn is null"))
