@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vigilake.functions.dates import in_range, transpose_day_month
 from vigilake.functions.matching import contains_like, product_match, source_in_group
 from vigilake.functions.text import normalize_drug_name, normalize_product_name, squeeze, strip, strip_drug_salts, text
-from vigilake.operators.skew import pick
+from vigilake.operators.skew import cut_lineage, pick
 
 SEPARATORS = r"[,;/]+"
 
@@ -148,12 +148,13 @@ def find_product_records(requests: DataFrame, records: DataFrame) -> DataFrame:
         r.withColumn("_key", F.col("product_normalized")), "_key")
     names = q.withColumn("_key", F.explode(F.array(lowered, F.concat(lowered, F.lit(".pdf")))))
     by_file = names.join(r.withColumn("_key", F.lower("filename")), "_key")
-    in_norm = substring_join(q.where(F.length("_norm") >= 3), r, F.col("_norm"), F.col("product_normalized"))
+    exact = cut_lineage(stage(1, by_name).unionByName(stage(2, by_norm)).unionByName(stage(3, by_file)))
+    # Requests with an exact hit stay out of the substring joins.
+    rest = q.join(exact.select("request_id").distinct(), "request_id", "left_anti")
+    in_norm = substring_join(rest.where(F.length("_norm") >= 3), r, F.col("_norm"), F.col("product_normalized"))
     in_file = substring_join(
-        q.where(F.length("_clean") >= 3), r, F.col("_clean"), F.col("filename"), wildcards=True)
-    hits = stage(1, by_name)
-    for n, pairs in ((2, by_norm), (3, by_file), (4, in_norm), (5, in_file)):
-        hits = hits.unionByName(stage(n, pairs))
+        rest.where(F.length("_clean") >= 3), r, F.col("_clean"), F.col("filename"), wildcards=True)
+    hits = exact.unionByName(stage(4, in_norm)).unionByName(stage(5, in_file))
     best = hits.groupBy("request_id").agg(
         F.min_by(F.struct("record_id", "stage"), F.struct("stage", (-F.col("updated_at")).alias("u"), "record_id")).alias("_b")
     )

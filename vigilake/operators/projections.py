@@ -215,12 +215,13 @@ def medwatch_changes(articles: DataFrame, recalls: DataFrame) -> DataFrame:
     return own.unionByName(noted.withColumn("row_no", F.lit(9)))
 
 
-def monograph_rows(products: DataFrame, recalls: DataFrame, query: Column) -> DataFrame:
-    """Product facts as text rows; recalls go to the first product.
+def monograph_rows(products: DataFrame, recalls: DataFrame) -> DataFrame:
+    """Product facts as text rows; recalls go to the first product of their
+    request, or to the request's own name where it found no product.
 
-    products: rank, drug_code, brand_name, din, company, active_ingredient,
-    form, route, status, status_date, monograph_url, page_url. recalls: title,
-    url, date, description.
+    products: request, rank, drug_code, brand_name, din, company, active_ingredient,
+    form, route, status, status_date, monograph_url, page_url. recalls:
+    request, title, url, date, description.
     """
     pm = F.coalesce(_named(F.col("monograph_url")), F.col("page_url"))
     facts = [
@@ -239,16 +240,15 @@ def monograph_rows(products: DataFrame, recalls: DataFrame, query: Column) -> Da
         updated_text=F.concat_ws("\n\n", *facts),
         fda_comment=F.concat(F.lit("Health Canada DPD — DIN "), F.col("din"), F.lit(" ("), F.col("status"), F.lit(")")))
     own = products.select("brand_name", row.alias("r"))
-    title = F.coalesce(_named(F.col("title")), F.concat(F.lit("Health Canada Safety Alert: "), query))
+    title = F.coalesce(_named(F.col("title")), F.concat(F.lit("Health Canada Safety Alert: "), F.col("request")))
     note = change_row(
         section="Adverse Reaction Information", change_type="Health Canada Safety Alert / Recall", source_date=F.col("date"),
         source_record_id=F.substring(F.sha2(F.concat_ws("|", F.col("url"), title), 256), 1, 32), source_url=F.col("url"),
         original_text=title, updated_text=F.concat_ws("\n\n", title, F.coalesce(_named(F.col("description")), title)),
         fda_comment=F.concat(F.lit("Health Canada MedEffect Alert — "), title))
-    # One row: the name the recalls are filed under.
-    first = products.agg(F.min_by("brand_name", "rank").alias("_first"))
-    noted = recalls.select(note.alias("r"), F.lit(1).alias("_k")).join(first.withColumn("_k", F.lit(1)), "_k").select(
-        F.coalesce("_first", F.initcap(query)).alias("brand_name"), "r")
+    first = products.groupBy("request").agg(F.min_by("brand_name", "rank").alias("_first"))
+    noted = recalls.select("request", note.alias("r")).join(first, "request", "left").select(
+        F.coalesce("_first", F.initcap("request")).alias("brand_name"), "r")
     return own.unionByName(noted).select("brand_name", "r.*")
 
 

@@ -126,8 +126,11 @@ def search_terms(concerns: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def match_terms(events: DataFrame, scope: DataFrame, term_rows: DataFrame) -> DataFrame:
-    """Events whose term belongs to a concern that covers their dataset."""
-    wanted = term_rows.join(scope, "concern_id")
+    """Events whose term belongs to a concern that covers their dataset.
+
+    Events meet the terms first: the dictionary has a fixed size, which a
+    product's datasets would multiply.
+    """
     method, term = F.col("search_method"), F.col("matched_term")
     dictionary_method = method.isin("BROAD_SMQ", "NARROW_SMQ")
     field = (
@@ -154,7 +157,7 @@ def match_terms(events: DataFrame, scope: DataFrame, term_rows: DataFrame) -> Da
                                                             F.lit("' in verbatim: "), raw, F.lit(".")))
         .otherwise(F.concat(F.lit("Exact match for configured PT '"), term, F.lit("' in event verbatim: "), raw))
     )
-    return events.join(wanted, ["dataset_id", "normalized_term"]).select(
+    return events.join(term_rows, "normalized_term").join(scope, ["concern_id", "dataset_id"]).select(
         "concern_id", "dataset_id", "case_number", "position", "search_method", field.alias("matched_field"),
         term.alias("matched_term"), "pt_code", "smq_name", "smq_scope", reference.alias("reference_source"),
         evidence.alias("evidence"), "source_row",

@@ -322,7 +322,17 @@ def list_items(spark: SparkSession, sf: str) -> DataFrame:
 _TABLE_PARTS = """o_custkey AS doc, o_orderkey AS ord, CAST(floor(o_totalprice / 100000) AS INT) AS page"""
 
 
-@query("W15 A8")
+@query("W15 A8", """WITH RECURSIVE p AS (SELECT o_custkey AS doc, o_orderkey AS ord, CAST(floor(o_totalprice / 100000) AS INTEGER) AS page, o_orderstatus AS st,
+  o_orderpriority = '5-LOW' AS low, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+j AS (SELECT doc, k, ord, page, st, low, st AS head, 1 AS table_no, FALSE AS more FROM p WHERE k = 1
+  UNION ALL SELECT doc, k, ord, page, st, low, CASE WHEN more THEN head ELSE st END, table_no + CASE WHEN more THEN 0 ELSE 1 END, more
+  FROM (SELECT p.*, j.head, j.table_no, p.page IN (j.page, j.page + 1) AND (p.st = j.head OR p.st = 'P' OR p.low) AS more
+    FROM j JOIN p ON p.doc = j.doc AND p.k = j.k + 1)),
+g AS (SELECT doc, table_no, min(page) AS page, arg_min('Table ' || ord || CASE WHEN low THEN ' (continued)' ELSE '' END, ord) AS caption,
+  arg_max(page, ord) AS last, bool_or(more) AS more, sum(CASE WHEN NOT more THEN 3 WHEN head = 'P' THEN CASE st WHEN 'F' THEN 2 ELSE 3 END WHEN st = 'P' THEN 2 ELSE 1 END) AS n_rows
+  FROM j GROUP BY ALL)
+SELECT CAST(doc AS VARCHAR) AS doc, CAST(table_no AS BIGINT) AS table_no, page,
+  CASE WHEN more THEN replace(caption, ' (continued)', '') || ' (continued on Page ' || last || ')' ELSE caption END AS caption, CAST(n_rows AS BIGINT) AS n_rows FROM g""")
 def continuation_tables(spark: SparkSession, sf: str) -> DataFrame:
     """One table part per order; parts of a customer follow one another."""
     parts = table(spark, sf, "orders").selectExpr(

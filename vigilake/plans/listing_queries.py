@@ -563,15 +563,15 @@ def list_concerns(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(per_product, "product_name").select(F.col("id").alias("concern_id"), "cases")
 
 
-@query("U1", """WITH a AS (SELECT DISTINCT p_name AS header FROM part WHERE p_size < 10),
-b AS (SELECT DISTINCT p_name AS header FROM part WHERE p_size > 45)
+@query("U1", """WITH a AS (SELECT DISTINCT p_name || ' ' || p_size AS header FROM part WHERE p_size <= 30),
+b AS (SELECT DISTINCT p_name || ' ' || p_size AS header FROM part WHERE p_size >= 20)
 SELECT coalesce(a.header, b.header) AS header, CASE WHEN b.header IS NULL THEN 'only_left' WHEN a.header IS NULL
   THEN 'only_right' ELSE 'both' END AS side FROM a FULL JOIN b ON a.header = b.header""")
 def column_compare(spark: SparkSession, sf: str) -> DataFrame:
     """Intersection and both differences of two header sets."""
     part = table(spark, sf, "part")
-    left = part.where("p_size < 10").select(F.col("p_name").alias("header"))
-    right = part.where("p_size > 45").select(F.col("p_name").alias("header"))
+    left = part.where("p_size <= 30").selectExpr("concat(p_name, ' ', p_size) AS header")
+    right = part.where("p_size >= 20").selectExpr("concat(p_name, ' ', p_size) AS header")
     return (
         left.intersect(right).withColumn("side", F.lit("both"))
         .unionByName(left.subtract(right).withColumn("side", F.lit("only_left")))

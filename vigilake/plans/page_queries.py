@@ -52,9 +52,10 @@ def discover_links(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("S10", """SELECT p_partkey AS page_id, v.* FROM part CROSS JOIN LATERAL (VALUES
  ('https://www.fda.gov/label/20' || (10 + p_size % 10) || '/0211s007lbl.pdf', '01/02/2024', 's007', '20' || (10 + p_size % 10) || '-s007', p_name),
+ ('https://www.fda.gov/label/2012/0300s001lbl.pdf', '01/02/2024', 's001', '2012-s001', p_type || ' label'),
  ('https://www.fda.gov/x/two.pdf', NULL, NULL, NULL, 'the Label')) v(pdf_url, document_date, supplement_number, version, document_title)""")
 def discover_documents(spark: SparkSession, sf: str) -> DataFrame:
-    body = """'<table><tr><td>01/02/2024</td><td><a href="/label/20', 10 + p_size % 10, '/0211s007lbl.pdf">', p_name, '</a></td></tr></table><p><a href="two.pdf">the  Label</a> <a href="three.pdf">x</a></p>'"""
+    body = """'<table><tr><td>01/02/2024</td><td><a href="/label/20', 10 + p_size % 10, '/0211s007lbl.pdf">', p_name, '</a> <a href="/label/2012/0300s001lbl.pdf">', p_type, ' label</a></td></tr></table><p><a href="two.pdf">the  Label</a> <a href="three.pdf">x</a></p>'"""
     return src.discover_documents(_page(spark, sf, body)).drop("ordinal")
 
 
@@ -185,11 +186,11 @@ def new_articles(spark: SparkSession, sf: str) -> DataFrame:
     return feeds.new_articles(curated, live)
 
 
-@query("U4", """SELECT p_partkey AS id, 1 AS n FROM part UNION ALL SELECT p_partkey, 2 FROM part WHERE p_size < 25""")
+@query("U4", """SELECT p_partkey AS id, 1 AS n FROM part UNION ALL SELECT p_partkey, 2 FROM part""")
 def union_of_sources(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
     a = part.selectExpr("p_partkey AS id", "p_name AS title", "1 AS n")
-    b = part.where("p_size < 25").selectExpr("2 AS n", "p_partkey AS id")
+    b = part.selectExpr("2 AS n", "p_partkey AS id")
     return a.unionByName(b, allowMissingColumns=True).select("id", "n")
 
 
@@ -260,13 +261,13 @@ def medwatch_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("PR7", """SELECT p_name AS brand_name, 'Product Monograph Update' AS section, substr(sha256(p_partkey || '|' || p_name || '|monograph'), 1, 32) AS source_record_id, 'Health Canada Product Monograph for ' || p_name || '.' || chr(10) || chr(10) || 'Drug Identification Number (DIN): ' || p_partkey || chr(10) || chr(10) || 'Manufacturer / Sponsor: co' || chr(10) || chr(10)
  || 'Active Ingredient(s): ' || p_type || chr(10) || chr(10) || 'Dosage Form: ' || chr(10) || chr(10) || 'Route of Administration: ' || chr(10) || chr(10) || 'Regulatory Status: Marketed (as of 2020)' || CASE WHEN p_size % 2 = 0 THEN chr(10) || chr(10) || 'Official Product Monograph Document: https://m/' || p_partkey || '.PDF' ELSE '' END AS updated_text FROM part
-UNION ALL SELECT f.n, 'Adverse Reaction Information', substr(sha256('r' || p_partkey || '|' || p_brand), 1, 32), p_brand || chr(10) || chr(10) || p_brand FROM part CROSS JOIN (SELECT arg_min(p_name, p_partkey) AS n FROM part) f WHERE p_size = 2""")
+UNION ALL SELECT coalesce(f.n, 'Q ' || (p_size + 25)), 'Adverse Reaction Information', substr(sha256('r' || p_partkey || '|' || p_brand), 1, 32), p_brand || chr(10) || chr(10) || p_brand FROM part LEFT JOIN (SELECT p_size AS q, arg_min(p_name, p_partkey) AS n FROM part GROUP BY ALL) f ON q = p_size + 25""")
 def monograph_rows(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
-    products = part.selectExpr("p_partkey AS rank", "p_name AS brand_name", "CAST(p_partkey AS STRING) AS din", "'co' AS company", "p_type AS active_ingredient", "'' AS form", "'' AS route", "'Marketed' AS status", "'2020' AS status_date",
+    products = part.selectExpr("concat('q ', p_size) AS request", "p_partkey AS rank", "p_name AS brand_name", "CAST(p_partkey AS STRING) AS din", "'co' AS company", "p_type AS active_ingredient", "'' AS form", "'' AS route", "'Marketed' AS status", "'2020' AS status_date",
                                "CASE WHEN p_size % 2 = 0 THEN concat('https://m/', p_partkey, '.PDF') END AS monograph_url", "'https://p' AS page_url")
-    alerts = part.where("p_size = 2").selectExpr("p_brand AS title", "concat('r', p_partkey) AS url", "'2024' AS date", "'' AS description")
-    return pr.monograph_rows(products, alerts, F.lit("q")).select("brand_name", "section", "source_record_id", "updated_text")
+    alerts = part.selectExpr("concat('q ', p_size + 25) AS request", "p_brand AS title", "concat('r', p_partkey) AS url", "'2024' AS date", "'' AS description")
+    return pr.monograph_rows(products, alerts).select("brand_name", "section", "source_record_id", "updated_text")
 
 
 @query("PR8", """SELECT p_name || repeat('x', 150) AS change_type, 'MHRA-DSU-' || md5(p_name || repeat('x', 150)) AS source_record_id, p_name || repeat('x', 150) || '. ' || p_type || '. Guidance issued by the UK MHRA and the Commission on Human Medicines.' AS updated_text FROM part""")
@@ -303,10 +304,10 @@ def changed_files(spark: SparkSession, sf: str) -> DataFrame:
     return feeds.changed_files(_files(spark, sf, 5), _files(spark, sf, 0)).select("filename")
 
 
-@query("C10", """WITH b AS (SELECT p_brand AS filename, max(p_partkey) AS k FROM part WHERE p_size < 20 GROUP BY ALL), c AS (SELECT p_brand AS filename, min(p_partkey) AS k FROM part GROUP BY ALL)
-SELECT filename, coalesce(b.k, c.k) AS version FROM c LEFT JOIN b USING (filename)""")
+@query("C10", """WITH b AS (SELECT p_brand || CASE WHEN p_size < 20 THEN '' ELSE ' new' END AS filename, max(p_partkey) AS k FROM part GROUP BY ALL), c AS (SELECT p_brand AS filename, min(p_partkey) AS k FROM part GROUP BY ALL)
+SELECT filename, coalesce(b.k, c.k) AS version FROM c FULL JOIN b USING (filename)""")
 def upsert_product_section(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
     current = part.groupBy(F.col("p_brand").alias("filename")).agg(F.min("p_partkey").alias("version")).withColumn("target_section", F.lit("16"))
-    batch = part.where("p_size < 20").selectExpr("p_brand AS filename", "'16' AS target_section", "p_partkey AS version", "p_partkey AS seq")
+    batch = part.selectExpr("concat(p_brand, CASE WHEN p_size < 20 THEN '' ELSE ' new' END) AS filename", "'16' AS target_section", "p_partkey AS version", "p_partkey AS seq")
     return feeds.upsert_product_sections(current, batch).select("filename", "version")

@@ -18,7 +18,7 @@ from vigilake.functions.text import bind, strip, text
 
 ELEMENT = (
     "STRUCT<pos: INT, parent: INT, tag: STRING, path: STRING, text: STRING, rich: STRING, href: STRING, id: STRING,"
-    " cls: STRING, cells: ARRAY<STRING>, links: ARRAY<STRING>, h2: INT, h3: INT, h4: INT, in_item: BOOLEAN,"
+    " cls: STRING, cells: ARRAY<STRING>, links: ARRAY<STRING>, h2: INT, h3: INT, h4: INT, in_item: BOOLEAN, row: INT,"
     " items: ARRAY<INT>, child_lists: INT, child_link: INT>"
 )
 _KEEP = {
@@ -69,6 +69,7 @@ class _Elements(HTMLParser):
             "path": (self.open[-1]["path"] + "/" if self.open else "") + name, "text": [], "rich": [],
             "href": a.get("href") or a.get("value"), "id": a.get("id"), "cls": a.get("class"), "cells": [], "links": [],
             "in_item": any(e["tag"] == "li" for e in self.open), **self.under,
+            "row": next((e["pos"] for e in reversed(self.open) if e["tag"] == "tr"), -1),
             "items": [e["pos"] for e in self.open if e["tag"] == "li"], "child_lists": 0, "child_link": -1,
         }
         if self.open and tag in ("ul", "ol"):

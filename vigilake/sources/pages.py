@@ -274,12 +274,13 @@ LABEL_TEXT = (
 def _anchors(pages: DataFrame) -> DataFrame:
     d = html_elements(pages)
     usable = F.filter(elements_of("a"), lambda e: (strip(text(e["href"])) != "") & ~F.rlike(strip(text(e["href"])), F.lit("^(#|javascript:|mailto:)")))
-    d = d.select("page_id", F.col("url").alias("page_url"), "elements", F.posexplode(usable).alias("ordinal", "a"))
-    row = F.get(F.filter("elements", lambda e: (e["tag"] == "tr") & F.startswith(F.col("a.path"), F.concat(e["path"], F.lit("/"))) & (e["pos"] < F.col("a.pos"))
-                         & F.exists(e["links"], lambda l: l == F.col("a.href"))), F.lit(0))
+    # An element's place is its index, so the table row of a link is one lookup
+    # and the page itself is not carried along with every link.
+    linked = F.transform(usable, lambda e: F.struct(e["href"].alias("href"), e["text"].alias("text"), F.get("elements", e["row"])["cells"].alias("cells")))
+    d = d.select("page_id", F.col("url").alias("page_url"), F.posexplode(linked).alias("ordinal", "a"))
     return d.select(
         "page_id", "page_url", "ordinal", F.col("a.text").alias("link_text"),
-        resolve_url(F.col("page_url"), F.col("a.href")).alias("url"), F.array_join(row["cells"], " ").alias("row_text"))
+        resolve_url(F.col("page_url"), F.col("a.href")).alias("url"), F.array_join("a.cells", " ").alias("row_text"))
 
 
 def discover_links(
