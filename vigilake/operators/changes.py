@@ -118,6 +118,12 @@ def apply_changes(current: DataFrame, versions: DataFrame, batch: DataFrame) ->
     adds nothing. The classified batch is written once, because the change
     table, the archive and the counters all read it.
     """
+    changes, new_versions, actions = changed_tables(current, versions, batch)
+    return changes, versions.unionByName(new_versions), actions
+
+
+def changed_tables(current: DataFrame, versions: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`apply_changes` with only the new versions, for stores that append."""
     actions = cut_lineage(classify_changes(current, batch.where(F.size("errors") == 0)))
     # Rows between two effective ones repeat the content of the first, so the
     # row before always shows what an effective row replaces. Its original
@@ -166,7 +172,7 @@ def apply_changes(current: DataFrame, versions: DataFrame, batch: DataFrame) ->
         F.coalesce("first_seen_at", "_seen").alias("first_seen_at"),
         F.greatest("last_verified_at", "_verified").alias("last_verified_at"),
     )
-    return changes, versions.unionByName(new_versions), actions.drop("_replaced", "_base")
+    return changes, new_versions, actions.drop("_replaced", "_base")
 
 
 CHANGES_SCHEMA = (
@@ -181,9 +187,9 @@ VERSIONS_SCHEMA = (
 
 
 def crawl_counters(actions: DataFrame, run: str = "run_id") -> DataFrame:
-    """Found, added, changed and unchanged rows per run."""
+    """Pages read, and rows found, added, changed and unchanged per run."""
     return actions.groupBy(run).agg(
-        F.count(F.lit(1)).alias("records_found"), F.count_if(F.col("action") == "NEW").alias("records_added"),
+        F.count_distinct("source_url").alias("pages_crawled"), F.count(F.lit(1)).alias("records_found"), F.count_if(F.col("action") == "NEW").alias("records_added"),
         F.count_if(F.col("action") == "CHANGED").alias("records_changed"),
         F.count_if(F.col("action") == "UNCHANGED").alias("records_unchanged"),
     )
@@ -276,6 +282,19 @@ def sections_by_kind(latest: DataFrame, keys: list[str]) -> DataFrame:
     return flags.select(*keys, *(status(k) for k in ("adverse", "warnings", "populations")))
 
 
+def section_texts(latest: DataFrame, keys: list[str]) -> DataFrame:
+    """The texts behind :func:`sections_by_kind` as rows in order of ``id``; a
+    kind that the latest date lacks has one row that says so."""
+    kinds = latest.withColumn("kind", section_kind(F.col("section")))
+    found = kinds.where(F.col("kind").isin("adverse", "warnings", "populations") & (text(F.col("updated_text")) != "")).select(
+        *keys, "kind", "id", "updated_text")
+    wanted = latest.select(*keys).distinct().withColumn(
+        "kind", F.explode(F.array(*(F.lit(k) for k in ("adverse", "warnings", "populations")))))
+    absent = wanted.join(found.select(*keys, "kind").distinct(), [*keys, "kind"], "left_anti").select(
+        *keys, "kind", F.lit(None).cast("long").alias("id"), F.lit(NOT_FOUND).alias("updated_text"))
+    return found.unionByName(absent)
+
+
 def change_timeline(changes: DataFrame, drugs: DataFrame) -> DataFrame:
     """One row per drug and day, newest first by ``position`` columns: the
     supplement named in the application number, else the highest; first PDF."""

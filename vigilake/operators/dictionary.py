@@ -105,6 +105,13 @@ def read_smq_outline(rows: DataFrame, version: str) -> DataFrame:
     )
 
 
+def reload_terms(current: DataFrame, batch: DataFrame) -> DataFrame:
+    """The dictionary after whole versions were loaded again: the terms that a
+    version of the batch had before go."""
+    again = batch.select("reference_version").distinct()
+    return current.join(again, "reference_version", "left_anti").unionByName(batch)
+
+
 def lookup_terms(terms: DataFrame) -> DataFrame:
     """Active terms, one per (group, scope, upper-case name); the last loaded
     row wins."""

@@ -73,6 +73,14 @@ def case_records(listing: DataFrame) -> DataFrame:
     return pick(listing.select(*columns), CASE_KEY, F.col("source_row"))
 
 
+def reingest(current: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows of a child table after datasets were read again: everything that a
+    dataset of the batch held before goes. On stored tables the same is a
+    dynamic overwrite of the dataset's partition."""
+    again = batch.select("dataset_id").distinct()
+    return current.join(again, "dataset_id", "left_anti").unionByName(batch)
+
+
 def _first_rows(listing: DataFrame) -> DataFrame:
     return listing.groupBy(*CASE_KEY).agg(F.min("source_row").alias("first_row"))
 

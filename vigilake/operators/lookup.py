@@ -306,8 +306,9 @@ def drug_summary(drugs: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-def unified_response(documents: DataFrame, website: DataFrame) -> DataFrame:
-    """One row per request from both branches; either may be missing."""
+def unified_response(documents: DataFrame, website: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """One row per request from both branches; either may be missing.
+    ``requests`` (request_id, request) is echoed beside the answer."""
     d = documents.select("request_id", F.col("payload").alias("document_payload"))
     w = website.select("request_id", F.col("payload").alias("website_payload"))
     joined = d.join(w, "request_id", "full_outer")
@@ -316,8 +317,9 @@ def unified_response(documents: DataFrame, website: DataFrame) -> DataFrame:
         return F.when(F.col(c).isNotNull(), "success").otherwise("not_found")
 
     both_missing = F.col("document_payload").isNull() & F.col("website_payload").isNull()
-    return joined.select(
+    answer = joined.select(
         "request_id", status("document_payload").alias("document_status"), "document_payload",
         status("website_payload").alias("website_status"), "website_payload",
         F.when(both_missing, "error").otherwise("success").alias("status"),
     )
+    return answer if requests is None else answer.join(requests.select("request_id", "request"), "request_id", "left")

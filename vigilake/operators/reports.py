@@ -9,6 +9,8 @@ from vigilake.functions.text import clean_xml_hex, normalize_term, text
 # Report categories in display order.
 CATEGORIES = ("Important Identified Risks", "Important Potential Risks", "Missing Information")
 CASE = ["dataset_id", "case_number"]
+# What a reviewer writes beside the status.
+REVIEW = ("reviewer_notes", "exclusion_reason")
 
 
 def category_of(c: Column) -> Column:
@@ -31,13 +33,19 @@ def category_order(c: Column) -> Column:
 
 
 def matched_cases(matches: DataFrame, assessments: DataFrame) -> DataFrame:
-    """One row per concern, dataset and case with its review status."""
+    """One row per concern, dataset and case with its review status, notes and
+    exclusion reason."""
     key = ["concern_id", "dataset_id", "case_number"]
     cases = matches.groupBy(*key).agg(F.count(F.lit(1)).alias("n_matches"))
-    joined = cases.join(assessments.select(*key, "status"), key, "left")
+    joined = cases.join(assessments.select(*key, "status", *_review(assessments)), key, "left")
     return joined.withColumn("status", F.coalesce("status", F.lit("CANDIDATE")))
 
 
+def _review(assessments: DataFrame) -> list[Column]:
+    none = F.lit(None).cast("string")
+    return [F.col(c) if c in assessments.columns else none.alias(c) for c in REVIEW]
+
+
 def status_counts(cases: DataFrame) -> DataFrame:
     """Cases and review states per concern and dataset."""
     return cases.groupBy("concern_id", "dataset_id").agg(
@@ -96,16 +104,32 @@ def section_16_1_sheet(table: DataFrame) -> DataFrame:
 
 def search_summary_cases(cases: DataFrame, records: DataFrame) -> DataFrame:
     """Case rows of a summary: matched case, its record and review status."""
-    fields = ["country", "product_name", "is_serious", "case_outcome"]
-    return cases.join(records.select(*CASE, *fields), CASE, "left").select(
-        "concern_id", *CASE, F.coalesce("country", F.lit("")).alias("country"),
-        F.coalesce("product_name", F.lit("")).alias("product_name"),
+    fields = ["country", "report_type", "product_name", "age", "sex", "listedness", "initial_receipt_date"]
+    return cases.join(records.select(*CASE, *fields, "is_serious", "case_outcome"), CASE, "left").select(
+        "concern_id", *CASE, *(F.coalesce(c, F.lit("")).alias(c) for c in fields),
         F.coalesce("is_serious", F.lit(False)).alias("is_serious"),
         F.coalesce("case_outcome", F.lit("")).alias("outcome"), "n_matches",
-        F.col("status").alias("assessment_status"),
+        F.col("status").alias("assessment_status"), *REVIEW,
+    )
+
+
+def search_summary_matches(matches: DataFrame, cases: DataFrame) -> DataFrame:
+    """The matches under each case of a summary, as rows."""
+    key = ["concern_id", *CASE]
+    return matches.join(cases.select(*key, F.col("status").alias("assessment_status")), key).select(
+        *key, "position", "matched_field", "matched_term", "pt_code", "reference_source", "evidence", "source_row",
+        "assessment_status",
     )
 
 
+def concern_report_cases(cases: DataFrame, records: DataFrame) -> DataFrame:
+    """The relevant, excluded and pending cases of a concern report, with the
+    list (``case_list``) each belongs to."""
+    case_list = F.when(F.col("assessment_status") == "RELEVANT", "relevant").when(
+        F.col("assessment_status") == "NOT_RELEVANT", "excluded").otherwise("pending")
+    return search_summary_cases(cases, records).withColumn("case_list", case_list)
+
+
 def _with_records(matches: DataFrame, assessments: DataFrame, records: DataFrame) -> DataFrame:
     cases = matched_cases(matches, assessments)
     return cases.join(records.select(*CASE, "is_serious", "case_outcome"), CASE, "left")
@@ -176,9 +200,10 @@ def concern_report(
 
 def case_detail(
     records: DataFrame, events: DataFrame, products: DataFrame, matches: DataFrame, assessments: DataFrame,
-    scoped: bool = True,
+    scoped: bool = True, audit: DataFrame | None = None,
 ) -> DataFrame:
-    """Every part of a case as rows (case, part, ordinal, value).
+    """Every part of a case as rows (case, part, ordinal, value), with the audit
+    rows of its assessments where they are given.
 
     ``scoped`` keeps events and products to the case's own dataset; without it
     they are read by case number across datasets.
@@ -195,9 +220,10 @@ def case_detail(
     marked = events.join(
         terms.withColumn("_hit", F.lit(True)), ["dataset_id", "case_number", "normalized_term"], "left"
     )
-    return (
+    detail = (
         records.select(*CASE, F.lit("record").alias("part"), zero.cast("long").alias("ordinal"),
-                       F.concat_ws("|", "product_name", "country", "case_outcome").alias("value"))
+                       F.concat_ws("|", "product_name", "country", "case_outcome", "report_type", "age", "sex",
+                                   "listedness", "initial_receipt_date", "source_row").alias("value"))
         .unionByName(part("event", marked, F.col("position"),
                           F.concat_ws("|", "normalized_term", F.coalesce("_hit", F.lit(False)).cast("string")), key))
         .unionByName(part("product", products, F.col("source_row"),
@@ -206,6 +232,9 @@ def case_detail(
                           F.concat_ws("|", "concern_id", "matched_term"), CASE))
         .unionByName(part("assessment", assessments, zero, F.concat_ws("|", "concern_id", "status"), CASE))
     )
+    if audit is None:
+        return detail
+    return detail.unionByName(part("audit", audit, zero, F.concat_ws("|", "concern_id", "user_id", "action"), CASE))
 
 
 def ingestion_status(records: DataFrame, events: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -219,6 +248,24 @@ def ingestion_status(records: DataFrame, events: DataFrame, datasets: DataFrame)
     )
 
 
+def ingestion_totals(
+    records: DataFrame, events: DataFrame, terms: DataFrame, concerns: DataFrame, datasets: DataFrame
+) -> DataFrame:
+    """(kind, name, n): totals of all tables, cases per product, files."""
+    def total(kind: str, df: DataFrame) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), F.lit("").alias("name"), "n")
+
+    def listed(kind: str, df: DataFrame, name: str) -> DataFrame:
+        named = df.where(text(F.col(name)) != "")
+        return named.groupBy(F.lit(kind).alias("kind"), F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+    return (
+        total("cases", records).unionByName(total("events", events)).unionByName(total("smq_terms", terms))
+        .unionByName(total("concerns", concerns)).unionByName(listed("product", records, "product_name"))
+        .unionByName(listed("file", datasets, "source_filename"))
+    )
+
+
 def bracket_terms(listing: DataFrame) -> DataFrame:
     """Bracketed terms of every cell, escapes removed first."""
     found = F.regexp_extract_all(clean_xml_hex(F.col("_events")), F.lit(r"\[([^\]]+)\]"), F.lit(1))
@@ -270,6 +317,11 @@ def page(df: DataFrame, order: list[Column], number: int = 1, limit: int = 50) -
     return df.orderBy(*order).offset((number - 1) * limit).limit(limit)
 
 
+def page_totals(df: DataFrame, limit: int = 50) -> DataFrame:
+    """Number of rows and of pages behind :func:`page`."""
+    return df.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.ceil(F.col("total") / F.lit(limit)))
+
+
 def case_text_filter(cases: DataFrame, matches: DataFrame, needle: str) -> DataFrame:
     """Cases whose number, country, outcome or a matched term holds the text."""
     q = F.lit(needle.lower())

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilake.functions.text import narrative_snippet, strip, text
 from vigilake.operators.dictionary import lookup_terms
+from vigilake.operators.skew import pick
 
 CONFIG_SCHEMA = (
     "smq_name STRING, scope STRING, soc_name STRING, include_event_level BOOLEAN, pt STRING, pts ARRAY<STRING>,"
@@ -55,6 +56,18 @@ def parse_search_config(concerns: DataFrame) -> DataFrame:
     )
 
 
+def upsert_concerns(current: DataFrame, batch: DataFrame) -> DataFrame:
+    """Concerns by id after a batch: the last row of an id (``seq``) replaces
+    what was there, new ids are added."""
+    last = pick(batch, ["id"], F.col("seq")).drop("seq")
+    return current.join(last.select("id"), "id", "left_anti").unionByName(last)
+
+
+def list_concerns(concerns: DataFrame, product: str | None = None) -> DataFrame:
+    """All concerns, or those whose product name contains a text in any case."""
+    return concerns.where(F.lower(text(F.col("product_name"))).contains(product.lower())) if product else concerns
+
+
 def active_datasets(concerns: DataFrame, datasets: DataFrame) -> DataFrame:
     """concern_id → dataset_id: the newest active dataset of the product whose
     period is the concern's, else the newest of the product."""
@@ -328,12 +341,15 @@ def append_run(
 
 
 def init_assessments(assessments: DataFrame, matches: DataFrame) -> DataFrame:
-    """CANDIDATE rows added for matched cases that have no assessment."""
+    """CANDIDATE rows added for matched cases that have no assessment; ids that
+    are missing are filled, others stay."""
     key = ["case_number", "concern_id", "dataset_id"]
     new = matches.select(*key).distinct().join(assessments.select(*key), key, "left_anti").select(
         *key, F.lit("CANDIDATE").alias("status")
     )
-    return assessments.select(*key, "status").unionByName(new)
+    made = F.concat_ws("_", F.lit("ass"), "concern_id", "dataset_id", "case_number")
+    known = assessments if "id" in assessments.columns else assessments.withColumn("id", F.lit(None).cast("string"))
+    return known.unionByName(new, allowMissingColumns=True).withColumn("id", F.coalesce("id", made))
 
 
 # States a reviewer may set.
@@ -343,19 +359,25 @@ STATUSES = ("CANDIDATE", "RELEVANT", "NOT_RELEVANT", "NEEDS_REVIEW")
 def update_assessments(assessments: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(assessments, audit rows) after reviewer updates.
 
-    Several updates of one key are folded to the last one (``seq``); a status
-    outside the four allowed ones is rejected.
+    Several updates of one key are folded to the last one (``seq``), which sets
+    status, notes and exclusion reason; a status outside the four allowed ones
+    is rejected.
     """
     key = ["case_number", "concern_id", "dataset_id"]
-    valid = updates.where(F.col("status").isin(*STATUSES))
-    last = valid.groupBy(*key).agg(
-        F.max_by("status", "seq").alias("_new"), F.max_by("reviewer_id", "seq").alias("_reviewer")
-    )
-    joined = assessments.select(*key, "status").join(last, key, "full_outer")
-    current = joined.select(*key, F.coalesce("_new", "status").alias("status"))
-    audit = joined.where(F.col("_new").isNotNull()).select(
-        *key, F.coalesce("status", F.lit("NEW")).alias("previous_state"), F.col("_new").alias("new_state"),
-        F.col("_reviewer").alias("user_id"), F.concat(F.lit("Changed assessment status for case "), F.col("case_number"), F.lit(" to "),
-                 F.col("_new")).alias("action"),
+    review = ["status", "reviewer_notes", "exclusion_reason"]
+    none = F.lit(None).cast("string")
+
+    def own(df: DataFrame) -> list[Column]:
+        return [F.col(c) if c in df.columns else none.alias(c) for c in review]
+
+    valid = updates.where(F.col("status").isin(*STATUSES)).select(*key, "seq", "reviewer_id", *own(updates))
+    last = valid.groupBy(*key).agg(F.max_by(F.struct("reviewer_id", *review), "seq").alias("_last"))
+    joined = assessments.select(*key, *own(assessments)).join(last, key, "full_outer")
+    set_now = F.col("_last").isNotNull()
+    current = joined.select(*key, *(F.when(set_now, F.col("_last")[c]).otherwise(F.col(c)).alias(c) for c in review))
+    audit = joined.where(set_now).select(
+        *key, F.coalesce("status", F.lit("NEW")).alias("previous_state"), F.col("_last.status").alias("new_state"),
+        F.col("_last.reviewer_id").alias("user_id"),
+        F.concat(F.lit("Changed assessment status for case "), F.col("case_number"), F.lit(" to "), F.col("_last.status")).alias("action"),
     )
     return current, audit

@@ -129,6 +129,12 @@ def subsection_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return ops.subsection_rollup(ops.extract_within_boundary(sectioned(spark, sf), "16"), "16")
 
 
+@query("G9", f"WITH {SQL} SELECT doc, section, ord, text FROM bl WHERE h BETWEEN 1 AND 5 AND NOT is_heading")
+def subsection_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts behind the roll-up, as parts in reading order."""
+    return ops.section_text(ops.extract_within_boundary(sectioned(spark, sf), "16"))
+
+
 @query("K4 K8", f"""WITH {SQL} SELECT doc, 'elem_' || row_number() OVER (PARTITION BY doc ORDER BY ord) AS id, page_num AS page, section,
  block_type AS type, replace(text, chr(10), ' ') AS text_or_caption FROM bl WHERE h BETWEEN 1 AND 5""")
 def export_block_trace(spark: SparkSession, sf: str) -> DataFrame:

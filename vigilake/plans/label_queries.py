@@ -71,7 +71,7 @@ def version_history(spark: SparkSession, sf: str) -> DataFrame:
     return ops.version_history(_applied(spark, sf)[1]).drop("content_hash")
 
 
-@query("C3 G14", f"""WITH {t.SQL_BATCH} SELECT strftime(ts, '%Y-%m-%d') AS run_id, count(*) AS records_found,
+@query("C3 G14", f"""WITH {t.SQL_BATCH} SELECT strftime(ts, '%Y-%m-%d') AS run_id, count(DISTINCT seq % 13) AS pages_crawled, count(*) AS records_found,
  count(*) FILTER (action = 'NEW') AS records_added, count(*) FILTER (action = 'CHANGED') AS records_changed,
  count(*) FILTER (action = 'UNCHANGED') AS records_unchanged FROM acts GROUP BY ALL""")
 def crawl_counters(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,6 +133,18 @@ def date_first_sections(spark: SparkSession, sf: str) -> DataFrame:
     return ops.sections_by_kind(ops.latest_date_records(t.changes(spark, sf)), ["drug_id"])
 
 
+@query("W7 G16", f"""WITH {t.SQL_CHANGES}, l AS (SELECT * FROM ch WHERE source_date IS NOT NULL
+  QUALIFY CAST(source_date AS DATE) = max(CAST(source_date AS DATE)) OVER (PARTITION BY drug_id)),
+k AS (SELECT * FROM (VALUES ('click', 'adverse'), ('view', 'warnings'), ('signup', 'populations')) v(event_type, kind))
+SELECT drug_id, kind, id, updated_text FROM l JOIN k USING (event_type)
+UNION ALL SELECT drug_id, kind, NULL, 'NOT FOUND IN THE LATEST APPLICABLE FDA LABELING UPDATE'
+FROM (SELECT DISTINCT drug_id FROM l) CROSS JOIN k
+WHERE (drug_id, event_type) NOT IN (SELECT (drug_id, event_type) FROM l)""")
+def date_first_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts of each section kind on the latest date, in order of ``id``."""
+    return ops.section_texts(ops.latest_date_records(t.changes(spark, sf)), ["drug_id"])
+
+
 @query("G15", f"""WITH {t.SQL_CHANGES}, f AS (SELECT drug_id, source_record_id AS s, min(id) AS i FROM ch GROUP BY ALL)
 SELECT drug_id, string_agg(s, ', ' ORDER BY i) AS supplement_number FROM f GROUP BY ALL""")
 def supplement_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -330,8 +342,9 @@ def drug_search_summary(spark: SparkSession, sf: str) -> DataFrame:
 d AS (SELECT id AS request_id, normalized_name, source FROM dr WHERE source <> 'TGA')
 SELECT request_id, CASE WHEN d.request_id IS NULL THEN 'not_found' ELSE 'success' END AS document_status,
  normalized_name AS document_payload, CASE WHEN w.request_id IS NULL THEN 'not_found' ELSE 'success' END AS website_status,
- '{{"website_Name":"FDA_details","changes":' || n || ',"coverage":"complete"}}' AS website_payload, 'success' AS status
-FROM d FULL JOIN w USING (request_id)""")
+ '{{"website_Name":"FDA_details","changes":' || n || ',"coverage":"complete"}}' AS website_payload, 'success' AS status,
+ '{{"drug_id":' || dr.id || ',"drug_name":"' || display_name || '","source":"' || dr.s || '"}}' AS request
+FROM d FULL JOIN w USING (request_id) LEFT JOIN (SELECT id, display_name, source AS s FROM dr) dr ON dr.id = request_id""")
 def unified_response(spark: SparkSession, sf: str) -> DataFrame:
     """Both branches of a client request as one row with a JSON payload."""
     from vigilake.functions.classify import coverage, website_name
@@ -343,7 +356,10 @@ def unified_response(spark: SparkSession, sf: str) -> DataFrame:
         coverage(start, start)["coverage"].alias("coverage")))
     website = t.changes(spark, sf).groupBy(F.col("drug_id").alias("request_id")).agg(F.count(F.lit(1)).alias("n")).select(
         "request_id", item.alias("payload"))
-    return lookup.unified_response(documents, website)
+    requests = t.drugs(spark, sf).select(
+        F.col("id").alias("request_id"),
+        F.to_json(F.struct(F.col("id").alias("drug_id"), F.col("display_name").alias("drug_name"), "source")).alias("request"))
+    return lookup.unified_response(documents, website, requests)
 
 
 _LATEST = f"""{t.SQL_CHANGES}, {t.SQL_DRUGS}, al AS (SELECT * FROM ch WHERE allowed),

@@ -82,7 +82,7 @@ def batch_of(events: DataFrame) -> DataFrame:
     return events.selectExpr(
         "user_id AS drug_id", f"{SECTION} AS section", "concat('SUPPL-', event_id % 3) AS source_record_id",
         "event_id AS seq", "concat('Drug ', user_id) AS display_name", "CAST(NULL AS STRING) AS active_ingredient",
-        "CAST('2024-01-01 00:00:00' AS TIMESTAMP_NTZ) AS source_date", "'' AS source_url",
+        "CAST('2024-01-01 00:00:00' AS TIMESTAMP_NTZ) AS source_date", "concat('https://x/', event_id % 13) AS source_url",
         "CASE WHEN CAST(get_json_object(props, '$.k') AS INT) % 2 = 0 THEN '' ELSE 'orig' END AS original_text",
         "concat('pregnancy note ', CAST(get_json_object(props, '$.k') AS INT) DIV 34) AS updated_text",
         "CAST(NULL AS STRING) AS fda_comment", "ts AS verified_at", "date_format(ts, 'yyyy-MM-dd') AS run_id",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilake.functions import listing as cells
 from vigilake.operators import dictionary, listing as ops, reports, search
-from vigilake.operators.skew import cut_lineage
+from vigilake.operators.skew import cut_lineage, pick
 from vigilake.plans import listing_tables as t
 from vigilake.plans.registry import query, spread_table, table
 
@@ -171,17 +171,36 @@ def lookup_terms(spark: SparkSession, sf: str) -> DataFrame:
     return dictionary.lookup_terms(t.smq_terms(spark, sf)).select("smq_name", "scope", "pt_name_upper", "pt_code")
 
 
-@query("A13 S18", f"""WITH {t.SQL_MATCHES} SELECT concern_id, search_method,
- CASE WHEN search_method IN ('BROAD_SMQ','NARROW_SMQ','SMQ_SUBFILTER') THEN grp END AS cfg_group, scope AS cfg_scope,
- o.n AS product_cases FROM concerns_t JOIN (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) o
- ON o_orderpriority = product_name""")
+_CONCERN = """'c_' || p_partkey AS concern_id, p_brand || ' ' || p_type AS product_name,
+ CASE p_size % 4 WHEN 0 THEN 'BROAD_SMQ' WHEN 1 THEN 'NARROW_SMQ' WHEN 2 THEN 'SMQ_SUBFILTER' ELSE 'SINGLE_PT' END AS search_method"""
+
+
+@query("A13", f"""SELECT {_CONCERN}, CASE WHEN p_size % 4 = 2 THEN 'Medication errors (SMQ)' ELSE p_brand || ' (SMQ)' END AS cfg_group,
+ CASE p_size % 4 WHEN 1 THEN 'Narrow' ELSE 'Broad' END AS cfg_scope, CASE WHEN p_size % 4 = 3 THEN p_name ELSE '' END AS cfg_terms FROM part""")
 def search_config(spark: SparkSession, sf: str) -> DataFrame:
-    """Parsed search parameters with the number of cases in their reach."""
-    per_product = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("product_name")).agg(
-        F.count(F.lit(1)).alias("product_cases"))
-    return search.parse_search_config(t.concerns(spark, sf)).join(per_product, "product_name").select(
-        F.col("id").alias("concern_id"), "search_method", "cfg_group", "cfg_scope", "product_cases"
-    )
+    """Parsed search parameters of every concern."""
+    return search.parse_search_config(t.part_concerns(spark, sf)).select(
+        F.col("id").alias("concern_id"), "product_name", "search_method", "cfg_group", "cfg_scope",
+        F.array_join("cfg_pts", ",").alias("cfg_terms"))
+
+
+@query("S18 A13", """WITH c AS (SELECT p_brand || '/' || p_type AS id, p_name AS name, p_size FROM part
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY p_partkey) = 1),
+b AS (SELECT p_brand || '/' || CASE WHEN p_size < 25 THEN p_type ELSE p_name END AS id, p_name AS name, p_size FROM part
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY p_partkey DESC) = 1)
+SELECT id, name, CASE p_size % 4 WHEN 0 THEN 'BROAD_SMQ' WHEN 1 THEN 'NARROW_SMQ' WHEN 2 THEN 'SMQ_SUBFILTER' ELSE 'SINGLE_PT' END AS search_method
+FROM b UNION ALL SELECT id, name, CASE p_size % 4 WHEN 0 THEN 'BROAD_SMQ' WHEN 1 THEN 'NARROW_SMQ' WHEN 2 THEN 'SMQ_SUBFILTER' ELSE 'SINGLE_PT' END
+FROM c WHERE id NOT IN (SELECT id FROM b)""")
+def seed_concerns(spark: SparkSession, sf: str) -> DataFrame:
+    """Concerns per group and class, then a batch that replaces and adds some."""
+    rows = t.part_concerns(spark, sf).withColumn("seq", F.substring("id", 3, 20).cast("long"))
+    keyed = table(spark, sf, "part").selectExpr(
+        "p_partkey AS seq", "concat(p_brand, '/', p_type) AS old_id",
+        "concat(p_brand, '/', CASE WHEN p_size < 25 THEN p_type ELSE p_name END) AS new_id")
+    both = rows.drop("id").join(keyed, "seq")
+    current = pick(both.withColumn("id", F.col("old_id")).drop("old_id", "new_id"), ["id"], F.col("seq"), largest=False).drop("seq")
+    batch = both.withColumn("id", F.col("new_id")).drop("old_id", "new_id")
+    return search.upsert_concerns(current, batch.select(*current.columns, "seq")).select("id", "name", "search_method")
 
 
 @query("W8", f"""WITH {t.SQL_MATCHES}, ds AS (
@@ -326,16 +345,19 @@ def active_run(spark: SparkSession, sf: str) -> DataFrame:
     return search.active_run(search.flag_active_runs(_runs(spark, sf)))
 
 
-@query("C5 J8", f"""WITH {t.SQL_STATUS} SELECT case_number, concern_id, dataset_id, status FROM assess_t
-UNION ALL SELECT DISTINCT case_number, concern_id, dataset_id, 'CANDIDATE' FROM matches_t
-  ANTI JOIN assess_t USING (case_number, concern_id, dataset_id)""")
+@query("C5 J8", f"""WITH {t.SQL_STATUS} SELECT case_number, concern_id, dataset_id, status,
+  coalesce(id, 'ass_' || concern_id || '_' || dataset_id || '_' || case_number) AS id FROM assess_t
+UNION ALL SELECT DISTINCT case_number, concern_id, dataset_id, 'CANDIDATE', 'ass_' || concern_id || '_' || dataset_id || '_' || case_number
+  FROM matches_t ANTI JOIN assess_t USING (case_number, concern_id, dataset_id)""")
 def init_assessments(spark: SparkSession, sf: str) -> DataFrame:
-    return search.init_assessments(t.assessments(spark, sf), _matches(spark, sf))
+    return search.init_assessments(t.assessments(spark, sf), _matches(spark, sf)).select(
+        "case_number", "concern_id", "dataset_id", "status", "id")
 
 
 _UPDATES_SQL = """, upd AS (
   SELECT case_number, substr(product_name, 1, 1) || '_soc' AS concern_id, dataset_id, 'rev' || l_linenumber AS reviewer_id,
-         CASE ls WHEN 'F' THEN 'RELEVANT' ELSE CASE rf WHEN 'R' THEN 'BOGUS' ELSE 'NEEDS_REVIEW' END END AS status, source_row
+         CASE ls WHEN 'F' THEN 'RELEVANT' ELSE CASE rf WHEN 'R' THEN 'BOGUS' ELSE 'NEEDS_REVIEW' END END AS status, source_row,
+         'read by ' || l_linenumber AS reviewer_notes, CASE WHEN ls <> 'F' THEN 'Unclear' END AS exclusion_reason
   FROM li),
 last AS (SELECT * FROM upd WHERE status <> 'BOGUS'
   QUALIFY row_number() OVER (PARTITION BY case_number, concern_id, dataset_id ORDER BY source_row DESC) = 1)"""
@@ -351,11 +373,14 @@ def _updates(spark: SparkSession, sf: str) -> DataFrame:
         "`Case Number` AS case_number", "concat(substring(product_name, 1, 1), '_soc') AS concern_id", "dataset_id",
         "concat('rev', l_linenumber) AS reviewer_id", "source_row AS seq",
         "CASE WHEN l_linestatus = 'F' THEN 'RELEVANT' WHEN l_returnflag = 'R' THEN 'BOGUS' ELSE 'NEEDS_REVIEW' END AS status",
+        "concat('read by ', l_linenumber) AS reviewer_notes", "CASE WHEN l_linestatus <> 'F' THEN 'Unclear' END AS exclusion_reason",
     )
 
 
 @query("C6", f"""WITH {t.SQL_STATUS} {_UPDATES_SQL}
-SELECT case_number, concern_id, dataset_id, coalesce(last.status, a.status) AS status
+SELECT case_number, concern_id, dataset_id, coalesce(last.status, a.status) AS status,
+ CASE WHEN last.status IS NULL THEN a.reviewer_notes ELSE last.reviewer_notes END AS reviewer_notes,
+ CASE WHEN last.status IS NULL THEN a.exclusion_reason ELSE last.exclusion_reason END AS exclusion_reason
 FROM assess_t a FULL JOIN last USING (case_number, concern_id, dataset_id)""")
 def update_assessment(spark: SparkSession, sf: str) -> DataFrame:
     return search.update_assessments(t.assessments(spark, sf), _updates(spark, sf))[0]
@@ -414,13 +439,34 @@ def section_16_1_sheet(spark: SparkSession, sf: str) -> DataFrame:
     return reports.section_16_1_sheet(_table(spark, sf))
 
 
-@query("G2 J9", f"""WITH {t.SQL_STATUS} SELECT concern_id, s.dataset_id, case_number, country, product_name, is_serious,
-  case_outcome AS outcome, n_matches, status AS assessment_status FROM status_t s JOIN cases_t c USING (case_number)""")
+_CASE_ROWS = """SELECT concern_id, s.dataset_id, case_number, country, product_name, is_serious, case_outcome AS outcome, n_matches,
+  status AS assessment_status, reviewer_notes, exclusion_reason, '' AS report_type, '' AS age, '' AS sex, '' AS listedness,
+  initial_receipt_date{more} FROM status_t s JOIN cases_t c USING (case_number)"""
+
+
+@query("G2 J9", f"WITH {t.SQL_STATUS} {_CASE_ROWS.format(more='')}")
 def search_summary_cases(spark: SparkSession, sf: str) -> DataFrame:
     cases = reports.matched_cases(_matches(spark, sf), t.assessments(spark, sf))
     return reports.search_summary_cases(cases, t.case_records(spark, sf))
 
 
+@query("G2", f"""WITH {t.SQL_STATUS} SELECT concern_id, dataset_id, case_number, position, matched_field, matched_term, pt_code,
+  reference_source, evidence, source_row, status AS assessment_status FROM matches_t JOIN status_t USING (concern_id, dataset_id, case_number)""")
+def search_summary_matches(spark: SparkSession, sf: str) -> DataFrame:
+    matches = _stored_matches(spark, sf)
+    return reports.search_summary_matches(matches, reports.matched_cases(matches, t.assessments(spark, sf)))
+
+
+_LISTED = """, CASE status WHEN 'RELEVANT' THEN 'relevant' WHEN 'NOT_RELEVANT' THEN 'excluded' ELSE 'pending' END AS case_list"""
+
+
+@query("G3", f"WITH {t.SQL_STATUS} {_CASE_ROWS.format(more=_LISTED)}")
+def concern_report_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Relevant, excluded and pending cases of every concern."""
+    cases = reports.matched_cases(_matches(spark, sf), t.assessments(spark, sf))
+    return reports.concern_report_cases(cases, t.case_records(spark, sf))
+
+
 @query("G2", f"""WITH {t.SQL_STATUS} SELECT concern_id, dataset_id, CAST(sum(n_matches) AS BIGINT) AS total_event_matches,
   count(*) AS number_of_relevant_cases, count(*) FILTER (status = 'RELEVANT') AS confirmed_relevant_count,
   count(*) FILTER (status = 'NOT_RELEVANT') AS excluded_count,
@@ -470,21 +516,23 @@ def concern_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_DETAIL_SQL = f"""WITH {t.SQL_STATUS} SELECT dataset_id, case_number, 'record' AS part, CAST(0 AS BIGINT) AS ordinal,
-  product_name || '|' || country || '|' || case_outcome AS value FROM cases_t
+_DETAIL_SQL = f"""WITH {t.SQL_STATUS} {_UPDATES_SQL} SELECT dataset_id, case_number, 'record' AS part, CAST(0 AS BIGINT) AS ordinal,
+  product_name || '|' || country || '|' || case_outcome || '|||||' || initial_receipt_date || '|' || source_row AS value FROM cases_t
 UNION ALL SELECT dataset_id, case_number, 'event', position, normalized_term || '|' || CAST(m.term IS NOT NULL AS VARCHAR) FROM events_t e
    LEFT JOIN (SELECT DISTINCT case_number AS cn, upper(matched_term) AS term FROM matches_t) m ON m.cn = e.case_number AND m.term = e.normalized_term
 UNION ALL SELECT dataset_id, case_number, 'product', source_row, product_name_raw || '|' || role FROM products_t
 UNION ALL SELECT dataset_id, case_number, 'match', coalesce(position, 0), concern_id || '|' || matched_term FROM matches_t
-UNION ALL SELECT dataset_id, case_number, 'assessment', 0, concern_id || '|' || status FROM assess_t"""
+UNION ALL SELECT dataset_id, case_number, 'assessment', 0, concern_id || '|' || status FROM assess_t
+UNION ALL SELECT dataset_id, case_number, 'audit', 0, concern_id || '|' || reviewer_id || '|Changed assessment status for case ' || case_number
+  || ' to ' || status FROM last"""
 
 
 @query("J18", _DETAIL_SQL)
 def case_detail(spark: SparkSession, sf: str) -> DataFrame:
     return reports.case_detail(
         cut_lineage(t.case_records(spark, sf)), t.case_events(spark, sf), t.case_products(spark, sf),
-        _stored_matches(spark, sf),
-        t.assessments(spark, sf),
+        _stored_matches(spark, sf), t.assessments(spark, sf),
+        audit=search.update_assessments(t.assessments(spark, sf), _updates(spark, sf))[1],
     )
 
 
@@ -495,6 +543,16 @@ def ingestion_status(spark: SparkSession, sf: str) -> DataFrame:
     return reports.ingestion_status(t.case_records(spark, sf), t.case_events(spark, sf), t.datasets(spark, sf))
 
 
+@query("G6", f"""WITH {t.SQL_EVENTS} SELECT 'cases' AS kind, '' AS name, count(*) AS n FROM cases_t
+UNION ALL SELECT 'events', '', count(*) FROM events_t UNION ALL SELECT 'smq_terms', '', count(*) FROM part
+UNION ALL SELECT 'concerns', '', count(*) FROM part UNION ALL SELECT 'product', product_name, count(*) FROM cases_t GROUP BY ALL
+UNION ALL SELECT DISTINCT 'file', 'listing_' || substr(o_orderpriority, 1, 1) || '_' || year(o_orderdate) || '.xlsx', 1 FROM orders""")
+def ingestion_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of all tables, products and files."""
+    return reports.ingestion_totals(
+        t.case_records(spark, sf), t.case_events(spark, sf), t.smq_terms(spark, sf), t.part_concerns(spark, sf), t.datasets(spark, sf))
+
+
 _BRACKET_SQL = f"""WITH {t.SQL_LI}, per_row AS (SELECT dataset_id, case_number,
   CASE rf WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS n, rf, p_name, p_type FROM li)"""
 
@@ -522,6 +580,13 @@ def list_cases(spark: SparkSession, sf: str) -> DataFrame:
     return reports.page(found, [F.col("case_number")], number=2).select("case_number", "product_name", "country")
 
 
+@query("L2", f"""WITH {t.SQL_EVENTS} SELECT count(*) AS total, CAST(ceil(count(*) / 50) AS BIGINT) AS pages FROM cases_t
+WHERE product_name ILIKE '%hi_h%' AND country ILIKE '%f%' AND is_serious""")
+def list_cases_total(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and pages behind the filtered case list."""
+    return reports.page_totals(reports.list_cases(t.case_records(spark, sf), product="HI_H", country="f", serious_only=True))
+
+
 @query("P14", f"""WITH {t.SQL_STATUS} SELECT concern_id, dataset_id, case_number, outcome FROM (
   SELECT concern_id, s.dataset_id, case_number, country, case_outcome AS outcome FROM status_t s JOIN cases_t USING (case_number)) x
 WHERE contains(lower(case_number), 'ring') OR contains(lower(country), 'ring') OR contains(lower(outcome), 'ring')
@@ -553,14 +618,11 @@ def backfill_case_key(spark: SparkSession, sf: str) -> DataFrame:
     return reports.backfill_case_key(children, records).select("case_number", "position", "case_id")
 
 
-@query("P20", f"""WITH {t.SQL_MATCHES} SELECT concern_id, o.n AS cases FROM concerns_t
-JOIN (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) o ON o_orderpriority = product_name
-WHERE product_name ILIKE '%low%'""")
+@query("P20", f"""SELECT {_CONCERN} FROM part WHERE p_brand || ' ' || p_type ILIKE '%#1%'""")
 def list_concerns(spark: SparkSession, sf: str) -> DataFrame:
-    per_product = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("product_name")).agg(
-        F.count(F.lit(1)).alias("cases"))
-    found = t.concerns(spark, sf).where(F.ilike("product_name", F.lit("%low%")))
-    return found.join(per_product, "product_name").select(F.col("id").alias("concern_id"), "cases")
+    """Concerns whose product name contains a text."""
+    return search.list_concerns(t.part_concerns(spark, sf), "#1").select(
+        F.col("id").alias("concern_id"), "product_name", "search_method")
 
 
 @query("U1", """WITH a AS (SELECT DISTINCT p_name || ' ' || p_size AS header FROM part WHERE p_size <= 30),

@@ -77,6 +77,7 @@ def datasets(spark: SparkSession, sf: str) -> DataFrame:
         "concat('ds_', substring(o_orderpriority, 1, 1), '_', year(o_orderdate)) AS id",
         "o_orderpriority AS product_name", "CAST(year(o_orderdate) AS STRING) AS reporting_period",
         "'ACTIVE' AS status", "year(o_orderdate) AS created_at",
+        "concat('listing_', substring(o_orderpriority, 1, 1), '_', year(o_orderdate), '.xlsx') AS source_filename",
     ).distinct()
 
 
@@ -124,6 +125,18 @@ def concern_list() -> list[tuple]:
     ]
 
 
+def part_concerns(spark: SparkSession, sf: str) -> DataFrame:
+    """One search definition per part; method and parameters by its size."""
+    return table(spark, sf, "part").selectExpr(
+        "concat('c_', p_partkey) AS id", "concat(p_brand, ' ', p_type) AS product_name", "'2024' AS reporting_period",
+        "p_name AS name", "'Missing Information' AS category", "p_type AS description",
+        "CASE p_size % 4 WHEN 0 THEN 'BROAD_SMQ' WHEN 1 THEN 'NARROW_SMQ' WHEN 2 THEN 'SMQ_SUBFILTER' ELSE 'SINGLE_PT' END AS search_method",
+        "to_json(named_struct('smq_name', CASE WHEN p_size % 4 <> 2 THEN concat(p_brand, ' (SMQ)') END,"
+        " 'scope', CASE WHEN p_size % 4 = 0 THEN 'Broad' END, 'pt', p_name)) AS search_config",
+        "FALSE AS requires_secondary_assessment",
+    )
+
+
 def concerns(spark: SparkSession, sf: str) -> DataFrame:
     """A fixed list of search definitions, 55 rows whatever the data size."""
     return spark.createDataFrame(concern_list(), CONCERN_SCHEMA)
@@ -141,6 +154,9 @@ def assessments(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_orderkey").cast("string").alias("case_number"),
         F.explode(F.array(*(F.concat(digit, F.lit(f"_{s}")) for s in ("broad", "soc", "many")))).alias("concern_id"),
         F.concat(F.lit("ds_"), digit, F.lit("_"), F.col("y")).alias("dataset_id"), status.alias("status"),
+        F.concat(F.lit("note "), "rf").alias("reviewer_notes"),
+        F.when(F.col("rf") == "A", "Unrelated").alias("exclusion_reason"),
+        F.when(F.col("rf") != "R", F.concat(F.lit("a_"), "l_orderkey")).alias("id"),
     )
 
 
@@ -323,9 +339,11 @@ matches_t AS (
 SQL_STATUS = SQL_MATCHES + """,
 assess_t AS (
   SELECT case_number, substr(product_name, 1, 1) || s AS concern_id, dataset_id,
-         CASE min(rf) WHEN 'R' THEN 'RELEVANT' WHEN 'A' THEN 'NOT_RELEVANT' ELSE 'NEEDS_REVIEW' END AS status
+         CASE min(rf) WHEN 'R' THEN 'RELEVANT' WHEN 'A' THEN 'NOT_RELEVANT' ELSE 'NEEDS_REVIEW' END AS status,
+         'note ' || min(rf) AS reviewer_notes, CASE WHEN min(rf) = 'A' THEN 'Unrelated' END AS exclusion_reason,
+         CASE WHEN min(rf) <> 'R' THEN 'a_' || min(case_number) END AS id
   FROM li CROSS JOIN (VALUES ('_broad'), ('_soc'), ('_many')) v(s) GROUP BY ALL),
 status_t AS (
-  SELECT concern_id, dataset_id, case_number, n_matches, coalesce(status, 'CANDIDATE') AS status
+  SELECT concern_id, dataset_id, case_number, n_matches, coalesce(status, 'CANDIDATE') AS status, reviewer_notes, exclusion_reason
   FROM (SELECT concern_id, dataset_id, case_number, count(*) AS n_matches FROM matches_t GROUP BY ALL)
   LEFT JOIN assess_t USING (concern_id, dataset_id, case_number))"""

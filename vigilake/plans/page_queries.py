@@ -248,14 +248,14 @@ def tga_metadata_rows(spark: SparkSession, sf: str) -> DataFrame:
  ('MedWatch Safety Communication', 'FDA MedWatch Alert: ' || repeat(p_brand || ' ', 20), 'MW-ART-' || md5('u' || p_partkey), 'Official FDA MedWatch Safety Communication.', TRUE),
  ('FDA Recall Notice (Class I)', 'FDA Recall: R-' || p_type, 'MW-RECALL-R-' || p_type, 'FDA Enforcement Notice for ' || p_name || '.', p_name = 'red ring')) v(section, t, r, c, ok)
  JOIN (VALUES (0)) z(z) ON ok WHERE v.section <> 'FDA Recall Notice (Class I)'
-UNION ALL SELECT a.p_partkey, 'FDA Recall Notice (Class I)', 'FDA Recall: R-' || r.p_partkey, 'MW-RECALL-R-' || r.p_partkey, 'FDA Enforcement Notice for ' || a.p_name || '.' FROM part a JOIN part r ON a.p_name = r.p_name WHERE r.p_size = 1""")
+UNION ALL SELECT a.p_partkey, 'FDA Recall Notice (Class I)', 'FDA Recall: R-' || r.p_partkey, 'MW-RECALL-R-' || r.p_partkey, 'FDA Enforcement Notice for ' || a.p_name || '.' FROM part a JOIN (SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY ALL) r ON a.p_name = r.p_name""")
 def medwatch_changes(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
     articles = part.selectExpr(
         "p_partkey AS article_id", "p_name AS product", "repeat(concat(p_brand, ' '), 20) AS title", "'' AS summary", "concat('u', p_partkey) AS url", "'2026-01-01' AS publication_date", "'d' AS pdf_url", "'2025-01-01' AS document_date",
         "CASE WHEN p_size % 3 = 0 THEN p_type END AS adverse", "CASE p_size % 3 WHEN 1 THEN 'ADVERSE_REACTIONS_SECTION_NOT_FOUND' WHEN 2 THEN 'PDF_EXTRACTION_FAILED' ELSE 'OK' END AS adverse_status",
         "CASE WHEN p_size % 3 = 0 THEN 'w' END AS warnings", "'' AS pregnancy", "'4-9' AS pages_6", "'3' AS pages_5", "'' AS pages_8", "2 AS n_subsections", "1 AS n_tables")
-    notices = part.where("p_size = 1").selectExpr("p_name AS product", "concat('R-', p_partkey) AS recall_number", "'Class I' AS classification", "'x' AS reason", "'y' AS firm")
+    notices = part.groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey")).selectExpr("p_name AS product", "concat('R-', p_partkey) AS recall_number", "'Class I' AS classification", "'x' AS reason", "'y' AS firm")
     return pr.medwatch_changes(articles, notices).select("article_id", "section", "change_type", "source_record_id", "fda_comment")
 
 
@@ -282,20 +282,27 @@ def bulletin_rows(spark: SparkSession, sf: str) -> DataFrame:
 def _files(spark: SparkSession, sf: str, shift: int) -> DataFrame:
     """Documents as files; a third each unchanged, touched and rewritten."""
     return table(spark, sf, "documents").selectExpr(
-        "concat('/in/', doc_id, '.pdf') AS path", "concat(doc_id, '.pdf') AS filename",
+        "doc_id", "concat('/in/', doc_id, '.pdf') AS path", "concat(doc_id, '.pdf') AS filename",
         f"doc_id + CASE WHEN doc_id % 3 = 0 THEN 0 ELSE {shift} END AS mtime", "length(text) AS size",
         f"sha2(concat(text, CASE WHEN doc_id % 3 = 2 THEN '{shift}' ELSE '' END), 256) AS file_hash", "'success' AS status")
 
 
-@query("S14 G13", """SELECT doc_id || '.pdf' AS filename, CASE doc_id % 3 WHEN 0 THEN 'unmodified' WHEN 1 THEN 'hash_match' ELSE 'processed' END AS outcome FROM documents""")
+def _read(files: DataFrame) -> DataFrame:
+    """Some of the rewritten files cannot be read and have no hash."""
+    return files.withColumn("file_hash", F.expr("CASE WHEN doc_id % 3 = 2 AND doc_id % 7 = 3 THEN NULL ELSE file_hash END"))
+
+
+@query("S14 G13", """SELECT doc_id || '.pdf' AS filename, CASE doc_id % 3 WHEN 0 THEN 'unmodified' WHEN 1 THEN 'hash_match' ELSE CASE WHEN doc_id % 7 = 3 THEN 'errored' ELSE 'processed' END END AS outcome FROM documents""")
 def scan_folder(spark: SparkSession, sf: str) -> DataFrame:
-    new = _files(spark, sf, 5)
+    new = _read(_files(spark, sf, 5))
     return feeds.scan_outcome(new.drop("file_hash", "status"), new, _files(spark, sf, 0)).select("filename", "outcome")
 
 
-@query("G13", """SELECT count(*) AS files_scanned, count(*) FILTER (doc_id % 3 = 2) AS files_processed, count(*) FILTER (doc_id % 3 <> 2) AS files_skipped FROM documents""")
+@query("G13", """SELECT count(*) FILTER (doc_id % 3 = 2 AND doc_id % 7 = 3) AS files_errored, 'completed_with_errors' AS status,
+ CAST(max(doc_id) + 2 - min(doc_id) AS DOUBLE) AS duration_seconds, count(*) AS files_scanned, count(*) FILTER (doc_id % 3 = 2 AND doc_id % 7 <> 3) AS files_processed, count(*) FILTER (doc_id % 3 <> 2) AS files_skipped FROM documents""")
 def scan_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    new = _files(spark, sf, 5)
+    new = _read(_files(spark, sf, 5)).selectExpr("*", "timestamp_seconds(mtime - 5 * CAST(doc_id % 3 <> 0 AS INT)) AS started_at",
+                                                 "timestamp_seconds(doc_id + 2) AS finished_at")
     return feeds.scan_metrics(feeds.scan_outcome(new.drop("file_hash", "status"), new, _files(spark, sf, 0)))
 
 

@@ -149,24 +149,32 @@ def changed_files(files: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def scan_outcome(files: DataFrame, contents: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:
-    """``outcome`` per file: unmodified, hash_match or processed.
+    """``outcome`` per file: unmodified, hash_match, errored or processed.
 
-    contents: path, file_hash. A file with a new time but the known hash of a
-    finished extraction is skipped as well.
+    contents: path, file_hash, and started_at and finished_at where they were
+    measured. A file with a new time but the known hash of a finished extraction
+    is skipped as well; one without a hash could not be read.
     """
+    times = [c for c in ("started_at", "finished_at") if c in contents.columns]
     known = state.select("filename", F.col("mtime").alias("_mtime"), F.col("size").alias("_size"),
                          F.col("file_hash").alias("_hash"), F.col("status").alias("_status"))
-    d = files.dropDuplicates(["path"]).join(contents.select("path", "file_hash"), "path", "left").join(known, "filename", "left")
+    d = files.drop("started_at", "finished_at").dropDuplicates(["path"]).join(contents.select("path", "file_hash", *times), "path", "left").join(known, "filename", "left")
     same = (F.col("mtime") == F.col("_mtime")) & (F.col("size") == F.col("_size"))
     same_hash = (F.col("file_hash") == F.col("_hash")) & F.col("_status").isin("success", "not_found")
     go = F.lit(force)
     outcome = F.when(~go & F.coalesce(same, F.lit(False)), "unmodified").when(
-        ~go & F.coalesce(same_hash, F.lit(False)), "hash_match").otherwise("processed")
-    return d.select("path", "filename", "mtime", "size", "file_hash", outcome.alias("outcome"))
+        ~go & F.coalesce(same_hash, F.lit(False)), "hash_match").when(F.col("file_hash").isNull(), "errored").otherwise("processed")
+    return d.select("path", "filename", "mtime", "size", "file_hash", outcome.alias("outcome"), *times)
 
 
 def scan_metrics(outcomes: DataFrame) -> DataFrame:
+    errored = F.count_if(F.col("outcome") == "errored")
+    none = F.lit(None).cast("double")
+    timed = {"started_at", "finished_at"} <= set(outcomes.columns)
+    seconds = F.unix_micros(F.max("finished_at")) - F.unix_micros(F.min("started_at")) if timed else none
     return outcomes.agg(
+        errored.alias("files_errored"), F.when(errored > 0, "completed_with_errors").otherwise("completed").alias("status"),
+        (F.round(seconds / F.lit(1e6), 2) if timed else F.max(none)).alias("duration_seconds"),
         F.count(F.lit(1)).alias("files_scanned"), F.count_if(F.col("outcome") == "processed").alias("files_processed"),
         F.count_if(F.col("outcome").isin("unmodified", "hash_match")).alias("files_skipped"))
 

@@ -1,30 +1,48 @@
 """Change capture and folder watching as Structured Streaming jobs.
 
-Every micro-batch writes the next version of its tables under its own batch
-number and reads the one before, so a batch that is run again after a failure
-overwrites its own output and nothing is applied twice.
+Tables grow by batches: versions, actions and scanned files are only appended,
+under the number of their micro-batch, and of the change table a batch writes
+only the buckets of drugs that it touches. A batch reads what batches before it
+wrote, so one that is run again after a failure overwrites its own output and
+nothing is applied twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigilake.operators import changes as ops
+from vigilake.operators.skew import pick
 from vigilake.sources import feeds
 
+BUCKETS = 64  # buckets of the change table; a batch rewrites those it touches
+TOUCHED_SCHEMA = "bucket INT"
 
-def _version(root: str, name: str, batch_id: int) -> str:
+
+def _part(root: str, name: str, batch_id: int) -> str:
     return f"{root}/{name}/batch={batch_id}"
 
 
+def _rows(spark: SparkSession, root: str, name: str, batch_id: int, schema: str) -> DataFrame:
+    """All rows of the batches up to one, with the columns of their folders."""
+    return spark.read.schema(f"{schema}, batch LONG").parquet(f"{root}/{name}").where(F.col("batch") <= batch_id)
+
+
 def read_version(spark: SparkSession, root: str, name: str, batch_id: int, schema: str) -> DataFrame:
     """A table as it was after a batch; empty before the first one."""
     if batch_id < 0:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_version(root, name, batch_id))
+    if name == "changes":
+        newest = _rows(spark, root, "touched", batch_id, TOUCHED_SCHEMA).groupBy("bucket").agg(F.max("batch").alias("batch"))
+        rows = _rows(spark, root, name, batch_id, f"{schema}, bucket INT")
+        return rows.join(newest, ["bucket", "batch"], "left_semi").drop("bucket", "batch")
+    if name == "files":
+        return pick(_rows(spark, root, name, batch_id, schema), ["filename"], F.col("batch")).drop("batch")
+    rows = _rows(spark, root, name, batch_id, f"{schema}, bucket INT" if name == "versions" else schema)
+    return rows.drop("bucket", "batch")
 
 
 ACTIONS_SCHEMA = (
@@ -32,20 +50,28 @@ ACTIONS_SCHEMA = (
 )
 
 
-def change_sink(root: str, whitelist: bool = True) -> Callable[[DataFrame, int], None]:
+def change_sink(root: str, whitelist: bool = True, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """foreachBatch function that feeds crawled rows to the change tables."""
+    bucket = F.pmod(F.xxhash64("drug_id"), F.lit(buckets)).cast("int").alias("bucket")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = read_version(spark, root, "changes", batch_id - 1, ops.CHANGES_SCHEMA)
-        versions = read_version(spark, root, "versions", batch_id - 1, ops.VERSIONS_SCHEMA)
         prepared = ops.prepare_changes(batch, whitelist)
-        new_current, new_versions, actions = ops.apply_changes(current, versions, prepared)
-        for name, df in (
-            ("changes", new_current), ("versions", new_versions),
-            ("actions", actions.select("drug_id", "section", "source_record_id", "seq", "content_hash", "action")),
-        ):
-            df.write.mode("overwrite").parquet(_version(root, name, batch_id))
+        prepared.select(bucket).distinct().coalesce(1).write.mode("overwrite").parquet(_part(root, "touched", batch_id))
+        touched = spark.read.schema(TOUCHED_SCHEMA).parquet(_part(root, "touched", batch_id))
+
+        def before(name: str, schema: str) -> DataFrame:
+            table = read_version(spark, root, name, batch_id - 1, schema)
+            return table.withColumn("_bucket", bucket).join(
+                touched.withColumnRenamed("bucket", "_bucket"), "_bucket", "left_semi").drop("_bucket")
+
+        new_current, new_versions, actions = ops.changed_tables(
+            before("changes", ops.CHANGES_SCHEMA), before("versions", ops.VERSIONS_SCHEMA), prepared)
+        for name, df in (("changes", new_current), ("versions", new_versions)):
+            df.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+                _part(root, name, batch_id))
+        actions.select("drug_id", "section", "source_record_id", "seq", "content_hash", "action").write.mode(
+            "overwrite").parquet(_part(root, "actions", batch_id))
 
     return write
 
@@ -70,8 +96,6 @@ def folder_sink(root: str, extract: Callable[[DataFrame], DataFrame] | None = No
     ``extract`` turns the processed files (path, filename, content) into the
     rows of the section index.
     """
-    from pyspark.sql import functions as F
-
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         known = read_version(spark, root, "files", batch_id - 1, SCAN_SCHEMA)
@@ -83,9 +107,8 @@ def folder_sink(root: str, extract: Callable[[DataFrame], DataFrame] | None = No
         processed = outcome.where("outcome = 'processed'").select("path")
         if extract is not None:
             extract(named.join(processed, "path", "left_semi")).write.mode("overwrite").parquet(
-                _version(root, "sections", batch_id))
-        kept = known.join(outcome.select("filename"), "filename", "left_anti")
-        kept.unionByName(outcome).write.mode("overwrite").parquet(_version(root, "files", batch_id))
+                _part(root, "sections", batch_id))
+        outcome.write.mode("overwrite").parquet(_part(root, "files", batch_id))
 
     return write
 
