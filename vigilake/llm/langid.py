@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -43,8 +44,8 @@ def subwords(text: str) -> np.ndarray:
             h = np.full(n, size, dtype=np.uint64)
             for j in range(size):
                 h = h * np.uint64(257) + data[j:j + n]
-            out.append((mixed(h) & np.uint64(BUCKETS - 1)).astype(np.int32))
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
+            out.append((mixed(h) & np.uint64(BUCKETS - 1)).astype(np.uint16))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint16)
 
 
 @dataclass
@@ -133,15 +134,21 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Fit on about ``per_language`` documents of each language, chosen by a
     hash of their ids among all that may be learned from; languages are counted
-    first, so rare ones are there in full."""
+    first, so rare ones are there in full. One task fits the model on that
+    bounded sample; the driver only gets the model."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         F.col("id").isNotNull() & ~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     shares = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
     draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # One short map, one entry per language; the texts need no shuffle.
     known = shares.agg(F.map_from_entries(F.collect_list(F.struct("lang", "share"))).alias("shares")).scalar()
-    rows = labelled.where(draw < F.element_at(known, F.col("lang"))).select("text", "lang").collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+    sample = labelled.where(draw < F.element_at(known, F.col("lang"))).select(F.lit(0).alias("one"), "text", "lang")
+    fitted = sample.groupBy("one").applyInPandas(_fitted, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+
+
+def _fitted(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"model": [pickle.dumps(fit(rows["text"].tolist(), rows["lang"].tolist()))]})
 
 
 @lru_cache(maxsize=2)
