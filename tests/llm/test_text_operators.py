@@ -94,6 +94,27 @@ def test_secrets_edges(spark):
     assert secrets.redacted(frame(spark, [])).columns == frame(spark, []).columns
 
 
+def test_whole_key_blocks_are_redacted(spark):
+    line, head, end = "MIIEowIBAAKCAQEA" + "aB3+" * 12, "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = f"{line}\n{line}\nQz8kLw=="
+    texts = [
+        f"a\n{head}\n{body}\n{end}\nb", f"a\r\n{head}\r\n{line}\r\nQz8=\r\n{end}\r\nb", f"a {head} {line} {line} Qz8= {end} b",
+        f"a\n{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{body}\n{end}\nb", 'k = "' + f"{head}\n{body}\n{end}\n".replace("\n", "\\n") + '"',
+        f"a\n{head}\n{body}\nand prose follows", f"a\n{head}\n{body}", f"> {head}\n> {line}\n> abcd\n> {end}\nb", f"a\n{head}\nshort\nlines\nof8\n\nand prose",
+        f"{head}\n{body}\n{head}\n{body}\n{end}", f"the line {head} starts a key", f"{head} {line} {line} Qz8kLw and prose", f"{head}\n" + f"{line}\n" * 30000 + end, f"{head}\n" + f"{line}\n" * 30000,
+        f"a\n{head}\nDEK-Info: AES-128-CBC,0A1B\n\n{body}\n-----BEGIN CERTIFICATE-----\nb", f"{head}\n{end}", f'"{head}\\n{line}\\nQz8kLw"',
+    ]
+    clean = {r.doc_id: r.text for r in secrets.redacted(frame(spark, texts)).collect()}
+    want = [
+        "a\n[private_key]\nb", "a\r\n[private_key]\r\nb", "a [private_key] b", "a\n[private_key]\nb", 'k = "[private_key]\\n"', "a\n[private_key]\nand prose follows",
+        "a\n[private_key]", "> [private_key]\nb", "a\n[private_key]\n\nand prose", "[private_key]\n[private_key]", "the line [private_key] starts a key",
+        "[private_key] and prose", "[private_key]", "[private_key]\n", "a\n[private_key]\n-----BEGIN CERTIFICATE-----\nb", "[private_key]", '"[private_key]"',
+    ]
+    assert [clean[i] for i in range(len(texts))] == want
+    # The spans that are counted and compared with SQL stay those of the header.
+    assert secrets.digest(secrets.scan(frame(spark, texts[:1]))).first().spans.split(",")[0] == f"private_key:2:{2 + len(head)}"
+
+
 # --- mixing --------------------------------------------------------------------
 
 def test_mixing_targets(spark):

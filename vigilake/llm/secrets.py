@@ -9,7 +9,7 @@ are verified with the pattern. Rules without mandatory trigrams scan all texts.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import product
 
@@ -23,7 +23,9 @@ class Rule:
     """``parts`` say what a match is made of, in order: a literal, a tuple of
     literals of which one is there ("" for none), or None for anything.
     ``pattern`` is the expression; ``group`` is what ``least`` characters are
-    asked of (0: the whole match). Base rules count in the digest."""
+    asked of (0: the whole match). Base rules count in the digest. ``block``,
+    where given, is what ``redacted`` cuts out in place of ``pattern``: the same
+    match and all of the secret that follows it."""
 
     kind: str
     pattern: str
@@ -31,7 +33,22 @@ class Rule:
     group: int = 0
     least: int = 1
     base: bool = False
-
+    block: str = ""
+
+
+KEY_LINE = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
+# Up to the END line where it is the next line of dashes; else the header lines
+# and base64 that follow: long runs after any gap, and shorter ones that are a
+# line of their own or, on the same line, no plain word. Line ends may be escaped.
+_GAP, _END_OF_LINE = r"(?:[\s>]|\\[nr])", r"(?:\r?\n|\\r\\n|\\n)"
+KEY_BLOCK = KEY_LINE + (
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+    rf"|(?:{_GAP}*+(?:Proc-Type|DEK-Info|Key-Info|MIC-Info|Content-Domain|Originator-[A-Za-z-]+|Comment|Version):[^\n\\]*+)*+"
+    rf"(?:{_GAP}++[A-Za-z0-9+/]{{16,}}+={{0,2}}+"
+    rf"|{_END_OF_LINE}[\x20\t>]*+[A-Za-z0-9+/]++={{0,2}}+(?=[\x20\t]*(?:{_END_OF_LINE}|\\?[\"']|\z))"
+    r"|[\x20\t]++(?=[A-Za-z+/]*[0-9+/=])[A-Za-z0-9+/]++={0,2}+(?![^\s\\\"'])"
+    r")*+)"
+)
 
 RULES = (
     Rule(
@@ -41,7 +58,7 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", ("AKIA", None), 0, 16, True),
     # A run is taken whole, so only runs of 32 and more need to match.
     Rule("hex", r"[0-9a-f]{32,}+", (None,), 0, 32, True),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", ("-----BEGIN ", None, "PRIVATE KEY-----")),
+    Rule("private_key", KEY_LINE, ("-----BEGIN ", None, "PRIVATE KEY-----"), block=KEY_BLOCK),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyJ", None, ".eyJ", None, ".", None)),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}", ("gh", ("p", "o", "u", "s", "r"), "_", None)),
 )
@@ -133,7 +150,9 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``[kind]`` in place of each secret, all columns kept;
-    overlapping secrets are cut out together under the kind of the first."""
+    overlapping secrets are cut out together under the kind of the first. Of a
+    rule with a ``block`` all of the block goes, a private key with its body."""
+    rules = tuple(replace(r, pattern=r.block or r.pattern) for r in rules)
     rows = scan(docs, rules, id_col, text_col, whole=True)
     text = F.col(f"row.{text_col}")
 
