@@ -179,6 +179,33 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_takes_the_longest_stretch(spark):
+    item = [f"word{i}" for i in range(39)]
+    # 7 equal words, then 8 times 1 other and 3 equal: 31 of 39 equal.
+    near = [w if i < 7 or (i - 7) % 4 else "other" for i, w in enumerate(item)]
+    edge = [w if i % 4 != 3 else "other" for i, w in enumerate(item[:16])]  # 12 of 16, a share of 0.75
+    below = [w if i % 3 != 2 else "other" for i, w in enumerate(item)]
+    filler = [f"fill{i}" for i in range(40)]
+    texts = [" ".join(filler + near + filler), " ".join(filler + edge + filler), " ".join(filler + below + filler)]
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontaminate.overlaps(frame(spark, texts), bench).collect()}
+    assert sorted(rows) == [0, 1]
+    assert (rows[0].begin, rows[0].end, rows[0].item_begin, rows[0].equal) == (40, 79, 0, 31)
+    assert (rows[1].begin, rows[1].end, rows[1].equal, rows[1].share) == (40, 55, 12, 0.8)
+    assert {r.doc_id for r in decontaminate.clean(frame(spark, texts), bench).collect()} == {2}
+
+
+def test_longest_stretch_against_all():
+    rng = np.random.default_rng(6)
+    for share in (0.6, 0.7, 0.75, 0.8, 0.9) * 200:
+        same = rng.random(rng.integers(1, 45)) < share
+        sums = np.concatenate(([0], np.cumsum(same)))
+        most = max(sums[j] - sums[i] for i in range(len(same)) for j in range(i, len(same) + 1) if sums[j] - sums[i] >= 0.75 * (j - i))
+        begin, end = decontaminate.longest(same)
+        assert same[begin:end].sum() == most >= 0.75 * (end - begin)
+        assert begin == end or same[begin] and same[end - 1]
+
+
 # --- near duplicates -----------------------------------------------------------
 
 def shingles(text):

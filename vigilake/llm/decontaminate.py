@@ -3,8 +3,8 @@
 A seed is a fixed mask over a few tokens in a row that ignores some of them, so
 a substituted word at an ignored place leaves the hash alone. The masked hashes
 of the corpus are looked up among those of the benchmark; around every hit the
-two texts are aligned without gaps, and the best stretch is scored with equal
-tokens against substitutions.
+two texts are aligned without gaps, and the longest stretch with enough equal
+tokens is taken.
 
 The benchmark's hashes go to the tasks in slices of a fixed size, one pass over
 the corpus for each, so their number is not limited.
@@ -36,6 +36,23 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return mixed(out + np.uint64(int(mask, 2)))
 
 
+def longest(same: np.ndarray) -> tuple[int, int]:
+    """(begin, end) of the longest stretch of which LEAST_SHARE are equal, the
+    first of several, without the unequal places at its ends.
+
+    Equal places score 1 and others -3, so a stretch has the share when its sum
+    is not negative. No stretch with the share has more equal places: one of n
+    goes on over n // 3 others, or over everything, before its share is lost.
+    """
+    sums = np.concatenate(([0], np.cumsum(np.where(same, 1, -round(LEAST_SHARE / (1 - LEAST_SHARE))))))
+    # The earliest start with a sum not above the end's.
+    least = np.minimum.accumulate(sums)
+    first = np.searchsorted(-least, -sums, "left")
+    stop = int(np.argmax(np.arange(len(sums)) - first))
+    own = np.flatnonzero(same[first[stop]:stop])
+    return (int(first[stop] + own[0]), int(first[stop] + own[-1]) + 1) if len(own) else (0, 0)
+
+
 class Benchmark:
     """Tokens of some items, and where each seed occurs."""
 
@@ -61,14 +78,10 @@ class Benchmark:
             lo, hi = self.start[item], self.start[item + 1]
             begin, end = max(shift, 0), min(shift + hi - lo, len(words))
             same = words[begin:end] == self.words[lo + begin - shift:lo + end - shift]
-            # The stretch in which equal tokens outweigh 3 times the others most.
-            sums = np.concatenate(([0], np.cumsum(np.where(same, 1, -3))))
-            least = np.minimum.accumulate(sums)
-            stop = int(np.argmax(sums - least))
-            first = int(np.flatnonzero(sums[:stop + 1] == least[stop])[-1])
+            first, stop = longest(same)
             equal = int(same[first:stop].sum())
             enough = min(LEAST_EQUAL, int(hi - lo))
-            if equal >= enough and equal >= LEAST_SHARE * (stop - first):
+            if equal >= enough:
                 found = (equal, -(begin + first), stop - first, begin + first - shift)
                 if item not in best or found > best[item]:
                     best[item] = found
@@ -140,7 +153,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     tokens, share of equal tokens, and share of the item they cover.
 
     A stretch needs 10 equal tokens (an item with fewer: all of its own) and
-    three quarters equal. Items with fewer words than a mask, NULL and empty
+    three quarters equal; of those that a seed hits, the one with the most equal
+    tokens is told, without the unequal ones at its ends. Items with fewer words than a mask, NULL and empty
     texts match nothing. Repeated rows give repeated results, NULL ids rows with
     NULL ids. Other columns are not read, whatever their names.
     """
