@@ -206,6 +206,18 @@ def test_longest_stretch_against_all():
         assert begin == end or same[begin] and same[end - 1]
 
 
+def test_decontamination_by_short_items(spark):
+    items = {n: [f"i{n}w{j}" for j in range(n)] for n in range(10)}
+    texts = [" ".join(["fill", "x", *items[n], "y", *items[n]]) for n in range(10)]
+    texts += [" ".join([*items[n][:-1], "other", "fill"]) for n in range(1, 10)] + [" ".join(items[6]).upper(), None, ""]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()] + [(16, " ".join(items[6])), (17, None)], "item_id long, text string")
+    rows = decontaminate.overlaps(frame(spark, texts), bench).collect()
+    got = {(r.doc_id, r.item_id): (r.begin, r.end, r.item_begin, r.equal, r.share, r.covered) for r in rows}
+    assert len(rows) == len(got) and got == {(n, n): (2, 2 + n, 0, n, 1.0, 1.0) for n in range(1, 10)} | {(6, 16): (2, 8, 0, 6, 1.0, 1.0)} | {
+        (19, i): (0, 6, 0, 6, 1.0, 1.0) for i in (6, 16)}
+    assert {r.doc_id for r in decontaminate.clean(frame(spark, texts), bench).collect()} == {0, *range(10, 19), 20, 21}
+
+
 # --- near duplicates -----------------------------------------------------------
 
 def shingles(text):

@@ -4,7 +4,8 @@ A seed is a fixed mask over a few tokens in a row that ignores some of them, so
 a substituted word at an ignored place leaves the hash alone. The masked hashes
 of the corpus are looked up among those of the benchmark; around every hit the
 two texts are aligned without gaps, and the longest stretch with enough equal
-tokens is taken.
+tokens is taken. Items shorter than a mask are hashed whole, by length, and
+looked up among the windows of that length.
 
 The benchmark's hashes go to the tasks in slices of a fixed size, one pass over
 the corpus for each, so their number is not limited.
@@ -69,6 +70,12 @@ class Benchmark:
             by = np.argsort(h[at], kind="stable")
             self.tables.append((h[at][by], at[by]))
         self.owner = owner
+        self.short = {}
+        for n in map(int, np.unique(counts[(counts > 0) & (counts < len(MASKS[0]))])):
+            items = np.flatnonzero(counts == n)
+            h = seeds(self.words, "1" * n)[self.start[items]]
+            by = np.argsort(h, kind="stable")
+            self.short[n] = h[by], items[by]
 
     def overlaps(self, words: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(item, begin, end, equal tokens, begin in the item) of the best
@@ -85,9 +92,21 @@ class Benchmark:
                 found = (equal, -(begin + first), stop - first, begin + first - shift)
                 if item not in best or found > best[item]:
                     best[item] = found
+        for item, begin, n in self._copies(words):
+            best[item] = n, -begin, n, 0
         for item, (equal, at, size, place) in sorted(best.items()):
             yield item, -at, -at + size, equal, place
 
+    def _copies(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, begin, size) of the first copy of each item shorter than a mask."""
+        for n, (known, items) in self.short.items():
+            h = seeds(words, "1" * n)
+            at = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+            said, first = np.unique(h[at], return_index=True)
+            lo, hi = np.searchsorted(known, said, "left"), np.searchsorted(known, said, "right")
+            for begin, a, b in zip(at[first].tolist(), lo.tolist(), hi.tolist(), strict=True):
+                yield from ((item, begin, n) for item in items[a:b].tolist())
+
     def _diagonals(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
         keys = []
         for mask, (known, at) in zip(MASKS, self.tables, strict=True):
@@ -154,9 +173,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     A stretch needs 10 equal tokens (an item with fewer: all of its own) and
     three quarters equal; of those that a seed hits, the one with the most equal
-    tokens is told, without the unequal ones at its ends. Items with fewer words than a mask, NULL and empty
-    texts match nothing. Repeated rows give repeated results, NULL ids rows with
-    NULL ids. Other columns are not read, whatever their names.
+    tokens is told, without the unequal ones at its ends; of items shorter than
+    a mask, the first copy. NULL and empty texts match nothing. Repeated rows
+    give repeated results, NULL ids rows with NULL ids. Other columns are not
+    read, whatever their names.
     """
     items = _items(benchmark, item_col, item_text)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
