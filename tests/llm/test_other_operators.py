@@ -97,6 +97,24 @@ def test_quotes(spark):
     assert by[2, 0].text == "" and by[2, 1].reply_to is None and by[1, 0].chat == "<|user|>\nHello there\nsecond line"
 
 
+def test_quotes_of_repeated_lines_and_turns(spark):
+    said = "On an earlier day they wrote:"
+    texts = {
+        0: "ok\nthanks\nalice", 1: f"first question\nok\n{said}\n> ok\n> thanks\n> alice",
+        2: f"ok\nthanks\nthen this\n\n{said}\n\n> first question\n> ok",  # itself quotes, and most of its lines were said before
+        3: "agreed\n> ok\n> thanks\n> then this", 4: "again\nthe same", 5: "again\nthe same", 6: "yes\n> again\n> the same",
+        7: "one\n> agreed\ntwo\n> yes\nthree", 8: "good\n> one\n> two\n> three", 9: f"fine\n> good\n> {said}\n>> one\n>> two\n>> three",
+        300: "again\nthe same", 600: "late\n> again\n> the same", 601: "ok\nthanks\nalone\nmore", 602: "ok\nthanks\nbob", 603: "part\n> ok\n> thanks\n> alone",
+    }
+    rows = [(1, t, "user", x) for t, x in texts.items()] + [(2, 8, "user", texts[3]), (1, 600, "user", "again\nthe same")]
+    got = [r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()]
+    by = {r.turn: r for r in got if r.conv_id == 1 and not (r.turn == 600 and r.text != "late")}
+    assert len(got) == len(rows)
+    assert {t: r.reply_to for t, r in by.items()} == {0: None, 1: 0, 2: 1, 3: 2, 4: None, 5: None, 6: 5, 7: 6, 8: 7, 9: 8, 300: None, 600: 300, 601: None, 602: None, 603: 601}
+    assert [by[t].thread for t in (3, 6, 9, 600, 603)] == [0, 5, 5, 300, 601] and (by[9].n_quotes, by[9].n_linked) == (2, 2)
+    assert all(r.reply_to is None for r in got if r.conv_id == 2)
+
+
 def test_quotes_of_mails(spark):
     chats = spark.read.parquet(f"{SF}/conversations.parquet")
     got = {(r.conv_id, r.turn): r for r in quotes.conversations(quotes.as_mails(chats)).collect()}

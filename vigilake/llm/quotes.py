@@ -2,9 +2,9 @@
 
 Messages are cut into lines; leading ``>`` signs give a line's quote level, and
 lines in a row of one level are a passage. Passages and their lines are
-normalised and hashed. Quoted ones are joined to the earliest message of the
-conversation that says the same without quoting; the nearest level's link is
-the message that is replied to. Messages then follow the one they answer.
+normalised and hashed. Quoted ones are joined to the latest message before them
+in the conversation that says the same without quoting; the nearest level's link
+is the message that is replied to. Messages then follow the one they answer.
 """
 
 from __future__ import annotations
@@ -33,10 +33,12 @@ def lines(messages: DataFrame) -> DataFrame:
 
 def passages(cut: DataFrame) -> DataFrame:
     """Runs of lines of one level: key, level, run, hash, and the run's lines.
-    Blank lines part nothing and count for nothing."""
+    Blank lines part nothing and count for nothing, nor do lines that introduce
+    the deeper quote after them."""
     order = Window.partitionBy("conv", "turn", "row").orderBy("at")
-    said = cut.withColumn("norm", normal(F.col("line"))).where("norm <> ''")
-    moved = said.withColumn("new", (F.col("level") != F.lag("level", 1, -1).over(order)).cast("int"))
+    said = cut.withColumn("norm", normal(F.col("line"))).where("norm <> ''").withColumn("deeper", F.lead("level").over(order) > F.col("level"))
+    own = said.where(~(F.coalesce("deeper", F.lit(False)) & F.col("line").rlike(ATTRIBUTION)))
+    moved = own.withColumn("new", (F.col("level") != F.lag("level", 1, -1).over(order)).cast("int"))
     runs = moved.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "norm"))), lambda s: s["norm"])
     return runs.groupBy("conv", "turn", "row", "run", "level").agg(listed.alias("norms")).withColumn("hash", F.md5(F.array_join("norms", "\n")))
@@ -44,20 +46,47 @@ def passages(cut: DataFrame) -> DataFrame:
 
 def _units(parts: DataFrame) -> DataFrame:
     """A passage by its hash, and each of its lines by theirs."""
-    whole = F.array(F.struct(F.lit(0).alias("rank"), F.col("hash").alias("hash")))
-    each = F.transform(F.array_distinct("norms"), lambda n: F.struct(F.lit(1).alias("rank"), F.md5(n).alias("hash")))
+    whole = F.array(F.struct(F.lit(True).alias("whole"), F.col("hash").alias("hash")))
+    each = F.transform(F.array_distinct("norms"), lambda n: F.struct(F.lit(False).alias("whole"), F.md5(n).alias("hash")))
     return parts.select("conv", "turn", "row", "run", "level", F.explode(F.concat(whole, each)).alias("u")).select("conv", "turn", "row", "run", "level", "u.*")
 
 
+def _replies(parts: DataFrame) -> DataFrame:
+    """All that a message says between and after quotes, as one passage."""
+    runs = F.array_sort(F.collect_list(F.struct("run", "norms")))
+    norms = parts.where("level = 0").groupBy("conv", "turn", "row").agg(F.flatten(F.transform(runs, lambda r: r["norms"])).alias("norms"), F.count(F.lit(1)).alias("n"))
+    return norms.where("n > 1").select("conv", "turn", F.lit(True).alias("whole"), F.md5(F.array_join("norms", "\n")).alias("hash"))
+
+
+def _latest(said: DataFrame, asked: DataFrame) -> DataFrame:
+    """(conv, whole, hash, turn, to, alone): the latest turn before one that
+    asks which says the same, and whether it is the only one before. Stretches
+    of turns are worked on apart; one row of each is carried on."""
+    key = ["conv", "whole", "hash"]
+    points = said.select(*key, "turn", F.lit(True).alias("says"), F.lit(False).alias("asks")).union(
+        asked.select(*key, "turn", F.lit(False), F.lit(True)))
+    turns = points.groupBy(*key, "turn").agg(F.max(F.when(F.col("says"), F.col("turn"))).alias("own"), F.max("asks").alias("asks"))
+    turns = turns.withColumn("stretch", F.shiftright("turn", STRETCH_BITS))
+    inside = Window.partitionBy(*key, "stretch").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    near = turns.select("*", F.min("own").over(inside).alias("first"), F.max("own").over(inside).alias("last")).where("asks")
+    ends = turns.groupBy(*key, "stretch").agg(F.min("own").alias("first"), F.max("own").alias("last"))
+    far = ends.select(*key, "stretch", F.min("first").over(across).alias("far_first"), F.max("last").over(across).alias("far_last"))
+    first, last = F.coalesce("far_first", "first"), F.coalesce("last", "far_last")
+    return near.join(far, [*key, "stretch"]).where(last.isNotNull()).select(*key, "turn", last.alias("to"), (first == last).alias("alone"))
+
+
 def links(parts: DataFrame) -> DataFrame:
     """(conv, turn, row, run, level, to): the turn that a quoted passage is from.
-    A passage found whole beats one found line by line; then the turn with the
-    most lines counts, then the latest."""
+    A passage found whole beats one found line by line, and lines that one turn
+    alone says beat those that recur; then the turn with the most lines counts,
+    then the latest."""
     units = _units(parts)
-    # The earliest turn that says it; one row per text, however often it is said.
-    said = units.where("level = 0").groupBy("conv", "hash").agg(F.min("turn").alias("to"))
-    met = units.where("level > 0").join(said, ["conv", "hash"]).where(F.col("to") < F.col("turn"))
-    votes = met.groupBy("conv", "turn", "row", "run", "level", "to").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n"))
+    said = units.where("level = 0").select("conv", "turn", "whole", "hash").union(_replies(parts))
+    quoted = units.where("level > 0")
+    met = quoted.join(_latest(said, quoted), ["conv", "whole", "hash", "turn"])
+    rank = F.when(F.col("whole"), 0).when(F.col("alone"), 1).otherwise(2)
+    votes = met.groupBy("conv", "turn", "row", "run", "level", "to").agg(F.min(rank).alias("rank"), F.count(F.lit(1)).alias("n"))
     return votes.groupBy("conv", "turn", "row", "run", "level").agg(F.max_by("to", F.struct(-F.col("rank"), "n", "to")).alias("to"))
 
 
