@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilake.functions import dates, documents, listing as cells, sections, text
-from vigilake.operators import dictionary, listing, search, skew, tables
-from vigilake.sources import exports, feeds, html
+from vigilake.operators import dictionary, documents as ops, listing, search, skew, tables
+from vigilake.sources import exports, feeds, html, pages as articles
 from vigilake.streaming.changes import SCAN_SCHEMA, read_version, watch_folder
 
 
@@ -196,3 +196,25 @@ def test_dictionary_join_needs_no_python(spark):
     matched = search.match_terms(events, scope, terms)
     plan = matched._jdf.queryExecution().toString()
     assert "Python" not in plan and matched.count() == 3
+
+
+def test_documents_are_read_whole(spark):
+    pages = spark.createDataFrame([("a", n, "" if n <= 10 else "x" * 900) for n in range(1, 21)] + [("b", n, "Drugname" if n == 6 else "-") for n in range(1, 8)], "doc string, page_num int, text string")
+    scanned = lambda **k: {r.doc: r.is_scanned for r in ops.needs_scan(pages, **k).collect()}
+    assert scanned() == {"a": False, "b": True} and scanned(first_pages=10) == {"a": True, "b": True}
+    named = lambda **k: {r.doc: r.is_product for r in ops.in_document_product(pages, F.lit("drugname"), F.lit(""), **k).collect()}
+    assert named() == {"a": False, "b": True} and named(first_pages=5) == {"a": False, "b": False}
+    blocks = spark.createDataFrame(
+        [("a", 0, 1, "6 REACTIONS", "6", True, "heading"), ("a", 1, 1, "body", None, False, "paragraph"), ("a", 2, 2, "7 NEXT", "7", True, "heading"), ("a", 3, 3, "rest", None, False, "paragraph")],
+        "doc string, ord long, page_num int, text string, section_number string, is_heading boolean, block_type string")
+    bounds = lambda **k: sorted(r.ord for r in ops.label_section_bounds(blocks, "6", ["7"], ["REACTIONS"], ["NOWHERE"], **k).collect())
+    assert bounds() == [0, 1] and bounds(contents_pages=2) == []
+    first_page = F.lit("\n".join(f"16.{n} Heading" for n in range(9)) + "\nWonderdrug")
+    assert one(spark, text.product_name_from_file(F.lit("document.pdf"), first_page)) == "Wonderdrug"
+    assert one(spark, text.product_name_from_file(F.lit("document.pdf"), first_page, first_lines=8)) == "document"
+    listed = spark.createDataFrame([(1, "Ring", "https://x/1", ""), (2, None, "https://x/ring", "")], "ordinal long, title string, url string, summary string")
+    urls = lambda **k: {r.url for r in feeds.read_feed_items(listed.limit(0), listed, F.lit("Ring"), **k).collect()}
+    assert urls() == {"https://x/1", "https://x/ring"} and urls(min_title=10) == set()
+    page = spark.createDataFrame([(1, "https://x/", "<h1>T</h1><h2>H</h2><p>short</p><p></p><ul><li>a</li></ul>")], "page_id long, url string, html string")
+    said = lambda **k: articles.parse_article(page, **k).first().sections[-1]["text"]
+    assert said() == "short\na" and said(min_paragraph=30) == ""

@@ -168,12 +168,13 @@ def _capitalize_words(c: Column) -> Column:
 
 
 def product_name_from_file(
-    file_name: Column, first_page: Column | None = None, sponsors: tuple[str, ...] = ()
+    file_name: Column, first_page: Column | None = None, sponsors: tuple[str, ...] = (), first_lines: int | None = None
 ) -> Column:
     """Product name from a file name, else from the text of the first page.
 
     ``sponsors`` are company names; a first-page line that opens with one of
-    them is a running header, not a product.
+    them is a running header, not a product. ``first_lines`` is how many lines
+    with text are looked at, by default all.
     """
     noise = FIRST_LINE_NOISE + tuple(s.upper() for s in sponsors)
     stem_raw = F.regexp_replace(file_name, r"(?<=.)\.[^./]*$", "")
@@ -197,7 +198,9 @@ def product_name_from_file(
     def plausible(c: Column, placeholders: tuple[str, ...]) -> Column:
         return bind(c, lambda x: F.when((F.length(x) >= 3) & ~F.upper(x).isin(*placeholders), title_case(x)))
 
-    candidates = F.slice(F.filter(F.transform(F.split(page, "\n"), strip), lambda x: x != ""), 1, 8)
+    candidates = F.filter(F.transform(F.split(page, "\n"), strip), lambda x: x != "")
+    if first_lines is not None:
+        candidates = F.slice(candidates, 1, first_lines)
     candidates = F.transform(candidates, lambda x: strip(F.regexp_replace(x, "[™®]", "")))
     candidates = F.filter(candidates, lambda x: ~F.rlike(x, F.lit(r"(?iU)^(section\s+)?\d+(\.\d+)*\b")))
     candidates = F.transform(candidates, lambda x: strip(F.split(x, r"[(\[{]")[0]))

@@ -294,24 +294,27 @@ def batch_counts(summary: DataFrame) -> DataFrame:
     return summary.groupBy("status").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def needs_scan(pages: DataFrame, threshold: int = 40) -> DataFrame:
-    """Documents whose first ten pages carry few characters."""
-    first = pages.where(F.col("page_num") <= 10)
+def needs_scan(pages: DataFrame, threshold: int = 40, first_pages: int | None = None) -> DataFrame:
+    """Documents whose pages, or only the first of them, carry few characters."""
+    first = pages if first_pages is None else pages.where(F.col("page_num") <= first_pages)
     return first.groupBy("doc").agg(
         (F.sum(F.length(strip(F.col("text")))) / F.count(F.lit(1))).alias("avg_chars")
     ).withColumn("is_scanned", F.col("avg_chars") < threshold)
 
 
-def in_document_product(pages: DataFrame, product: Column, ingredient: Column) -> DataFrame:
-    """Documents that name the product or ingredient on their first five pages."""
+def in_document_product(pages: DataFrame, product: Column, ingredient: Column, first_pages: int | None = None) -> DataFrame:
+    """Documents that name the product or ingredient on a page, or only on one
+    of the first pages."""
     p, i = F.lower(strip(text(product))), F.lower(strip(text(ingredient)))
     low = F.lower("text")
     hit = (p == "") | F.contains(low, p) | ((F.length(i) > 3) & F.contains(low, i))
-    return pages.where(F.col("page_num") <= 5).groupBy("doc").agg(F.bool_or(hit).alias("is_product"))
+    first = pages if first_pages is None else pages.where(F.col("page_num") <= first_pages)
+    return first.groupBy("doc").agg(F.bool_or(hit).alias("is_product"))
 
 
-def label_section_bounds(blocks: DataFrame, start: str, stops: list[str], start_words: list[str], stop_words: list[str]) -> DataFrame:
-    """Blocks of one numbered label section, found after the contents pages."""
+def label_section_bounds(blocks: DataFrame, start: str, stops: list[str], start_words: list[str], stop_words: list[str], contents_pages: int = 0) -> DataFrame:
+    """Blocks of one numbered label section, which does not open or close on the
+    contents pages at the start."""
     flat = F.upper(squeeze(F.col("text")))
     section, heading = text(F.col("section_number")), F.col("is_heading")
 
@@ -333,8 +336,8 @@ def label_section_bounds(blocks: DataFrame, start: str, stops: list[str], start_
     for s in stops:
         stop = stop | (section == s) | f.startswith(s)
     closes = heading & (stop | any_word(stop_words))
-    d = blocks.withColumn("_flat", flat).withColumn("_open", opens & (F.col("page_num") >= 3)).withColumn(
-        "_close", closes & (F.col("page_num") >= 3)).drop("_flat")
+    d = blocks.withColumn("_flat", flat).withColumn("_open", opens & (F.col("page_num") > contents_pages)).withColumn(
+        "_close", closes & (F.col("page_num") > contents_pages)).drop("_flat")
     starts = d.where("_open").groupBy("doc").agg(F.min("ord").alias("_start"))
     d = d.join(starts, "doc").where(F.col("ord") >= F.col("_start"))
     ends = d.where(F.col("_close") & (F.col("ord") > F.col("_start"))).groupBy("doc").agg(F.min("ord").alias("_end"))

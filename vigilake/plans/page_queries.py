@@ -101,7 +101,7 @@ def parse_newsletter_index(spark: SparkSession, sf: str) -> DataFrame:
 def _articles(spark: SparkSession, sf: str) -> DataFrame:
     body = """'<h1>', p_name, ' update</h1><p>Published: August 3, 2026 by the newsletter team</p><h2>Scope</h2><p>Hidden (never a product) mention in a structural section</p><h2>New data</h2><p>Brand', p_partkey, ' (', lower(p_type),
       ' acid) was linked with harm in reports.</p><p>short</p><p>All ', p_name, '-containing products are under review now.</p><a href="/files/', p_partkey, '.pdf">pdf</a><table><tr><td>a</td><td>b</td></tr></table>'"""
-    return src.parse_article(_page(spark, sf, body))
+    return src.parse_article(_page(spark, sf, body), min_paragraph=30)
 
 
 @query("S7", """SELECT p_partkey AS page_id, p_name || ' update' AS title, '2026-08-03' AS day, 'https://www.fda.gov/files/' || p_partkey || '.pdf' AS pdfs, p_name || ' update|Scope|New data' AS headings,

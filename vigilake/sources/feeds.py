@@ -99,12 +99,14 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
 
 
-def read_feed_items(rss: DataFrame, directory: DataFrame, query: Column) -> DataFrame:
+def read_feed_items(rss: DataFrame, directory: DataFrame, query: Column, min_title: int | None = None) -> DataFrame:
     """Articles of both lists that name the product, the first per URL.
-    Both: ordinal, title, url, summary; RSS comes first."""
+    Both: ordinal, title, url, summary; RSS comes first. With ``min_title``,
+    entries of the directory with shorter titles are left out."""
     common = ["ordinal", "title", "url", "summary"]
     a = rss.select(*common, F.lit(0).alias("list_no"))
-    b = directory.where(F.length(squeeze(F.col("title"))) >= 10).select(*common, F.lit(1).alias("list_no"))
+    listed = directory if min_title is None else directory.where(F.length(squeeze(F.col("title"))) >= min_title)
+    b = listed.select(*common, F.lit(1).alias("list_no"))
     hit = article_match(query, F.concat_ws(" ", "title", "summary")) | ((F.col("list_no") == 1) & article_match(query, F.col("url")))
     return pick(a.unionByName(b).where(hit), ["url"], F.struct("list_no", "ordinal"), largest=False)
 

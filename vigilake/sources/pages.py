@@ -155,11 +155,11 @@ ARTICLE_DATES = (
     r"(?iU)\b((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s*\d{4})\b",
     r"\b(\d{4}-\d{2}-\d{2})\b",
 )
-MIN_PARAGRAPH = 30
 
 
-def parse_article(pages: DataFrame) -> DataFrame:
-    """Title, first date, PDF links and heading-grouped sections of articles."""
+def parse_article(pages: DataFrame, min_paragraph: int = 1) -> DataFrame:
+    """Title, first date, PDF links and heading-grouped sections of articles;
+    paragraphs and lists of fewer characters than ``min_paragraph`` are left out."""
     d = html_elements(pages)
     whole = F.array_join(F.transform(F.filter("elements", lambda e: (e["parent"] == -1) & (e["tag"] != "title")), lambda e: e["text"]), " ")
     date = F.coalesce(*(parse_label_date(F.nullif(F.regexp_extract(whole, p, 1), F.lit(""))) for p in ARTICLE_DATES))
@@ -172,7 +172,7 @@ def parse_article(pages: DataFrame) -> DataFrame:
         until = F.coalesce(F.get(starts, i + 1)["pos"], F.lit(2_000_000_000))
         content = F.filter("elements", lambda e: (
             (e["pos"] > s["pos"]) & (e["pos"] < until) & ~e["in_item"] & e["tag"].isin("p", "ul", "ol")
-            & (F.length(e["text"]) >= MIN_PARAGRAPH)))
+            & (F.length(e["text"]) >= min_paragraph)))
         rows = F.filter("elements", lambda e: (e["pos"] > s["pos"]) & (e["pos"] < until) & (e["tag"] == "tr"))
         return record(heading=s["title"], text=F.array_join(F.transform(content, lambda e: e["text"]), "\n"),
                       n_rows=F.size(rows))
