@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilake.llm import decontaminate, langid, mixing, near_dup, pii, quotes, revisits, secrets, url_filter, vectors
+from vigilake.llm import decontaminate, langid, mixing, near_dup, pii, quotes, resample, revisits, secrets, url_filter, vectors
 from vigilake.plans.registry import table
 from vigilake.session import tune
 
@@ -163,3 +163,9 @@ def op7_revisits(spark: SparkSession, sf: str) -> DataFrame:
 def op4_chat(spark: SparkSession, sf: str) -> DataFrame:
     """All conversations, sent as mails with quotes, linked and cleaned."""
     return quotes.conversations(quotes.as_mails(table(spark, sf, "conversations")))
+
+
+@query()
+def op13_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents weighed towards the benchmark, a tenth drawn and ranked."""
+    return resample.resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
