@@ -2,15 +2,17 @@
 force, and their edge cases."""
 
 import hashlib
+import os
 import math
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vigilake.llm import resample
+from vigilake.llm import align, packing, resample
 from vigilake.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +82,107 @@ def test_resampling_bracket_widens_and_runs_are_longer(spark):
             low, high, above = resample.bracket(rows, "score", 5000, k, accuracy, margin)
             assert low <= every[k - 1] <= high and above == sum(s > high for s in every) < k
     assert resample.buckets_of([b"a", b"b", b"c"], 2, 1000).tolist() == [zlib.crc32(w) % 1000 for w in (b"a", b"b", b"c", b"a b", b"b c")]
+
+
+# --- alignment -------------------------------------------------------------------
+
+TOKENIZERS = pytest.mark.skipif(not os.path.isdir(align.FOLDER), reason="no tokenizer files here")
+
+
+@pytest.fixture(scope="module")
+def tokenizers():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(f"{align.FOLDER}/{align.BYTE_LEVEL}")
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=f"{align.FOLDER}/{align.PIECES}")
+
+
+def token_bytes(tokenizers, text):
+    """(id, bytes) of all tokens of a whole text, without any spans."""
+    a, b = tokenizers
+    letters = align.byte_letters()
+    ids = a.encode(" " + text, add_special_tokens=False).ids
+    one = [(i, bytes(letters[c] for c in a.id_to_token(i))) for i in ids]
+    two = [(i, bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("\u2581", " ").encode()) for i in b.encode(text)]
+    return one, two
+
+
+def aligned(tokenizers, rows):
+    told = []
+    for _, text in rows:
+        one, two = token_bytes(tokenizers, text) if text else ([], [])
+        raw = (" " + (text or "")).encode()
+        if not text or b"".join(t for _, t in one) != raw or b"".join(t for _, t in two) != raw:
+            told.append(([], [], ""))
+            continue
+        ends = [np.cumsum([len(t) for _, t in x]).tolist() for x in (one, two)]
+        begins = [[e - len(t) for e, (_, t) in zip(e_, x)] for e_, x in zip(ends, (one, two))]
+        links, i = [], 0
+        for n, (j, _) in enumerate(two):
+            while ends[0][i] <= begins[1][n]:
+                i += 1
+            k = i
+            while k < len(one) and begins[0][k] < ends[1][n]:
+                links.append((one[k][0], j))
+                k += 1
+        both = sorted(set(ends[0]) & set(ends[1]))
+        groups, x, y = [], 0, 0
+        for e in both:
+            u, v = ends[0].index(e, x) + 1, ends[1].index(e, y) + 1
+            groups.append(",".join(str(t) for t, _ in one[x:u]) + "|" + ",".join(str(t) for t, _ in two[y:v]))
+            x, y = u, v
+        told.append((links, [len(one), len(two), len(groups)], hashlib.sha256(";".join(groups).encode()).hexdigest()))
+    counts = Counter(p for links, *_ in told for p in set(links))
+    most = {}
+    for (a, _), n in counts.items():
+        most[a] = max(most.get(a, 0), n)
+    return sorted((
+        (i, *(n or [0, 0, 0]), len(links), sum(counts[p] == most[p[0]] for p in links), sum(counts[p] for p in links), sha)
+        for (i, _), (links, n, sha) in zip(rows, told, strict=True)), key=repr)
+
+
+def spans(df):
+    return sorted((tuple(r) for r in df.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect()), key=repr)
+
+
+STRANGE = [
+    None, "", " ", "  ", "\n", "a", "a ", " a", "a\nb", "a \n b\n\n  c", "tab\tand\r\nlines;\r\n x)\r", "h\u00e9llo \U0001f600 x", "\u2581x y", "a\u2581 b", "\u00e0\u4e2d\u6587\u5b57 \u0645\u0631\u062d\u0628\u0627",
+    "e\u0301 \ufb01 \u212b \u00a0x\u3000y \u2009z", "don't 've we're 12 3.4 a_b", "<|endoftext|> </s> <0x41> <unk>", "x" * 3000, "word " * 20000, "\U0001f469\u200d\U0001f4bb \x1c\x1dx \x00 y", "nul\x00", "\u0085a \x0bb",
+    "\ud55c\uad6d\uc5b4 " * 30, "x  y   z    w" * 50, "word", "word",
+]
+
+
+@TOKENIZERS
+def test_alignment_equals_brute_force(spark, tokenizers):
+    docs = [(r.doc_id, r.text) for r in documents(spark).collect()]
+    assert spans(QUERIES["op11_alignment"](spark, SF)) == aligned(tokenizers, docs)
+    ids = [None, None, *range(len(STRANGE) - 2)]
+    odd = frame(spark, STRANGE, ids)
+    want = aligned(tokenizers, list(zip(ids, STRANGE, strict=True)))
+    assert sum(r[1] > 0 for r in want) > 18
+    # All in one row, and each document in its own.
+    for size in (align.CHUNK, 1):
+        assert spans(align.aligned(odd, size=size)) == want
+    assert spans(align.aligned(odd.limit(0))) == []
+
+
+@TOKENIZERS
+def test_alignment_in_blocks_and_after_forgetting(monkeypatch, tokenizers):
+    files = [open(f"{align.FOLDER}/{name}", "rb").read() for name in (align.BYTE_LEVEL, align.PIECES)]
+    texts = [t for t in STRANGE if t and len(t) < 10000]
+    whole = align.Aligner(*files).chunk(texts)
+    monkeypatch.setattr(align, "BLOCK", 2)
+    monkeypatch.setattr(align, "KNOWN", 1)
+    pieces = align.Aligner(*files)
+    for told in (pieces.chunk(texts), pieces.chunk(texts)):
+        assert all(np.array_equal(told[c], whole[c]) for c in whole)
+
+
+def test_alignment_spans_and_packing():
+    # Two tokens share a character: their spans are 2 bytes, they hold 1 each.
+    assert align.ends([(0, 2), (0, 2), (2, 5)], [1, 1, 3]) == [1, 2, 5]
+    assert align.linked([1, 2], [2, 5], [7, 8, 9], [1, 2, 5]) == ([1 << 32 | 7, 1 << 32 | 8, 2 << 32 | 9], ["1|7,8", "2|9"])
+    lists = [np.array([0, 255]), np.array([], dtype=np.int64), np.array([1 << 40, 3]), np.array([65535])]
+    assert [x.tolist() for x in packing.unpack(packing.pack(*lists))] == [x.tolist() for x in lists]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilake.llm import decontaminate, langid, mixing, near_dup, pii, quotes, resample, revisits, secrets, url_filter, vectors
+from vigilake.llm import align, decontaminate, langid, mixing, near_dup, pii, quotes, resample, revisits, secrets, url_filter, vectors
 from vigilake.plans.registry import table
 from vigilake.session import tune
 
@@ -169,3 +169,9 @@ def op4_chat(spark: SparkSession, sf: str) -> DataFrame:
 def op13_resampling(spark: SparkSession, sf: str) -> DataFrame:
     """All documents weighed towards the benchmark, a tenth drawn and ranked."""
     return resample.resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of two tokenizers aligned over all documents."""
+    return align.aligned(table(spark, sf, "documents"))
