@@ -12,8 +12,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vigilake.llm import align, packing, resample
+from vigilake.llm import align, ngram, packing, resample
 from vigilake.llm.queries import QUERIES
+from vigilake.llm.trie import CHANCES, Rising, Trie, quantised
 
 SF = "/root/testdata/sf0.001"
 CLASHING = "doc_id long, text string, id string, bucket string, n string, weight string, score string, chunk string, rank string, pairs string"
@@ -186,3 +187,106 @@ def test_alignment_spans_and_packing():
     assert align.linked([1, 2], [2, 5], [7, 8, 9], [1, 2, 5]) == ([1 << 32 | 7, 1 << 32 | 8, 2 << 32 | 9], ["1|7,8", "2|9"])
     lists = [np.array([0, 255]), np.array([], dtype=np.int64), np.array([1 << 40, 3]), np.array([65535])]
     assert [x.tolist() for x in packing.unpack(packing.pack(*lists))] == [x.tolist() for x in lists]
+
+
+# --- language model ----------------------------------------------------------------
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def scored(rows, priors=(ngram.PRIOR_2, ngram.PRIOR_3), rounded=True):
+    """The model from counts in dictionaries."""
+    near = (lambda x: CHANCES[quantised(np.array([x]))[0]]) if rounded else float
+    texts = [(i, zlib.crc32(str(i).encode()) % 5 == 1 if i is not None else False, [*WORD.findall(folded(t)), None]) for i, t in rows]
+    one, two, three, seen = Counter(), Counter(), Counter(), Counter()
+    for _, held, words in texts:
+        if held:
+            continue
+        one.update(words)
+        seen["<s>"] += 1
+        two.update(zip(["<s>", *words], words))
+        three.update(zip(["<s>", *words], words, words[1:]))
+    n, types = sum(one.values()), len(one)
+    out = []
+    for i, held, words in texts:
+        base = model = 0.0
+        for k, w in enumerate(words):
+            b = (one[w] + 0.5) / (n + 0.5 * (types + 1))
+            v = words[k - 1] if k else "<s>"
+            c = one[v] if k else seen["<s>"]
+            p = (near(two[v, w] / (c + priors[0])) if two[v, w] else 0) + priors[0] / (c + priors[0]) * b
+            if k:
+                u = words[k - 2] if k > 1 else "<s>"
+                c2 = two[u, v]
+                p = (near(three[u, v, w] / (c2 + priors[1])) if three[u, v, w] else 0) + (near(priors[1] / (c2 + priors[1])) if c2 else 1.0) * p
+            base, model = base + math.log10(b), model + math.log10(min(p, 1.0))
+        out.append((i, held, len(words), sum(one[w] > 0 for w in words), n, base, model))
+    return sorted(out, key=lambda r: (repr(r[:5]), r[5], r[6]))
+
+
+def lm(df):
+    return sorted((tuple(r) for r in df.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()), key=lambda r: (repr(r[:5]), r[5], r[6]))
+
+
+def same(got, want):
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9, atol=1e-9)
+
+
+def test_scores_query_equals_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in documents(spark).collect()]
+    got = lm(QUERIES["op12_lm_scores"](spark, SF))
+    same(got, scored(docs))
+    # A code is half a step off at most, and the model beats the base.
+    exact = scored(docs, rounded=False)
+    assert all(abs(g[6] - e[6]) < 1.01 / 48 * g[2] for g, e in zip(got, exact, strict=True))
+    assert sum(r[6] for r in got if r[1]) > sum(r[5] for r in got if r[1])
+
+
+def test_scores_edges(spark):
+    texts = [None, "", "A b a B c", "a b a b", "x" * 70000, "new words here", "\u00e9 \u00c9 \x0b y", "a b c " * 5000] * 3
+    ids = [None, *range(1, 24)]
+    ids[5] = ids[4]
+    docs = frame(spark, texts, ids)
+    want = scored(list(zip(ids, texts, strict=True)))
+    same(lm(ngram.scored(docs, ngram.held_out())), want)
+    # Chunks of one document, and few n-grams to a shard.
+    same(lm(ngram.scored(docs, ngram.held_out(), size=1, shard=3, least_shards=1)), want)
+    assert lm(ngram.scored(docs.limit(0), ngram.held_out())) == []
+    # Nothing to learn from: every word is an unknown one, of chance 1.
+    assert {r[3:] for r in lm(ngram.scored(docs, F.lit(True)))} == {(0, 0, 0.0, 0.0)}
+
+
+def test_rising_sequences():
+    rng = np.random.default_rng(1)
+    for top, n in ((0, 5), (1, 1000), (10**6, 3), (10**12, 500), (700, 700), (5 * 10**6, 20000)):
+        values = np.sort(rng.integers(0, top + 1, n))
+        parts = Rising.parts(values)
+        held = Rising(int(parts[0][0]), int(parts[0][1]), *parts[1:])
+        for start, stop in ((0, n), (n // 3, n // 2), (n - 1, n), (5, 5), (0, n + 9)):
+            assert held[start:stop].tolist() == values[start:stop].tolist()
+    assert Rising(0, 0, *Rising.parts(np.zeros(0, np.int64))[1:])[0:4].tolist() == []
+    # 20,000 values below five million: 10 bits each, and half as many as the unary ones for the directory.
+    assert sum(a.nbytes for a in Rising.parts(values)[1:]) < 20000 * 12 / 8
+
+
+def test_trie_search(tmp_path, monkeypatch):
+    rng = np.random.default_rng(2)
+    pairs = np.unique(rng.zipf(1.5, (4000, 2)) % 300, axis=0)
+    triples = np.unique(np.stack((rng.integers(0, len(pairs), 9000), rng.zipf(1.3, 9000) % 400), axis=1), axis=0)
+    in_2, in_3 = rng.random(len(pairs)) < 0.6, rng.random(len(triples)) < 0.6
+    in_3 &= in_2[triples[:, 0]]
+    trie = ngram.learned_trie(pairs[:, 0], pairs[:, 1], np.full(len(pairs), 9), in_2 * 3, triples[:, 0], triples[:, 1], in_3 * 2, (1.0, 1.0))
+    monkeypatch.setattr("vigilake.llm.trie.BATCH", 100)
+    code_2, weight, code_3 = trie.search(pairs[:, 0], pairs[:, 1], triples[:, 0], triples[:, 1])
+    want = quantised(np.array([3 / 10, 1 / 4, 2 / 4]))
+    assert np.array_equal(code_2, in_2 * want[0]) and np.array_equal(weight, in_2 * want[1]) and np.array_equal(code_3, in_3 * want[2])
+    # The same bytes, mapped from a file.
+    import mmap
+
+    root, of = np.unique(pairs[:, 0], return_inverse=True)
+    block = Trie.laid_out(root, of, pairs[:, 1], code_2, weight, triples[:, 0], triples[:, 1], code_3)
+    (tmp_path / "trie").write_bytes(block[:])
+    with open(tmp_path / "trie", "rb") as file:
+        again = Trie(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
+        assert all(np.array_equal(x, y) for x, y in zip(again.search(pairs[:, 0], pairs[:, 1], triples[:, 0], triples[:, 1]), (code_2, weight, code_3)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilake.llm import align, decontaminate, langid, mixing, near_dup, pii, quotes, resample, revisits, secrets, url_filter, vectors
+from vigilake.llm import align, decontaminate, langid, mixing, near_dup, ngram, pii, quotes, resample, revisits, secrets, url_filter, vectors
 from vigilake.plans.registry import table
 from vigilake.session import tune
 
@@ -175,3 +175,9 @@ def op13_resampling(spark: SparkSession, sf: str) -> DataFrame:
 def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of two tokenizers aligned over all documents."""
     return align.aligned(table(spark, sf, "documents"))
+
+
+@query()
+def op12_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents scored by a model of the training ones."""
+    return ngram.scored(table(spark, sf, "documents"), ngram.held_out())
