@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from vigilake.functions.listing import (
     onset_for, outcome_for, parse_event_onsets, parse_event_verbatim, parse_outcomes, parse_products,
 )
 from vigilake.functions.text import clean_xml_hex, strip, text
-from vigilake.operators.skew import BLOCK, pick
+from vigilake.operators.skew import pick
 
 # Listing headers and the case column each one feeds.
 REQUIRED = ("Case Number", "Event Verbatim")
@@ -81,46 +81,57 @@ def reingest(current: DataFrame, batch: DataFrame) -> DataFrame:
     return current.join(again, "dataset_id", "left_anti").unionByName(batch)
 
 
-def _first_rows(listing: DataFrame) -> DataFrame:
-    return listing.groupBy(*CASE_KEY).agg(F.min("source_row").alias("first_row"))
+def _earlier_in_row(values: Column, index: Column) -> Column:
+    """How often the element at ``index`` comes before it in its own array."""
+    own = F.get(values, index)
+    return F.size(F.filter(F.slice(values, F.lit(1), index), lambda v: v == own))
 
 
-def dedupe_repeat_rows(items: DataFrame, item: str) -> DataFrame:
+def dedupe_repeat_rows(items: DataFrame, item: str, buckets: int | None = None) -> DataFrame:
     """Items of a case's first row all stay; later rows only add new ones.
 
-    ``items`` has ``source_row``, ``idx`` and ``repeat_no``: how often the item
-    occurred before in the case's first row, 0 in later rows. One aggregate,
-    which combines on the map side, keeps the first row of every
-    (case, item, repeat).
+    ``items`` has ``source_row``, ``idx`` and ``repeat_no``, how often the item
+    came before in its row; a row without items is there once with a NULL
+    ``idx``. One aggregate, which combines on the map side, keeps the first row
+    of every (case, item, repeat), so what is dealt out by case afterwards is no
+    more than a case's distinct items. The first row of a case is always among
+    what is kept, so no second reading of the listing is needed to find it.
+
+    ``buckets`` sets the number of parts the cases are dealt to, for a bucketed
+    table; the result is in order of case, source row and ``idx``.
     """
-    return pick(items, [*CASE_KEY, item, "repeat_no"], F.struct("source_row", "idx"), largest=False)
+    first = pick(items, [*CASE_KEY, item, "repeat_no"], F.struct("source_row", "idx"), largest=False)
+    if buckets is not None:
+        first = first.repartition(buckets, *CASE_KEY)
+    first_row = F.first("source_row").over(_ordered().rowsBetween(Window.unboundedPreceding, 0))
+    return first.withColumn("first_row", first_row).where(
+        F.col("idx").isNotNull() & ((F.col("repeat_no") == 0) | (F.col("source_row") == F.col("first_row")))
+    ).drop("repeat_no", "first_row")
 
 
-def _repeat_no(values: Column, index: Column) -> Column:
-    """Earlier occurrences of the element at ``index`` in the case's first row."""
-    own = F.get(values, index)
-    earlier = F.filter(F.slice(values, F.lit(1), index), lambda v: v == own)
-    return F.when(F.col("source_row") == F.col("first_row"), F.size(earlier)).otherwise(0)
+def _ordered() -> WindowSpec:
+    return Window.partitionBy(*CASE_KEY).orderBy("source_row", "idx")
 
 
-def explode_events(listing: DataFrame, clean_first: bool = False, row_block: int = BLOCK) -> DataFrame:
+def explode_events(listing: DataFrame, clean_first: bool = False, buckets: int | None = None) -> DataFrame:
     """Event rows with 1-based positions that go on over repeated case rows.
 
     Within a row positions follow the cell and keep their gaps, so the
     position is the running sum of the steps from one kept event to the next.
     The outer explode keeps the optimizer from parsing every cell once more to
-    filter out the empty ones.
+    filter out the empty ones, and rows without an event in the running.
     """
-    parsed = listing.join(_first_rows(listing), list(CASE_KEY)).select(
-        *CASE_KEY, "product_name", "source_row", "first_row", "primary_soc", "case_outcome",
+    parsed = listing.select(
+        *CASE_KEY, "product_name", "source_row", "primary_soc", "case_outcome",
         parse_outcomes(F.col("_outcomes")).alias("_outcomes"),
         parse_event_onsets(F.col("_onsets")).alias("_onsets"),
         parse_event_verbatim(F.col("_events"), clean_first).alias("_parsed"),
-    ).select("*", F.posexplode_outer("_parsed").alias("idx", "_event")).where(F.col("idx").isNotNull())
+    ).select("*", F.posexplode_outer("_parsed").alias("idx", "_event"))
     onset = onset_for(F.col("_onsets"), F.col("idx"))
     terms = F.transform("_parsed", lambda e: e["normalized_term"])
     exploded = parsed.select(
-        *CASE_KEY, "product_name", "source_row", "primary_soc", "idx", _repeat_no(terms, F.col("idx")).alias("repeat_no"),
+        *CASE_KEY, "product_name", "source_row", "primary_soc", "idx",
+        F.coalesce(_earlier_in_row(terms, F.col("idx")), F.lit(0)).alias("repeat_no"),
         F.col("_event.normalized_term").alias("normalized_term"),
         F.col("_event.raw_verbatim").alias("raw_verbatim"),
         F.col("_event.seriousness").alias("seriousness_flag"),
@@ -131,20 +142,11 @@ def explode_events(listing: DataFrame, clean_first: bool = False, row_block: int
             "event_outcome"
         ),
     )
-    kept = dedupe_repeat_rows(exploded, "normalized_term")
-    # A source row never spans two blocks.
-    blocked = kept.withColumn("_block", F.floor(F.col("source_row") / F.lit(row_block)).cast("long"))
-    inside = Window.partitionBy(*CASE_KEY, "_block").orderBy("source_row", "idx")
-    same_row = F.lag("source_row").over(inside) == F.col("source_row")
-    step = F.col("idx") - F.when(same_row, F.lag("idx").over(inside)).otherwise(-1)
-    placed = blocked.withColumn("_step", step).withColumn(
-        "_local", F.sum("_step").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    per_row = blocked.groupBy(*CASE_KEY, "_block", "source_row").agg((F.max("idx") + 1).alias("_width"))
-    totals = per_row.groupBy(*CASE_KEY, "_block").agg(F.sum("_width").alias("_total"))
-    before = Window.partitionBy(*CASE_KEY).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*CASE_KEY, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carry"))
-    position = (F.col("_carry") + F.col("_local")).cast("long")
-    return placed.join(carried, [*CASE_KEY, "_block"]).withColumn("position", position).select(
+    kept = dedupe_repeat_rows(exploded, "normalized_term", buckets)
+    same_row = F.lag("source_row").over(_ordered()) == F.col("source_row")
+    step = F.col("idx") - F.when(same_row, F.lag("idx").over(_ordered())).otherwise(-1)
+    position = F.sum("_step").over(_ordered().rowsBetween(Window.unboundedPreceding, 0)).cast("long")
+    return kept.withColumn("_step", step).withColumn("position", position).select(
         *CASE_KEY, "product_name", "source_row", "position",
         "normalized_term", "raw_verbatim", "seriousness_flag", "listedness_flag", "causality_flag",
         "event_onset", "onset_mapping_status", "event_outcome",
@@ -152,18 +154,18 @@ def explode_events(listing: DataFrame, clean_first: bool = False, row_block: int
     )
 
 
-def explode_products(listing: DataFrame) -> DataFrame:
+def explode_products(listing: DataFrame, buckets: int | None = None) -> DataFrame:
     """Product rows: the primary suspect and every further product of a case."""
     products = parse_products(
         F.col("_products"), F.col("product_name"), F.col("_dose"), F.col("_form"), F.col("_duration"),
         F.col("_indication"),
     )
-    parsed = listing.join(_first_rows(listing), list(CASE_KEY)).select(
-        *CASE_KEY, "source_row", "first_row", products.alias("_parsed")
-    ).select("*", F.posexplode_outer("_parsed").alias("idx", "_p")).where(F.col("idx").isNotNull())
+    parsed = listing.select(*CASE_KEY, "source_row", products.alias("_parsed")).select(
+        "*", F.posexplode_outer("_parsed").alias("idx", "_p"))
     names = F.transform("_parsed", lambda p: p["product_name_raw"])
-    exploded = parsed.select(*CASE_KEY, "source_row", "idx", _repeat_no(names, F.col("idx")).alias("repeat_no"), "_p.*")
-    return dedupe_repeat_rows(exploded, "product_name_raw").drop("repeat_no")
+    exploded = parsed.select(
+        *CASE_KEY, "source_row", "idx", F.coalesce(_earlier_in_row(names, F.col("idx")), F.lit(0)).alias("repeat_no"), "_p.*")
+    return dedupe_repeat_rows(exploded, "product_name_raw", buckets)
 
 
 # Reporting periods recognised from a file or product name.

@@ -1,8 +1,10 @@
 """Safety-concern searches: every concern of every dataset in one plan.
 
-Dictionary, sub-filtered, listed-term and interaction searches are the same
-equi-join of events with (dataset, upper-case term); SOC is an equi-join of
-cases; narratives are scanned with the concern's keyword array.
+One posting table, key → concern, serves dictionary, sub-filtered, listed-term,
+interaction and organ-class searches: events are read once and meet it under
+their term and organ class, cases under their organ class. Narratives are read
+once for the keywords of all concerns. Evidence is written after the matches are
+narrowed to the datasets of a concern.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilake.functions.text import narrative_snippet, strip, text
 from vigilake.operators.dictionary import lookup_terms
+from vigilake.operators.keywords import with_keywords
 from vigilake.operators.skew import pick
 
 CONFIG_SCHEMA = (
@@ -138,124 +141,131 @@ def search_terms(concerns: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def match_terms(events: DataFrame, scope: DataFrame, term_rows: DataFrame) -> DataFrame:
-    """Events whose term belongs to a concern that covers their dataset.
+# What a raw match carries until its evidence is written.
+RAW = {
+    "concern_id": "string", "dataset_id": "string", "case_number": "string", "position": "bigint", "source_row": "bigint",
+    "search_method": "string", "matched_term": "string", "pt_code": "string", "smq_name": "string", "smq_scope": "string",
+    "smq_code": "string", "n_terms": "int", "soc_name": "string", "said": "string", "verbatim": "string",
+    "drugs": "array<struct<concern_id:string,drug:string>>",
+}
+
+
+def _raw(df: DataFrame) -> DataFrame:
+    """A kind of match with all columns of RAW, NULL where it has none."""
+    return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in RAW.items()))
 
-    Events meet the terms first: the dictionary has a fixed size, which a
-    product's datasets would multiply.
-    """
-    method, term = F.col("search_method"), F.col("matched_term")
-    dictionary_method = method.isin("BROAD_SMQ", "NARROW_SMQ")
-    field = (
-        F.when(dictionary_method, "Event Verbatim (Exact PT Lookup)")
-        .when(method == "SMQ_SUBFILTER", "SMQ + Sub-filter PT Lookup")
-        .when(method == "CONCOMITANT_INTERACTION", "Drug Interaction PT + Concomitant Review")
-        .otherwise("Event Preferred Term (Configured PT List)")
-    )
-    code = F.coalesce(F.nullif(F.col("smq_code"), F.lit("")), F.lit("N/A"))
-    reference = (
-        F.when(dictionary_method, F.concat(F.col("smq_scope"), F.lit(" SMQ: "), F.col("smq_name"),
-                                           F.lit(" (Code: "), code, F.lit(")")))
-        .when(method == "SMQ_SUBFILTER", F.concat(F.lit("SMQ "), F.col("smq_name"), F.lit(" + Sub-filter PT: "), term))
-        .when(method == "CONCOMITANT_INTERACTION", "CYP2D6 Multi-Level Interaction Criteria")
-        .otherwise(F.concat(F.lit("Configured PT Criteria ("), F.col("n_terms").cast("string"), F.lit(" terms)")))
-    )
-    raw = F.col("raw_verbatim")
-    evidence = (
-        F.when(dictionary_method, F.concat(F.lit("Exact match for MedDRA PT '"), term, F.lit("' [PT Code: "),
-                                           F.col("pt_code"), F.lit("] in event verbatim: "), raw))
-        .when(method == "SMQ_SUBFILTER", F.concat(F.lit("Event verbatim "), raw, F.lit(" matched SMQ '"),
-                                                  F.col("smq_name"), F.lit("' sub-filtered on PT '"), term, F.lit("'")))
-        .when(method == "CONCOMITANT_INTERACTION", F.concat(F.lit("Interaction event matched: '"), term,
-                                                            F.lit("' in verbatim: "), raw, F.lit(".")))
-        .otherwise(F.concat(F.lit("Exact match for configured PT '"), term, F.lit("' in event verbatim: "), raw))
-    )
-    return events.join(term_rows, "normalized_term").join(scope, ["concern_id", "dataset_id"]).select(
-        "concern_id", "dataset_id", "case_number", "position", "search_method", field.alias("matched_field"),
-        term.alias("matched_term"), "pt_code", "smq_name", "smq_scope", reference.alias("reference_source"),
-        evidence.alias("evidence"), "source_row",
-    )
 
+def postings(concerns: DataFrame, terms: DataFrame) -> DataFrame:
+    """(key, concern, method, ...) of all methods but narratives; a key is a
+    term or an organ class with its kind before it."""
+    by_term = search_terms(concerns, terms).select(
+        F.concat(F.lit("T|"), "normalized_term").alias("key"), "concern_id", "search_method", "matched_term", "pt_code",
+        "smq_name", "smq_scope", "smq_code", "n_terms", F.lit(None).cast("string").alias("soc_name"), F.lit(True).alias("of_events"))
+    by_soc = concerns.where(F.col("search_method") == "SOC").select(
+        F.concat(F.lit("S|"), "cfg_soc").alias("key"), F.col("id").alias("concern_id"), "search_method",
+        F.col("cfg_soc_name").alias("soc_name"), F.col("cfg_event_level").alias("of_events"))
+    return by_term.unionByName(by_soc, allowMissingColumns=True)
 
-def add_interaction_evidence(matches: DataFrame, concerns: DataFrame, products: DataFrame) -> DataFrame:
-    """Names the case's products that hold a target substance, or asks for a
-    review of the narrative."""
+
+def with_drugs(events: DataFrame, products: DataFrame, concerns: DataFrame, scope: DataFrame) -> DataFrame:
+    """Events with the target substances that their case took, for each
+    interaction concern; a join by case of tables bucketed by case."""
     targets = concerns.where(F.col("search_method") == "CONCOMITANT_INTERACTION").select(
-        F.col("id").alias("concern_id"), "cfg_targets"
-    )
-    interaction = matches.where(F.col("search_method") == "CONCOMITANT_INTERACTION")
-    cases = interaction.select("concern_id", "dataset_id", "case_number").distinct().join(targets, "concern_id")
+        F.col("id").alias("concern_id"), "cfg_targets").join(scope, "concern_id")
     substance, brand = F.lower(text(F.col("active_substance"))), F.lower(text(F.col("brand_name")))
     hit = F.exists("cfg_targets", lambda t: F.contains(substance, t) | F.contains(brand, t))
     drug = F.concat(
         F.coalesce(F.nullif(F.col("brand_name"), F.lit("")), F.col("active_substance")),
         F.lit(" ("), F.col("role"), F.lit(")"),
     )
-    found = (
-        products.join(cases, ["dataset_id", "case_number"]).where(hit)
-        .select("concern_id", "dataset_id", "case_number", drug.alias("_drug")).distinct()
-        .groupBy("concern_id", "dataset_id", "case_number")
-        .agg(F.array_join(F.array_sort(F.collect_list("_drug")), ", ").alias("_drugs"))
-    )
-    note = F.when(
-        F.col("_drugs").isNotNull(),
-        F.concat(F.lit(" Concomitant CYP2D6 candidate drugs identified: "), F.col("_drugs"), F.lit(".")),
-    ).otherwise(" No structured CYP2D6 inhibitor detected; requires clinical narrative review.")
-    enriched = interaction.join(found, ["concern_id", "dataset_id", "case_number"], "left").withColumn(
-        "evidence", F.concat(F.col("evidence"), note)
-    )
-    others = matches.where(F.col("search_method") != "CONCOMITANT_INTERACTION")
-    return others.unionByName(enriched.select(*others.columns))
-
-
-def match_soc(cases: DataFrame, events: DataFrame, scope: DataFrame, concerns: DataFrame) -> DataFrame:
-    """Cases, and on request events, of a system organ class."""
-    wanted = concerns.where(F.col("search_method") == "SOC").select(
-        F.col("id").alias("concern_id"), "cfg_soc", "cfg_soc_name", "cfg_event_level"
-    ).join(scope, "concern_id")
-    none = F.lit(None).cast("string")
-    by_case = cases.withColumn("cfg_soc", F.lower("primary_soc")).join(wanted, ["dataset_id", "cfg_soc"]).select(
-        "concern_id", "dataset_id", "case_number", F.lit(None).cast("long").alias("position"),
-        F.lit("SOC").alias("search_method"), F.lit("Primary System Organ Class").alias("matched_field"),
-        F.col("primary_soc").alias("matched_term"), none.alias("pt_code"), none.alias("smq_name"),
-        none.alias("smq_scope"), F.concat(F.lit("MedDRA SOC: "), F.col("cfg_soc_name")).alias("reference_source"),
-        F.concat(F.lit("Case primary SOC is '"), F.col("primary_soc"), F.lit("'")).alias("evidence"), "source_row",
-    )
-    by_event = (
-        events.withColumn("cfg_soc", F.lower("soc"))
-        .join(wanted.where("cfg_event_level"), ["dataset_id", "cfg_soc"])
-        .select(
-            "concern_id", "dataset_id", "case_number", "position", F.lit("SOC_EVENT").alias("search_method"),
-            F.lit("Event System Organ Class").alias("matched_field"),
-            F.coalesce("soc", "normalized_term").alias("matched_term"), none.alias("pt_code"),
-            none.alias("smq_name"), none.alias("smq_scope"),
-            F.concat(F.lit("Event SOC: "), F.col("cfg_soc_name")).alias("reference_source"),
-            F.concat(F.lit("Event '"), F.col("normalized_term"), F.lit("' mapped to SOC '"), F.col("soc"),
-                     F.lit("' in verbatim: "), F.col("raw_verbatim")).alias("evidence"),
-            "source_row",
+    # As long as the products of a case are many.
+    taken = products.join(targets, "dataset_id").where(hit).groupBy("dataset_id", "case_number").agg(
+        F.collect_set(F.struct("concern_id", drug.alias("drug"))).alias("drugs"))
+    return events.join(taken, ["dataset_id", "case_number"], "left")
+
+
+def match_events(events: DataFrame, posted: DataFrame) -> DataFrame:
+    """Raw matches of events, which are read once: each comes under its term and
+    its organ class."""
+    keys = F.array_compact(F.array(F.concat(F.lit("T|"), "normalized_term"), F.concat(F.lit("S|"), F.lower("soc"))))
+    drugs = [F.col("drugs")] if "drugs" in events.columns else []
+    keyed = events.select(
+        "dataset_id", "case_number", "position", "source_row", F.coalesce("soc", "normalized_term").alias("_class"),
+        F.col("normalized_term").alias("said"), F.col("raw_verbatim").alias("verbatim"), *drugs, F.explode(keys).alias("key"))
+    soc = F.col("search_method") == "SOC"
+    return _raw(keyed.join(posted.where("of_events"), "key").withColumn(
+        "matched_term", F.when(soc, F.col("_class")).otherwise(F.col("matched_term"))
+    ).withColumn("search_method", F.when(soc, "SOC_EVENT").otherwise(F.col("search_method"))))
+
+
+def match_cases(cases: DataFrame, posted: DataFrame) -> DataFrame:
+    """Raw matches of cases by organ class."""
+    keyed = cases.select(
+        "dataset_id", "case_number", "source_row", F.col("primary_soc").alias("_soc"), F.concat(F.lit("S|"), F.lower("primary_soc")).alias("key"))
+    return _raw(keyed.join(posted.where(F.col("search_method") == "SOC"), "key").withColumn("matched_term", F.col("_soc")))
+
+
+def match_narratives(cases: DataFrame, concerns: DataFrame) -> DataFrame:
+    """Raw matches of narratives: the first keyword, in configured order, that
+    the text holds. Each text is read once for all keywords; a snippet is cut for
+    each keyword in it, and only snippets meet the concerns."""
+    listed = concerns.where(F.col("search_method") == "NARRATIVE").select(
+        F.col("id").alias("concern_id"), F.posexplode("cfg_keywords").alias("_i", "_kw"))
+    texts = cases.where(F.col("narrative").isNotNull()).select(
+        "dataset_id", "case_number", "source_row", "narrative", F.lower("narrative").alias("_low"))
+    found = with_keywords(texts, "_low", listed.select("_kw"), "_kws").select(
+        "dataset_id", "case_number", "source_row", "narrative", F.explode("_kws").alias("_kw"))
+    said = found.select(
+        "dataset_id", "case_number", "source_row", "_kw", narrative_snippet(F.col("narrative"), F.col("_kw")).alias("said"))
+    first = said.join(listed, "_kw").groupBy("concern_id", "dataset_id", "case_number", "source_row").agg(
+        F.min_by(F.struct("_kw", "said"), "_i").alias("_first"))
+    return _raw(first.select(
+        "concern_id", "dataset_id", "case_number", "source_row", F.lit("NARRATIVE_SEARCH").alias("search_method"),
+        F.col("_first._kw").alias("matched_term"), F.col("_first.said").alias("said")))
+
+
+def evidenced(raw: DataFrame) -> DataFrame:
+    """Matches with their field, reference and evidence written out."""
+    method, term, said, verbatim = (F.col(c) for c in ("search_method", "matched_term", "said", "verbatim"))
+    of_dictionary = method.isin("BROAD_SMQ", "NARROW_SMQ")
+
+    def by_method(dictionary: Column, sub: Column, inter: Column, soc: Column, soc_event: Column, narrative: Column, listed: Column) -> Column:
+        return (
+            F.when(of_dictionary, dictionary).when(method == "SMQ_SUBFILTER", sub).when(method == "CONCOMITANT_INTERACTION", inter)
+            .when(method == "SOC", soc).when(method == "SOC_EVENT", soc_event).when(method == "NARRATIVE_SEARCH", narrative).otherwise(listed)
         )
-    )
-    return by_case.unionByName(by_event)
 
+    def joined(*parts: str | Column) -> Column:
+        return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
-def match_narratives(cases: DataFrame, scope: DataFrame, concerns: DataFrame) -> DataFrame:
-    """First keyword, in configured order, that a narrative contains."""
-    wanted = concerns.where(F.col("search_method") == "NARRATIVE").select(
-        F.col("id").alias("concern_id"), "cfg_keywords"
-    ).join(scope, "concern_id")
-    lowered = F.lower("narrative")
-    keyword = F.get(F.filter("cfg_keywords", lambda k: F.contains(lowered, k)), F.lit(0))
-    none = F.lit(None).cast("string")
-    hits = cases.where(F.col("narrative").isNotNull()).join(wanted, "dataset_id").withColumn("_kw", keyword)
-    return hits.where(F.col("_kw").isNotNull()).select(
-        "concern_id", "dataset_id", "case_number", F.lit(None).cast("long").alias("position"),
-        F.lit("NARRATIVE_SEARCH").alias("search_method"), F.lit("Case Narrative Snippet").alias("matched_field"),
-        F.col("_kw").alias("matched_term"), none.alias("pt_code"), none.alias("smq_name"), none.alias("smq_scope"),
-        F.concat(F.lit("Narrative keyword criterion: '"), F.col("_kw"), F.lit("'")).alias("reference_source"),
-        F.concat(F.lit("Clinical narrative snippet: '"), narrative_snippet(F.col("narrative"), F.col("_kw")),
-                 F.lit("'")).alias("evidence"),
-        "source_row",
-    )
+    field = by_method(*map(F.lit, (
+        "Event Verbatim (Exact PT Lookup)", "SMQ + Sub-filter PT Lookup", "Drug Interaction PT + Concomitant Review",
+        "Primary System Organ Class", "Event System Organ Class", "Case Narrative Snippet", "Event Preferred Term (Configured PT List)")))
+    code = F.coalesce(F.nullif(F.col("smq_code"), F.lit("")), F.lit("N/A"))
+    group, scope = F.col("smq_name"), F.col("smq_scope")
+    reference = by_method(
+        joined(scope, " SMQ: ", group, " (Code: ", code, ")"), joined("SMQ ", group, " + Sub-filter PT: ", term),
+        F.lit("CYP2D6 Multi-Level Interaction Criteria"), joined("MedDRA SOC: ", F.col("soc_name")), joined("Event SOC: ", F.col("soc_name")),
+        joined("Narrative keyword criterion: '", term, "'"), joined("Configured PT Criteria (", F.col("n_terms").cast("string"), " terms)"))
+    own = F.transform(F.filter("drugs", lambda d: d["concern_id"] == F.col("concern_id")), lambda d: d["drug"])
+    drugs = F.nullif(F.array_join(F.array_sort(F.array_distinct(own)), ", "), F.lit(""))
+    note = F.coalesce(
+        joined(" Concomitant CYP2D6 candidate drugs identified: ", drugs, "."),
+        F.lit(" No structured CYP2D6 inhibitor detected; requires clinical narrative review."))
+    evidence = by_method(
+        joined("Exact match for MedDRA PT '", term, "' [PT Code: ", F.col("pt_code"), "] in event verbatim: ", verbatim),
+        joined("Event verbatim ", verbatim, " matched SMQ '", group, "' sub-filtered on PT '", term, "'"),
+        joined("Interaction event matched: '", term, "' in verbatim: ", verbatim, ".", note),
+        joined("Case primary SOC is '", term, "'"),
+        joined("Event '", said, "' mapped to SOC '", term, "' in verbatim: ", verbatim),
+        joined("Clinical narrative snippet: '", said, "'"),
+        joined("Exact match for configured PT '", term, "' in event verbatim: ", verbatim))
+    return raw.withColumns({"matched_field": field, "reference_source": reference, "evidence": evidence}).select(*MATCH_COLUMNS)
+
+
+def in_scope(raw: DataFrame, scope: DataFrame) -> DataFrame:
+    """Raw matches in the datasets of their concern, written out."""
+    return evidenced(raw.join(scope, ["concern_id", "dataset_id"]))
 
 
 def run_searches(
@@ -264,11 +274,9 @@ def run_searches(
 ) -> DataFrame:
     """Matches of every concern over every dataset in its scope."""
     parsed = parse_search_config(concerns)
-    by_term = match_terms(events, scope, search_terms(parsed, terms))
-    by_term = add_interaction_evidence(by_term, parsed, products)
-    return by_term.unionByName(match_soc(cases, events, scope, parsed)).unionByName(
-        match_narratives(cases, scope, parsed)
-    )
+    posted = postings(parsed, terms)
+    raw = match_events(with_drugs(events, products, parsed, scope), posted)
+    return in_scope(raw.unionByName(match_cases(cases, posted)).unionByName(match_narratives(cases, parsed)), scope)
 
 
 def event_enrichment(events: DataFrame, matches: DataFrame) -> DataFrame:
@@ -356,13 +364,11 @@ def init_assessments(assessments: DataFrame, matches: DataFrame) -> DataFrame:
 STATUSES = ("CANDIDATE", "RELEVANT", "NOT_RELEVANT", "NEEDS_REVIEW")
 
 
-def update_assessments(assessments: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(assessments, audit rows) after reviewer updates.
-
-    Several updates of one key are folded to the last one (``seq``), which sets
-    status, notes and exclusion reason; a status outside the four allowed ones
-    is rejected.
-    """
+def reviewed(assessments: DataFrame, updates: DataFrame) -> DataFrame:
+    """(key, before, last): the state of each assessment, NULL where there is
+    none, and the last update of it (``seq``), NULL where there is none. Both
+    tables meet in one aggregate; updates to a status outside the four allowed
+    ones are rejected."""
     key = ["case_number", "concern_id", "dataset_id"]
     review = ["status", "reviewer_notes", "exclusion_reason"]
     none = F.lit(None).cast("string")
@@ -370,14 +376,35 @@ def update_assessments(assessments: DataFrame, updates: DataFrame) -> tuple[Data
     def own(df: DataFrame) -> list[Column]:
         return [F.col(c) if c in df.columns else none.alias(c) for c in review]
 
-    valid = updates.where(F.col("status").isin(*STATUSES)).select(*key, "seq", "reviewer_id", *own(updates))
-    last = valid.groupBy(*key).agg(F.max_by(F.struct("reviewer_id", *review), "seq").alias("_last"))
-    joined = assessments.select(*key, *own(assessments)).join(last, key, "full_outer")
-    set_now = F.col("_last").isNotNull()
-    current = joined.select(*key, *(F.when(set_now, F.col("_last")[c]).otherwise(F.col(c)).alias(c) for c in review))
-    audit = joined.where(set_now).select(
-        *key, F.coalesce("status", F.lit("NEW")).alias("previous_state"), F.col("_last.status").alias("new_state"),
-        F.col("_last.reviewer_id").alias("user_id"),
-        F.concat(F.lit("Changed assessment status for case "), F.col("case_number"), F.lit(" to "), F.col("_last.status")).alias("action"),
+    old = assessments.select(
+        *key, F.struct(*own(assessments)).alias("before"), F.lit(None).cast("long").alias("seq"),
+        F.struct(none.alias("reviewer_id"), *(none.alias(c) for c in review)).alias("last"))
+    new = updates.where(F.col("status").isin(*STATUSES)).select(
+        *key, F.struct(*(none.alias(c) for c in review)).alias("before"), F.col("seq").cast("long").alias("seq"),
+        F.struct("reviewer_id", *own(updates)).alias("last"))
+    is_old = F.col("seq").isNull()
+    return old.unionByName(new).groupBy(*key).agg(
+        F.max_by("before", F.when(is_old, F.lit(1))).alias("before"), F.max_by("last", "seq").alias("last"))
+
+
+def audit_rows(reviews: DataFrame) -> DataFrame:
+    """One audit row for each assessment that an update has set."""
+    return reviews.where(F.col("last").isNotNull()).select(
+        "case_number", "concern_id", "dataset_id", F.coalesce("before.status", F.lit("NEW")).alias("previous_state"),
+        F.col("last.status").alias("new_state"), F.col("last.reviewer_id").alias("user_id"),
+        F.concat(F.lit("Changed assessment status for case "), F.col("case_number"), F.lit(" to "), F.col("last.status")).alias("action"),
     )
-    return current, audit
+
+
+def update_assessments(assessments: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(assessments, audit rows) after reviewer updates.
+
+    Several updates of one key are folded to the last one (``seq``), which sets
+    status, notes and exclusion reason; a status outside the four allowed ones
+    is rejected.
+    """
+    reviews = reviewed(assessments, updates)
+    state = F.coalesce(F.col("last").dropFields("reviewer_id"), F.col("before"))
+    current = reviews.select("case_number", "concern_id", "dataset_id", state.alias("_s")).select(
+        "case_number", "concern_id", "dataset_id", "_s.status", "_s.reviewer_notes", "_s.exclusion_reason")
+    return current, audit_rows(reviews)

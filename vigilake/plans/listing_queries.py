@@ -213,25 +213,16 @@ def active_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return search.active_datasets(t.concerns(spark, sf), t.datasets(spark, sf))
 
 
-def _matches(spark: SparkSession, sf: str) -> DataFrame:
-    concerns = t.concerns(spark, sf)
-    # Events are a stored table: two searches read them.
-    return search.run_searches(
-        t.case_records(spark, sf), cut_lineage(t.case_events(spark, sf)), t.case_products(spark, sf), t.smq_terms(spark, sf),
-        concerns, search.all_datasets(concerns, t.datasets(spark, sf)),
-    )
-
-
-def _stored_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Matches as the stored table that reports read several times."""
-    return cut_lineage(_matches(spark, sf))
-
-
-def _term_matches(spark: SparkSession, sf: str) -> DataFrame:
+def _term_matches(spark: SparkSession, sf: str, *methods: str) -> DataFrame:
+    """Matches of some methods that go by terms or organ classes of events."""
     concerns = t.concerns(spark, sf)
     parsed = search.parse_search_config(concerns)
+    if methods:
+        parsed = parsed.where(F.col("search_method").isin(*methods))
     scope = search.all_datasets(concerns, t.datasets(spark, sf))
-    return search.match_terms(t.case_events(spark, sf), scope, search.search_terms(parsed, t.smq_terms(spark, sf)))
+    kept = t.cases(spark, sf)
+    events = kept.events if "CONCOMITANT_INTERACTION" not in methods else search.with_drugs(kept.events, kept.products, parsed, scope)
+    return search.in_scope(search.match_events(events, search.postings(parsed, t.smq_terms(spark, sf))), scope)
 
 
 _MATCH_COLUMNS = ", ".join(search.MATCH_COLUMNS)
@@ -240,7 +231,7 @@ _MATCH_COLUMNS = ", ".join(search.MATCH_COLUMNS)
 @query("C11 J1 J2 J3 J4 J5 J6 J7 F32", f"WITH {t.SQL_MATCHES} SELECT {_MATCH_COLUMNS} FROM matches_t")
 def run_searches(spark: SparkSession, sf: str) -> DataFrame:
     """All concerns over all datasets of their product, with evidence."""
-    return _matches(spark, sf).select(*search.MATCH_COLUMNS)
+    return t.found(spark, sf)
 
 
 def _sql_method(*methods: str) -> str:
@@ -250,33 +241,31 @@ def _sql_method(*methods: str) -> str:
 
 @query("J1 J3", _sql_method("BROAD_SMQ", "NARROW_SMQ"))
 def smq_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return _term_matches(spark, sf).where(F.col("search_method").isin("BROAD_SMQ", "NARROW_SMQ"))
+    return _term_matches(spark, sf, "BROAD_SMQ", "NARROW_SMQ")
 
 
 @query("J2", _sql_method("SMQ_SUBFILTER"))
 def smq_subfilter(spark: SparkSession, sf: str) -> DataFrame:
-    return _term_matches(spark, sf).where(F.col("search_method") == "SMQ_SUBFILTER")
+    return _term_matches(spark, sf, "SMQ_SUBFILTER")
 
 
 @query("J4", _sql_method("SINGLE_PT", "MULTIPLE_PTS"))
 def pt_list_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return _term_matches(spark, sf).where(F.col("search_method").isin("SINGLE_PT", "MULTIPLE_PTS"))
+    return _term_matches(spark, sf, "SINGLE_PT", "MULTIPLE_PTS")
 
 
 @query("J5", _sql_method("SOC", "SOC_EVENT"))
 def soc_match(spark: SparkSession, sf: str) -> DataFrame:
-    concerns = t.concerns(spark, sf)
-    return search.match_soc(
-        t.case_records(spark, sf), t.case_events(spark, sf), search.all_datasets(concerns, t.datasets(spark, sf)),
-        search.parse_search_config(concerns),
-    )
+    concerns, kept = t.concerns(spark, sf), t.cases(spark, sf)
+    parsed = search.parse_search_config(concerns).where(F.col("search_method") == "SOC")
+    posted = search.postings(parsed, t.smq_terms(spark, sf))
+    raw = search.match_events(kept.events, posted).unionByName(search.match_cases(kept.records, posted))
+    return search.in_scope(raw, search.all_datasets(concerns, t.datasets(spark, sf)))
 
 
 @query("J6", _sql_method("CONCOMITANT_INTERACTION"))
 def concomitant_interaction(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = search.parse_search_config(t.concerns(spark, sf))
-    found = _term_matches(spark, sf).where(F.col("search_method") == "CONCOMITANT_INTERACTION")
-    return search.add_interaction_evidence(found, parsed, t.case_products(spark, sf)).select(*search.MATCH_COLUMNS)
+    return _term_matches(spark, sf, "CONCOMITANT_INTERACTION")
 
 
 @query("J7 F32", """WITH k(i, kw) AS (VALUES (0, 'zzzz'), (1, 'thethe'), (2, 'pation'), (3, 'schaft'), (4, 'ca')),
@@ -297,7 +286,7 @@ def narrative_keyword(spark: SparkSession, sf: str) -> DataFrame:
         t.CONCERN_SCHEMA,
     )
     scope = spark.createDataFrame([("n", "ds")], "concern_id STRING, dataset_id STRING")
-    return search.match_narratives(cases, scope, search.parse_search_config(concern)).select(
+    return search.in_scope(search.match_narratives(cases, search.parse_search_config(concern)), scope).select(
         "case_number", "matched_term", "evidence"
     )
 
@@ -308,7 +297,8 @@ def narrative_keyword(spark: SparkSession, sf: str) -> DataFrame:
 FROM events_t e LEFT JOIN (SELECT * FROM matches_t WHERE search_method <> 'SOC_EVENT') m
   ON e.case_number = m.case_number AND e.position = m.position GROUP BY ALL""")
 def event_enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    return search.event_enrichment(t.case_events(spark, sf), _term_matches(spark, sf)).select(
+    found = t.matches(spark, sf).where(F.col("search_method") != "SOC_EVENT")
+    return search.event_enrichment(t.cases(spark, sf).events, found).select(
         "dataset_id", "case_number", "position", "normalized_term", "preferred_term", "matched_pt_code"
     )
 
@@ -316,7 +306,7 @@ def event_enrichment(spark: SparkSession, sf: str) -> DataFrame:
 @query("G5", f"""WITH {t.SQL_MATCHES} SELECT concern_id, dataset_id, count(*) AS candidate_events_count,
   count(DISTINCT case_number) AS distinct_cases_count FROM matches_t GROUP BY ALL""")
 def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return search.run_metrics(_matches(spark, sf))
+    return search.run_metrics(t.matches(spark, sf))
 
 
 _RUNS_SQL = """runs AS (
@@ -350,7 +340,7 @@ def active_run(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT DISTINCT case_number, concern_id, dataset_id, 'CANDIDATE', 'ass_' || concern_id || '_' || dataset_id || '_' || case_number
   FROM matches_t ANTI JOIN assess_t USING (case_number, concern_id, dataset_id)""")
 def init_assessments(spark: SparkSession, sf: str) -> DataFrame:
-    return search.init_assessments(t.assessments(spark, sf), _matches(spark, sf)).select(
+    return search.init_assessments(t.assessments(spark, sf), t.matches(spark, sf)).select(
         "case_number", "concern_id", "dataset_id", "status", "id")
 
 
@@ -363,27 +353,13 @@ last AS (SELECT * FROM upd WHERE status <> 'BOGUS'
   QUALIFY row_number() OVER (PARTITION BY case_number, concern_id, dataset_id ORDER BY source_row DESC) = 1)"""
 
 
-def _updates(spark: SparkSession, sf: str) -> DataFrame:
-    return t.listing_rows(spark, sf).join(
-        table(spark, sf, "lineitem").selectExpr(
-            f"{t.SOURCE_ROW} AS source_row",
-            "CAST(l_orderkey AS STRING) AS `Case Number`", "l_linestatus", "l_returnflag", "l_linenumber"),
-        ["source_row", "Case Number"],
-    ).selectExpr(
-        "`Case Number` AS case_number", "concat(substring(product_name, 1, 1), '_soc') AS concern_id", "dataset_id",
-        "concat('rev', l_linenumber) AS reviewer_id", "source_row AS seq",
-        "CASE WHEN l_linestatus = 'F' THEN 'RELEVANT' WHEN l_returnflag = 'R' THEN 'BOGUS' ELSE 'NEEDS_REVIEW' END AS status",
-        "concat('read by ', l_linenumber) AS reviewer_notes", "CASE WHEN l_linestatus <> 'F' THEN 'Unclear' END AS exclusion_reason",
-    )
-
-
 @query("C6", f"""WITH {t.SQL_STATUS} {_UPDATES_SQL}
 SELECT case_number, concern_id, dataset_id, coalesce(last.status, a.status) AS status,
  CASE WHEN last.status IS NULL THEN a.reviewer_notes ELSE last.reviewer_notes END AS reviewer_notes,
  CASE WHEN last.status IS NULL THEN a.exclusion_reason ELSE last.exclusion_reason END AS exclusion_reason
 FROM assess_t a FULL JOIN last USING (case_number, concern_id, dataset_id)""")
 def update_assessment(spark: SparkSession, sf: str) -> DataFrame:
-    return search.update_assessments(t.assessments(spark, sf), _updates(spark, sf))[0]
+    return search.update_assessments(t.assessments(spark, sf), t.updates(spark, sf))[0]
 
 
 @query("C6 C12", f"""WITH {t.SQL_STATUS} {_UPDATES_SQL}
@@ -391,7 +367,7 @@ SELECT case_number, concern_id, dataset_id, coalesce(a.status, 'NEW') AS previou
   reviewer_id AS user_id, 'Changed assessment status for case ' || case_number || ' to ' || last.status AS action
 FROM last LEFT JOIN assess_t a USING (case_number, concern_id, dataset_id)""")
 def assessment_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return search.update_assessments(t.assessments(spark, sf), _updates(spark, sf))[1]
+    return search.update_assessments(t.assessments(spark, sf), t.updates(spark, sf))[1]
 
 
 _CATEGORY = """CASE WHEN lower(category) LIKE '%section 9%' THEN NULL
@@ -416,7 +392,7 @@ table_t AS (
 def _table(spark: SparkSession, sf: str) -> DataFrame:
     concerns = t.concerns(spark, sf)
     return reports.section_16_1_table(
-        concerns, search.all_datasets(concerns, t.datasets(spark, sf)), _matches(spark, sf), t.assessments(spark, sf)
+        concerns, search.all_datasets(concerns, t.datasets(spark, sf)), t.matches(spark, sf), t.stored_assessments(spark, sf)
     )
 
 
@@ -446,15 +422,15 @@ _CASE_ROWS = """SELECT concern_id, s.dataset_id, case_number, country, product_n
 
 @query("G2 J9", f"WITH {t.SQL_STATUS} {_CASE_ROWS.format(more='')}")
 def search_summary_cases(spark: SparkSession, sf: str) -> DataFrame:
-    cases = reports.matched_cases(_matches(spark, sf), t.assessments(spark, sf))
-    return reports.search_summary_cases(cases, t.case_records(spark, sf))
+    cases = reports.matched_cases(t.matches(spark, sf), t.stored_assessments(spark, sf))
+    return reports.search_summary_cases(cases, t.cases(spark, sf).records)
 
 
 @query("G2", f"""WITH {t.SQL_STATUS} SELECT concern_id, dataset_id, case_number, position, matched_field, matched_term, pt_code,
   reference_source, evidence, source_row, status AS assessment_status FROM matches_t JOIN status_t USING (concern_id, dataset_id, case_number)""")
 def search_summary_matches(spark: SparkSession, sf: str) -> DataFrame:
-    matches = _stored_matches(spark, sf)
-    return reports.search_summary_matches(matches, reports.matched_cases(matches, t.assessments(spark, sf)))
+    matches = t.matches(spark, sf)
+    return reports.search_summary_matches(matches, reports.matched_cases(matches, t.stored_assessments(spark, sf)))
 
 
 _LISTED = """, CASE status WHEN 'RELEVANT' THEN 'relevant' WHEN 'NOT_RELEVANT' THEN 'excluded' ELSE 'pending' END AS case_list"""
@@ -463,8 +439,8 @@ _LISTED = """, CASE status WHEN 'RELEVANT' THEN 'relevant' WHEN 'NOT_RELEVANT' T
 @query("G3", f"WITH {t.SQL_STATUS} {_CASE_ROWS.format(more=_LISTED)}")
 def concern_report_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Relevant, excluded and pending cases of every concern."""
-    cases = reports.matched_cases(_matches(spark, sf), t.assessments(spark, sf))
-    return reports.concern_report_cases(cases, t.case_records(spark, sf))
+    cases = reports.matched_cases(t.matches(spark, sf), t.stored_assessments(spark, sf))
+    return reports.concern_report_cases(cases, t.cases(spark, sf).records)
 
 
 @query("G2", f"""WITH {t.SQL_STATUS} SELECT concern_id, dataset_id, CAST(sum(n_matches) AS BIGINT) AS total_event_matches,
@@ -473,7 +449,7 @@ def concern_report_cases(spark: SparkSession, sf: str) -> DataFrame:
   count(*) FILTER (status = 'NEEDS_REVIEW') AS needs_review_count,
   count(*) FILTER (status = 'CANDIDATE') AS pending_count FROM status_t GROUP BY ALL""")
 def search_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.status_counts(reports.matched_cases(_matches(spark, sf), t.assessments(spark, sf)))
+    return reports.status_counts(reports.matched_cases(t.matches(spark, sf), t.stored_assessments(spark, sf)))
 
 
 _PT_SQL = f"""WITH {t.SQL_STATUS}, shown AS (
@@ -487,7 +463,7 @@ pt AS (
 
 @query("G4", f"{_PT_SQL} SELECT * FROM pt")
 def pt_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.pt_summary(_stored_matches(spark, sf), t.assessments(spark, sf))
+    return reports.pt_summary(t.matches(spark, sf), t.stored_assessments(spark, sf))
 
 
 @query("G3 F34", f"""{_PT_SQL}, m AS (
@@ -512,7 +488,7 @@ SELECT m.*, 'During the review period (' || coalesce(reporting_period, 'None') |
 FROM m JOIN concerns_t USING (concern_id) LEFT JOIN terms USING (concern_id, dataset_id)""")
 def concern_report(spark: SparkSession, sf: str) -> DataFrame:
     return reports.concern_report(
-        t.concerns(spark, sf), _stored_matches(spark, sf), t.assessments(spark, sf), t.case_records(spark, sf)
+        t.concerns(spark, sf), t.matches(spark, sf), t.stored_assessments(spark, sf), t.cases(spark, sf).records
     )
 
 
@@ -529,10 +505,10 @@ UNION ALL SELECT dataset_id, case_number, 'audit', 0, concern_id || '|' || revie
 
 @query("J18", _DETAIL_SQL)
 def case_detail(spark: SparkSession, sf: str) -> DataFrame:
+    kept = t.cases(spark, sf)
     return reports.case_detail(
-        cut_lineage(t.case_records(spark, sf)), t.case_events(spark, sf), t.case_products(spark, sf),
-        _stored_matches(spark, sf), t.assessments(spark, sf),
-        audit=search.update_assessments(t.assessments(spark, sf), _updates(spark, sf))[1],
+        kept.records, kept.events, kept.products, t.matches(spark, sf), t.stored_assessments(spark, sf),
+        audit=search.audit_rows(t.reviews(spark, sf)),
     )
 
 
@@ -540,7 +516,7 @@ def case_detail(spark: SparkSession, sf: str) -> DataFrame:
 FROM (SELECT dataset_id, product_name, count(*) AS cases FROM cases_t GROUP BY ALL)
 JOIN (SELECT dataset_id, count(*) AS events FROM events_t GROUP BY ALL) USING (dataset_id)""")
 def ingestion_status(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.ingestion_status(t.case_records(spark, sf), t.case_events(spark, sf), t.datasets(spark, sf))
+    return reports.ingestion_status(t.cases(spark, sf).records, t.cases(spark, sf).events, t.datasets(spark, sf))
 
 
 @query("G6", f"""WITH {t.SQL_EVENTS} SELECT 'cases' AS kind, '' AS name, count(*) AS n FROM cases_t
@@ -550,7 +526,7 @@ UNION ALL SELECT DISTINCT 'file', 'listing_' || substr(o_orderpriority, 1, 1) ||
 def ingestion_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Totals of all tables, products and files."""
     return reports.ingestion_totals(
-        t.case_records(spark, sf), t.case_events(spark, sf), t.smq_terms(spark, sf), t.part_concerns(spark, sf), t.datasets(spark, sf))
+        t.cases(spark, sf).records, t.cases(spark, sf).events, t.smq_terms(spark, sf), t.part_concerns(spark, sf), t.datasets(spark, sf))
 
 
 _BRACKET_SQL = f"""WITH {t.SQL_LI}, per_row AS (SELECT dataset_id, case_number,
@@ -576,7 +552,7 @@ def top_terms(spark: SparkSession, sf: str) -> DataFrame:
 WHERE product_name ILIKE '%hi_h%' AND country ILIKE '%f%' AND is_serious ORDER BY case_number OFFSET 50 LIMIT 50""")
 def list_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Second page of a filtered case list."""
-    found = reports.list_cases(t.case_records(spark, sf), product="HI_H", country="f", serious_only=True)
+    found = reports.list_cases(t.cases(spark, sf).records, product="HI_H", country="f", serious_only=True)
     return reports.page(found, [F.col("case_number")], number=2).select("case_number", "product_name", "country")
 
 
@@ -584,7 +560,7 @@ def list_cases(spark: SparkSession, sf: str) -> DataFrame:
 WHERE product_name ILIKE '%hi_h%' AND country ILIKE '%f%' AND is_serious""")
 def list_cases_total(spark: SparkSession, sf: str) -> DataFrame:
     """Rows and pages behind the filtered case list."""
-    return reports.page_totals(reports.list_cases(t.case_records(spark, sf), product="HI_H", country="f", serious_only=True))
+    return reports.page_totals(reports.list_cases(t.cases(spark, sf).records, product="HI_H", country="f", serious_only=True))
 
 
 @query("P14", f"""WITH {t.SQL_STATUS} SELECT concern_id, dataset_id, case_number, outcome FROM (
@@ -593,9 +569,9 @@ WHERE contains(lower(case_number), 'ring') OR contains(lower(country), 'ring') O
    OR EXISTS (SELECT 1 FROM matches_t m WHERE m.concern_id = x.concern_id AND m.case_number = x.case_number
               AND contains(lower(matched_term), 'ring'))""")
 def case_text_filter(spark: SparkSession, sf: str) -> DataFrame:
-    matches = _stored_matches(spark, sf)
+    matches = t.matches(spark, sf)
     cases = reports.search_summary_cases(
-        reports.matched_cases(matches, t.assessments(spark, sf)), t.case_records(spark, sf))
+        reports.matched_cases(matches, t.stored_assessments(spark, sf)), t.cases(spark, sf).records)
     return reports.case_text_filter(cases, matches, "Ring").select("concern_id", "dataset_id", "case_number", "outcome")
 
 
@@ -605,7 +581,7 @@ UNION ALL SELECT dataset_id, case_number, 'receipt_date', initial_receipt_date F
 UNION ALL SELECT dataset_id, case_number, 'repeated_term', normalized_term FROM events_t GROUP BY ALL HAVING count(*) > 1""")
 def ingest_quality_flags(spark: SparkSession, sf: str) -> DataFrame:
     return reports.ingest_quality_flags(
-        t.case_events(spark, sf), t.case_records(spark, sf), t.case_products(spark, sf), "1996-01-01", "1999-12-31"
+        t.cases(spark, sf).events, t.cases(spark, sf).records, t.cases(spark, sf).products, "1996-01-01", "1999-12-31"
     )
 
 
@@ -613,8 +589,8 @@ def ingest_quality_flags(spark: SparkSession, sf: str) -> DataFrame:
 JOIN (SELECT case_number, source_row AS source_row_case FROM cases_t) USING (case_number)""")
 def backfill_case_key(spark: SparkSession, sf: str) -> DataFrame:
     """Events get the surrogate key of their case."""
-    records = t.case_records(spark, sf).withColumn("case_id", F.col("source_row"))
-    children = t.case_events(spark, sf).withColumn("case_id", F.lit(None).cast("long"))
+    records = t.cases(spark, sf).records.withColumn("case_id", F.col("source_row"))
+    children = t.cases(spark, sf).events.withColumn("case_id", F.lit(None).cast("long"))
     return reports.backfill_case_key(children, records).select("case_number", "position", "case_id")
 
 

@@ -11,7 +11,8 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilake.operators import listing as ops
+from vigilake.operators import case_store, listing as ops, search
+from vigilake.operators.skew import cut_lineage
 from vigilake.plans.registry import spread_table, table
 
 ROW_BLOCK = 100_000_000_000_000_000
@@ -60,7 +61,7 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def case_events(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.explode_events(listing(spark, sf), row_block=ROW_BLOCK)
+    return ops.explode_events(listing(spark, sf))
 
 
 def case_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,6 +72,30 @@ def case_products(spark: SparkSession, sf: str) -> DataFrame:
     return ops.explode_products(listing(spark, sf))
 
 
+def _state(spark: SparkSession, sf: str) -> str:
+    return case_store.fingerprint(spark, [f"{sf}/{name}.parquet" for name in ("lineitem", "orders", "part")])
+
+
+def cases(spark: SparkSession, sf: str) -> case_store.CaseTables:
+    """The stored tables of the listing, read in again when a file has changed."""
+    key = _state(spark, sf)
+    return case_store.opened(spark, key) or case_store.ingest(listing(spark, sf), key)
+
+
+def matches(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored matches of a run of all searches over the stored cases."""
+    key = _state(spark, sf)
+    name = case_store.table_name("matches", key)
+    return spark.table(name) if spark.catalog.tableExists(name) else case_store.stored(found(spark, sf), "matches", key)
+
+
+def found(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches of all concerns over all datasets of their product."""
+    c, kept = concerns(spark, sf), cases(spark, sf)
+    return search.run_searches(
+        kept.records, kept.events, kept.products, smq_terms(spark, sf), c, cut_lineage(search.all_datasets(c, datasets(spark, sf))))
+
+
 def datasets(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     return o.selectExpr(
@@ -160,6 +185,33 @@ def assessments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def updates(spark: SparkSession, sf: str) -> DataFrame:
+    """A reviewer's update per listing row, some of them invalid."""
+    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    return li.join(o, li.l_orderkey == o.o_orderkey).selectExpr(
+        "CAST(l_orderkey AS STRING) AS case_number", "concat(substring(o_orderpriority, 1, 1), '_soc') AS concern_id",
+        "concat('ds_', substring(o_orderpriority, 1, 1), '_', year(o_orderdate)) AS dataset_id",
+        "concat('rev', l_linenumber) AS reviewer_id", f"{SOURCE_ROW} AS seq",
+        "CASE WHEN l_linestatus = 'F' THEN 'RELEVANT' WHEN l_returnflag = 'R' THEN 'BOGUS' ELSE 'NEEDS_REVIEW' END AS status",
+        "concat('read by ', l_linenumber) AS reviewer_notes", "CASE WHEN l_linestatus <> 'F' THEN 'Unclear' END AS exclusion_reason",
+    )
+
+
+def reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored review states of all assessments and their last updates."""
+    key = _state(spark, sf)
+    name = case_store.table_name("reviews", key)
+    if spark.catalog.tableExists(name):
+        return spark.table(name)
+    return case_store.stored(search.reviewed(assessments(spark, sf), updates(spark, sf)), "reviews", key)
+
+
+def stored_assessments(spark: SparkSession, sf: str) -> DataFrame:
+    """The assessments as they were before any update."""
+    key = ("case_number", "concern_id", "dataset_id")
+    return reviews(spark, sf).where("before IS NOT NULL").select(*key, "before.*")
+
+
 # ---------------------------------------------------------------------------
 # The same tables in SQL, straight from the columns.
 
