@@ -21,7 +21,7 @@ import re
 from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import islice
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,30 +46,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def ends(spans: Sequence[tuple[int, int]], sizes: Sequence[int]) -> list[int]:
-    """Byte at which each token ends: its span's end where that is as long as
-    the token's bytes, else as many bytes on as it has."""
-    out, at = [], 0
-    for (begin, end), size in zip(spans, sizes, strict=True):
-        at = end if begin == at and end - begin == size else at + size
-        out.append(at)
-    return out
-
-
-def linked(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[list[int], list[str]]:
-    """Overlapping pairs as ``a << 32 | b``, and the groups between common ends."""
-    pairs, groups, i, j, first_i, first_j = [], [], 0, 0, 0, 0
-    while i < len(a):
-        pairs.append(a[i] << 32 | b[j])
-        if a_ends[i] == b_ends[j]:
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a[first_i:i])) + "|" + ",".join(map(str, b[first_j:j])))
-            first_i, first_j = i, j
-        elif a_ends[i] < b_ends[j]:
-            i += 1
-        else:
-            j += 1
-    return pairs, groups
+def ends(begin: np.ndarray, end: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte at which each token ends: its span's end where the span is as long
+    as the token's bytes, else where the bytes so far end."""
+    at = np.cumsum(sizes)
+    return np.where((end - begin == sizes) & (begin == at - sizes), end, at)
+
+
+def linked(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping pairs as ``a << 32 | b``, in order, and the ends both have:
+    between two ends of either kind, one token of each lies."""
+    every = np.union1d(a_ends, b_ends)
+    i, j = np.searchsorted(a_ends, every), np.searchsorted(b_ends, every)
+    return a[i].astype(np.int64) << 32 | b[j], every[(a_ends[i] == every) & (b_ends[j] == every)]
 
 
 class Aligner:
@@ -88,6 +77,10 @@ class Aligner:
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [
             bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+        self.a_size = np.zeros(max(self.a_bytes) + 1, dtype=np.int64)
+        for i, t in self.a_bytes.items():
+            self.a_size[i] = len(t)
+        self.b_size = np.array([len(t) for t in self.b_bytes], dtype=np.int64)
         self.space = self.b.piece_to_id("▁")
         # The byte-level pattern never joins a blank to what is before it. The
         # other tokenizer does so only where a piece has it inside.
@@ -104,39 +97,72 @@ class Aligner:
         self.pairs, self.upto, self.groups = array("q"), array("q", [0]), []
 
     def learn(self, parts: Sequence[str]) -> None:
-        """Tokenize and align parts of texts."""
-        read = [p[1:] if p[0] == " " else p for p in parts]
-        for part, found, told in zip(parts, self.a.encode_batch(list(parts), add_special_tokens=False), self.b.encode(read, return_type="proto", num_threads=1), strict=True):
-            raw = part.encode("utf-8", "surrogatepass")
-            a, spans = found.ids, found.offsets
-            if not part.isascii():
+        """Tokenize and align parts of texts, all of them at once."""
+        raws = [p.encode("utf-8", "surrogatepass") for p in parts]
+        found = self.a.encode_batch(list(parts), add_special_tokens=False)
+        told = self.b.encode([p[1:] if p[0] == " " else p for p in parts], return_type="proto", num_threads=1)
+        a_ids, a_spans, b_ids, b_spans = [], [], [], []
+        for part, raw, one, two in zip(parts, raws, found, told, strict=True):
+            spans = one.offsets
+            if len(raw) != len(part):
                 # Characters to bytes.
-                at = np.concatenate(([0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in part]))).tolist()
+                at = list(accumulate((len(c.encode("utf-8", "surrogatepass")) for c in part), initial=0))
                 spans = [(at[x], at[y]) for x, y in spans]
-            own = [(t.id, t.begin, t.end) for t in told.pieces]
+            a_ids.append(one.ids)
+            a_spans.append(spans)
             shift = int(part[0] == " ")  # the space that the tokenizer adds
+            own = [(t.id, t.begin + shift, t.end + shift) for t in two.pieces]
             if part == " ":
                 own = [(self.space, 0, 0)]
             elif not shift and own and own[0][0] == self.space:
                 own = own[1:]
-            b = [t[0] for t in own]
-            a_raw, b_raw = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            good = bool(raw) and b"".join(a_raw) == raw == b"".join(b_raw)
-            pairs, groups = [], []
-            if good:
-                pairs, groups = linked(a, ends(spans, [len(t) for t in a_raw]), b, ends([(x + shift, y + shift) for _, x, y in own], [len(t) for t in b_raw]))
+            b_ids.append([t[0] for t in own])
+            b_spans.append([t[1:] for t in own])
+        good = [bool(raw) and b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b)) for raw, a, b in zip(raws, a_ids, b_ids, strict=True)]
+        kept = [k for k, g in enumerate(good) if g]
+        base = np.cumsum([0, *(len(raws[k]) for k in kept)])
+
+        def placed(ids: list, spans: list, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            flat = np.fromiter(chain.from_iterable(ids[k] for k in kept), np.int64)
+            span = np.fromiter(chain.from_iterable(chain.from_iterable(spans[k] for k in kept)), np.int64).reshape(-1, 2)
+            span += np.repeat(base[:-1], [len(ids[k]) for k in kept])[:, None] if kept else 0
+            return flat, ends(span[:, 0], span[:, 1], size[flat])
+
+        a, a_ends = placed(a_ids, a_spans, self.a_size)
+        b, b_ends = placed(b_ids, b_spans, self.b_size)
+        keys, common = linked(a, a_ends, b, b_ends)
+        links_upto = np.searchsorted(np.union1d(a_ends, b_ends), base[1:], "right")
+        # Groups as text: the tokens of either side up to each common end.
+        a_upto, b_upto = (np.searchsorted(x, common, "right").tolist() for x in (a_ends, b_ends))
+        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        groups, i, j = [], 0, 0
+        for x, y in zip(a_upto, b_upto, strict=True):
+            groups.append((a_text[i] if x == i + 1 else ",".join(a_text[i:x])) + "|" + (b_text[j] if y == j + 1 else ",".join(b_text[j:y])))
+            i, j = x, y
+        groups_upto = np.searchsorted(common, base[1:], "right").tolist()
+        known, inverse = np.unique(keys, return_inverse=True)
+        numbers = np.empty(len(known), dtype=np.int64)
+        for n, key in enumerate(known.tolist()):
+            numbers[n] = i = self.pair_ids.setdefault(key, len(self.pair_keys))
+            if i == len(self.pair_keys):
+                self.pair_keys.append(key)
+        before = len(self.pairs)
+        self.pairs.frombytes(numbers[inverse].tobytes())
+        links_upto, k, group = (links_upto + before).tolist(), 0, 0
+        for n, part in enumerate(parts):
             self.known[part] = len(self.good)
-            self.good.append(good)
-            self.n_a.append(len(a))
-            self.n_b.append(len(b))
-            self.n_groups.append(len(groups))
-            self.groups.append(";".join(groups))
-            for key in pairs:
-                i = self.pair_ids.setdefault(key, len(self.pair_keys))
-                if i == len(self.pair_keys):
-                    self.pair_keys.append(key)
-                self.pairs.append(i)
-            self.upto.append(len(self.pairs))
+            self.good.append(good[n])
+            self.n_a.append(len(a_ids[n]))
+            self.n_b.append(len(b_ids[n]))
+            if good[n]:
+                self.n_groups.append(groups_upto[k] - group)
+                self.groups.append(";".join(groups[group:groups_upto[k]]))
+                self.upto.append(links_upto[k])
+                k, group = k + 1, groups_upto[k]
+            else:
+                self.n_groups.append(0)
+                self.groups.append("")
+                self.upto.append(self.upto[-1])
 
     def indexed(self, text: str | None) -> tuple[np.ndarray, str]:
         """Known part at each place of the text, and the digest of its groups;
@@ -145,7 +171,7 @@ class Aligner:
             return np.zeros(0, dtype=np.int64), ""
         found, out, digest, started = self.part.finditer(" " + text), [], hashlib.sha256(), False
         while parts := [m[0] for m in islice(found, BLOCK)]:
-            new = sorted(set(parts) - self.known.keys())
+            new = sorted(p for p in set(parts) if p not in self.known)
             if new:
                 self.learn(new)
             at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
