@@ -1,13 +1,15 @@
 """Small hand-written inputs: quirks, sources, sinks and streams."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from vigilake.functions import dates, documents, listing as cells, sections, text
-from vigilake.operators import dictionary, documents as ops, listing, search, skew, tables
+from vigilake.operators import dictionary, documents as ops, keywords, listing, search, skew, substring, tables
 from vigilake.sources import exports, feeds, html, pages as articles
+from vigilake.session import tune
 from vigilake.streaming.changes import SCAN_SCHEMA, read_version, watch_folder
 
 
@@ -134,6 +136,108 @@ def test_continued_tables_equal_brute_force(spark):
     assert got == brute_continue(parts)
 
 
+def brute_outline(rows):
+    """Open groups of every term line, walked from the top."""
+    out, stack = [], []
+    for n, cells in rows:
+        header = next(((i, c.strip()) for i, c in enumerate(cells) if c and "(smq)" in c.lower()), None)
+        if header:
+            stack = [g for g in stack if g[0] < header[0]] + [header]
+            continue
+        at = next((i for i, c in enumerate(cells) if c in ("Narrow", "Broad")), None)
+        if at is not None and len(cells) > at + 3 and cells[at + 2] and cells[at + 3]:
+            out.append((n, cells[at + 3].strip(), [g for _, g in stack]))
+    return out
+
+
+def test_outline_equals_the_walk_in_any_blocks(spark):
+    rng = random.Random(4)
+    rows = []
+    for n in range(600):
+        if rng.random() < 0.3:
+            rows.append((n * 3, [None] * rng.randrange(5) + [f" g{n} (SMQ) "]))
+        else:
+            rows.append((n * 3, [None] * rng.randrange(4) + [rng.choice(["Narrow", "Broad", "x"]), "c", rng.choice(["t", None, ""]), f" {n} "][:rng.randrange(2, 5)]))
+    want = brute_outline(rows)
+    df = spark.createDataFrame([("s", n, c) for n, c in rows], "sheet_id string, row_no long, cells array<string>")
+    for block in (7, 100, 65_536):
+        got = [(r.row_no, r.pt_code, r.groups) for r in dictionary.outline_terms(df, block).orderBy("row_no").collect()]
+        assert got == want and len(want) > 20
+
+
+def test_outline_of_a_million_rows_is_spread(spark):
+    rows = spark.range(1_000_000).selectExpr(
+        "'one' AS sheet_id", "id AS row_no",
+        "CASE WHEN id % 1000 = 0 THEN array(concat('g', id, ' (SMQ)')) ELSE array('Broad', 'c', 't', string(id)) END AS cells")
+    found = dictionary.outline_terms(rows)
+    held = found.groupBy(F.element_at("groups", 1).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    assert held.where("n = 999").count() == 1000 == held.count()
+    # One sheet in 16 blocks.
+    assert 1_000_000 // skew.BLOCK == 15
+
+
+def brute_continued(parts):
+    """Rows and columns of each part by the walk."""
+    out, columns, last = [], [], None
+    for p in parts:
+        soc = "disorders" in (p["original"] or [""])[0].lower()
+        rows = p["rows"]
+        goes_on = last is not None and p["page"] in (last, last + 1) and (
+            len(p["cols"]) == len(columns) > 0 or soc or "continued" in p["caption"].lower())
+        if goes_on:
+            if soc:
+                own = [p["original"][0], *[""] * (len(columns) - 1)]
+                rows = rows if rows[:1] == [own] else [own, *rows]
+            heading = " ".join(columns)
+            rows = [r for r in rows if r != columns and (soc or r != p["cols"]) and not all(c in heading for c in r if c)]
+        else:
+            columns = p["cols"]
+        last = p["page"]
+        out.append((goes_on, columns, rows))
+    return out
+
+
+def test_continued_tables_in_blocks_equal_the_walk(spark):
+    rng = random.Random(5)
+    cols = (["Term", "N"], ["Term", "N", "P"], ["Cardiac disorders"], [])
+    parts = [{
+        "ord": 3 * i, "page": i // 3 + (i % 7 == 0), "caption": rng.choice(["x", "x (Continued)", None]) or "", "cols": rng.choice(cols),
+        "original": rng.choice([cols[2], cols[0], []]), "rows": [rng.choice([["Term", "N"], ["a", "b"], ["", None], ["Cardiac disorders", ""], ["Term"]]) for _ in range(3)],
+    } for i in range(300)]
+    df = spark.createDataFrame(
+        [("d", p["ord"], p["page"], p["caption"], p["cols"], p["rows"], p["original"]) for p in parts],
+        "doc string, ord long, page int, caption string, columns array<string>, rows array<array<string>>, original_columns array<string>")
+    want = brute_continued(parts)
+    for block in (5, 64, 65_536):
+        got = [(r.is_continuation, r.columns, r.rows) for r in tables.join_continued_tables(df, block).orderBy("ord").collect()]
+        assert got == want
+    assert sum(g for g, _, _ in want) > 50
+
+
+def test_substring_lookup_takes_the_rarest_gram(spark):
+    # Every text has the first gram of the needle, few the last one.
+    texts = spark.range(2000).selectExpr("concat('common', id % 500, CASE WHEN id % 500 < 3 THEN 'xyz' ELSE '' END) AS text")
+    found = substring.candidates(
+        spark.createDataFrame([("common1xyz",), ("nowhere",)], "needle string"), texts.distinct().withColumn("text_id", F.xxhash64("text")))
+    pairs = substring.substring_join(
+        spark.createDataFrame([("r", "COMMON1XYZ"), ("s", "n"), ("t", ""), ("u", None), ("v", "2_y"), ("w", "ommon49")], "id string, q string"),
+        texts, F.col("q"), F.col("text"))
+    assert found.count() <= 3
+    assert dict(pairs.groupBy("id").count().collect()) == {"r": 4, "s": 2000, "t": 2000, "w": 44}
+    wild = substring.substring_join(spark.createDataFrame([("a", "mm%x_z"), ("b", "%")], "id string, q string"), texts, F.col("q"), F.col("text"), wildcards=True)
+    assert dict(wild.groupBy("id").count().collect()) == {"a": 12, "b": 2000}
+
+
+def test_keywords_in_slices(spark):
+    tune(spark)
+    texts = spark.createDataFrame([(1, "abc abd"), (2, None), (3, "xbcx"), (4, "")], "id int, t string")
+    words = spark.createDataFrame([("bc",), ("abd",), ("",), ("zz",), (None,)], "k string")
+    for most in (1_000_000, 2):
+        said = keywords.with_keywords(texts, "t", words, "found", most).select("id", F.explode("found").alias("k"))
+        assert sorted(map(tuple, said.collect())) == [(1, "abd"), (1, "bc"), (3, "bc")]
+    assert keywords.with_keywords(texts, "t", words.limit(0)).count() == 0
+
+
 def test_html_elements_close_open_items():
     page = "<ul><li>a<li>b <a href='/x'>l</a></ul><table><tr><td>1<td>2<tr><td>3</table><p>x<p>y"
     elements = html.parse_elements(page)

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from vigilake.functions.text import strip, text
-from vigilake.operators.skew import pick
+from vigilake.operators.skew import BLOCK, carry_all, pick
 
 TERM_COLUMNS = (
     "smq_name", "smq_code", "scope", "pt_name", "pt_name_upper", "pt_code", "category",
@@ -58,39 +55,47 @@ def read_smq_codes(code_rows: DataFrame, term_rows: DataFrame, version: str) ->
     )
 
 
-def _outline_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Open groups of every term line; rows arrive sorted by sheet and row."""
-    sheet, stack = None, []
-    for pdf in batches:
-        out = []
-        for row in pdf.itertuples(index=False):
-            if row.sheet_id != sheet:
-                sheet, stack = row.sheet_id, []
-            cells = [None if c is None else str(c) for c in row.cells]
-            header = next(((i, c.strip()) for i, c in enumerate(cells) if c and "(smq)" in c.lower()), None)
-            if header:
-                stack = [open_group for open_group in stack if open_group[0] < header[0]] + [header]
-                continue
-            at = next((i for i, c in enumerate(cells) if c in ("Narrow", "Broad")), None)
-            if at is None or len(cells) <= at + 3 or not cells[at + 2] or not cells[at + 3]:
-                continue
-            groups = [name for _, name in stack]
-            out.append((sheet, row.row_no, cells[at], cells[at + 2].strip(), cells[at + 3].strip(), groups))
-        yield pd.DataFrame(out, columns=["sheet_id", "row_no", "scope", "pt_name", "pt_code", "groups"])
+def outline_terms(rows: DataFrame, block_size: int = BLOCK) -> DataFrame:
+    """(sheet_id, row_no, scope, pt_name, pt_code, groups): term lines of an
+    indented outline (sheet_id, row_no, cells) with the groups open at each.
+
+    A header opens a group at the column of its cell and closes all groups at
+    this and later columns. So the group of a column is its last header, open
+    unless a header of an earlier column came after it: what is carried down is
+    the last header of each column, in blocks of rows, so one sheet spreads over
+    many tasks. The number of columns is that of the widest row with a header.
+    """
+    is_header = F.transform("cells", lambda c: F.coalesce(F.contains(F.lower(c), F.lit("(smq)")), F.lit(False)))
+    level = F.array_position(is_header, True) - 1
+    scope_at = F.array_position(F.transform("cells", lambda c: F.coalesce(c.isin("Narrow", "Broad"), F.lit(False))), True) - 1
+    d = rows.select(
+        "sheet_id", "row_no", "cells", F.when(level >= 0, level).alias("_level"), F.when((level < 0) & (scope_at >= 0), scope_at).alias("_at"))
+    header = F.struct("row_no", strip(F.get("cells", F.col("_level").cast("int"))).alias("name"))
+    said = d.where(F.col("_level").isNotNull() | F.col("_at").isNotNull()).select(
+        "sheet_id", "row_no", "_level", F.when(F.col("_level").isNotNull(), header).alias("_header"),
+        *(F.get("cells", (F.col("_at") + i).cast("int")).alias(c) for i, c in ((0, "scope"), (2, "_name"), (3, "_code"))))
+    columns = said.agg(F.max("_level")).first()[0]
+    if columns is None:
+        columns = -1
+    levels = [f"_h{i}" for i in range(columns + 1)]
+    carried = carry_all(
+        said, ["sheet_id"], "row_no", {name: F.when(F.col("_level") == i, F.col("_header")) for i, name in enumerate(levels)}, block_size=block_size)
+    terms = carried.where(F.col("_level").isNull() & (text(F.col("_name")) != "") & (text(F.col("_code")) != ""))
+    opened, latest = [], F.lit(None).cast("long")
+    for name in levels:
+        row = F.col(name)["row_no"]
+        opened.append(F.when(latest.isNull() | (row > latest), F.col(name)["name"]))
+        latest = F.greatest(latest, row)
+    groups = F.array_compact(F.array(*opened)) if opened else F.array().cast("array<string>")
+    return terms.select("sheet_id", "row_no", "scope", strip(F.col("_name")).alias("pt_name"), strip(F.col("_code")).alias("pt_code"), groups.alias("groups"))
 
 
 def read_smq_outline(rows: DataFrame, version: str) -> DataFrame:
     """Dictionary rows from an indented outline (sheet_id, row_no, cells).
 
-    Which groups are open depends on the rows above, so sheets are hashed to
-    tasks, sorted there and streamed; a task only remembers the open groups.
     Every term goes to each open group as Broad, and as Narrow when marked so.
     """
-    schema = "sheet_id STRING, row_no LONG, scope STRING, pt_name STRING, pt_code STRING, groups ARRAY<STRING>"
-    ordered = rows.select("sheet_id", "row_no", "cells").repartition("sheet_id").sortWithinPartitions(
-        "sheet_id", "row_no"
-    )
-    grouped = ordered.mapInPandas(_outline_groups, schema)
+    grouped = outline_terms(rows)
     scopes = F.when(F.col("scope") == "Narrow", F.array(F.lit("Broad"), F.lit("Narrow"))).otherwise(
         F.array(F.lit("Broad"))
     )

@@ -10,6 +10,7 @@ from vigilake.functions.dates import in_range, transpose_day_month
 from vigilake.functions.matching import contains_like, product_match, source_in_group
 from vigilake.functions.text import normalize_drug_name, normalize_product_name, squeeze, strip, strip_drug_salts, text
 from vigilake.operators.skew import cut_lineage, pick
+from vigilake.operators.substring import substring_join
 
 SEPARATORS = r"[,;/]+"
 
@@ -89,42 +90,6 @@ def autocomplete(products: DataFrame, query: str, limit: int = 20) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Many requests at once
 
-def grams(c: Column) -> Column:
-    """Every distinct run of three characters, the single characters, and ''."""
-    size = F.length(c)
-    runs = F.when(size >= 3, F.transform(F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))))
-    singles = F.split(c, "")
-    return F.array_distinct(F.concat(
-        F.coalesce(runs, F.array().cast("array<string>")), singles, F.array(F.lit(""))
-    ))
-
-
-def probe(c: Column, wildcards: bool = False) -> Column:
-    """One gram every text that contains ``c`` must have.
-
-    With wildcards, ``%`` and ``_`` cut the text into literal runs; a run of
-    three is taken if there is one, else a single character, else ''.
-    """
-    runs = F.split(c, "[%_]") if wildcards else F.array(c)
-    longest = F.get(F.filter(runs, lambda r: F.length(r) >= 3), F.lit(0))
-    shorter = F.get(F.filter(runs, lambda r: F.length(r) >= 1), F.lit(0))
-    return F.coalesce(F.substring(longest, 1, 3), F.substring(shorter, 1, 1), F.lit(""))
-
-
-def substring_join(
-    requests: DataFrame, records: DataFrame, needle: Column, haystack: Column, wildcards: bool = False
-) -> DataFrame:
-    """Pairs where the record's text contains the request's text.
-
-    Equi-join on one gram of the request with all grams of the record, then
-    the exact test: each pair meets at most once and none is missed.
-    """
-    left = requests.withColumn("_needle", F.lower(needle)).withColumn("_gram", probe(F.col("_needle"), wildcards))
-    right = records.withColumn("_hay", F.lower(haystack)).withColumn("_gram", F.explode(grams(F.col("_hay"))))
-    test = contains_like(F.col("_hay"), F.col("_needle")) if wildcards else F.contains(F.col("_hay"), F.col("_needle"))
-    return left.join(right, "_gram").where(test).drop("_gram", "_needle", "_hay")
-
-
 def find_product_records(requests: DataFrame, records: DataFrame) -> DataFrame:
     """Best record per request: exact name, normalized name, file name, part of
     the normalized name, part of the file name; the newest of the first stage

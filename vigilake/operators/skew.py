@@ -62,27 +62,28 @@ def carry_forward(
     df: DataFrame, keys: Sequence[str], ordinal: str, value: Column, out: str, block_size: int = BLOCK,
 ) -> DataFrame:
     """Last non-NULL ``value`` at or before each row."""
-    d = _blocked(df, ordinal, block_size).withColumn("_value", value)
-    inside = (
-        Window.partitionBy(*keys, "_block").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    local = d.withColumn("_local", F.last("_value", ignorenulls=True).over(inside))
-    tails = d.where(F.col("_value").isNotNull()).groupBy(*keys, "_block").agg(
-        F.max_by("_value", ordinal).alias("_tail")
-    )
-    # Blocks without a value still need the tail of an earlier block.
-    blocks = d.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    return carry_all(df, keys, ordinal, {out: value}, block_size=block_size)
+
+
+def carry_all(
+    df: DataFrame, keys: Sequence[str], ordinal: str, values: dict[str, Column], inclusive: bool = True, block_size: int = BLOCK,
+) -> DataFrame:
+    """Last non-NULL value of each expression at (if ``inclusive``) or before
+    each row, by the name of its new column.
+
+    A block of rows is one state: the last value of each expression in it. States
+    combine in any grouping, so only one row per block is scanned per key.
+    """
+    d = _blocked(df, ordinal, block_size).withColumns({f"_v_{out}": v for out, v in values.items()})
+    inside = Window.partitionBy(*keys, "_block").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = d.withColumns({f"_l_{out}": F.last(f"_v_{out}", ignorenulls=True).over(inside) for out in values})
+    tails = d.groupBy(*keys, "_block").agg(*(
+        F.max_by(f"_v_{out}", F.when(F.col(f"_v_{out}").isNotNull(), F.col(ordinal))).alias(f"_t_{out}") for out in values))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        blocks.join(tails, [*keys, "_block"], "left")
-        .withColumn("_carry", F.last("_tail", ignorenulls=True).over(before))
-        .drop("_tail")
-    )
-    return (
-        local.join(carried, [*keys, "_block"], "left")
-        .withColumn(out, F.coalesce("_local", "_carry"))
-        .drop("_block", "_value", "_local", "_carry")
-    )
+    carried = tails.select(*keys, "_block", *(F.last(f"_t_{out}", ignorenulls=True).over(before).alias(f"_c_{out}") for out in values))
+    drop = [f"_{x}_{out}" for x in "vlc" for out in values]
+    return local.join(carried, [*keys, "_block"], "left").withColumns(
+        {out: F.coalesce(f"_l_{out}", f"_c_{out}") for out in values}).drop("_block", *drop)
 
 
 def neighbour(

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilake.functions.documents import is_organ_class_name
 from vigilake.functions.text import strip, text
-from vigilake.operators.skew import neighbour, running_sum
+from vigilake.operators.skew import BLOCK, carry_all, cut_lineage, links, neighbour, running_sum
 
 _TITLE = r"(?:Table|TABLE)\s+\d+[:.]?\s*[^\n]+"
 
@@ -45,55 +42,45 @@ def join_label_tables(tables: DataFrame) -> DataFrame:
     return numbered.withColumn("is_continuation", starts == 0).drop("_n", "_width", "_prev_width", "_prev_page")
 
 
-_CONTINUED = (
-    "doc STRING, ord LONG, page INT, table_no LONG, is_continuation BOOLEAN, columns ARRAY<STRING>,"
-    " rows ARRAY<ARRAY<STRING>>"
-)
-
-
-def _continue(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Streams tables sorted by document and place; only the open table's
-    columns, its number and the last page are remembered."""
-    doc, number, columns, last_page = None, 0, [], 0
-    for pdf in batches:
-        out = []
-        for t in pdf.itertuples(index=False):
-            cols = list(t.columns)
-            rows = [list(r) for r in t.rows]
-            same_doc = t.doc == doc
-            soc = bool(t.starts_with_class) and len(t.original_columns) > 0
-            goes_on = same_doc and t.page in (last_page, last_page + 1) and (
-                (len(cols) == len(columns) and len(columns) > 0) or soc or "continued" in (t.caption or "").lower()
-            )
-            if goes_on:
-                if soc:
-                    class_row = [t.original_columns[0], *[""] * (len(columns) - 1)]
-                    rows = rows if rows[:1] == [class_row] else [class_row, *rows]
-                heading = " ".join(columns)
-                rows = [
-                    r for r in rows
-                    if r != columns and (soc or r != cols) and not all(c in heading for c in r if c)
-                ]
-            else:
-                number = number + 1 if same_doc else 1
-                doc, columns = t.doc, cols
-            last_page = t.page
-            out.append((t.doc, t.ord, t.page, number, goes_on, columns, rows))
-        yield pd.DataFrame(out, columns=["doc", "ord", "page", "table_no", "is_continuation", "columns", "rows"])
-
-
-def join_continued_tables(tables: DataFrame) -> DataFrame:
+def join_continued_tables(tables: DataFrame, block_size: int = BLOCK) -> DataFrame:
     """Tables that go on over pages, as parts with a common ``table_no``.
 
-    tables: doc, ord, page, caption, columns, rows, original_columns. Whether a
-    part goes on depends on the columns of the table it would extend, so the
-    parts of a document are streamed in order; rows are never gathered.
+    tables: doc, ord, page, caption, columns, rows, original_columns. A part goes
+    on from the page before or the same one if it has as many columns as the open
+    table, starts with an organ class or says that it is continued. Parts of the
+    last two kinds leave the open table's width as it is, any other part sets it,
+    so the width is the last one that was set: it is carried down in blocks, as
+    are the columns of the part that opened the table. A document of any number
+    of parts spreads over many tasks.
     """
-    flagged = tables.withColumn("starts_with_class", is_organ_class_name(F.get("original_columns", F.lit(0))))
-    ordered = flagged.repartition("doc").sortWithinPartitions("doc", "ord")
-    return ordered.select(
-        "doc", "ord", "page", "caption", "columns", "rows", "original_columns", "starts_with_class"
-    ).mapInPandas(_continue, _CONTINUED)
+    soc = is_organ_class_name(F.get("original_columns", F.lit(0))) & (F.size("original_columns") > 0)
+    parts = tables.select(
+        "doc", "ord", "page", "columns", F.size("columns").alias("_width"), soc.alias("_soc"),
+        (soc | F.contains(F.lower(text(F.col("caption"))), F.lit("continued"))).alias("_forced"))
+    linked = links(parts, ["doc"], "ord", F.col("page"), "_page", "_n", block_size)
+    near = F.coalesce(F.col("page").isin(F.col("_page"), F.col("_page") + 1), F.lit(False))
+    sets = F.when(~(near & F.col("_forced")), F.col("_width"))
+    placed = cut_lineage(carry_all(linked.withColumn("_near", near), ["doc"], "_n", {"_open": sets}, inclusive=False, block_size=block_size))
+    goes_on = F.col("_near") & (F.col("_forced") | ((F.col("_width") == F.col("_open")) & (F.col("_width") > 0)))
+    told = placed.withColumn("is_continuation", F.coalesce(goes_on, F.lit(False)))
+    first = F.when(~F.col("is_continuation"), F.struct(F.col("_n").alias("n"), F.col("columns")))
+    opened = cut_lineage(carry_all(told, ["doc"], "_n", {"_first": first}, block_size=block_size).select(
+        "doc", "ord", "_n", "_soc", "is_continuation", F.col("columns").alias("_own"), F.col("_first.columns").alias("_columns")))
+    numbered = running_sum(opened, ["doc"], "_n", (~F.col("is_continuation")).cast("long"), "table_no", block_size).drop("_n")
+    joined = tables.select("doc", "ord", "page", "rows", "original_columns").join(numbered, ["doc", "ord"])
+    columns, own = F.col("_columns"), F.col("_own")
+    organ_class = F.array(F.get("original_columns", F.lit(0)))
+    class_row = F.concat(organ_class, F.array_repeat(F.lit(""), F.greatest(F.size(columns) - 1, F.lit(0))))
+    with_class = F.when(F.col("_soc") & ~F.coalesce(F.get("rows", F.lit(0)).eqNullSafe(class_row), F.lit(False)),
+                        F.concat(F.array(class_row), F.col("rows"))).otherwise(F.col("rows"))
+    heading = F.array_join(columns, " ")
+
+    def stays(row: Column) -> Column:
+        says_more = F.exists(row, lambda c: (text(c) != "") & ~F.contains(heading, text(c)))
+        return ~row.eqNullSafe(columns) & (F.col("_soc") | ~row.eqNullSafe(own)) & says_more
+
+    kept = F.when(F.col("is_continuation"), F.filter(with_class, stays)).otherwise(F.col("rows"))
+    return joined.select("doc", "ord", "page", "table_no", "is_continuation", columns.alias("columns"), kept.alias("rows"))
 
 
 def continued_captions(parts: DataFrame, tables: DataFrame) -> DataFrame:

@@ -151,9 +151,9 @@ def read_smq_codes(spark: SparkSession, sf: str) -> DataFrame:
 SELECT DISTINCT smq_name, s.scope, upper(pt_name) AS pt_name_upper, pt_code FROM rows
 JOIN (VALUES ('Broad'), ('Narrow')) s(scope) ON s.scope = 'Broad' OR narrow""")
 def read_smq_outline(spark: SparkSession, sf: str) -> DataFrame:
-    """Two open levels, then a header that closes both."""
+    """One sheet of all parts: two open levels, then a header that closes both."""
     rows = table(spark, sf, "part").selectExpr(
-        "CAST(p_partkey AS STRING) AS sheet_id",
+        "p_partkey", "'one' AS sheet_id",
         """posexplode(array(
              array(concat(p_brand, ' (SMQ)')),
              array(CAST(NULL AS STRING), concat(p_type, ' (smq)')),
@@ -161,7 +161,7 @@ def read_smq_outline(spark: SparkSession, sf: str) -> DataFrame:
              array(NULL, NULL, 'Broad', 'cat', NULL, '0'),
              array(concat(p_type, ' second (SMQ)')),
              array(NULL, 'Broad', 'cat', concat('after ', p_name), concat('x', p_partkey)))) AS (row_no, cells)""",
-    ).selectExpr("sheet_id", "CAST(row_no AS LONG) AS row_no", "cells")
+    ).selectExpr("sheet_id", "p_partkey * 10 + row_no AS row_no", "cells")
     return dictionary.read_smq_outline(rows, "1").select("smq_name", "scope", "pt_name_upper", "pt_code")
 
 

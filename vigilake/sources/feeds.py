@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vigilake.functions.matching import article_match
 from vigilake.functions.text import squeeze, strip, text
-from vigilake.operators.lookup import grams, probe
+from vigilake.operators.substring import substring_join
 from vigilake.operators.skew import pick
 
 
@@ -115,14 +115,14 @@ def new_articles(curated: DataFrame, live: DataFrame) -> DataFrame:
     """Live articles that no curated change of the drug has by URL or title.
 
     URLs meet in an equi-join. A title counts when a curated change type of the
-    drug contains it; the two meet on the drug and one gram of the title.
+    drug contains it, looked up by the title's rarest gram within the drug.
     """
     by_url = live.join(curated.select("drug_id", F.col("source_url").alias("url")).distinct(), ["drug_id", "url"], "left_anti")
-    kinds = curated.select("drug_id", "change_type").distinct().withColumn("_gram", F.explode(grams(F.col("change_type"))))
-    titled = by_url.where("title <> ''").withColumn("_gram", probe(F.col("title")))
-    held = titled.join(kinds, ["drug_id", "_gram"]).where(F.contains(F.col("change_type"), F.col("title"))).select(
-        "drug_id", "url", "title").distinct()
-    return by_url.where(F.col("title") != "").join(held, ["drug_id", "url", "title"], "left_anti")
+    kinds = curated.select("drug_id", "change_type").distinct()
+    titles = by_url.where("title <> ''").select("drug_id", "title").distinct()
+    held = substring_join(titles, kinds, F.col("title"), F.col("change_type"), scope=["drug_id"]).where(
+        F.contains(F.col("change_type"), F.col("title"))).select("drug_id", "title").distinct()
+    return by_url.where(F.col("title") != "").join(held, ["drug_id", "title"], "left_anti").select(*live.columns)
 
 
 def read_table(spark: SparkSession, path: str | None = None, jdbc: dict[str, str] | None = None) -> DataFrame:
