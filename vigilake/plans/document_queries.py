@@ -182,25 +182,25 @@ def tables_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return ops.drop_text_in_tables(blocks(spark, sf), _page_tables(spark, sf)).select("doc", "ord", "block_type")
 
 
-@query("P17", f"""WITH {SQL} SELECT doc, avg_chars < 40 AS is_scanned FROM (SELECT doc, sum(length(regexp_replace(line, '^\\s+|\\s+$', '', 'g'))) / count(*) AS avg_chars FROM ln WHERE page_num <= 10 GROUP BY ALL)""")
+@query("P17", f"""WITH {SQL} SELECT doc, avg_chars < 40 AS is_scanned FROM (SELECT doc, sum(length(regexp_replace(line, '^\\s+|\\s+$', '', 'g'))) / count(*) AS avg_chars FROM ln GROUP BY ALL)""")
 def needs_scan(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "documents").selectExpr(
         "CAST(doc_id AS STRING) AS doc", r"posexplode(split(text, '\n')) AS (pos, text)"
     ).withColumn("page_num", F.expr("pos DIV 10 + 1"))
-    return ops.needs_scan(lines, first_pages=10).select("doc", "is_scanned")
+    return ops.needs_scan(lines).select("doc", "is_scanned")
 
 
-@query("P18", f"""WITH {SQL} SELECT doc, bool_or(contains(lower(line), 'tion') OR contains(lower(line), 'schung')) AS is_product FROM ln WHERE page_num <= 5 GROUP BY ALL""")
+@query("P18", f"""WITH {SQL} SELECT doc, bool_or(contains(lower(line), 'tion') OR contains(lower(line), 'schung')) AS is_product FROM ln GROUP BY ALL""")
 def in_document_product(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "documents").selectExpr(
         "CAST(doc_id AS STRING) AS doc", r"posexplode(split(text, '\n')) AS (pos, text)"
     ).withColumn("page_num", F.expr("pos DIV 10 + 1"))
-    return ops.in_document_product(lines, F.lit(" Tion"), F.lit("SCHUNG"), first_pages=5)
+    return ops.in_document_product(lines, F.lit(" Tion"), F.lit("SCHUNG"))
 
 
-@query("W21", f"WITH {SQL} SELECT doc, ord FROM bl WHERE pos BETWEEN 20 AND 27")
+@query("W21", f"WITH {SQL} SELECT doc, ord FROM bl WHERE pos BETWEEN 2 AND 11")
 def label_section_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.label_section_bounds(blocks(spark, sf), "16", ["17"], ["NOWHERE"], ["Part Z"], contents_pages=2).select("doc", "ord")
+    return ops.label_section_bounds(blocks(spark, sf), "16", ["17"], ["NOWHERE"], ["Part Z"]).select("doc", "ord")
 
 
 def _label_blocks(spark: SparkSession, sf: str) -> DataFrame:

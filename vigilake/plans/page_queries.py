@@ -101,18 +101,18 @@ def parse_newsletter_index(spark: SparkSession, sf: str) -> DataFrame:
 def _articles(spark: SparkSession, sf: str) -> DataFrame:
     body = """'<h1>', p_name, ' update</h1><p>Published: August 3, 2026 by the newsletter team</p><h2>Scope</h2><p>Hidden (never a product) mention in a structural section</p><h2>New data</h2><p>Brand', p_partkey, ' (', lower(p_type),
       ' acid) was linked with harm in reports.</p><p>short</p><p>All ', p_name, '-containing products are under review now.</p><a href="/files/', p_partkey, '.pdf">pdf</a><table><tr><td>a</td><td>b</td></tr></table>'"""
-    return src.parse_article(_page(spark, sf, body), min_paragraph=30)
+    return src.parse_article(_page(spark, sf, body))
 
 
 @query("S7", """SELECT p_partkey AS page_id, p_name || ' update' AS title, '2026-08-03' AS day, 'https://www.fda.gov/files/' || p_partkey || '.pdf' AS pdfs, p_name || ' update|Scope|New data' AS headings,
- 'Brand' || p_partkey || ' (' || lower(p_type) || ' acid) was linked with harm in reports.' || chr(10) || 'All ' || p_name || '-containing products are under review now.' AS last_text FROM part""")
+ 'Brand' || p_partkey || ' (' || lower(p_type) || ' acid) was linked with harm in reports.' || chr(10) || 'short' || chr(10) || 'All ' || p_name || '-containing products are under review now.' AS last_text FROM part""")
 def parse_article(spark: SparkSession, sf: str) -> DataFrame:
     return _articles(spark, sf).select(
         "page_id", "title", F.date_format("publication_date", "yyyy-MM-dd").alias("day"), F.array_join("pdf_urls", ",").alias("pdfs"),
         F.array_join(F.transform("sections", lambda s: s["heading"]), "|").alias("headings"), F.element_at("sections", -1)["text"].alias("last_text"))
 
 
-@query("A6 U2", """SELECT p_partkey AS page_id, v.* FROM part CROSS JOIN LATERAL (VALUES (p_brand, 'seed', ''), ('New data' || chr(10) || 'Brand' || p_partkey, lower(p_type) || ' acid', 'New data'), ('', 'All ' || p_name, 'New data')) v(product_name, generic_name, section_heading)""")
+@query("A6 U2", """SELECT p_partkey AS page_id, v.* FROM part CROSS JOIN LATERAL (VALUES (p_brand, 'seed', ''), ('New data' || chr(10) || 'Brand' || p_partkey, lower(p_type) || ' acid', 'New data'), ('', 'short' || chr(10) || 'All ' || p_name, 'New data')) v(product_name, generic_name, section_heading)""")
 def product_mentions(spark: SparkSession, sf: str) -> DataFrame:
     seeds = table(spark, sf, "part").selectExpr("p_partkey AS page_id", "p_brand AS product_name", "'seed' AS generic_name")
     return src.product_mentions(_articles(spark, sf).join(seeds, "page_id")).select("page_id", "product_name", "generic_name", "section_heading")
