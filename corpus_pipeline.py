@@ -8,27 +8,38 @@ from vigilake.llm import decontaminate, langid, mixing, near_dup, secrets
 from vigilake.llm.common import staged
 from vigilake.session import tune
 
+ROW = "row of near_dedup"
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go."""
+    """Documents whose language is rejected go, NULL texts and texts without a
+    letter among them; repeated rows and NULL ids are judged like others."""
     tune(spark)
     return langid.accepted(docs, langid.train(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, once."""
+    """One document of each near-duplicate group stays, once.
+
+    Rows are told apart by a number of their own, not by ``doc_id``: different
+    texts under one id, or without an id, are different documents, and copies are
+    copies whatever their ids. NULL, empty and blank texts are copies of nothing
+    and stay. An empty table stays empty.
+    """
     tune(spark)
-    kept = near_dup.near_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null")).select(docs.columns)
+    rows = staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    kept = near_dup.near_groups(rows.select(ROW, "text"), id_col=ROW).where("kept").select(ROW)
+    return rows.join(kept, ROW, "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
+    """Documents that overlap with a benchmark item go; NULL and empty texts
+    overlap with nothing, repeated rows and NULL ids are judged like others."""
     return decontaminate.clean(docs, tune(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are cut out of the texts."""
+    """Secrets are cut out of the texts; all rows stay, NULL texts as they are."""
     clean = secrets.redacted(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
