@@ -136,6 +136,31 @@ def test_continued_tables_equal_brute_force(spark):
     assert got == brute_continue(parts)
 
 
+def test_page_takes_memory_in_proportion_at_any_depth():
+    def held(depth):
+        page = "<div>" * depth + "".join(f"<p>word{i} <b>bold</b><br></p>" for i in range(400)) + "</div>" * depth
+        elements, tokens = html.parse_page(page)
+        assert len(elements) == depth + 400 and elements[0]["last"] == len(elements) - 1
+        numbers = sum(len(e["cells"]) + len(e["links"]) + len(e) for e in elements)
+        return len(page), sum(map(len, tokens)) + numbers
+
+    (size, flat), (deep_size, deep) = held(1), held(100)
+    # 99 more elements and their tags, and no text again.
+    assert deep - flat == 99 * 18 and deep < 2 * deep_size
+
+
+def test_rich_text_and_cells_of_intervals(spark):
+    page = "<div id=accordion><h3>T</h3><p>a <b>b</b> <strong></strong>c<br>d\te</p></div><table><tr><td><a href=x>1</a><a href=y>2</a></td><td>n\0<i>m</i></td></tr></table>"
+    d = html.html_elements(spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string").repartition(1))
+    tune(spark)
+    row = d.where("id = 1").select(
+        F.transform(html.elements_of("p"), html.rich_of).alias("rich"), F.transform(html.elements_of("tr"), html.cells_of).alias("cells"),
+        html.first_text("h3").alias("head"), html.first_text("h9").alias("none"), html.elements_of("tr")[0]["links"].alias("links")).first()
+    assert row.rich == ["a <strong>b</strong> c\nd e"] and row.cells == [["12", "n\ufffdm"]]
+    assert (row.head, row.none, row.links) == ("T", None, ["x", None])
+    assert d.where("id > 1").select(F.sum(F.size("elements"))).first()[0] == 0
+
+
 def brute_outline(rows):
     """Open groups of every term line, walked from the top."""
     out, stack = [], []

@@ -1,13 +1,14 @@
 """HTML pages as ordered elements, and link arithmetic.
 
-One Arrow job tokenizes pages; everything after it is relational. An element
-knows its place, its parent, the headings it stands under and its text, so the
-parsers only filter and pair elements.
+One Arrow job tokenizes pages; everything after it is relational. A page's text
+is kept once, as tokens; an element knows its place, its last descendant, the
+headings it stands under and the interval of tokens inside it, so a page takes
+memory in proportion to its length however deep its elements nest. The parsers
+filter and pair elements and read the text of those they keep.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -17,9 +18,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vigilake.functions.text import bind, strip, text
 
 ELEMENT = (
-    "STRUCT<pos: INT, parent: INT, tag: STRING, path: STRING, text: STRING, rich: STRING, href: STRING, id: STRING,"
-    " cls: STRING, cells: ARRAY<STRING>, links: ARRAY<STRING>, h2: INT, h3: INT, h4: INT, in_item: BOOLEAN, row: INT,"
-    " items: ARRAY<INT>, child_lists: INT, child_link: INT>"
+    "STRUCT<pos: INT, last: INT, parent: INT, tag: STRING, begin: INT, end: INT, href: STRING, id: STRING, cls: STRING,"
+    " cells: ARRAY<INT>, links: ARRAY<STRING>, h2: INT, h3: INT, h4: INT, in_item: BOOLEAN, row: INT, child_lists: INT,"
+    " child_link: INT>"
 )
 _KEEP = {
     "title", "h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "ul", "ol", "a", "table", "tr", "td", "th", "div", "section",
@@ -27,6 +28,8 @@ _KEEP = {
 }
 _VOID = {"br", "img", "meta", "link", "input", "hr", "wbr"}
 _SILENT = {"script", "style"}
+# Tokens that are no text start with a character no text holds.
+_BREAK, _SIGN = "\0\n", "\0"
 _MARK = {"u": "u", "ins": "u", "i": "i", "em": "i", "b": "strong", "strong": "strong"}
 # Tags an opening tag closes first when they are still open.
 _CLOSES = {
@@ -40,14 +43,15 @@ class _Elements(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.done: list[dict] = []
         self.open: list[dict] = []
+        self.tokens: list[str] = []
+        self.items = 0  # open list items
+        self.linked: set[int] = set()  # cells whose first link was seen
         self.under = {"h2": -1, "h3": -1, "h4": -1}
         self.silent = 0
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
-            for e in self.open:
-                e["text"].append(" ")
-                e["rich"].append("\n")
+            self.tokens.append(_BREAK)
         if tag in _VOID:
             return
         if tag in _SILENT:
@@ -58,20 +62,18 @@ class _Elements(HTMLParser):
             if barrier is not None and not any(e["tag"] in limit for e in self.open[barrier + 1:]):
                 self._close(barrier)
         if tag in _MARK:
-            for e in self.open:
-                e["rich"].append(f"<{_MARK[tag]}>")
+            self.tokens.append(f"{_SIGN}<{_MARK[tag]}>")
         if tag not in _KEEP:
             return
         a = dict(attrs)
-        name = f"{tag}#{a.get('id') or ''}.{a.get('class') or ''}"
+        pos = len(self.done)
         element = {
-            "pos": len(self.done), "parent": self.open[-1]["pos"] if self.open else -1, "tag": tag,
-            "path": (self.open[-1]["path"] + "/" if self.open else "") + name, "text": [], "rich": [],
+            "pos": pos, "last": pos, "parent": self.open[-1]["pos"] if self.open else -1, "tag": tag, "begin": len(self.tokens), "end": 0,
             "href": a.get("href") or a.get("value"), "id": a.get("id"), "cls": a.get("class"), "cells": [], "links": [],
-            "in_item": any(e["tag"] == "li" for e in self.open), **self.under,
-            "row": next((e["pos"] for e in reversed(self.open) if e["tag"] == "tr"), -1),
-            "items": [e["pos"] for e in self.open if e["tag"] == "li"], "child_lists": 0, "child_link": -1,
+            "in_item": self.items > 0, **self.under, "row": next((e["pos"] for e in reversed(self.open) if e["tag"] == "tr"), -1),
+            "child_lists": 0, "child_link": -1,
         }
+        self.items += tag == "li"
         if self.open and tag in ("ul", "ol"):
             self.open[-1]["child_lists"] += 1
         if self.open and tag == "a" and self.open[-1]["child_link"] < 0:
@@ -83,11 +85,16 @@ class _Elements(HTMLParser):
         if tag in ("td", "th"):
             row = next((e for e in reversed(self.open) if e["tag"] == "tr"), None)
             if row is not None:
-                row["cells"].append(element)
+                row["cells"].append(pos)
+                row["links"].append(None)
         if tag == "a":
             cell = next((e for e in reversed(self.open) if e["tag"] in ("td", "th")), None)
-            if cell is not None and not cell["links"]:
-                cell["links"].append(element["href"])
+            if cell is not None and cell["row"] >= 0:
+                row = self.done[cell["row"]]
+                at = row["cells"].index(cell["pos"])
+                if cell["pos"] not in self.linked:
+                    self.linked.add(cell["pos"])
+                    row["links"][at] = element["href"]
         self.done.append(element)
         self.open.append(element)
 
@@ -95,8 +102,7 @@ class _Elements(HTMLParser):
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
         if tag in _MARK:
-            for e in self.open:
-                e["rich"].append(f"</{_MARK[tag]}>")
+            self.tokens.append(f"{_SIGN}</{_MARK[tag]}>")
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i]["tag"] == tag:
                 self._close(i)
@@ -104,65 +110,95 @@ class _Elements(HTMLParser):
 
     def handle_data(self, data):
         if not self.silent:
-            for e in self.open:
-                e["text"].append(data)
-                e["rich"].append(re.sub(r"[\r\n\t]+", " ", data))
+            self.tokens.append(data.replace(_SIGN, "\ufffd"))
 
     def _close(self, index: int) -> None:
+        for e in self.open[index:]:
+            e["end"], e["last"] = len(self.tokens), len(self.done) - 1
+            self.items -= e["tag"] == "li"
         del self.open[index:]
 
 
-def _flat(parts: list[str]) -> str:
-    return " ".join("".join(parts).split())
+def parse_page(html: str | None) -> tuple[list[dict], list[str]]:
+    """Elements of one page in document order, and its tokens."""
+    parser = _Elements()
+    parser.feed(html or "")
+    parser.close()
+    parser._close(0)
+    return parser.done, parser.tokens
 
 
-def _rich(parts: list[str]) -> str:
-    joined = re.sub(r"<(u|i|strong)>\s*</\1>", "", "".join(parts))
-    joined = re.sub(r"</(u|i|strong)>[ \t]*<\1>", " ", joined)
-    rows = (re.sub(r"[ \t]+", " ", row).strip() for row in joined.split("\n"))
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(rows)).strip()
+def parse_elements(html: str | None) -> list[dict]:
+    """Elements of one page with their texts and those of their cells."""
+    elements, tokens = parse_page(html)
 
+    def flat(e: dict) -> str:
+        parts = (" " if t == _BREAK else "" if t.startswith(_SIGN) else t for t in tokens[e["begin"]:e["end"]])
+        return " ".join("".join(parts).split())
 
-def parse_elements(html: str) -> list[dict]:
-    """Elements of one page in document order."""
-    parser = _Elements()
-    parser.feed(html or "")
-    parser.close()
-    out = []
-    for e in parser.done:
-        cells = e["cells"]
-        out.append({
-            **e, "text": _flat(e["text"]), "rich": _rich(e["rich"]),
-            "cells": [_flat(c["text"]) for c in cells], "links": [c["links"][0] if c["links"] else None for c in cells],
-        })
-    return out
+    return [{**e, "text": flat(e), "cells": [flat(elements[c]) for c in e["cells"]]} for e in elements]
 
 
 def html_elements(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Pages with their ``elements`` instead of the HTML.
+    """Pages with their ``elements`` and ``tokens`` instead of the HTML.
 
     The job is one narrow map over Arrow batches; it needs no shuffle and its
     parallelism is the input's.
     """
     keep = [f for f in pages.schema.fields if f.name != html]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"elements ARRAY<{ELEMENT}>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"elements ARRAY<{ELEMENT}>", "tokens ARRAY<STRING>"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pdf.drop(columns=[html])
-            out["elements"] = [parse_elements(h) for h in pdf[html]]
+            read = [parse_page(h) for h in pdf[html]]
+            out["elements"], out["tokens"] = [r[0] for r in read], [r[1] for r in read]
             yield out
 
     return pages.mapInPandas(run, schema)
 
 
+def _inside(e: Column) -> Column:
+    return F.slice("tokens", e["begin"] + 1, e["end"] - e["begin"])
+
+
+def text_of(e: Column) -> Column:
+    """Text of an element, white space collapsed; NULL for none."""
+    parts = F.transform(_inside(e), lambda t: F.when(t == _BREAK, " ").when(F.startswith(t, F.lit(_SIGN)), "").otherwise(t))
+    return F.trim(F.regexp_replace(F.array_join(parts, ""), r"(?U)[\s\x1c-\x1f]+", " "))
+
+
+def rich_of(e: Column) -> Column:
+    """Text of an element with its line breaks and marks of emphasis."""
+    parts = F.transform(_inside(e), lambda t: F.when(F.startswith(t, F.lit(_SIGN)), F.substring(t, 2, 20)).otherwise(F.regexp_replace(t, r"[\r\n\t]+", " ")))
+    joined = F.regexp_replace(F.array_join(parts, ""), r"(?U)<(u|i|strong)>\s*</\1>", "")
+    joined = F.regexp_replace(joined, r"</(u|i|strong)>[ \t]*<\1>", " ")
+    rows = F.transform(F.split(joined, "\n"), lambda row: strip(F.regexp_replace(row, r"[ \t]+", " ")))
+    return strip(F.regexp_replace(F.array_join(rows, "\n"), r"\n{3,}", "\n\n"))
+
+
+def with_text(elements: Column) -> Column:
+    """Elements with their ``text``."""
+    return F.transform(elements, lambda e: e.withField("text", text_of(e)))
+
+
+def cells_of(e: Column) -> Column:
+    """Texts of the cells of a table row."""
+    return F.transform(e["cells"], lambda pos: text_of(F.get("elements", pos)))
+
+
+def around(e: Column, of: Column) -> Column:
+    """The elements of an array that an element lies in, outermost first."""
+    return F.filter(of, lambda a: (a["pos"] < e["pos"]) & (e["pos"] <= a["last"]))
+
+
 def elements_of(tag: str | tuple[str, ...], under: Column | None = None) -> Column:
     tags = (tag,) if isinstance(tag, str) else tag
     return F.filter("elements" if under is None else under, lambda e: e["tag"].isin(*tags))
 
 
 def first_text(tag: str) -> Column:
-    return F.get(elements_of(tag), F.lit(0))["text"]
+    return text_of(F.get(elements_of(tag), F.lit(0)))
 
 
 def resolve_url(base: Column, href: Column) -> Column:

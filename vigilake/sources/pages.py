@@ -11,7 +11,7 @@ from vigilake.functions.sections import (
 )
 from vigilake.functions.text import normalize_drug_name, record, squeeze, strip, text
 from vigilake.operators.skew import pick
-from vigilake.sources.html import elements_of, host_of, html_elements, resolve_url
+from vigilake.sources.html import around, cells_of, elements_of, host_of, html_elements, resolve_url, rich_of, text_of, with_text
 
 STOP_PARAGRAPH = r"(?iU)\b(?:17\b|PCI/PI/MG|Patient\s+Counseling|MEDICATION\s+GUIDE|How\s+should\s+I\s+use)"
 
@@ -20,10 +20,10 @@ def parse_search_results(pages: DataFrame) -> DataFrame:
     """Candidate rows of result tables; where a page has none, the drug names
     of its option list. pages: page_id, url, html."""
     d = html_elements(pages)
-    heads = F.transform(F.flatten(F.transform(F.filter("elements", lambda e: e["tag"] == "tr"), lambda e: e["cells"])), F.lower)
+    heads = F.transform(F.flatten(F.transform(elements_of("tr"), cells_of)), F.lower)
     is_result = F.exists(heads, lambda h: h.contains("drug name")) & F.exists(
         heads, lambda h: h.contains("active ingredient") | h.contains("application"))
-    rows = F.filter(elements_of("tr"), lambda e: (F.size(e["cells"]) >= 3))
+    rows = F.transform(F.filter(elements_of("tr"), lambda e: (F.size(e["cells"]) >= 3)), lambda e: record(cells=cells_of(e), links=e["links"]))
 
     def cell(e: Column, i: int) -> Column:
         return F.get(e["cells"], F.lit(i))
@@ -42,7 +42,7 @@ def parse_search_results(pages: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     options = F.transform(
         F.filter(
-            F.transform(elements_of("option"), lambda e: F.coalesce(F.nullif(strip(e["href"]), F.lit("")), e["text"])),
+            F.transform(elements_of("option"), lambda e: F.coalesce(F.nullif(strip(e["href"]), F.lit("")), text_of(e))),
             lambda v: F.lower(strip(F.split(v, ":")[0])) == "drug name"),
         lambda v: record(
             drug_name=strip(F.substring_index(v, ":", -1)), active_ingredient=none, application_number=none,
@@ -56,33 +56,34 @@ def parse_detail_page(pages: DataFrame) -> DataFrame:
     """One row per supplement and whitelisted section of drug detail pages."""
     d = html_elements(pages)
     name_pattern = r"(?U)^([^(]+?)\s*\(\s*([A-Za-z]+[\s\-]?\d+)\s*\)"
-    heads = F.transform(elements_of(("h2", "h3")), lambda e: e["text"])
+    heads = F.transform(elements_of(("h2", "h3")), text_of)
     titled = F.get(F.filter(heads, lambda h: F.rlike(h, F.lit(name_pattern))), F.lit(0))
-    any_title = F.get(F.transform(elements_of(("h1", "h2", "h3")), lambda e: e["text"]), F.lit(0))
+    any_title = F.get(F.transform(elements_of(("h1", "h2", "h3")), text_of), F.lit(0))
     name = F.coalesce(F.nullif(F.regexp_extract(titled, name_pattern, 1), F.lit("")), any_title)
     ingredient = F.get(F.filter(
-        F.transform(elements_of(("h4", "h5")), lambda e: e["text"]), lambda h: h.startswith("(") & h.endswith(")")), F.lit(0))
+        F.transform(elements_of(("h4", "h5")), text_of), lambda h: h.startswith("(") & h.endswith(")")), F.lit(0))
 
     def sections(panel: Column) -> Column:
         own = lambda e: e["h3"] == panel["pos"]
-        heads_ = F.filter("elements", lambda e: (e["tag"] == "h4") & own(e) & is_whitelisted(e["text"]))
+        heads_ = F.filter(with_text(F.filter("elements", lambda e: (e["tag"] == "h4") & own(e))), lambda e: is_whitelisted(e["text"]))
 
         def body(h: Column) -> Column:
             content = F.filter("elements", lambda e: (
                 (e["h4"] == h["pos"])
-                & (((e["tag"] == "li") & ~e["in_item"]) | (e["tag"].isin("p", "h5", "h6", "blockquote") & ~e["in_item"]))
-                & ((e["tag"] == "li") | ~F.rlike(e["text"], F.lit(STOP_PARAGRAPH)))))
-            lines = F.transform(content, lambda e: F.when(e["tag"] == "li", F.concat(F.lit("• "), e["rich"])).otherwise(e["rich"]))
+                & e["tag"].isin("li", "p", "h5", "h6", "blockquote") & ~e["in_item"]
+                & ((e["tag"] == "li") | ~F.rlike(text_of(e), F.lit(STOP_PARAGRAPH)))))
+            lines = F.transform(content, lambda e: F.concat(F.when(e["tag"] == "li", "• ").otherwise(""), rich_of(e)))
             return F.array_join(F.filter(lines, lambda x: x != ""), "\n\n")
 
         return F.transform(heads_, lambda h: record(raw_section=h["text"], body=strip(body(h))))
 
     def panel_of(p: Column) -> Column:
         links = F.filter("elements", lambda e: (e["tag"] == "a") & (e["h3"] == p["pos"]) & F.rlike(text(e["href"]), F.lit(r"(?i)\.pdf")))
-        return record(header=p["text"], pdf_url=strip(F.get(links, F.lit(0))["href"]), sections=sections(p))
+        return record(header=text_of(p), pdf_url=strip(F.get(links, F.lit(0))["href"]), sections=sections(p))
 
+    named = lambda e: F.concat_ws("#", e["tag"], e["id"], e["cls"]).contains("accordion")
     panels = F.transform(
-        F.filter("elements", lambda e: (e["tag"] == "h3") & e["path"].contains("accordion")), panel_of)
+        F.filter(elements_of("h3"), lambda e: named(e) | (F.size(around(e, F.filter("elements", named))) > 0)), panel_of)
     d = d.select(
         "page_id", "url", name.alias("drug_name"), F.nullif(F.regexp_extract(titled, name_pattern, 2), F.lit("")).alias("application_number"),
         F.btrim(ingredient, F.lit("() \t\n\r")).alias("active_ingredient"), F.posexplode(panels).alias("panel_no", "p"))
@@ -124,12 +125,12 @@ def parse_newsletter_index(pages: DataFrame) -> DataFrame:
         return F.get("elements", pos)
 
     def label(li: Column) -> Column:
-        return F.coalesce(at(li["child_link"])["text"], li["text"])
+        return F.coalesce(text_of(at(li["child_link"])), text_of(li))
 
     def entry(li: Column) -> Column:
         return record(
-            title=strip(label(li)), href=at(li["child_link"])["href"], names=F.transform(li["items"], lambda p: label(at(p))),
-            month=at(li["h3"])["text"])
+            title=strip(label(li)), href=at(li["child_link"])["href"], names=F.transform(around(li, elements_of("li")), label),
+            month=text_of(at(li["h3"])))
 
     leaves = F.filter("elements", lambda e: (e["tag"] == "li") & (e["child_lists"] == 0))
     d = d.select("page_id", "url", F.posexplode(F.transform(leaves, entry)).alias("ordinal", "e"))
@@ -161,24 +162,24 @@ def parse_article(pages: DataFrame, min_paragraph: int = 1) -> DataFrame:
     """Title, first date, PDF links and heading-grouped sections of articles;
     paragraphs and lists of fewer characters than ``min_paragraph`` are left out."""
     d = html_elements(pages)
-    whole = F.array_join(F.transform(F.filter("elements", lambda e: (e["parent"] == -1) & (e["tag"] != "title")), lambda e: e["text"]), " ")
+    whole = F.array_join(F.transform(F.filter("elements", lambda e: (e["parent"] == -1) & (e["tag"] != "title")), text_of), " ")
     date = F.coalesce(*(parse_label_date(F.nullif(F.regexp_extract(whole, p, 1), F.lit(""))) for p in ARTICLE_DATES))
     pdfs = F.array_distinct(F.transform(
         F.filter(elements_of("a"), lambda e: F.lower(text(e["href"])).contains("pdf")), lambda e: resolve_url(F.col("url"), e["href"])))
     heads = F.filter("elements", lambda e: F.rlike(e["tag"], F.lit("^h[1-6]$")))
-    starts = F.concat(F.array(record(pos=F.lit(-1), title=F.lit(""))), F.transform(heads, lambda e: record(pos=e["pos"], title=e["text"])))
+    starts = F.concat(F.array(record(pos=F.lit(-1), title=F.lit(""))), F.transform(heads, lambda e: record(pos=e["pos"], title=text_of(e))))
 
     def section(s: Column, i: Column) -> Column:
         until = F.coalesce(F.get(starts, i + 1)["pos"], F.lit(2_000_000_000))
-        content = F.filter("elements", lambda e: (
-            (e["pos"] > s["pos"]) & (e["pos"] < until) & ~e["in_item"] & e["tag"].isin("p", "ul", "ol")
-            & (F.length(e["text"]) >= min_paragraph)))
+        content = F.filter(F.transform(F.filter("elements", lambda e: (
+            (e["pos"] > s["pos"]) & (e["pos"] < until) & ~e["in_item"] & e["tag"].isin("p", "ul", "ol"))), text_of),
+            lambda t: F.length(t) >= min_paragraph)
         rows = F.filter("elements", lambda e: (e["pos"] > s["pos"]) & (e["pos"] < until) & (e["tag"] == "tr"))
-        return record(heading=s["title"], text=F.array_join(F.transform(content, lambda e: e["text"]), "\n"),
+        return record(heading=s["title"], text=F.array_join(content, "\n"),
                       n_rows=F.size(rows))
 
     sections = F.filter(F.transform(starts, section), lambda s: (s["heading"] != "") | (s["text"] != "") | (s["n_rows"] > 0))
-    title = F.get(F.transform(elements_of("h1"), lambda e: e["text"]), F.lit(0))
+    title = text_of(F.get(elements_of("h1"), F.lit(0)))
     return d.select("page_id", "url", title.alias("title"), date.alias("publication_date"), pdfs.alias("pdf_urls"), sections.alias("sections"))
 
 
@@ -229,11 +230,11 @@ def parse_site_search(pages: DataFrame) -> DataFrame:
     # A node reaches up to the next node.
     d = d.withColumn("nodes", nodes)
     d = d.withColumn("nodes", F.transform("nodes", lambda n, i: record(
-        pos=n["pos"], path=n["path"], until=F.coalesce(F.get("nodes", i + 1)["pos"], F.lit(2_000_000_000)))))
+        pos=n["pos"], last=n["last"], until=F.coalesce(F.get("nodes", i + 1)["pos"], F.lit(2_000_000_000)))))
 
     def inside(n: Column, test) -> Column:
         return F.filter("elements", lambda e: (
-            (e["pos"] > n["pos"]) & (e["pos"] < n["until"]) & F.startswith(e["path"], F.concat(n["path"], F.lit("/"))) & test(e)))
+            (e["pos"] > n["pos"]) & (e["pos"] < n["until"]) & (e["pos"] <= n["last"]) & test(e)))
 
     def first(n: Column, test) -> Column:
         return F.get(inside(n, test), F.lit(0))
@@ -242,9 +243,9 @@ def parse_site_search(pages: DataFrame) -> DataFrame:
         link = first(n, lambda e: e["tag"] == "a")
         has_class = lambda e, p: F.rlike(text(e["cls"]), F.lit(f"(?i){p}"))
         return record(
-            title=link["text"], href=link["href"],
-            snippet=text(first(n, lambda e: e["tag"].isin("p", "div") & has_class(e, "snippet|summary|description|body"))["text"]),
-            date_str=first(n, lambda e: e["tag"].isin("time", "span") & has_class(e, "date|published|time"))["text"])
+            title=text_of(link), href=link["href"],
+            snippet=text(text_of(first(n, lambda e: e["tag"].isin("p", "div") & has_class(e, "snippet|summary|description|body")))),
+            date_str=text_of(first(n, lambda e: e["tag"].isin("time", "span") & has_class(e, "date|published|time"))))
 
     d = d.select("page_id", "url", F.posexplode(F.transform("nodes", result)).alias("ordinal", "r")).select(
         "page_id", "url", "ordinal", "r.*").where(F.length("title") >= 3)
@@ -276,7 +277,7 @@ def _anchors(pages: DataFrame) -> DataFrame:
     usable = F.filter(elements_of("a"), lambda e: (strip(text(e["href"])) != "") & ~F.rlike(strip(text(e["href"])), F.lit("^(#|javascript:|mailto:)")))
     # An element's place is its index, so the table row of a link is one lookup
     # and the page itself is not carried along with every link.
-    linked = F.transform(usable, lambda e: F.struct(e["href"].alias("href"), e["text"].alias("text"), F.get("elements", e["row"])["cells"].alias("cells")))
+    linked = F.transform(usable, lambda e: F.struct(e["href"].alias("href"), text_of(e).alias("text"), cells_of(F.get("elements", e["row"])).alias("cells")))
     d = d.select("page_id", F.col("url").alias("page_url"), F.posexplode(linked).alias("ordinal", "a"))
     return d.select(
         "page_id", "page_url", "ordinal", F.col("a.text").alias("link_text"),
