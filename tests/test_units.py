@@ -151,8 +151,7 @@ def test_page_takes_memory_in_proportion_at_any_depth():
 
 def test_rich_text_and_cells_of_intervals(spark):
     page = "<div id=accordion><h3>T</h3><p>a <b>b</b> <strong></strong>c<br>d\te</p></div><table><tr><td><a href=x>1</a><a href=y>2</a></td><td>n\0<i>m</i></td></tr></table>"
-    d = html.html_elements(spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string").repartition(1))
-    tune(spark)
+    d = html.html_elements(tune(spark).createDataFrame([(1, page), (2, None), (3, "")], "id int, html string").repartition(1))
     row = d.where("id = 1").select(
         F.transform(html.elements_of("p"), html.rich_of).alias("rich"), F.transform(html.elements_of("tr"), html.cells_of).alias("cells"),
         html.first_text("h3").alias("head"), html.first_text("h9").alias("none"), html.elements_of("tr")[0]["links"].alias("links")).first()
