@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vigilake.functions.dates import in_range, transpose_day_month
 from vigilake.functions.matching import contains_like, product_match, source_in_group
 from vigilake.functions.text import normalize_drug_name, normalize_product_name, squeeze, strip, strip_drug_salts, text
+from vigilake.operators import ranking
 from vigilake.operators.skew import cut_lineage, pick
 from vigilake.operators.substring import substring_join
 
@@ -199,29 +200,38 @@ def score_candidates(pairs: DataFrame) -> DataFrame:
     ).drop("_dated", "_any")
 
 
-def rank_candidates(candidates: DataFrame, query: str, top: int | None = None) -> DataFrame:
-    """One candidate per application, best first; the top few are read."""
-    q = F.lit(query.strip().lower())
+def rank_candidates(candidates: DataFrame, query: str | None = None, top: int | None = None) -> DataFrame:
+    """Candidates of each request with their ``rank``, one per application, best
+    first; with ``top`` only so many of each request.
+
+    candidates: request_id, query, ordinal and the candidate's columns. With
+    ``query`` all rows belong to that one request.
+    """
+    d = candidates if query is None else candidates.withColumns({"request_id": F.lit(0), "query": F.lit(query)})
+    q = F.lower(strip(F.col("query")))
     ingredient, name = F.lower(strip(text(F.col("active_ingredient")))), F.lower(strip(text(F.col("drug_name"))))
     rank = F.struct(
         _flag((name == q) | (ingredient == q)).alias("a"), _flag(ingredient == q).alias("b"),
         _flag(~ingredient.contains(";")).alias("c"), F.col("ordinal"),
     )
     app = F.coalesce(F.nullif("application_number", F.lit("")), F.col("drug_name"))
-    unique = pick(candidates.withColumn("_app", app).withColumn("_rank", rank), ["_app"], F.col("_rank"), largest=False)
-    return _first(unique.orderBy("_rank"), top).drop("_rank", "_app")
+    unique = pick(d.withColumn("_app", app).withColumn("_rank", rank), ["request_id", "_app"], F.col("_rank"), largest=False)
+    return _ranks(unique, [F.col("_rank")], top).drop("_rank", "_app")
 
 
-def _first(ranked: DataFrame, top: int | None) -> DataFrame:
-    """All rows, or the first ones if the caller asks for so many."""
-    return ranked if top is None else ranked.limit(top)
+def _ranks(rows: DataFrame, order: list[Column], top: int | None) -> DataFrame:
+    """Ranks per request of all rows, or of as many as the caller asks for."""
+    return ranking.ranked(rows, ["request_id"], order) if top is None else ranking.top(rows, ["request_id"], order, top)
 
 
-def rank_site_results(results: DataFrame, query: str, top: int | None = None) -> DataFrame:
-    """Title hits first, then the newest."""
+def rank_site_results(results: DataFrame, query: str | None = None, top: int | None = None) -> DataFrame:
+    """Results of each request with their ``rank``: title hits first, then the
+    newest. results: request_id, query, title, source_date, ordinal; with
+    ``query`` all rows belong to that one request."""
+    d = results if query is None else results.withColumns({"request_id": F.lit(0), "query": F.lit(query)})
+    hit = F.contains(F.lower("title"), F.lower("query")).cast("int")
     order = [F.desc("_hit"), F.desc_nulls_last("source_date"), F.asc("ordinal")]
-    hit = F.lower("title").contains(query.lower()).cast("int")
-    return _first(results.withColumn("_hit", hit).orderBy(*order), top).drop("_hit")
+    return _ranks(d.withColumn("_hit", hit), order, top).drop("_hit")
 
 
 def first_drug_with_changes(ranked: DataFrame, changes: DataFrame) -> DataFrame:

@@ -296,6 +296,48 @@ def site_result_rank(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.rank_site_results(results, "BOLT").select(F.col("ordinal").alias("o_orderkey"))
 
 
+@query("O7 L3", f"""WITH {t.SQL_DRUGS}, q AS (SELECT DISTINCT p_name AS request_id FROM part UNION SELECT DISTINCT p_type FROM part),
+m AS (SELECT q.request_id, dr.*, coalesce(application_number, display_name) AS app,
+  CASE WHEN lower(active_ingredient) = lower(request_id) OR lower(display_name) = lower(request_id) THEN 0 ELSE 1 END AS a,
+  CASE WHEN lower(active_ingredient) = lower(request_id) THEN 0 ELSE 1 END AS b, CASE WHEN contains(active_ingredient, ';') THEN 1 ELSE 0 END AS c
+  FROM q JOIN dr ON regexp_matches(normalized_name, '\\b' || lower(request_id) || '\\b') OR regexp_matches(lower(active_ingredient), '\\b' || lower(request_id) || '\\b')),
+u AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY request_id, app ORDER BY a, b, c, id) = 1)
+SELECT request_id, id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY a, b, c, id) AS INTEGER) AS rank FROM u QUALIFY rank <= 10""")
+def candidate_rank_per_request(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best candidates of every product name and type asked for."""
+    part = table(spark, sf, "part")
+    requests = part.select(F.col("p_name").alias("request_id")).union(part.select("p_type")).distinct().withColumn("query", F.col("request_id"))
+    candidates = t.drugs(spark, sf).withColumnRenamed("display_name", "drug_name").withColumn("ordinal", F.col("id"))
+    return lookup.rank_candidates(lookup.matching_candidates(requests, candidates), top=10).select("request_id", "id", "rank")
+
+
+_SITE_SQL = """WITH q AS (SELECT p_type AS request_id, min(split_part(p_name, ' ', 2)) AS query FROM part GROUP BY ALL),
+r AS (SELECT request_id, o_orderkey, row_number() OVER (PARTITION BY request_id
+    ORDER BY CAST(contains(lower(p_name), lower(query)) AS INTEGER) DESC, o_orderdate DESC NULLS LAST, o_orderkey) AS rank
+  FROM orders JOIN part ON p_partkey = o_custkey JOIN q ON request_id = p_type)"""
+
+
+def _site_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order as a search result of the type of its customer's number."""
+    o, p = table(spark, sf, "orders"), table(spark, sf, "part")
+    requests = p.groupBy(F.col("p_type").alias("request_id")).agg(F.min(F.expr("split_part(p_name, ' ', 2)")).alias("query"))
+    results = o.join(p, o.o_custkey == p.p_partkey).selectExpr(
+        "p_type AS request_id", "p_name AS title", "o_orderdate AS source_date", "o_orderkey AS ordinal")
+    return results.join(requests, "request_id")
+
+
+@query("O8 L3", f"{_SITE_SQL} SELECT request_id, o_orderkey, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20")
+def site_rank_per_request(spark: SparkSession, sf: str) -> DataFrame:
+    """The twenty best results of every request."""
+    return lookup.rank_site_results(_site_results(spark, sf), top=20).select("request_id", F.col("ordinal").alias("o_orderkey"), "rank")
+
+
+@query("O8", f"{_SITE_SQL} SELECT * FROM r")
+def site_result_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """All results of every request with their ranks."""
+    return lookup.rank_site_results(_site_results(spark, sf)).select("request_id", F.col("ordinal").alias("o_orderkey"), "rank")
+
+
 _RANKED_SQL = f"""{t.SQL_CHANGES}, r AS (
   SELECT o_custkey % 40 AS request_id, o_orderkey % 200 AS drug_id, min(o_orderkey) AS rank FROM orders GROUP BY ALL),
 n AS (SELECT r.*, count(ch.id) AS n FROM r LEFT JOIN ch ON ch.drug_id = r.drug_id AND source_date BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-11 23:59:59' GROUP BY ALL)"""
