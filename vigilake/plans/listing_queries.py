@@ -291,6 +291,28 @@ def narrative_keyword(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("J7 F32", r"""WITH b AS (SELECT item_id, string_split_regex(text, '\s+') AS w FROM benchmark),
+k AS (SELECT 'b_' || item_id AS concern_id, i, lower(CASE i WHEN 1 THEN w[1] || ' ' || w[2] WHEN 2 THEN w[3] ELSE w[4] || ' ' || w[5] END) AS kw FROM b, unnest([1, 2, 3]) AS t(i)),
+d AS (SELECT doc_id, text, lower(text) AS low FROM documents),
+hit AS (SELECT concern_id, doc_id, text, kw, CAST(strpos(low, kw) AS BIGINT) AS p,
+               row_number() OVER (PARTITION BY concern_id, doc_id ORDER BY i) AS nth FROM d JOIN k ON contains(low, kw))
+SELECT concern_id, CAST(doc_id AS VARCHAR) AS case_number, kw AS matched_term,
+  'Clinical narrative snippet: ''...' || trim(replace(substr(text, greatest(p - 80, 1),
+     least(length(text), p - 1 + length(kw) + 80) - greatest(p - 81, 0)), chr(10), ' ')) || '...''' AS evidence
+FROM hit WHERE nth = 1""")
+def narrative_concerns(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole document texts as narratives, a concern with three keywords for
+    every benchmark item."""
+    cases = spread_table(spark, sf, "documents").selectExpr(
+        "'ds' AS dataset_id", "CAST(doc_id AS STRING) AS case_number", "text AS narrative", "doc_id AS source_row")
+    concerns = table(spark, sf, "benchmark").selectExpr("item_id", r"split(text, '\\s+') AS w").selectExpr(
+        "concat('b_', item_id) AS id", "'NARRATIVE' AS search_method",
+        "to_json(named_struct('keywords', array(concat(w[0], ' ', w[1]), w[2], concat(w[3], ' ', w[4])))) AS search_config")
+    scope = concerns.select(F.col("id").alias("concern_id"), F.lit("ds").alias("dataset_id"))
+    return search.in_scope(search.match_narratives(cases, search.parse_search_config(concerns)), scope).select(
+        "concern_id", "case_number", "matched_term", "evidence")
+
+
 @query("C9", f"""WITH {t.SQL_MATCHES} SELECT e.dataset_id, e.case_number, e.position, normalized_term,
   arg_max(m.matched_term, m.concern_id) AS preferred_term,
   arg_max(m.pt_code, m.concern_id) FILTER (m.pt_code IS NOT NULL) AS matched_pt_code
