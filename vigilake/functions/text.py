@@ -156,7 +156,7 @@ FIRST_LINE_NOISE = (
     "CONFIDENTIAL", "PERIODIC", "BENEFIT", "RISK", "EVALUATION",
     "REPORT", "SAFETY", "UPDATE", "TABLE", "CONTENTS", "HIGHLIGHTS",
     "PRESCRIBING", "INFORMATION", "PACKAGE", "INSERT", "VERSION",
-    "INC", "SEARCHLIGHT", "PHARMA", "FOR", "CANADIAN", "SECTION",
+    "INC", "PHARMA", "FOR", "CANADIAN", "SECTION",
 )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from vigilake.functions.listing import (
@@ -168,27 +170,24 @@ def explode_products(listing: DataFrame, buckets: int | None = None) -> DataFram
     return dedupe_repeat_rows(exploded, "product_name_raw", buckets)
 
 
-# Reporting periods recognised from a file or product name.
-KNOWN_PERIODS = (
-    ("20260428", "abiraterone", "29-Apr-2025 to 28-Apr-2026", "28-Apr-2026"),
-    ("20260412", "oxycodone", "13-Apr-2025 to 12-Apr-2026", "12-Apr-2026"),
-)
-
-
-def dataset_identity(file_name: Column, content: Column, product: Column, today: Column) -> Column:
+def dataset_identity(
+    file_name: Column, content: Column, product: Column, today: Column, periods: Sequence[tuple[str, str, str, str]] = (),
+) -> Column:
     """STRUCT<dataset_id, file_hash, product_name, reporting_period, data_lock_point>.
 
-    A blank product reads the first word of the file name.
+    A blank product reads the first word of the file name. ``periods`` are known
+    ones: a stamp of the file name, a product word, the period and its data lock
+    point; a file that has the stamp or names the product is of that period.
     """
     first_word = F.split(file_name, r"[_ \-.]")[0]
     first_word = F.concat(F.upper(F.substring(first_word, 1, 1)), F.lower(F.substr(first_word, F.lit(2))))
-    for _, word, _, _ in reversed(KNOWN_PERIODS):
+    for _, word, _, _ in reversed(periods):
         first_word = F.when(F.lower(file_name).contains(word), word.capitalize()).otherwise(first_word)
     name = F.coalesce(F.nullif(strip(text(product)), F.lit("")), first_word)
     file_hash = F.sha2(content, 256)
     period = F.lit("Current Reporting Period")
     lock = F.date_format(today, "dd-MMM-yyyy")
-    for stamp, word, known, known_lock in reversed(KNOWN_PERIODS):
+    for stamp, word, known, known_lock in reversed(periods):
         hit = file_name.contains(stamp) | F.lower(name).contains(word)
         period = F.when(hit, known).otherwise(period)
         lock = F.when(hit, known_lock).otherwise(lock)

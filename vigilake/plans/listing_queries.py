@@ -116,7 +116,11 @@ def dataset_identity(spark: SparkSession, sf: str) -> DataFrame:
         "concat(replace(p_name, ' ', '_'), CASE WHEN p_size < 10 THEN '_20260428' WHEN p_size < 20 THEN '_20260412'"
         " ELSE '' END, '.xlsx') AS file_name", "CAST(p_name AS BINARY) AS content",
     )
-    identity = ops.dataset_identity(F.col("file_name"), F.col("content"), F.lit(None).cast("string"), F.lit("2026-01-31").cast("date"))
+    periods = (
+        ("20260428", "first product", "29-Apr-2025 to 28-Apr-2026", "28-Apr-2026"),
+        ("20260412", "second product", "13-Apr-2025 to 12-Apr-2026", "12-Apr-2026"))
+    identity = ops.dataset_identity(
+        F.col("file_name"), F.col("content"), F.lit(None).cast("string"), F.lit("2026-01-31").cast("date"), periods)
     return files.select("p_partkey", identity.alias("i")).select(
         "p_partkey", "i.dataset_id", "i.file_hash", "i.product_name", "i.reporting_period"
     )
