@@ -219,6 +219,42 @@ def strip_html_tables(c: Column) -> Column:
     return F.regexp_replace(value, r"(?isU)<table.*?</table>\s*", "")
 
 
+# Elements of an exported page that hold nothing but a heading.
+HEADING_ELEMENTS = (
+    ("header", "med-main-header"), ("div", "med-brand-tag"), ("header", "med-sub-header"), ("span", "med-badge"),
+)
+HEADING_STYLES = ("main-header", "brand-tag", "section-main-title", "sub-header", "badge", "subsection-title", "subheading")
+
+
+def strip_html_headings(c: Column, sponsors: tuple[str, ...] = ()) -> Column:
+    """Exported HTML with its body alone: heading elements and badges go, and of
+    each paragraph the lines that are titles or running headers; a paragraph or
+    wrapper that is left empty goes as well."""
+    whole = "|".join(rf'<{tag} class="{cls}".*?</{tag}>' for tag, cls in HEADING_ELEMENTS) + "|<h[1-4][^>]*>.*?</h[1-4]>"
+    value = F.regexp_replace(text(c), rf"(?isU)(?:{whole})\s*", "")
+    value = F.regexp_replace(value, r"(?iU)\.med-(?:" + "|".join(HEADING_STYLES) + r")\s*\{[^}]*\}\s*", "")
+    value = F.regexp_replace(value, r"(?iU)<title>[^<]*?(?:Section|\d+\.\d+)[^<]*?</title>", "<title>Extracted Document</title>")
+    pattern, block = header_line_pattern(sponsors), r'(?is)(<p(?:\s+class="[^"]*")?>)(.*?)</p>'
+
+    def body(line: Column) -> Column:
+        plain = strip(F.regexp_replace(line, "<[^>]+>", ""))
+        return (plain != "") & ~F.rlike(plain, F.lit(pattern))
+
+    def paragraph(opening: Column, inner: Column) -> Column:
+        kept = F.transform(F.filter(F.split(inner, r"<br\s*/?>|\n"), body), strip)
+        lines = F.concat(opening, F.lit("\n        "), F.array_join(kept, "<br>\n        "), F.lit("\n    </p>"))
+        return F.when(F.size(kept) > 0, lines).otherwise("")
+
+    def paragraphs(v: Column) -> Column:
+        found = F.zip_with(F.regexp_extract_all(v, F.lit(block), F.lit(1)), F.regexp_extract_all(v, F.lit(block), F.lit(2)), paragraph)
+        # The text around the paragraphs is one piece more.
+        return F.array_join(F.flatten(F.zip_with(F.split(v, block, -1), found, lambda around, p: F.array(around, p))), "")
+
+    value = bind(value, paragraphs)
+    value = F.regexp_replace(value, r'(?iU)<div class="med-root-content">\s*</div>\s*', "")
+    return F.regexp_replace(value, r'(?iU)<article[^>]*>\s*<div class="med-sub-body">\s*</div>\s*</article>\s*', "")
+
+
 # ---------------------------------------------------------------------------
 # Tables
 

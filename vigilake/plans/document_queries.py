@@ -263,6 +263,21 @@ def strip_tables_and_headings(spark: SparkSession, sf: str) -> DataFrame:
         fn.strip_html_tables(html).alias("no_html"))
 
 
+@query("F28 PR9", r"""SELECT p_partkey AS id, 'Risks' AS title, '<style></style><title>Extracted Document</title><p class="x">' || chr(10) || '        ' || p_name || ' was seen<br>' || chr(10) || '        <b>' || p_type
+  || '</b>' || chr(10) || '    </p>tail' || CASE WHEN p_size % 2 = 0 THEN '<table><tr><td>1</td></tr></table>' ELSE '' END AS text FROM part""")
+def html_section_response(spark: SparkSession, sf: str) -> DataFrame:
+    """Exported pages without headings: header elements, a badge, title lines
+    inside paragraphs, and the paragraph and wrappers that are then empty."""
+    page = r"""concat('<style>.med-badge { color: red }</style><title>Drug - Section 16</title><header class="med-main-header"><div class="med-brand-tag">B</div><h2>Section 16</h2></header>
+      <article class="a"><div class="med-sub-body"> </div></article><div class="med-root-content"><span class="med-badge">16.1</span> </div>',
+      '<p class="x">Section 16.1<br>', p_name, ' was seen<br/>\n16.1 Summary of Safety Concerns\n  <b>', p_type, '</b></p><h3 class="med-subsection-title">T</h3>\n<p>PBRER x</p>tail',
+      CASE WHEN p_size % 2 = 0 THEN '<table><tr><td>1</td></tr></table>' ELSE '' END)"""
+    sections = table(spark, sf, "part").selectExpr(
+        "p_partkey AS id", "'Risks' AS section_title", f"{page} AS text",
+        "CAST(NULL AS ARRAY<STRUCT<number: STRING, title: STRING, text: STRING>>) AS subsections")
+    return ops.section_response(sections, None, True, fn.strip_html_tables, fn.strip_html_headings)
+
+
 @query("PR9", """SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'Sub ' || p_type ELSE p_brand END AS title, CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'all ' || p_name END AS text FROM part""")
 def section_response(spark: SparkSession, sf: str) -> DataFrame:
     """Subsection 16.1 where it is indexed, else the whole section."""
