@@ -18,10 +18,11 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import string
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
-from itertools import accumulate, chain, islice
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,9 @@ from vigilake.llm.packing import pack, unpack
 FOLDER = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK = 4 << 20  # characters of documents that one row is made of, or one document
+UNIT = 256  # parts tokenized in one go
 BLOCK = 1 << 16  # parts of a text worked on at once
-KNOWN, KNOWN_TOKENS = 300_000, 8 << 20  # parts a worker remembers, and their tokens
+KNOWN, KNOWN_TOKENS = 600_000, 8 << 20  # parts a worker remembers, and their tokens
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,12 +55,30 @@ def ends(begin: np.ndarray, end: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where((end - begin == sizes) & (begin == at - sizes), end, at)
 
 
-def linked(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapping pairs as ``a << 32 | b``, in order, and the ends both have:
-    between two ends of either kind, one token of each lies."""
+def linked(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping pairs as ``a << 32 | b``, in order, the ends of either kind,
+    where one token of each lies before each, and the ends both have."""
     every = np.union1d(a_ends, b_ends)
     i, j = np.searchsorted(a_ends, every), np.searchsorted(b_ends, every)
-    return a[i].astype(np.int64) << 32 | b[j], every[(a_ends[i] == every) & (b_ends[j] == every)]
+    return a[i].astype(np.int64) << 32 | b[j], every, every[(a_ends[i] == every) & (b_ends[j] == every)]
+
+
+def _parts(pieces: Iterable[str]) -> tuple[str, str]:
+    """White space before which a text may be cut, and the pattern of the parts of a text that are tokenized alone.
+
+    The byte-level pattern never joins white space to what is before it, nor a
+    letter or digit to punctuation after it. The other tokenizer only joins
+    characters that some piece has side by side. A part ends where both hold:
+    before a blank or line break, and before ASCII punctuation after a letter.
+    """
+    beside = {p[i:i + 2] for p in pieces for i in range(len(p) - 1)}
+    cuts = " " * all(b[0] == "▁" for b in beside if b[1] == "▁") + "\n" * (not any(b[1] == "\n" for b in beside))
+    marks = "".join(c for c in string.punctuation if c != "_" and not any(b[1] == c and b[0].isalnum() for b in beside))
+    if not cuts or not marks:
+        return "", r"(?s).+"
+    word, other, stay = r"[^\W_]", r"(?:[^\s\w]|_)", rf"(?:(?![{re.escape(marks)}])[^\s\w]|_)"
+    body = rf"{other}*+(?:{word}++(?:{stay}{other}*+)?+)*+"
+    return cuts, rf"\s*+{body}(?:[^\S{cuts}]\s*+{body})*+"
 
 
 class Aligner:
@@ -67,11 +87,15 @@ class Aligner:
     def __init__(self, byte_level: bytes, pieces: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work out
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(byte_level.decode())
         self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
+        # The space that the tokenizer adds is part of what it is given here.
+        model = sentencepiece_model_pb2.ModelProto.FromString(pieces)
+        model.normalizer_spec.add_dummy_prefix = False
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         letters = byte_letters()
         self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
@@ -81,12 +105,8 @@ class Aligner:
         for i, t in self.a_bytes.items():
             self.a_size[i] = len(t)
         self.b_size = np.array([len(t) for t in self.b_bytes], dtype=np.int64)
-        self.space = self.b.piece_to_id("▁")
-        # The byte-level pattern never joins a blank to what is before it. The
-        # other tokenizer does so only where a piece has it inside.
-        cuts = " " if not any("▁" in n.lstrip("▁") for n in names) else ""
-        cuts += "\n" if cuts and not any("\n" in n for n in names) else ""
-        self.part = re.compile(rf"\s*\S+(?:[^\S{cuts}]\s*\S*)*|\s+" if cuts else r"(?s).+")
+        self.cuts, pattern = _parts(n for i, n in enumerate(names) if not self.b.is_byte(i))
+        self.part = re.compile(pattern)
         self.forget()
 
     def forget(self) -> None:
@@ -97,80 +117,109 @@ class Aligner:
         self.pairs, self.upto, self.groups = array("q"), array("q", [0]), []
 
     def learn(self, parts: Sequence[str]) -> None:
-        """Tokenize and align parts of texts, all of them at once."""
-        raws = [p.encode("utf-8", "surrogatepass") for p in parts]
-        found = self.a.encode_batch(list(parts), add_special_tokens=False)
-        told = self.b.encode([p[1:] if p[0] == " " else p for p in parts], return_type="proto", num_threads=1)
-        a_ids, a_spans, b_ids, b_spans = [], [], [], []
-        for part, raw, one, two in zip(parts, raws, found, told, strict=True):
-            spans = one.offsets
-            if len(raw) != len(part):
-                # Characters to bytes.
-                at = list(accumulate((len(c.encode("utf-8", "surrogatepass")) for c in part), initial=0))
-                spans = [(at[x], at[y]) for x, y in spans]
-            a_ids.append(one.ids)
-            a_spans.append(spans)
-            shift = int(part[0] == " ")  # the space that the tokenizer adds
-            own = [(t.id, t.begin + shift, t.end + shift) for t in two.pieces]
-            if part == " ":
-                own = [(self.space, 0, 0)]
-            elif not shift and own and own[0][0] == self.space:
-                own = own[1:]
-            b_ids.append([t[0] for t in own])
-            b_spans.append([t[1:] for t in own])
-        good = [bool(raw) and b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b)) for raw, a, b in zip(raws, a_ids, b_ids, strict=True)]
-        kept = [k for k, g in enumerate(good) if g]
-        base = np.cumsum([0, *(len(raws[k]) for k in kept)])
-
-        def placed(ids: list, spans: list, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            flat = np.fromiter(chain.from_iterable(ids[k] for k in kept), np.int64)
-            span = np.fromiter(chain.from_iterable(chain.from_iterable(spans[k] for k in kept)), np.int64).reshape(-1, 2)
-            span += np.repeat(base[:-1], [len(ids[k]) for k in kept])[:, None] if kept else 0
-            return flat, ends(span[:, 0], span[:, 1], size[flat])
-
-        a, a_ends = placed(a_ids, a_spans, self.a_size)
-        b, b_ends = placed(b_ids, b_spans, self.b_size)
-        keys, common = linked(a, a_ends, b, b_ends)
-        links_upto = np.searchsorted(np.union1d(a_ends, b_ends), base[1:], "right")
+        """Tokenize and align parts of texts. Parts are joined where a text may
+        be cut, since one long call costs far less than many short ones."""
+        joined = [p for p in parts if p[0] in self.cuts and not p[-1].isspace()]
+        alone = set(parts).difference(joined)
+        self._learn([joined[i:i + UNIT] for i in range(0, len(joined), UNIT)] + [[p] for p in sorted(alone)])
+
+    def _learn(self, units: list[list[str]]) -> None:
+        texts = ["".join(u) for u in units]
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        size = np.fromiter(map(len, raws), np.int64, len(raws))
+        found = self.a.encode_batch(texts, add_special_tokens=False)
+        told = self.b.encode(texts, return_type="offset_mapping", return_bytes=True, num_threads=1)
+
+        def flat(lists: list[list]) -> tuple[np.ndarray, np.ndarray]:
+            many = np.fromiter(map(len, lists), np.int64, len(lists))
+            return np.fromiter(chain.from_iterable(lists), np.int64, int(many.sum())), many
+
+        def spans(lists: list[list]) -> np.ndarray:
+            return np.fromiter(chain.from_iterable(chain.from_iterable(lists)), np.int64).reshape(-1, 2)
+
+        a, n_a = flat([x.ids for x in found])
+        b, n_b = flat([x["ids"] for x in told])
+        # Characters to bytes, in the texts written one after the other.
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        byte_of = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), dtype=np.int64)))
+        chars = np.fromiter(map(len, texts), np.int64, len(texts))
+        base = np.cumsum(size) - size
+        a_spans = byte_of[spans([x.offsets for x in found]) + np.repeat(np.cumsum(chars) - chars, n_a)[:, None]]
+        b_spans = spans([x["offsets"] for x in told]) + np.repeat(base, n_b)[:, None]
+        a_size, b_size = self.a_size[a], self.b_size[b]
+
+        def total(values: np.ndarray, many: np.ndarray) -> np.ndarray:
+            upto, stop = np.concatenate(([0], np.cumsum(values))), np.cumsum(many)
+            return upto[stop] - upto[stop - many]
+
+        good = (total(a_size, n_a) == size) & (total(b_size, n_b) == size)
+        for ids, many, table in ((a, n_a, self.a_bytes), (b, n_b, self.b_bytes)):
+            if b"".join(map(table.__getitem__, ids[np.repeat(good, many)].tolist())) != b"".join(compress(raws, good.tolist())):
+                upto = np.cumsum(many)
+                for k in np.flatnonzero(good).tolist():
+                    good[k] = b"".join(map(table.__getitem__, ids[upto[k] - many[k]:upto[k]].tolist())) == raws[k]
+        bad = [u for u, g in zip(units, good.tolist(), strict=True) if not g]
+        self._keep([u for u, g in zip(units, good.tolist(), strict=True) if g], *(
+            (ids[own], spans_[own] - np.repeat(base - (np.cumsum(size * good) - size * good), many)[own][:, None], sizes[own])
+            for ids, spans_, sizes, many in ((a, a_spans, a_size, n_a), (b, b_spans, b_size, n_b)) for own in (np.repeat(good, many),)))
+        # Bytes that differ are those of one part; a part alone has no tokens then.
+        if again := [[p] for u in bad if len(u) > 1 for p in u]:
+            self._learn(again)
+        for part in (u[0] for u in bad if len(u) == 1):
+            self._add([part], np.zeros((4, 1), dtype=np.int64), [""], False)
+
+    def _keep(self, units: list[list[str]], first: tuple[np.ndarray, ...], second: tuple[np.ndarray, ...]) -> None:
+        """Align the tokens (ids, spans, sizes) of texts whose bytes they are."""
+        parts = list(chain.from_iterable(units))
+        if not parts:
+            return
+        (a, a_spans, a_size), (b, b_spans, b_size) = first, second
+        a_ends, b_ends = ends(a_spans[:, 0], a_spans[:, 1], a_size), ends(b_spans[:, 0], b_spans[:, 1], b_size)
+        keys, every, common = linked(a, a_ends, b, b_ends)
+        stop = np.cumsum(np.fromiter((len(p.encode("utf-8", "surrogatepass")) for p in parts), np.int64, len(parts)))
+        if not np.isin(stop, common).all():
+            raise AssertionError("a token crosses the end of a part")
         # Groups as text: the tokens of either side up to each common end.
-        a_upto, b_upto = (np.searchsorted(x, common, "right").tolist() for x in (a_ends, b_ends))
         a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
         groups, i, j = [], 0, 0
-        for x, y in zip(a_upto, b_upto, strict=True):
+        for x, y in zip(np.searchsorted(a_ends, common, "right").tolist(), np.searchsorted(b_ends, common, "right").tolist(), strict=True):
             groups.append((a_text[i] if x == i + 1 else ",".join(a_text[i:x])) + "|" + (b_text[j] if y == j + 1 else ",".join(b_text[j:y])))
             i, j = x, y
-        groups_upto = np.searchsorted(common, base[1:], "right").tolist()
         known, inverse = np.unique(keys, return_inverse=True)
         numbers = np.empty(len(known), dtype=np.int64)
         for n, key in enumerate(known.tolist()):
             numbers[n] = i = self.pair_ids.setdefault(key, len(self.pair_keys))
             if i == len(self.pair_keys):
                 self.pair_keys.append(key)
-        before = len(self.pairs)
+        counts = np.stack([np.diff(np.searchsorted(x, stop, "right"), prepend=0) for x in (a_ends, b_ends, common, every)])
         self.pairs.frombytes(numbers[inverse].tobytes())
-        links_upto, k, group = (links_upto + before).tolist(), 0, 0
-        for n, part in enumerate(parts):
-            self.known[part] = len(self.good)
-            self.good.append(good[n])
-            self.n_a.append(len(a_ids[n]))
-            self.n_b.append(len(b_ids[n]))
-            if good[n]:
-                self.n_groups.append(groups_upto[k] - group)
-                self.groups.append(";".join(groups[group:groups_upto[k]]))
-                self.upto.append(links_upto[k])
-                k, group = k + 1, groups_upto[k]
-            else:
-                self.n_groups.append(0)
-                self.groups.append("")
-                self.upto.append(self.upto[-1])
+        upto = np.cumsum(counts[2]).tolist()
+        self._add(parts, counts, [";".join(groups[x:y]) for x, y in zip([0, *upto], upto, strict=False)], True)
+
+    def _add(self, parts: list[str], counts: np.ndarray, groups: list[str], good: bool) -> None:
+        self.known.update(zip(parts, range(len(self.good), len(self.good) + len(parts)), strict=True))
+        self.good.frombytes(np.full(len(parts), good, dtype=np.int8).tobytes())
+        for kept, values in zip((self.n_a, self.n_b, self.n_groups), counts, strict=False):
+            kept.frombytes(values.tobytes())
+        self.upto.frombytes((np.cumsum(counts[3]) + self.upto[-1]).tobytes())
+        self.groups += groups
+
+    def split(self, text: str) -> Iterator[list[str]]:
+        """The parts of a text, in blocks."""
+        if len(text) <= BLOCK:
+            yield [p for p in self.part.findall(text) if p]  # the last match is empty
+            return
+        found = self.part.finditer(text)
+        while parts := [m[0] for m in islice(found, BLOCK) if m[0]]:
+            yield parts
 
     def indexed(self, text: str | None) -> tuple[np.ndarray, str]:
         """Known part at each place of the text, and the digest of its groups;
         nothing where the tokens' bytes are not those of the text."""
         if not text:
             return np.zeros(0, dtype=np.int64), ""
-        found, out, digest, started = self.part.finditer(" " + text), [], hashlib.sha256(), False
-        while parts := [m[0] for m in islice(found, BLOCK)]:
+        out, digest, started = [], hashlib.sha256(), False
+        for parts in self.split(" " + text):
             new = sorted(p for p in set(parts) if p not in self.known)
             if new:
                 self.learn(new)
