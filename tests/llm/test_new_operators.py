@@ -183,9 +183,11 @@ def test_alignment_in_blocks_and_after_forgetting(monkeypatch, tokenizers):
 
 def test_alignment_spans_and_packing():
     # Two tokens share a character: their spans are 2 bytes, they hold 1 each.
-    assert align.ends([(0, 2), (0, 2), (2, 5)], [1, 1, 3]) == [1, 2, 5]
-    assert align.linked([1, 2], [2, 5], [7, 8, 9], [1, 2, 5]) == ([1 << 32 | 7, 1 << 32 | 8, 2 << 32 | 9], ["1|7,8", "2|9"])
-    lists = [np.array([0, 255]), np.array([], dtype=np.int64), np.array([1 << 40, 3]), np.array([65535])]
+    assert align.ends(*map(np.array, ([0, 0, 2], [2, 2, 5], [1, 1, 3]))).tolist() == [1, 2, 5]
+    pairs, every, common = align.linked(*map(np.array, ([1, 2], [2, 5], [7, 8, 9], [1, 2, 5])))
+    assert pairs.tolist() == [1 << 32 | 7, 1 << 32 | 8, 2 << 32 | 9] and every.tolist() == [1, 2, 5] and common.tolist() == [2, 5]
+    rng = np.random.default_rng(3)
+    lists = [rng.zipf(1.2, 100_000) % (1 << 31), rng.integers(0, 300, 70_000), np.array([0, 255]), np.array([], dtype=np.int64), np.array([1 << 40, 3, 0, 1, 2]), np.array([65535]), np.array([(1 << 64) - 1, 5, 1 << 63], dtype=np.uint64)]
     assert [x.tolist() for x in packing.unpack(packing.pack(*lists))] == [x.tolist() for x in lists]
 
 

@@ -42,21 +42,42 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
+def _within(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Values that rise within groups as differences, the first of each whole."""
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    out = np.diff(values, prepend=values[:1] * 0)
+    out[first] = values[first]
+    return out
+
+
+def _whole(differences: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    total = np.cumsum(differences, dtype=differences.dtype)
+    total = np.concatenate((np.zeros(1, total.dtype), total))
+    return total[1:] - np.repeat(total[np.cumsum(sizes) - sizes], sizes)
+
+
 # --- chunks ----------------------------------------------------------------------
 
 def chunked(docs: DataFrame, held: Column, size: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for some documents: chunk, ids, held (flags), stream (tokens per
-    document and places in words), words (sorted hashes and training counts)
-    and how many of both there are. Words of one hash are one word: among a
+    document and places in words), words (hashes, sorted among words about as
+    frequent, and training counts) and how many of both there are. Words of one hash are one word: among a
     thousand million distinct ones, three in a hundred chances of any such pair."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def row(ids: list, held: list, texts: list, name: str) -> pa.RecordBatch:
         h, counts = word_hashes(texts)
         h = np.insert(h, np.cumsum(counts), END)
-        words, at = np.unique(h, return_inverse=True)
+        words, at, many = np.unique(h, return_inverse=True, return_counts=True)
+        # Frequent words first, by the size of their counts; then by hash. Places
+        # in the stream are small where words are many.
+        kind_of = np.frexp(many)[1].max() - np.frexp(many)[1]
+        order = np.argsort(kind_of, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        at, words, sizes = place[at], words[order], np.bincount(kind_of)
         learned = np.repeat(~np.array(held, dtype=bool), counts + 1)
-        stored = pack(steps(words), np.bincount(at[learned], minlength=len(words)))
+        stored = pack(sizes, _within(words, sizes), np.bincount(at[learned], minlength=len(words)))
         return pa.RecordBatch.from_arrays([
             pa.array([name]), pa.array([pa.concat_arrays(ids)], pa.list_(ids[0].type)), pa.array([held], pa.list_(pa.bool_())), pa.array([pack(counts + 1, at)]), pa.array([stored]),
             pa.array([len(h)]), pa.array([len(words)]),
@@ -86,12 +107,18 @@ def _word_questions(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, stored in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                hashes, counts = unpack(stored.as_py())
-                hashes = np.cumsum(hashes.astype(np.uint64), dtype=np.uint64)
-                # Ranges of the hash: the answers, in order of the shards, are in order of the words.
-                edges = np.searchsorted(hashes >> np.uint64(32), [-(-(s << 32) // shards) for s in range(shards)]).tolist() + [len(hashes)]
+                sizes, hashes, counts = unpack(stored.as_py())
+                hashes, kind_of = _whole(hashes.astype(np.uint64), sizes), np.repeat(np.arange(len(sizes)), sizes)
+                # Ranges of the hash, so that the words of a kind are in order of the shards.
+                shard = ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                by = np.argsort(shard, kind="stable")
+                edges = np.searchsorted(shard[by], np.arange(shards + 1)).tolist()
                 held = [s for s in range(shards) if edges[s + 1] > edges[s]]
-                asked = [pack(steps(hashes[edges[s]:edges[s + 1]]), counts[edges[s]:edges[s + 1]]) for s in held]
+                asked = []
+                for s in held:
+                    own = by[edges[s]:edges[s + 1]]
+                    many = np.bincount(kind_of[own], minlength=len(sizes))
+                    asked.append(pack(many, _within(hashes[own], many), counts[own]))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(held), pa.string()), pa.array(held, pa.int32()), pa.array(asked, pa.binary())], names=["chunk", "shard", "asked"])
 
     return run
@@ -100,17 +127,17 @@ def _word_questions(shards: int):
 def _word_answers(shards: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         asked = [unpack(a) for a in rows["asked"]]
-        sizes = np.array([len(a[0]) for a in asked])
-        hashes = np.concatenate([np.cumsum(a[0].astype(np.uint64), dtype=np.uint64) for a in asked])
+        sizes = np.array([len(a[1]) for a in asked])
+        hashes = np.concatenate([_whole(a[1].astype(np.uint64), a[0]) for a in asked])
         words, at = np.unique(hashes, return_inverse=True)
-        counts = np.bincount(at, np.concatenate([a[1] for a in asked]), len(words)).astype(np.int64)
+        counts = np.bincount(at, np.concatenate([a[2] for a in asked]), len(words)).astype(np.int64)
         # Frequent words get small numbers; 0 is for words never learned.
         number = np.zeros(len(words), dtype=np.int64)
         order = np.lexsort((words, -counts))
         number[order] = np.arange(1, len(words) + 1) * shards + int(rows["shard"].iloc[0])
         number[counts == 0] = 0
         parts = np.split(at, np.cumsum(sizes)[:-1])
-        out = pd.DataFrame({"chunk": rows["chunk"], "shard": rows["shard"], "answer": [pack(number[p], counts[p]) for p in parts]})
+        out = pd.DataFrame({"chunk": rows["chunk"], "shard": rows["shard"], "answer": [pack(a[0], number[p], counts[p]) for a, p in zip(asked, parts, strict=True)]})
         out["types"], out["tokens"] = 0, 0
         out.loc[out.index[0], ["types", "tokens"]] = int((counts > 0).sum()), int(counts.sum())
         return out
@@ -120,19 +147,6 @@ def _word_answers(shards: int):
 
 # --- n-grams ---------------------------------------------------------------------
 
-def _within(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Values that rise within groups as differences, the first of each whole."""
-    first = (np.cumsum(sizes) - sizes)[sizes > 0]
-    out = np.diff(values, prepend=0)
-    out[first] = values[first]
-    return out
-
-
-def _whole(differences: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(differences)))
-    return total[1:] - np.repeat(total[np.cumsum(sizes) - sizes], sizes)
-
-
 @dataclass
 class Grams:
     """Distinct n-grams of a chunk whose words were all learned, in order of
@@ -190,7 +204,9 @@ def _read(row: dict, texts: int, shards: int) -> tuple[Grams, np.ndarray, np.nda
     numbers and counts."""
     sizes, at = unpack(row["stream"])
     told = [unpack(a["answer"]) for a in row["words_told"]]
-    number, counts = (np.concatenate([t[i] for t in told]) for i in (0, 1))
+    # From shard by shard to kind by kind.
+    by = np.argsort(np.concatenate([np.repeat(np.arange(len(t[0])), t[0]) for t in told]), kind="stable")
+    number, counts = (np.concatenate([t[i] for t in told])[by] for i in (1, 2))
     learned = np.repeat(~np.array(row["held"], dtype=bool), sizes)
     return grams(sizes, at, number, counts, learned, texts, shards), sizes, at, number, counts
 
