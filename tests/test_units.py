@@ -10,6 +10,8 @@ from vigilake.functions import dates, documents, listing as cells, sections, tex
 from vigilake.operators import dictionary, documents as ops, keywords, listing, search, skew, substring, tables
 from vigilake.sources import exports, feeds, html, pages as articles
 from vigilake.session import tune
+from vigilake.operators import changes as ops_changes
+from vigilake.streaming import changes as stream
 from vigilake.streaming.changes import SCAN_SCHEMA, read_version, watch_folder
 
 
@@ -160,6 +162,33 @@ def test_rich_text_and_cells_of_intervals(spark):
     assert d.where("id > 1").select(F.sum(F.size("elements"))).first()[0] == 0
 
 
+def test_stream_reads_and_splits_touched_buckets_only(spark, tmp_path):
+    tune(spark)
+    root = str(tmp_path / "tables")
+
+    def arrive(batch_id, drugs, words, rows=5):
+        batch = spark.createDataFrame(
+            [(i, d, "ADVERSE REACTIONS", "s", words, "FDA_SRLC") for i, d in enumerate(drugs)],
+            "seq long, drug_id long, section string, source_record_id string, updated_text string, source string").selectExpr(
+            "*", "concat('drug ', drug_id) AS display_name", "'x' AS active_ingredient", "'' AS original_text", "CAST('2024-01-01' AS TIMESTAMP_NTZ) AS source_date", "'' AS fda_comment", "'https://x/' AS source_url",
+            "CAST('2024-01-02' AS TIMESTAMP_NTZ) AS verified_at", "'Labeling Revision' AS change_type")
+        stream.change_sink(root, bucket_rows=rows)(batch, batch_id)
+        return stream.manifest(spark, root, batch_id)
+
+    first = arrive(0, range(60), "first text of the section")
+    assert sum(n for *_, n in first) == 60
+    # Buckets with more than five rows went one bit further, and others did not.
+    assert {b for b, *_ in first} <= {3, 4} and any(b == 4 for b, *_ in first)
+    second = arrive(1, [7], "another text of the section")
+    assert sum(written == 1 for _, _, written, _ in second) <= 2 and sum(n for *_, n in second) == 60
+    arrive(2, [7, 100], "a third text of the section")
+    changes = stream.read_version(spark, root, "changes", 9, ops_changes.CHANGES_SCHEMA)
+    versions = stream.read_version(spark, root, "versions", 9, ops_changes.VERSIONS_SCHEMA)
+    assert changes.count() == 61 and {r.updated_text for r in changes.where("drug_id = 7").collect()} == {"a third text of the section"}
+    assert sorted((r.drug_id, r.version_number) for r in versions.collect()) == [(7, 1), (7, 2)]
+    assert stream.read_version(spark, root, "changes", 0, ops_changes.CHANGES_SCHEMA).where("updated_text LIKE 'first%'").count() == 60
+
+
 def brute_outline(rows):
     """Open groups of every term line, walked from the top."""
     out, stack = [], []

@@ -8,30 +8,26 @@ over a third of all listing rows is no hot bucket.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilake.operators import listing as ops
-from vigilake.operators.skew import cut_lineage, shared_folder
+from vigilake.operators.skew import shared_folder
 
 ROWS_PER_BUCKET = 2_000_000  # listing rows; buckets grow with the listing
 
 
-@dataclass(frozen=True)
-class CaseTables:
-    records: DataFrame
-    events: DataFrame
-    products: DataFrame
-
-
-def table_name(kind: str, key: str) -> str:
-    return f"case_{kind}_{key}"
+def table_name(spark: SparkSession, kind: str, key: str) -> str:
+    """Tables are those of one application: nobody else writes or reads them."""
+    return "_".join(("case", kind, key, *re.findall("[A-Za-z0-9]+", spark.sparkContext.applicationId)))
 
 
 def stored(df: DataFrame, kind: str, key: str, buckets: int | None = None) -> DataFrame:
     """The rows as a catalog table in the shared folder, bucketed by case."""
-    spark, name = df.sparkSession, table_name(kind, key)
+    spark = df.sparkSession
+    name = table_name(spark, kind, key)
     writer = df.write.format("parquet").mode("overwrite").option("path", f"{shared_folder(spark).rstrip('/')}/{name}")
     if buckets is not None:
         writer = writer.bucketBy(buckets, *ops.CASE_KEY).sortBy(*ops.CASE_KEY)
@@ -39,24 +35,38 @@ def stored(df: DataFrame, kind: str, key: str, buckets: int | None = None) -> Da
     return spark.table(name)
 
 
-def ingest(listing: DataFrame, key: str) -> CaseTables:
-    """Read a listing once and store its three tables under a key."""
-    rows = cut_lineage(listing)
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    buckets = max(-(-rows.count() // ROWS_PER_BUCKET), cores)
-    return CaseTables(
-        stored(ops.case_records(rows).repartition(buckets, *ops.CASE_KEY), "records", key, buckets),
-        stored(ops.explode_events(rows, buckets=buckets), "events", key, buckets),
-        stored(ops.explode_products(rows, buckets=buckets), "products", key, buckets),
-    )
-
-
-def opened(spark: SparkSession, key: str) -> CaseTables | None:
-    """The tables of a key, if this session's catalog has them all."""
-    names = [table_name(kind, key) for kind in ("records", "events", "products")]
-    if not all(spark.catalog.tableExists(n) for n in names):
-        return None
-    return CaseTables(*(spark.table(n) for n in names))
+class CaseTables:
+    """The three tables of a listing under a key: each is read from the session's
+    catalog, or made from the listing when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, key: str, listing: Callable[[], DataFrame]):
+        self.spark, self.key, self._listing = spark, key, listing
+
+    def _table(self, kind: str, make: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+        name = table_name(self.spark, kind, self.key)
+        if self.spark.catalog.tableExists(name):
+            return self.spark.table(name)
+        rows = self.listing
+        buckets = max(-(-rows.count() // ROWS_PER_BUCKET), self.spark.sparkContext.defaultParallelism)
+        return stored(make(rows, buckets), kind, self.key, buckets)
+
+    @property
+    def listing(self) -> DataFrame:
+        """The listing under canonical names, read once for the three tables."""
+        name = table_name(self.spark, "listing", self.key)
+        return self.spark.table(name) if self.spark.catalog.tableExists(name) else stored(self._listing(), "listing", self.key)
+
+    @property
+    def records(self) -> DataFrame:
+        return self._table("records", lambda rows, n: ops.case_records(rows).repartition(n, *ops.CASE_KEY))
+
+    @property
+    def events(self) -> DataFrame:
+        return self._table("events", lambda rows, n: ops.explode_events(rows, buckets=n))
+
+    @property
+    def products(self) -> DataFrame:
+        return self._table("products", lambda rows, n: ops.explode_products(rows, buckets=n))
 
 
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:

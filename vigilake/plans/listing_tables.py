@@ -78,14 +78,13 @@ def _state(spark: SparkSession, sf: str) -> str:
 
 def cases(spark: SparkSession, sf: str) -> case_store.CaseTables:
     """The stored tables of the listing, read in again when a file has changed."""
-    key = _state(spark, sf)
-    return case_store.opened(spark, key) or case_store.ingest(listing(spark, sf), key)
+    return case_store.CaseTables(spark, _state(spark, sf), lambda: listing(spark, sf))
 
 
 def matches(spark: SparkSession, sf: str) -> DataFrame:
     """The stored matches of a run of all searches over the stored cases."""
     key = _state(spark, sf)
-    name = case_store.table_name("matches", key)
+    name = case_store.table_name(spark, "matches", key)
     return spark.table(name) if spark.catalog.tableExists(name) else case_store.stored(found(spark, sf), "matches", key)
 
 
@@ -200,7 +199,7 @@ def updates(spark: SparkSession, sf: str) -> DataFrame:
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
     """The stored review states of all assessments and their last updates."""
     key = _state(spark, sf)
-    name = case_store.table_name("reviews", key)
+    name = case_store.table_name(spark, "reviews", key)
     if spark.catalog.tableExists(name):
         return spark.table(name)
     return case_store.stored(search.reviewed(assessments(spark, sf), updates(spark, sf)), "reviews", key)
