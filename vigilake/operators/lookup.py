@@ -191,9 +191,10 @@ def score_candidates(pairs: DataFrame) -> DataFrame:
     for c in ("source_date", "database_updated"):
         matches = matches | within(F.col(c), start, end) | (has_alt & within(F.col(c), alt_start, alt_end))
     date_score = F.when(~dated, 0).when(matches, 200).otherwise(-100)
-    scored = d.withColumn("date_matches", ~dated | matches).withColumn(
+    # Scores cost far more than a table of them: they are written once.
+    scored = cut_lineage(d.withColumn("date_matches", ~dated | matches).withColumn(
         "score", (ingredient_score + name_score + date_score).cast("int")
-    ).withColumn("_dated", dated).drop("_terms", "_parts")
+    ).withColumn("_dated", dated).drop("_terms", "_parts"))
     any_match = scored.groupBy("request_id").agg(F.bool_or("date_matches").alias("_any"))
     return scored.join(any_match, "request_id").where(
         ~F.col("_dated") | ~F.col("_any") | F.col("date_matches")

@@ -9,7 +9,7 @@ narrowed to the datasets of a concern.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vigilake.functions.text import narrative_snippet, strip, text
 from vigilake.operators.dictionary import lookup_terms
@@ -316,11 +316,9 @@ def active_run(runs: DataFrame) -> DataFrame:
     return runs.groupBy("concern_id").agg(F.max_by("id", rank).alias("search_run_id"))
 
 
-def append_run(
-    spark_tables: dict[str, DataFrame], matches: DataFrame, scope: DataFrame, stamp: str, reviewer: str
-) -> dict[str, DataFrame]:
-    """New ``search_runs``, ``search_matches``, ``relevance_assessments`` and
-    ``audit_logs`` after one search pass; old runs stay, no longer active."""
+def run_rows(matches: DataFrame, scope: DataFrame, stamp: str, reviewer: str) -> dict[str, DataFrame]:
+    """What one search pass adds: ``search_runs``, ``search_matches`` and
+    ``audit_logs``, one run per concern and dataset in scope."""
     run_id = F.concat(F.lit("run_"), F.col("concern_id"), F.lit("_"), F.col("dataset_id"), F.lit("_" + stamp))
     when = F.to_timestamp(F.lit(stamp), "yyyyMMddHHmmss").cast("timestamp_ntz")
     runs = scope.join(run_metrics(matches), ["concern_id", "dataset_id"], "left").select(
@@ -329,23 +327,31 @@ def append_run(
         F.coalesce("candidate_events_count", F.lit(0)).cast("long").alias("candidate_events_count"),
         F.coalesce("distinct_cases_count", F.lit(0)).cast("long").alias("distinct_cases_count"),
     )
-    new_matches = matches.withColumn("search_run_id", run_id)
-    old_runs = spark_tables.get("search_runs")
-    old_matches = spark_tables.get("search_matches")
-    all_runs = flag_active_runs(runs if old_runs is None else old_runs.unionByName(runs))
     audit = runs.select(
         "concern_id", F.lit(reviewer).alias("user_id"), when.alias("at"),
         F.concat(F.lit("Executed deterministic search run '"), F.col("id"), F.lit("': "),
                  F.col("candidate_events_count").cast("string"), F.lit(" candidate events across "),
                  F.col("distinct_cases_count").cast("string"), F.lit(" distinct cases.")).alias("action"),
     )
-    old_audit = spark_tables.get("audit_logs")
-    return {
-        "search_runs": all_runs,
-        "search_matches": new_matches if old_matches is None else old_matches.unionByName(new_matches),
-        "relevance_assessments": init_assessments(spark_tables["relevance_assessments"], matches),
-        "audit_logs": audit if old_audit is None else old_audit.unionByName(audit),
-    }
+    return {"search_runs": runs, "search_matches": matches.withColumn("search_run_id", run_id), "audit_logs": audit}
+
+
+RUN_TABLES = ("search_runs", "search_matches", "audit_logs")
+
+
+def store_run(root: str, matches: DataFrame, scope: DataFrame, stamp: str, reviewer: str) -> None:
+    """Append one search pass to the stored tables below a folder. A pass is a
+    part of each table, so one that is run again replaces itself and no earlier
+    one is read or written."""
+    for name, df in run_rows(matches, scope, stamp, reviewer).items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}/stamp={stamp}")
+
+
+def stored_runs(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The stored tables of all passes, with the newest run of each concern and
+    dataset active."""
+    tables = {name: spark.read.option("mergeSchema", "false").parquet(f"{root}/{name}").drop("stamp") for name in RUN_TABLES}
+    return tables | {"search_runs": flag_active_runs(tables["search_runs"])}
 
 
 def init_assessments(assessments: DataFrame, matches: DataFrame) -> DataFrame:

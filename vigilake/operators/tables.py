@@ -34,12 +34,12 @@ def join_label_tables(tables: DataFrame) -> DataFrame:
     back is enough.
     """
     dense = running_sum(tables, ["doc"], "ord", F.lit(1), "_n").withColumn("_n", F.col("_n").cast("long"))
-    dense = dense.withColumn("_width", F.size("columns"))
+    dense = cut_lineage(dense.withColumn("_width", F.size("columns")))
     d = neighbour(dense, ["doc"], "_n", {"_width": "_prev_width", "page_num": "_prev_page"}, -1)
     goes_on = ~F.col("has_new_title") & (F.col("_width") == F.col("_prev_width")) & (F.col("page_num") > F.col("_prev_page"))
     starts = (~F.coalesce(goes_on, F.lit(False))).cast("int")
-    numbered = running_sum(d, ["doc"], "_n", starts, "table_no")
-    return numbered.withColumn("is_continuation", starts == 0).drop("_n", "_width", "_prev_width", "_prev_page")
+    numbered = running_sum(cut_lineage(d.withColumn("_starts", starts)), ["doc"], "_n", F.col("_starts"), "table_no")
+    return numbered.withColumn("is_continuation", F.col("_starts") == 0).drop("_starts", "_n", "_width", "_prev_width", "_prev_page")
 
 
 def join_continued_tables(tables: DataFrame, block_size: int = BLOCK) -> DataFrame:
