@@ -155,16 +155,24 @@ def _raw(df: DataFrame) -> DataFrame:
     return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in RAW.items()))
 
 
+def _of_terms(term_rows: DataFrame) -> DataFrame:
+    return term_rows.select(
+        F.concat(F.lit("T|"), "normalized_term").alias("key"), "concern_id", "search_method", "matched_term", "pt_code",
+        "smq_name", "smq_scope", "smq_code", "n_terms", F.lit(None).cast("string").alias("soc_name"), F.lit(True).alias("of_events"))
+
+
 def postings(concerns: DataFrame, terms: DataFrame) -> DataFrame:
     """(key, concern, method, ...) of all methods but narratives; a key is a
     term or an organ class with its kind before it."""
-    by_term = search_terms(concerns, terms).select(
-        F.concat(F.lit("T|"), "normalized_term").alias("key"), "concern_id", "search_method", "matched_term", "pt_code",
-        "smq_name", "smq_scope", "smq_code", "n_terms", F.lit(None).cast("string").alias("soc_name"), F.lit(True).alias("of_events"))
     by_soc = concerns.where(F.col("search_method") == "SOC").select(
         F.concat(F.lit("S|"), "cfg_soc").alias("key"), F.col("id").alias("concern_id"), "search_method",
         F.col("cfg_soc_name").alias("soc_name"), F.col("cfg_event_level").alias("of_events"))
-    return by_term.unionByName(by_soc, allowMissingColumns=True)
+    return _of_terms(search_terms(concerns, terms)).unionByName(by_soc, allowMissingColumns=True)
+
+
+def match_terms(events: DataFrame, scope: DataFrame, term_rows: DataFrame) -> DataFrame:
+    """Events whose term belongs to a concern that covers their dataset."""
+    return in_scope(match_events(events, _of_terms(term_rows)), scope)
 
 
 def with_drugs(events: DataFrame, products: DataFrame, concerns: DataFrame, scope: DataFrame) -> DataFrame:
@@ -187,15 +195,16 @@ def with_drugs(events: DataFrame, products: DataFrame, concerns: DataFrame, scop
 def match_events(events: DataFrame, posted: DataFrame) -> DataFrame:
     """Raw matches of events, which are read once: each comes under its term and
     its organ class."""
-    keys = F.array_compact(F.array(F.concat(F.lit("T|"), "normalized_term"), F.concat(F.lit("S|"), F.lower("soc"))))
+    soc = F.col("soc") if "soc" in events.columns else F.lit(None).cast("string")
+    keys = F.array_compact(F.array(F.concat(F.lit("T|"), "normalized_term"), F.concat(F.lit("S|"), F.lower(soc))))
     drugs = [F.col("drugs")] if "drugs" in events.columns else []
     keyed = events.select(
-        "dataset_id", "case_number", "position", "source_row", F.coalesce("soc", "normalized_term").alias("_class"),
+        "dataset_id", "case_number", "position", "source_row", F.coalesce(soc, F.col("normalized_term")).alias("_class"),
         F.col("normalized_term").alias("said"), F.col("raw_verbatim").alias("verbatim"), *drugs, F.explode(keys).alias("key"))
-    soc = F.col("search_method") == "SOC"
+    by_class = F.col("search_method") == "SOC"
     return _raw(keyed.join(posted.where("of_events"), "key").withColumn(
-        "matched_term", F.when(soc, F.col("_class")).otherwise(F.col("matched_term"))
-    ).withColumn("search_method", F.when(soc, "SOC_EVENT").otherwise(F.col("search_method"))))
+        "matched_term", F.when(by_class, F.col("_class")).otherwise(F.col("matched_term"))
+    ).withColumn("search_method", F.when(by_class, "SOC_EVENT").otherwise(F.col("search_method"))))
 
 
 def match_cases(cases: DataFrame, posted: DataFrame) -> DataFrame:
