@@ -9,6 +9,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 @pytest.fixture(scope="session")
 def spark():
-    from vigilake.session import local_session
+    from vigilake.session import local_session, tune
 
-    return local_session(4, partitions=4, app="tests")
+    return tune(local_session(4, partitions=4, app="tests"))
