@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilake.llm import decontaminate, langid, mixing, near_dup, secrets
-from vigilake.llm.common import staged
+from vigilake.llm.common import SPACE_CHARS, staged
 from vigilake.session import tune
 
 ROW = "row of near_dedup"
@@ -21,15 +21,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, once.
 
-    Rows are told apart by a number of their own, not by ``doc_id``: different
+    Rows are told apart by two hashes of id and text, not by ``doc_id``: different
     texts under one id, or without an id, are different documents, and copies are
     copies whatever their ids. NULL, empty and blank texts are copies of nothing
     and stay. An empty table stays empty.
     """
     tune(spark)
-    rows = staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    kept = near_dup.near_groups(rows.select(ROW, "text"), id_col=ROW).where("kept").select(ROW)
-    return rows.join(kept, ROW, "left_semi").select(docs.columns)
+    row, blank = F.xxhash64("doc_id", "text"), F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACE_CHARS)) == ""
+    rows = docs.withColumns({ROW: row, f"{ROW} 2": F.xxhash64("text", "doc_id", F.lit(7)), f"{ROW} 3": F.when(blank, F.monotonically_increasing_id())})
+    kept = near_dup.near_groups(rows.select(ROW, "text"), id_col=ROW).where("kept").select(ROW).distinct()
+    return rows.join(kept, ROW, "left_semi").dropDuplicates([ROW, f"{ROW} 2", f"{ROW} 3"]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
