@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vigilake.functions import dates, documents, listing as cells, sections, text
 from vigilake.operators import dictionary, documents as ops, keywords, listing, search, skew, substring, tables
+from vigilake import plans
 from vigilake.sources import exports, feeds, html, pages as articles
 from vigilake.session import tune
 from vigilake.operators import changes as ops_changes
@@ -375,3 +376,9 @@ def test_documents_are_read_whole(spark):
     page = spark.createDataFrame([(1, "https://x/", "<h1>T</h1><h2>H</h2><p>short</p><p></p><ul><li>a</li></ul>")], "page_id long, url string, html string")
     said = lambda **k: articles.parse_article(page, **k).first().sections[-1]["text"]
     assert said() == "short\na" and said(min_paragraph=30) == ""
+
+
+@pytest.mark.parametrize("query", ["blocks_to_text", "paragraph_reflow", "subsection_split", "subsection_tables"])
+def test_label_blocks_are_not_gathered_in_the_driver(spark, query):
+    plan = plans.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan

@@ -13,7 +13,7 @@ from vigilake.functions.documents import (
     PAGE_NUMBER, header_template, is_subheading, match_heading, section_level, section_parent, section_prefixes,
 )
 from vigilake.functions.text import squeeze, strip, text
-from vigilake.operators.skew import carry_forward, neighbour, running_sum
+from vigilake.operators.skew import carry_forward, merge_join, neighbour, running_sum
 
 # Header and footer bands, default page height.
 HEADER_BAND, FOOTER_BAND, PAGE_HEIGHT = 0.12, 0.10, 792.0
@@ -376,7 +376,7 @@ def split_subsections(blocks: DataFrame) -> DataFrame:
     d = d.withColumn("_takes", takes_next).withColumn("sub_name", name)
     # A block that became a title opens nothing itself.
     used = d.where("_takes").select("doc", (F.col("ord") + 1).alias("ord"), F.lit(True).alias("_used"))
-    d = d.join(used, ["doc", "ord"], "left").withColumn("_used", F.coalesce("_used", F.lit(False)))
+    d = merge_join(d, used, ["doc", "ord"], "left").withColumn("_used", F.coalesce("_used", F.lit(False)))
     d = d.withColumn("sub_name", F.when(~F.col("_used"), F.col("sub_name")))
     numbered = running_sum(d, ["doc"], "ord", F.col("sub_name").isNotNull().cast("int"), "sub_no")
     return numbered.withColumn("is_title", F.col("sub_name").isNotNull() | F.col("_used")).drop("_next", "_takes", "_used")
@@ -387,7 +387,7 @@ def subsection_tables(subsections: DataFrame, tables: DataFrame) -> DataFrame:
     page. tables: doc, table_id, pages."""
     pages = subsections.select("doc", "sub_no", F.col("page_num").alias("page")).distinct()
     exploded = tables.select("doc", "table_id", F.explode("pages").alias("page"))
-    return pages.join(exploded, ["doc", "page"]).select("doc", "sub_no", "table_id").distinct()
+    return merge_join(pages, exploded, ["doc", "page"]).select("doc", "sub_no", "table_id").distinct()
 
 
 def blocks_to_text(blocks: DataFrame) -> DataFrame:
@@ -409,7 +409,7 @@ def blocks_to_text(blocks: DataFrame) -> DataFrame:
         following.startswith("6"), following).otherwise(F.concat(F.lit("6. "), following))
     d = d.withColumn("_joins", F.coalesce(joins, F.lit(False)))
     used = d.where("_joins").select("doc", (F.col("_n") + 1).alias("_n"), F.lit(True).alias("_used"))
-    d = d.join(used, ["doc", "_n"], "left").where(F.col("_used").isNull())
+    d = merge_join(d, used, ["doc", "_n"], "left").where(F.col("_used").isNull())
     shifted = running_sum(d.where("block_type <> 'table'"), ["doc"], "_n", F.lit(1), "_m").withColumn(
         "_m", F.col("_m").cast("long"))
     with_prev = neighbour(shifted, ["doc"], "_m", {"page_num": "_prev_page"}, -1)
@@ -471,7 +471,7 @@ def _number_lines(lines: DataFrame) -> DataFrame:
     """Dense line number ``_k`` of (ord, line_no) per document."""
     counts = lines.select("doc", "ord", "_count").distinct()
     starts = running_sum(counts, ["doc"], "ord", F.col("_count").cast("long"), "_start", inclusive=False)
-    joined = lines.join(starts.select("doc", "ord", "_start"), ["doc", "ord"])
+    joined = merge_join(lines, starts.select("doc", "ord", "_start"), ["doc", "ord"])
     return joined.withColumn("_k", (F.col("_start") + F.col("line_no")).cast("long")).drop("_start")
 
 

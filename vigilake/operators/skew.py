@@ -5,7 +5,9 @@
 * Running values are computed per (key, block of ordinals); only one row per
   block is left to be scanned per key.
 * Joins carry no broadcast hint: Spark broadcasts a side only after it has
-  measured it, and splits the partitions of hot keys otherwise.
+  measured it, and splits the partitions of hot keys otherwise. Where both sides
+  have about as many rows as the input they are merged: before it has measured a
+  side, Spark goes by the size of the files, which is a small part of the rows'.
 """
 
 from __future__ import annotations
@@ -35,6 +37,12 @@ def rows_at_extreme(df: DataFrame, keys: Sequence[str], value: Column, largest:
     return joined.where(value == F.col("_best")).select(*df.columns)
 
 
+def merge_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join of two sides that both grow with the data; none of them is
+    gathered in the driver, however small its files are."""
+    return left.join(right.hint("merge"), list(keys), how)
+
+
 def _blocked(df: DataFrame, ordinal: str, block_size: int) -> DataFrame:
     return df.withColumn("_block", F.floor(F.col(ordinal) / F.lit(block_size)).cast("long"))
 
@@ -52,7 +60,7 @@ def running_sum(
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.withColumn("_carry", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
     return (
-        local.join(carried, [*keys, "_block"])
+        merge_join(local, carried, [*keys, "_block"])
         .withColumn(out, F.col("_local") + F.col("_carry"))
         .drop("_block", "_value", "_local", "_carry")
     )
@@ -82,7 +90,7 @@ def carry_all(
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = tails.select(*keys, "_block", *(F.last(f"_t_{out}", ignorenulls=True).over(before).alias(f"_c_{out}") for out in values))
     drop = [f"_{x}_{out}" for x in "vlc" for out in values]
-    return local.join(carried, [*keys, "_block"], "left").withColumns(
+    return merge_join(local, carried, [*keys, "_block"], "left").withColumns(
         {out: F.coalesce(f"_l_{out}", f"_c_{out}") for out in values}).drop("_block", *drop)
 
 
@@ -97,8 +105,7 @@ def neighbour(
     other = df.select(
         *keys, (F.col(ordinal) - F.lit(offset)).alias(ordinal), *(F.col(c).alias(o) for c, o in columns.items())
     )
-    return df.join(other, [*keys, ordinal], "left")
-
+    return merge_join(df, other, [*keys, ordinal], "left")
 
 
 def links(
@@ -119,7 +126,7 @@ def links(
         F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"),
     )
     return (
-        local.join(carried, [*keys, "_block"])
+        merge_join(local, carried, [*keys, "_block"])
         .withColumn(previous, F.coalesce("_local", "_carry")["v"])
         .withColumn(index, F.col("_earlier") + F.col("_local_place"))
         .drop("_block", "_value", "_local", "_local_place", "_carry", "_earlier")
