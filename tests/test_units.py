@@ -3,9 +3,11 @@
 import datetime as dt
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from compare import compare
 from vigilake.functions import dates, documents, listing as cells, sections, text
 from vigilake.operators import dictionary, documents as ops, keywords, listing, search, skew, substring, tables
 from vigilake import plans
@@ -382,3 +384,23 @@ def test_documents_are_read_whole(spark):
 def test_label_blocks_are_not_gathered_in_the_driver(spark, query):
     plan = plans.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def _pages_differ(spark, folder, query, *bodies):
+    rows = [(i, "https://x/", f"<html><head></head><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{folder}/pages.parquet/*.parquet')")
+    return compare(spark, con, query, plans.QUERIES[query], plans.ORACLES[query], str(folder))
+
+
+def test_title_references_in_sql(spark, tmp_path):
+    assert _pages_differ(
+        spark, tmp_path, "html_elements", "<h1>a &amp b</h1>", "<h1>a&ampb &lt;i&gt; &notit; &#x41;&#66 &#150; &am &</h1>",
+        "<h1>&nbsp;x&eacute;y &copy 1</h1>") is None
+
+
+def test_section_17_cut_in_sql(spark, tmp_path):
+    assert _pages_differ(
+        spark, tmp_path, "sanitize_html", "<p>a</p><p>see 17 below</p><p>b</p>", "<p>1a</p>17<p>117 b</p><p>x ñ17 c</p>",
+        "<p>a<b>10.17.0.1</b></p><p>z</p>", "<p>a</p><b>Patient  Counseling</b>c", "<p>17th</p><h5>17</h5>d") is None

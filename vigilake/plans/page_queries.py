@@ -6,6 +6,9 @@ the parsers have to give the rows back; ``pages`` itself is parsed as well.
 
 from __future__ import annotations
 
+from html import unescape
+from html.entities import html5
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilake.operators import projections as pr
@@ -17,7 +20,23 @@ def _page(spark: SparkSession, sf: str, body: str, url: str = "'https://www.fda.
     return spread_table(spark, sf, "part").selectExpr("p_partkey AS page_id", f"{url} AS url", f"concat('<html><body>', {body}, '</body></html>') AS html")
 
 
-@query("F23", r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+def _sql_unescaped(text: str) -> str:
+    """SQL for a text whose character references are read as HTML reads them:
+    names with or without their semicolon, the longest that fits, and numbers."""
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    names = sorted(html5, key=lambda n: (-len(n), n))
+    named = f"MAP([{', '.join(quoted('&' + n) for n in names)}], [{', '.join(quoted(html5[n]) for n in names)}])"
+    odd = {n: unescape(f"&#{n};") for n in range(160) if unescape(f"&#{n};") != chr(n)}
+    numbered = f"MAP([{', '.join(map(str, odd))}], [{', '.join(map(quoted, odd.values()))}])"
+    digits = "CASE WHEN lower(r) LIKE '&#x%' THEN try_cast('0x' || substr(rtrim(r, ';'), 4) AS BIGINT) ELSE try_cast(substr(rtrim(r, ';'), 3) AS BIGINT) END"
+    number = f"""list_transform([{digits}], lambda n: CASE WHEN n IS NULL OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN chr(65533)
+      WHEN n BETWEEN 64976 AND 65007 OR n & 65534 = 65534 THEN '' ELSE coalesce({numbered}[n], chr(CAST(n AS INTEGER))) END)[1]"""
+    part = f"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&(?:{'|'.join(names)})|[^&]+|&"
+    return f"""array_to_string(list_transform(regexp_extract_all({text}, {quoted(part)}),
+      lambda r: CASE WHEN regexp_matches(r, '^&#[0-9xX]') THEN {number} WHEN r LIKE '&_%' THEN {named}[r] ELSE r END), '')"""
+
+
+@query("F23", rf"""SELECT page_id, trim(regexp_replace({_sql_unescaped("regexp_extract(html, '<h1>(.*?)</h1>', 1)")}, '[\s\x0b\x1c-\x1f\x{{85}}\pZ]+', ' ', 'g')) AS title,
  CAST(len(regexp_extract_all(html, '<li>')) AS INTEGER) AS n_items, CAST(len(regexp_extract_all(html, '<a ')) AS INTEGER) AS n_links,
  CAST(len(regexp_extract_all(html, '<p>')) AS INTEGER) AS n_paragraphs FROM pages""")
 def html_elements(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,9 +46,21 @@ def html_elements(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("page_id", html.first_text("h1").alias("title"), n("li").alias("n_items"), n("a").alias("n_links"), n("p").alias("n_paragraphs"))
 
 
-@query("F23", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<title\b.*?</title>|<!--.*?-->|<!doctype[^>]*>', '', 'g'),
+def _sql_cut(value: str) -> str:
+    """SQL for what comes before the first heading or paragraph in which section
+    17 starts. An end tag is marked, so that a search stays inside its element;
+    all cuts are prefixes of one text, so the least is the shortest."""
+    word, space = r"\pL\pM\p{Nd}\p{Pc}", r"[\s\x0b\x{85}\pZ]+"
+    stop = rf"(?:17(?:[^{word}]|$)|PCI/PI/MG|Patient{space}Counseling|MEDICATION{space}GUIDE|How{space}should{space}I{space}use)"
+    return "least(" + ", ".join(
+        rf"""replace(regexp_replace(regexp_replace({value}, '(?i)(</{t}[\s\x0b\x{{85}}\pZ]*>)', chr(57344) || '\1', 'g'),
+        '(?is)<{t}(?:[^{word}>][^>]*)?>(?:[^\x{{E000}}]*?[^\x{{E000}}{word}])??{stop}.*$', ''), chr(57344), '')"""
+        for t in ("h4", "h5", "h6", "p", "strong", "b")) + ")"
+
+
+@query("F23", rf"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_sql_cut("html")},
   '(?i)</?(html|body|nav|div|article|footer|h1)\b[^>]*>', '', 'g'), '(?i)<(p|b|ul|li|br)\s[^>]*>', '<\1>', 'g'), '<a href="([^"]*)"[^>]*>', '<a href="\1" target="_blank" rel="noopener noreferrer">', 'g'), '<p>\s*</p>', '', 'g')) AS html FROM
- (SELECT page_id, regexp_replace(html, '(?is)<head>.*?</head>', '') AS html FROM pages)""")
+ (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<head>.*?</head>', ''), '(?is)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<title\b.*?</title>|<!--.*?-->|<!doctype[^>]*>', '', 'g') AS html FROM pages)""")
 def sanitize_html(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", html.sanitize_html(F.col("html")).alias("html"))
 
