@@ -404,3 +404,10 @@ def test_section_17_cut_in_sql(spark, tmp_path):
     assert _pages_differ(
         spark, tmp_path, "sanitize_html", "<p>a</p><p>see 17 below</p><p>b</p>", "<p>1a</p>17<p>117 b</p><p>x ñ17 c</p>",
         "<p>a<b>10.17.0.1</b></p><p>z</p>", "<p>a</p><b>Patient  Counseling</b>c", "<p>17th</p><h5>17</h5>d") is None
+
+
+def test_case_detail_deals_no_event_out(spark):
+    """Events and products stay in their buckets: no window, and the one join
+    that shuffles a side shuffles the terms of a case."""
+    plan = plans.QUERIES["case_detail"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan and "BroadcastExchange" not in plan

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilake.functions.text import clean_xml_hex, normalize_term, text
+from vigilake.operators.skew import merge_join
 
 # Report categories in display order.
 CATEGORIES = ("Important Identified Risks", "Important Potential Risks", "Missing Information")
@@ -205,46 +206,39 @@ def case_detail(
     """Every part of a case as rows (case, part, ordinal, value), with the audit
     rows of its assessments where they are given.
 
-    All parts but the record are one tagged union that is dealt out once.
+    Events learn the matched terms of their case in a join by case, so tables
+    that are bucketed by case are not shuffled; a case's list is at most as long
+    as the concerns name terms.
     ``scoped`` keeps events and products to the case's own dataset; without it
     they are read by case number across datasets.
     """
-    def tagged(name: str, df: DataFrame, ordinal: Column, value: Column, term: Column | None = None) -> DataFrame:
-        return df.select(
-            *CASE, F.lit(name).alias("part"), ordinal.cast("long").alias("ordinal"), value.alias("value"),
-            (F.lit(None) if term is None else term).cast("string").alias("term"))
+    def tagged(name: str, df: DataFrame, ordinal: Column, value: Column) -> DataFrame:
+        return df.select(*CASE, F.lit(name).alias("part"), ordinal.cast("long").alias("ordinal"), value.alias("value"))
 
-    base = records.select(*CASE).distinct()
+    base = records.select(*CASE)
+
+    def known(df: DataFrame) -> DataFrame:
+        return merge_join(df, base, CASE, "left_semi")
 
     def own(df: DataFrame) -> DataFrame:
-        return df if scoped else base.join(df.drop("dataset_id"), "case_number")
-
-    zero, term = F.lit(0), F.col("normalized_term")
-    # A match is a row of its own, and marks its term for the events.
-    both = matches.select(*CASE, F.explode(F.array(
-        F.struct(F.lit("match").alias("part"), F.coalesce("position", zero).cast("long").alias("ordinal"),
-                 F.concat_ws("|", "concern_id", "matched_term").alias("value"), F.lit(None).cast("string").alias("term")),
-        F.struct(F.lit("term").alias("part"), F.lit(0).cast("long").alias("ordinal"),
-                 F.lit("").alias("value"), F.upper("matched_term").alias("term")),
-    )).alias("_m")).select(*CASE, "_m.*")
-    parts = (
-        tagged("event", own(events), F.col("position"), term, term)
-        .unionByName(tagged("product", own(products), F.col("source_row"), F.concat_ws("|", "product_name_raw", "role")))
-        .unionByName(both)
-        .unionByName(tagged("assessment", assessments, zero, F.concat_ws("|", "concern_id", "status")))
+        return known(df) if scoped else base.distinct().join(df.drop("dataset_id"), "case_number")
+
+    zero = F.lit(0)
+    marks = matches.groupBy(*CASE).agg(F.collect_set(F.upper("matched_term")).alias("_terms"))
+    hit = F.coalesce(F.array_contains("_terms", F.col("normalized_term")), F.lit(False))
+    marked = merge_join(own(events.select(*CASE, "position", "normalized_term")), marks, CASE, "left")
+    rows = (
+        tagged("event", marked, F.col("position"), F.concat_ws("|", "normalized_term", hit.cast("string")))
+        .unionByName(tagged("product", own(products.select(*CASE, "source_row", "product_name_raw", "role")),
+                            F.col("source_row"), F.concat_ws("|", "product_name_raw", "role")))
+        .unionByName(known(tagged("match", matches, F.coalesce("position", zero), F.concat_ws("|", "concern_id", "matched_term"))))
+        .unionByName(known(tagged("assessment", assessments, zero, F.concat_ws("|", "concern_id", "status"))))
     )
     if audit is not None:
-        parts = parts.unionByName(tagged("audit", audit, zero, F.concat_ws("|", "concern_id", "user_id", "action")))
-    # Events meet the marks of their term; rows without a term stand alone, so
-    # a case is as many groups as it has terms and other rows.
-    group = F.coalesce("term", F.concat_ws("|", "part", F.col("ordinal").cast("string"), "value"))
-    marked = parts.withColumn("_group", group).withColumn(
-        "_hit", F.max(F.col("part") == "term").over(Window.partitionBy(*CASE, "_group"))).where("part <> 'term'")
-    value = F.when(F.col("part") == "event", F.concat_ws("|", "value", F.col("_hit").cast("string"))).otherwise(F.col("value"))
-    rows = marked.join(base, CASE, "left_semi").select(*CASE, "part", "ordinal", value.alias("value"))
+        rows = rows.unionByName(known(tagged("audit", audit, zero, F.concat_ws("|", "concern_id", "user_id", "action"))))
     record = F.concat_ws("|", "product_name", "country", "case_outcome", "report_type", "age", "sex", "listedness",
                          "initial_receipt_date", "source_row")
-    return tagged("record", records, zero, record).drop("term").unionByName(rows)
+    return tagged("record", records, zero, record).unionByName(rows)
 
 
 def ingestion_status(records: DataFrame, events: DataFrame, datasets: DataFrame) -> DataFrame:
