@@ -434,3 +434,27 @@ def test_case_detail_deals_no_event_out(spark):
     that shuffles a side shuffles the terms of a case."""
     plan = plans.QUERIES["case_detail"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Generate" not in plan and "BroadcastExchange" not in plan
+
+
+def _plan(spark, name):
+    return plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_a_case_are_dealt_out_once(spark):
+    """Events, cases and their counts stay where the join by case put them."""
+    plan = _plan(spark, "search_summary")
+    dealt = [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not [d for d in dealt if "case_number" in d and "," in d.rsplit(",", 1)[0]]
+    assert "listing_" not in _plan(spark, "list_cases") and "Generate" not in _plan(spark, "list_cases")
+
+
+def test_few_and_many_keywords_agree(spark, monkeypatch):
+    texts = spark.createDataFrame([("old ring and old rings",), ("ring",), (None,), ("none",)], "t string")
+    words = spark.createDataFrame([("ring",), ("old ring",), ("",)], "k string")
+
+    def said():
+        return {(r.t, tuple(sorted(r.found))) for r in keywords.with_keywords(texts, "t", words, "found").collect()}
+
+    few = said()
+    monkeypatch.setattr(keywords, "FEW", 0)
+    assert few == said() == {("old ring and old rings", ("old ring", "ring")), ("ring", ("ring",))}

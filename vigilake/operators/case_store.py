@@ -62,11 +62,11 @@ class CaseTables:
 
     @property
     def events(self) -> DataFrame:
-        return self._table("events", lambda rows, n: ops.explode_events(rows, buckets=n))
+        return self._table("events", lambda rows, n: ops.explode_events(rows).repartition(n, *ops.CASE_KEY))
 
     @property
     def products(self) -> DataFrame:
-        return self._table("products", lambda rows, n: ops.explode_products(rows, buckets=n))
+        return self._table("products", lambda rows, n: ops.explode_products(rows).repartition(n, *ops.CASE_KEY))
 
 
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:

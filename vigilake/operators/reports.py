@@ -103,9 +103,14 @@ def section_16_1_sheet(table: DataFrame) -> DataFrame:
     return banners.unionByName(risks)
 
 
+# What a summary says of a case.
+SUMMARY_FIELDS = (
+    "country", "report_type", "product_name", "age", "sex", "listedness", "initial_receipt_date", "is_serious", "case_outcome")
+
+
 def search_summary_cases(cases: DataFrame, records: DataFrame) -> DataFrame:
     """Case rows of a summary: matched case, its record and review status."""
-    fields = ["country", "report_type", "product_name", "age", "sex", "listedness", "initial_receipt_date"]
+    fields = [f for f in SUMMARY_FIELDS if f not in ("is_serious", "case_outcome")]
     return cases.join(records.select(*CASE, *fields, "is_serious", "case_outcome"), CASE, "left").select(
         "concern_id", *CASE, *(F.coalesce(c, F.lit("")).alias(c) for c in fields),
         F.coalesce("is_serious", F.lit(False)).alias("is_serious"),
@@ -114,12 +119,14 @@ def search_summary_cases(cases: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
-def search_summary_matches(matches: DataFrame, cases: DataFrame) -> DataFrame:
-    """The matches under each case of a summary, as rows."""
+def search_summary_matches(matches: DataFrame, assessments: DataFrame) -> DataFrame:
+    """The matches under each case of a summary, as rows with the review status
+    of their case. An assessment is one per concern, dataset and case."""
     key = ["concern_id", *CASE]
-    return matches.join(cases.select(*key, F.col("status").alias("assessment_status")), key).select(
+    status = assessments.select(*key, F.col("status").alias("assessment_status"))
+    return matches.join(status, key, "left").select(
         *key, "position", "matched_field", "matched_term", "pt_code", "reference_source", "evidence", "source_row",
-        "assessment_status",
+        F.coalesce("assessment_status", F.lit("CANDIDATE")).alias("assessment_status"),
     )
 
 
@@ -326,13 +333,16 @@ def page_totals(df: DataFrame, limit: int = 50) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.ceil(F.col("total") / F.lit(limit)))
 
 
-def case_text_filter(cases: DataFrame, matches: DataFrame, needle: str) -> DataFrame:
-    """Cases whose number, country, outcome or a matched term holds the text."""
+def case_text_filter(matches: DataFrame, records: DataFrame, needle: str) -> DataFrame:
+    """Matched cases whose number, country, outcome or a matched term holds the
+    text."""
     q = F.lit(needle.lower())
-    hits = matches.where(F.lower("matched_term").contains(q)).select("concern_id", *CASE).distinct()
-    joined = cases.join(hits.withColumn("_hit", F.lit(True)), ["concern_id", *CASE], "left")
+    hit = F.bool_or(F.coalesce(F.lower("matched_term").contains(q), F.lit(False)))
+    cases = matches.groupBy("concern_id", *CASE).agg(hit.alias("_hit"))
+    joined = cases.join(records.select(*CASE, "country", "case_outcome"), CASE, "left").select(
+        "concern_id", *CASE, "_hit", F.coalesce("country", F.lit("")).alias("country"), F.coalesce("case_outcome", F.lit("")).alias("outcome"))
     own = F.lower("case_number").contains(q) | F.lower("country").contains(q) | F.lower("outcome").contains(q)
-    return joined.where(own | F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return joined.where(own | F.col("_hit")).drop("_hit")
 
 
 def ingest_quality_flags(events: DataFrame, records: DataFrame, products: DataFrame, start: str, end: str) -> DataFrame:
