@@ -458,3 +458,7 @@ def test_few_and_many_keywords_agree(spark, monkeypatch):
     few = said()
     monkeypatch.setattr(keywords, "FEW", 0)
     assert few == said() == {("old ring and old rings", ("old ring", "ring")), ("ring", ("ring",))}
+
+
+def test_pages_are_parsed_once_for_mentions(spark):
+    assert _plan(spark, "product_mentions").count("MapInPandas") == 1

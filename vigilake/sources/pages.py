@@ -194,9 +194,14 @@ STRUCTURE = (
 
 def product_mentions(articles: DataFrame) -> DataFrame:
     """Products named by articles, one row per normalized name; the first
-    mention wins. articles: page_id, sections, product_name, generic_name."""
-    exploded = articles.select("page_id", F.posexplode("sections").alias("section_no", "s")).where(
-        ~F.lower(strip(F.col("s.heading"))).isin(*STRUCTURE))
+    mention wins. articles: page_id, sections, product_name, generic_name.
+
+    What an article is listed under is its section 0, so pages are parsed once."""
+    kind = articles.schema["sections"].dataType.elementType
+    sections = F.concat(F.array(F.lit(None).cast(kind)), F.coalesce("sections", F.array().cast(articles.schema["sections"].dataType)))
+    listed = F.col("section_no") == 0
+    exploded = articles.select("page_id", "product_name", "generic_name", F.posexplode(sections).alias("section_no", "s")).where(
+        listed | ~F.lower(strip(F.col("s.heading"))).isin(*STRUCTURE))
     combined = F.concat_ws("\n", "s.heading", "s.text")
     brands = F.regexp_extract_all(combined, F.lit(BRAND_GENERIC), F.lit(1))
     generics = F.regexp_extract_all(combined, F.lit(BRAND_GENERIC), F.lit(2))
@@ -204,13 +209,12 @@ def product_mentions(articles: DataFrame) -> DataFrame:
     found = F.concat(
         F.filter(F.zip_with(brands, generics, lambda b, g: record(brand=strip(b), generic=strip(g))), lambda m: F.length(m["brand"]) >= 3),
         F.filter(F.transform(alone, lambda g: record(brand=F.lit(""), generic=strip(g))), lambda m: F.length(m["generic"]) >= 4))
-    scanned = exploded.select(
-        "page_id", (F.col("section_no") + 1).alias("section_no"), F.col("s.heading").alias("section_heading"),
-        F.col("s.text").alias("context_text"), F.posexplode(found).alias("place", "m"))
-    seeds = articles.where((text(F.col("product_name")) != "") | (text(F.col("generic_name")) != "")).select(
-        "page_id", F.lit(0).alias("section_no"), F.lit("").alias("section_heading"), F.lit("").alias("context_text"),
-        F.lit(0).alias("place"), F.named_struct(F.lit("brand"), text(F.col("product_name")), F.lit("generic"), text(F.col("generic_name"))).alias("m"))
-    named = scanned.unionByName(seeds).select(
+    product, generic = text(F.col("product_name")), text(F.col("generic_name"))
+    seed = F.filter(F.array(record(brand=product, generic=generic)), lambda m: (m["brand"] != "") | (m["generic"] != ""))
+    mentions = exploded.select(
+        "page_id", "section_no", F.when(listed, "").otherwise(F.col("s.heading")).alias("section_heading"),
+        F.when(listed, "").otherwise(F.col("s.text")).alias("context_text"), F.posexplode(F.when(listed, seed).otherwise(found)).alias("place", "m"))
+    named = mentions.select(
         "page_id", "section_no", "section_heading", "context_text", "place", F.col("m.brand").alias("product_name"),
         F.col("m.generic").alias("generic_name"),
         normalize_drug_name(F.coalesce(F.nullif("m.brand", F.lit("")), F.col("m.generic"))).alias("normalized"))
