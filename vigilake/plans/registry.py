@@ -57,3 +57,5 @@ def deal(spark: SparkSession, rows: int) -> None:
     parts = max(-(-rows // ROWS_PER_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(parts))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m")
+    # Tables that are dealt by case are joined by dataset and case where they are.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
