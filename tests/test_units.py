@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from compare import compare
 from vigilake.functions import dates, documents, listing as cells, sections, text
-from vigilake.operators import dictionary, documents as ops, keywords, listing, search, skew, substring, tables
+from vigilake.operators import dictionary, documents as ops, keywords, listing, reports, search, skew, substring, tables
 from vigilake import plans
 from vigilake.sources import exports, feeds, html, pages as articles
 from vigilake.session import tune
@@ -462,3 +462,19 @@ def test_few_and_many_keywords_agree(spark, monkeypatch):
 
 def test_pages_are_parsed_once_for_mentions(spark):
     assert _plan(spark, "product_mentions").count("MapInPandas") == 1
+
+
+@pytest.mark.parametrize("query", ["pt_summary", "concern_report"])
+def test_reports_by_term_parse_the_events_once(spark, query):
+    assert _plan(spark, query).count("Generate posexplode(_parsed") == 1
+
+
+def test_terms_of_relevant_cases_else_of_pending_ones(spark):
+    matches = spark.createDataFrame(
+        [("a", "d", "1", "x"), ("a", "d", "1", "y"), ("a", "d", "2", "x"), ("b", "d", "2", "x"), ("b", "d", "3", "x"), ("b", "d", "3", "x"), ("c", "d", "2", "z")],
+        "concern_id string, dataset_id string, case_number string, matched_term string")
+    states = spark.createDataFrame(
+        [("a", "d", "1", "RELEVANT"), ("b", "d", "2", "NOT_RELEVANT"), ("c", "d", "2", "NOT_RELEVANT")],
+        "concern_id string, dataset_id string, case_number string, status string")
+    got = {(r.concern_id, r.preferred_term, r.case_count) for r in reports.pt_summary(matches, states).collect()}
+    assert got == {("a", "x", 1), ("a", "y", 1), ("b", "x", 1)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigilake.functions.text import clean_xml_hex, normalize_term, text
 from vigilake.operators.skew import merge_join
@@ -33,11 +33,11 @@ def category_order(c: Column) -> Column:
     return order
 
 
-def matched_cases(matches: DataFrame, assessments: DataFrame) -> DataFrame:
+def matched_cases(matches: DataFrame, assessments: DataFrame, *more: Column) -> DataFrame:
     """One row per concern, dataset and case with its review status, notes and
-    exclusion reason."""
+    exclusion reason, and ``more`` aggregates of its matches."""
     key = ["concern_id", "dataset_id", "case_number"]
-    cases = matches.groupBy(*key).agg(F.count(F.lit(1)).alias("n_matches"))
+    cases = matches.groupBy(*key).agg(F.count(F.lit(1)).alias("n_matches"), *more)
     joined = cases.join(assessments.select(*key, "status", *_review(assessments)), key, "left")
     return joined.withColumn("status", F.coalesce("status", F.lit("CANDIDATE")))
 
@@ -138,55 +138,65 @@ def concern_report_cases(cases: DataFrame, records: DataFrame) -> DataFrame:
     return search_summary_cases(cases, records).withColumn("case_list", case_list)
 
 
-def _with_records(matches: DataFrame, assessments: DataFrame, records: DataFrame) -> DataFrame:
-    cases = matched_cases(matches, assessments)
-    return cases.join(records.select(*CASE, "is_serious", "case_outcome"), CASE, "left")
+def _terms() -> Column:
+    """The distinct terms of a matched case, at most as many as its concern names."""
+    return F.collect_set(F.struct("matched_term")).alias("_terms")
+
+
+def _relevant() -> Column:
+    return F.count_if(F.col("status") == "RELEVANT")
+
+
+def _pending() -> Column:
+    return F.count_if(~F.col("status").isin("RELEVANT", "NOT_RELEVANT"))
 
 
 def pt_summary(matches: DataFrame, assessments: DataFrame) -> DataFrame:
     """Distinct cases per term: of the relevant cases, or of the pending ones
-    where a concern has no relevant case."""
+    where a concern has no relevant case. The matches are read once; a relevant
+    case counts for its terms, so these tell whether there is one."""
     key = ["concern_id", "dataset_id"]
-    terms = matches.select(*key, "case_number", "matched_term").distinct()
-    status = matched_cases(matches, assessments)
-    has_relevant = status.groupBy(*key).agg(F.bool_or(F.col("status") == "RELEVANT").alias("_has_relevant"))
-    shown = F.when(F.col("_has_relevant"), F.col("status") == "RELEVANT").otherwise(
-        ~F.col("status").isin("RELEVANT", "NOT_RELEVANT")
-    )
-    return (
-        terms.join(status.select(*key, "case_number", "status"), [*key, "case_number"]).join(has_relevant, key)
-        .where(shown).groupBy(*key, F.col("matched_term").alias("preferred_term"))
-        .agg(F.count(F.lit(1)).alias("case_count"))
-    )
+    counted = matched_cases(matches, assessments, _terms()).select(*key, "status", F.explode("_terms").alias("_term")).groupBy(
+        *key, F.col("_term.matched_term").alias("preferred_term")).agg(_relevant().alias("_relevant"), _pending().alias("_pending"))
+    has_relevant = F.max("_relevant").over(Window.partitionBy(*key)) > 0
+    return counted.withColumn("case_count", F.when(has_relevant, F.col("_relevant")).otherwise(F.col("_pending"))).where(
+        "case_count > 0").drop("_relevant", "_pending")
 
 
 def concern_report(
     concerns: DataFrame, matches: DataFrame, assessments: DataFrame, records: DataFrame
 ) -> DataFrame:
-    """Metrics and narrative sentence per concern and dataset."""
+    """Metrics and narrative sentence per concern and dataset.
+
+    A case goes into one aggregate as itself, without a term, and under each of
+    its terms, so metrics and terms come from one reading of the matches.
+    """
+    key = ["concern_id", "dataset_id"]
     relevant = F.col("status") == "RELEVANT"
     fatal = F.lower(text(F.col("case_outcome"))).contains("fatal")
-    metrics = _with_records(matches, assessments, records).groupBy("concern_id", "dataset_id").agg(
+    cases = matched_cases(matches, assessments, _terms()).join(records.select(*CASE, "is_serious", "case_outcome"), CASE, "left")
+    counted = cases.select("*", F.explode(F.concat(F.array(F.lit(None)), "_terms")).alias("_term")).groupBy(*key, "_term").agg(
         F.count(F.lit(1)).alias("candidate_case_count"), F.sum("n_matches").alias("total_event_matches"),
-        F.count_if(relevant).alias("relevant_case_count"),
-        F.count_if(F.col("status") == "NOT_RELEVANT").alias("excluded_count"),
-        F.count_if(~F.col("status").isin("RELEVANT", "NOT_RELEVANT")).alias("pending_count"),
-        F.count_if(relevant & F.coalesce("is_serious", F.lit(False))).alias("serious_count"),
+        _relevant().alias("relevant_case_count"), F.count_if(F.col("status") == "NOT_RELEVANT").alias("excluded_count"),
+        _pending().alias("pending_count"), F.count_if(relevant & F.coalesce("is_serious", F.lit(False))).alias("serious_count"),
         F.count_if(relevant & fatal).alias("fatal_count"),
     )
-    # One string per concern: as long as the number of distinct terms, which
-    # were counted before they are listed.
-    terms = pt_summary(matches, assessments).groupBy("concern_id", "dataset_id").agg(
-        F.count(F.lit(1)).alias("_n_terms"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct((-F.col("case_count")).alias("n"), "preferred_term"))),
-                lambda s: F.format_string("%s (%d)", s["preferred_term"], -s["n"]),
-            ), ", ",
-        ).alias("_terms"),
+    of_cases = F.col("_term").isNull()
+    measures = [c for c in counted.columns if c.endswith(("_count", "_matches"))]
+    # One list per concern: as long as the number of distinct terms, which were
+    # counted before they are listed.
+    metrics = counted.groupBy(*key).agg(
+        *(F.max(F.when(of_cases, F.col(m))).alias(m) for m in measures),
+        F.collect_list(F.when(~of_cases, F.struct("relevant_case_count", "pending_count", "_term.matched_term"))).alias("_all"),
     )
-    info = concerns.select(F.col("id").alias("concern_id"), "name", "reporting_period", "search_method", "description")
-    joined = metrics.join(terms, ["concern_id", "dataset_id"], "left").join(info, "concern_id")
+    shown = F.transform("_all", lambda t: F.struct(
+        (-F.when(F.col("relevant_case_count") > 0, t["relevant_case_count"]).otherwise(t["pending_count"])).alias("n"),
+        t["matched_term"].alias("term")))
+    listed = F.array_sort(F.filter(shown, lambda t: t["n"] < 0))
+    joined = metrics.withColumn("_listed", listed).join(
+        concerns.select(F.col("id").alias("concern_id"), "name", "reporting_period", "search_method", "description"), "concern_id")
+    n_terms = F.size("_listed").cast("long")
+    terms = F.array_join(F.transform("_listed", lambda t: F.format_string("%s (%d)", t["term"], -t["n"])), ", ")
     sentence = F.format_string(
         "During the review period (%s), the MAH retrieved %d candidate case reports pertaining to the safety "
         "concern of '%s' using %s (%s). Following clinical relevance assessment, %d distinct cases were confirmed "
@@ -197,7 +207,7 @@ def concern_report(
         F.coalesce("reporting_period", F.lit("None")), F.col("candidate_case_count"), F.col("name"),
         F.col("search_method"), text(F.col("description")), F.col("relevant_case_count"), F.col("serious_count"),
         F.col("fatal_count"), F.col("excluded_count"), F.col("pending_count"),
-        F.coalesce("_n_terms", F.lit(0)).cast("long"), F.coalesce("_terms", F.lit("None")),
+        n_terms, F.when(n_terms > 0, terms).otherwise("None"),
     )
     return joined.select(
         "concern_id", "dataset_id", "candidate_case_count", "total_event_matches", "relevant_case_count",
