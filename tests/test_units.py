@@ -478,3 +478,15 @@ def test_terms_of_relevant_cases_else_of_pending_ones(spark):
         "concern_id string, dataset_id string, case_number string, status string")
     got = {(r.concern_id, r.preferred_term, r.case_count) for r in reports.pt_summary(matches, states).collect()}
     assert got == {("a", "x", 1), ("a", "y", 1), ("b", "x", 1)}
+
+
+def test_case_tables_are_written_where_they_are_dealt(spark):
+    """No stored table needs a shuffle of its own, to be written or joined."""
+    from vigilake.plans import listing_tables as t
+
+    kept = t.CaseTables(spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in kept.reviews.groupBy("case_number").count()._jdf.queryExecution().executedPlan().toString()
+    for name, columns in (("events", ["case_number"]), ("products", ["dataset_id", "case_number"]), ("matches", ["dataset_id", "case_number"])):
+        plan = getattr(kept, name).groupBy(*columns).count()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, name
+    assert "Exchange" not in _plan(spark, "case_detail")

@@ -1,9 +1,10 @@
-"""A listing stored once: its cases, events and products as bucketed tables.
+"""Tables of a listing stored once: what a case holds, bucketed by case.
 
-All three are bucketed by dataset and case, so joins and aggregates by case,
-position or product of a case need no shuffle. What is bucketed is what the
-ingest left of a case, its distinct events and products, so a case that repeats
-over a third of all listing rows is no hot bucket.
+Rows are stored where the join by case put them, so nothing is shuffled to be
+written, and joins and aggregates by case of what is read back need no shuffle
+either. What is bucketed is what the ingest left of a case, its distinct events
+and products, so a case that repeats over a third of all listing rows is no hot
+bucket.
 """
 
 from __future__ import annotations
@@ -13,62 +14,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigilake.operators import listing as ops
 from vigilake.operators.skew import shared_folder
 
-ROWS_PER_BUCKET = 2_000_000  # listing rows; buckets grow with the listing
-
 
 def table_name(spark: SparkSession, kind: str, key: str) -> str:
     """Tables are those of one application: nobody else writes or reads them."""
     return "_".join(("case", kind, key, *re.findall("[A-Za-z0-9]+", spark.sparkContext.applicationId)))
 
 
-def stored(df: DataFrame, kind: str, key: str, buckets: int | None = None) -> DataFrame:
-    """The rows as a catalog table in the shared folder, bucketed by case."""
-    spark = df.sparkSession
+def stored(spark: SparkSession, kind: str, key: str, buckets: int, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of a kind under a key from the session's catalog; made first
+    where it is not there, as files in the shared folder. With as many buckets
+    as the rows of ``make`` are dealt to by case, a task writes its own ones only."""
     name = table_name(spark, kind, key)
-    writer = df.write.format("parquet").mode("overwrite").option("path", f"{shared_folder(spark).rstrip('/')}/{name}")
-    if buckets is not None:
-        writer = writer.bucketBy(buckets, *ops.CASE_KEY).sortBy(*ops.CASE_KEY)
-    writer.saveAsTable(name)
+    if not spark.catalog.tableExists(name):
+        make().write.format("parquet").mode("overwrite").option("path", f"{shared_folder(spark).rstrip('/')}/{name}").bucketBy(
+            buckets, "case_number").sortBy("case_number").saveAsTable(name)
     return spark.table(name)
 
 
-class CaseTables:
-    """The three tables of a listing under a key: each is read from the session's
-    catalog, or made from the listing when it is first asked for."""
-
-    def __init__(self, spark: SparkSession, key: str, listing: Callable[[], DataFrame]):
-        self.spark, self.key, self._listing = spark, key, listing
-
-    def _table(self, kind: str, make: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-        name = table_name(self.spark, kind, self.key)
-        if self.spark.catalog.tableExists(name):
-            return self.spark.table(name)
-        rows = self.listing
-        buckets = max(-(-rows.count() // ROWS_PER_BUCKET), self.spark.sparkContext.defaultParallelism)
-        return stored(make(rows, buckets), kind, self.key, buckets)
-
-    @property
-    def listing(self) -> DataFrame:
-        """The listing under canonical names, read once for the three tables."""
-        name = table_name(self.spark, "listing", self.key)
-        return self.spark.table(name) if self.spark.catalog.tableExists(name) else stored(self._listing(), "listing", self.key)
-
-    @property
-    def records(self) -> DataFrame:
-        return self._table("records", lambda rows, n: ops.case_records(rows).repartition(n, *ops.CASE_KEY))
-
-    @property
-    def events(self) -> DataFrame:
-        return self._table("events", lambda rows, n: ops.explode_events(rows).repartition(n, *ops.CASE_KEY))
-
-    @property
-    def products(self) -> DataFrame:
-        return self._table("products", lambda rows, n: ops.explode_products(rows).repartition(n, *ops.CASE_KEY))
-
-
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """A key of the present state of some files: their paths, sizes and times.
     Only the file listing is read."""

@@ -108,6 +108,10 @@ SUMMARY_FIELDS = (
     "country", "report_type", "product_name", "age", "sex", "listedness", "initial_receipt_date", "is_serious", "case_outcome")
 
 
+# What the details of a case say of it, beside its source row.
+DETAIL_FIELDS = ("product_name", "country", "case_outcome", "report_type", "age", "sex", "listedness", "initial_receipt_date")
+
+
 def search_summary_cases(cases: DataFrame, records: DataFrame) -> DataFrame:
     """Case rows of a summary: matched case, its record and review status."""
     fields = [f for f in SUMMARY_FIELDS if f not in ("is_serious", "case_outcome")]
@@ -253,8 +257,7 @@ def case_detail(
     )
     if audit is not None:
         rows = rows.unionByName(known(tagged("audit", audit, zero, F.concat_ws("|", "concern_id", "user_id", "action"))))
-    record = F.concat_ws("|", "product_name", "country", "case_outcome", "report_type", "age", "sex", "listedness",
-                         "initial_receipt_date", "source_row")
+    record = F.concat_ws("|", *DETAIL_FIELDS, "source_row")
     return tagged("record", records, zero, record).unionByName(rows)
 
 

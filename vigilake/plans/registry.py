@@ -50,12 +50,13 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) ->
 ROWS_PER_TASK = 150_000
 
 
-def deal(spark: SparkSession, rows: int) -> None:
+def deal(spark: SparkSession, rows: int) -> int:
     """As many shuffle partitions as so many rows need, and tasks joined up to a
     size that is sorted in memory. The numbers go by the input, so a task stays
-    as long when the input grows."""
+    as long when the input grows. Returns the number of partitions."""
     parts = max(-(-rows // ROWS_PER_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(parts))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m")
     # Tables that are dealt by case are joined by dataset and case where they are.
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return parts
