@@ -490,3 +490,25 @@ def test_case_tables_are_written_where_they_are_dealt(spark):
         plan = getattr(kept, name).groupBy(*columns).count()._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan, name
     assert "Exchange" not in _plan(spark, "case_detail")
+
+
+def test_a_stored_pass_searches_once(spark, tmp_path):
+    """The search is written as it runs, figures are counted from what is stored."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def searched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "concern_id string, dataset_id string, case_number string"
+    matches = spark.createDataFrame([("a", "d", "1"), ("a", "d", "1"), ("a", "d", "2")], schema).coalesce(1).mapInArrow(searched, schema)
+    scope = spark.createDataFrame([("a", "d"), ("b", "d")], "concern_id string, dataset_id string")
+    stored, metrics = search.store_run(str(tmp_path), matches, scope, "20240101120000", "me")
+    for _ in range(2):
+        search.store_run(str(tmp_path), stored, scope, "20240201120000", "me", metrics)
+    assert seen.value == 3
+    tables = search.stored_runs(spark, str(tmp_path))
+    runs = {(r.id, r.is_active, r.candidate_events_count, r.distinct_cases_count) for r in tables["search_runs"].collect()}
+    assert runs == {(f"run_{c}_d_{s}", s == "20240201120000", n, m) for c, n, m in (("a", 3, 2), ("b", 0, 0)) for s in ("20240101120000", "20240201120000")}
+    assert tables["search_matches"].count() == 6 and tables["audit_logs"].count() == 4
