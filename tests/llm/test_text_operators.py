@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from compare import compare, connect
-from vigilake.llm import decontaminate, langid, mixing, near_dup, pii, secrets
+from vigilake.llm import decontaminate, langid, mixing, near_dup, pii, secrets, tokens
 from vigilake.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -272,3 +272,26 @@ def test_near_duplicates_edges(spark):
     assert len(rows) == 8 and got[3] == (1, 2, False) and got[2] == (1, 2, True) and got[9] == (2, 9, True)
     assert [got[i] for i in (4, 5, 6)] == [(0, 4, True), (0, 5, True), (0, 6, True)] and got[None] == (1, None, True)
     assert near_dup.near_groups(frame(spark, [])).count() == 0
+
+
+def test_seeds_of_many_texts_are_looked_up_at_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(30)]
+    items = [" ".join(rng.choice(words, n)) for n in (1, 3, 8, 12, 20, 40)]
+    texts = [None, "", *(" ".join([*rng.choice(words, 7), items[i], *rng.choice(words, 5)]) for i in range(6)), items[5], items[3] + " w1"]
+    known = decontaminate.Benchmark(list(range(6)), items)
+    alone = [next(known.overlaps(*tokens.word_hashes([t]))) for t in texts]
+    calls, made = [], decontaminate.seeds
+    monkeypatch.setattr(decontaminate, "seeds", lambda *a: calls.append(a) or made(*a))
+    assert list(known.overlaps(*tokens.word_hashes(texts))) == alone and sum(map(len, alone)) > 8
+    assert len(calls) == len(decontaminate.MASKS) + 3
+
+
+def test_word_hashes_do_not_depend_on_what_is_around(monkeypatch):
+    texts = ["Ab c", None, "", " \t", "é " + "long" * 50, "c\nab", "x" * 300 + " c"]
+    whole, counts = tokens.word_hashes(texts)
+    assert counts.tolist() == [2, 0, 0, 0, 2, 2, 2] and whole[0] == whole[5] and whole[1] == whole[4] == whole[7]
+    monkeypatch.setattr(tokens, "BLOCK", 4)
+    tokens._turned_block.cache_clear()
+    assert np.array_equal(tokens.word_hashes(texts)[0], whole)
+    tokens._turned_block.cache_clear()

@@ -7,7 +7,8 @@ two texts are aligned without gaps, and the longest stretch with enough equal
 tokens is taken. Items shorter than a mask are hashed whole, by length, and
 looked up among the windows of that length.
 
-The benchmark's hashes go to the tasks in slices of a fixed size, one pass over
+The words of many texts are hashed and looked up at once; only texts that a seed
+hits are looked at one by one. The benchmark's hashes go to the tasks in slices of a fixed size, one pass over
 the corpus for each, so their number is not limited.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -54,6 +56,27 @@ def longest(same: np.ndarray) -> tuple[int, int]:
     return (int(first[stop] + own[0]), int(first[stop] + own[-1]) + 1) if len(own) else (0, 0)
 
 
+class Places:
+    """An index of hashes, and all places of each."""
+
+    def __init__(self, hashes: np.ndarray, places: np.ndarray):
+        by = np.argsort(hashes, kind="stable")
+        distinct, self._first, self._times = np.unique(hashes[by], return_index=True, return_counts=True)
+        self._index, self._places = pd.Index(distinct), places[by]
+
+    def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are known, and their entries in the index."""
+        entry = self._index.get_indexer(hashes)
+        hit = np.flatnonzero(entry >= 0)
+        return hit, entry[hit]
+
+    def of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of some entries in a row, and how many each has."""
+        times = self._times[entries]
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return self._places[np.repeat(self._first[entries], times) + nth], times
+
+
 class Benchmark:
     """Tokens of some items, and where each seed occurs."""
 
@@ -61,27 +84,44 @@ class Benchmark:
         self.ids = ids
         self.words, counts = word_hashes(texts)
         self.start = np.concatenate(([0], np.cumsum(counts)))
-        owner = np.repeat(np.arange(len(ids)), counts)
-        self.tables = []
+        self.owner = owner = np.repeat(np.arange(len(ids)), counts)
+        self.seeded = {}
         for mask in MASKS:
             h = seeds(self.words, mask)
             inside = owner[:len(h)] == owner[len(mask) - 1:] if len(h) else np.zeros(0, dtype=bool)
             at = np.flatnonzero(inside)
-            by = np.argsort(h[at], kind="stable")
-            self.tables.append((h[at][by], at[by]))
-        self.owner = owner
+            self.seeded[mask] = Places(h[at], at)
         self.short = {}
         for n in map(int, np.unique(counts[(counts > 0) & (counts < len(MASKS[0]))])):
             items = np.flatnonzero(counts == n)
-            h = seeds(self.words, "1" * n)[self.start[items]]
-            by = np.argsort(h, kind="stable")
-            self.short[n] = h[by], items[by]
+            self.short["1" * n] = Places(seeds(self.words, "1" * n)[self.start[items]], items)
+
+    def overlaps(self, words: np.ndarray, counts: np.ndarray) -> Iterator[list[tuple[int, int, int, int, int]]]:
+        """For each of the texts whose words these are, in order: (item, begin,
+        end, equal tokens, begin in the item) of the best stretch of each item
+        that reaches the limits."""
+        ends = np.cumsum(counts)
+        begins = ends - counts
+        some = np.zeros(len(counts), dtype=bool)
+        found = []
+        for mask, places in (*self.seeded.items(), *self.short.items()):
+            hit, entry = places.lookup(seeds(words, mask))
+            # Those of a text: the mask fits into it.
+            lo = np.searchsorted(hit, begins)
+            hi = np.maximum(np.searchsorted(hit, ends - len(mask), "right"), lo)
+            some |= hi > lo
+            found.append((mask, places, hit, entry, lo, hi))
+        for i, any_hit in enumerate(some.tolist()):
+            if not any_hit:
+                yield []
+                continue
+            own = [(mask, places, hit[lo[i]:hi[i]] - begins[i], entry[lo[i]:hi[i]]) for mask, places, hit, entry, lo, hi in found if hi[i] > lo[i]]
+            yield self._best(words[begins[i]:ends[i]], own)
 
-    def overlaps(self, words: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(item, begin, end, equal tokens, begin in the item) of the best
-        stretch of each item that reaches the limits."""
+    def _best(self, words: np.ndarray, found: list[tuple[str, Places, np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
+        """The best stretches in one text, by the hits of each mask in it."""
         best: dict[int, tuple] = {}
-        for item, shift in self._diagonals(words):
+        for item, shift in self._diagonals([f for f in found if f[0] in self.seeded]):
             lo, hi = self.start[item], self.start[item + 1]
             begin, end = max(shift, 0), min(shift + hi - lo, len(words))
             same = words[begin:end] == self.words[lo + begin - shift:lo + end - shift]
@@ -89,34 +129,23 @@ class Benchmark:
             equal = int(same[first:stop].sum())
             enough = min(LEAST_EQUAL, int(hi - lo))
             if equal >= enough:
-                found = (equal, -(begin + first), stop - first, begin + first - shift)
-                if item not in best or found > best[item]:
-                    best[item] = found
-        for item, begin, n in self._copies(words):
-            best[item] = n, -begin, n, 0
-        for item, (equal, at, size, place) in sorted(best.items()):
-            yield item, -at, -at + size, equal, place
-
-    def _copies(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, begin, size) of the first copy of each item shorter than a mask."""
-        for n, (known, items) in self.short.items():
-            h = seeds(words, "1" * n)
-            at = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
-            said, first = np.unique(h[at], return_index=True)
-            lo, hi = np.searchsorted(known, said, "left"), np.searchsorted(known, said, "right")
-            for begin, a, b in zip(at[first].tolist(), lo.tolist(), hi.tolist(), strict=True):
-                yield from ((item, begin, n) for item in items[a:b].tolist())
-
-    def _diagonals(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
+                stretch = (equal, -(begin + first), stop - first, begin + first - shift)
+                if item not in best or stretch > best[item]:
+                    best[item] = stretch
+        # The first copy of each item shorter than a mask.
+        for mask, places, hit, entry in found:
+            if mask in self.short:
+                said, first = np.unique(entry, return_index=True)
+                items, times = places.of(said)
+                for item, begin in zip(items.tolist(), np.repeat(hit[first], times).tolist(), strict=True):
+                    best[item] = len(mask), -begin, len(mask), 0
+        return [(item, -at, -at + size, equal, place) for item, (equal, at, size, place) in sorted(best.items())]
+
+    def _diagonals(self, found: list[tuple[str, Places, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        """(item, place of its first token in the text) of every hit, once."""
         keys = []
-        for mask, (known, at) in zip(MASKS, self.tables, strict=True):
-            h = seeds(words, mask)
-            if not len(h) or not len(known):
-                continue
-            lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
-            hit = np.flatnonzero(hi > lo)
-            times = (hi - lo)[hit]
-            where = at[np.repeat(lo[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)] if len(hit) else at[:0]
+        for _, places, hit, entry in found:
+            where, times = places.of(entry)
             item = self.owner[where]
             keys.append(np.stack((item, np.repeat(hit, times) - (where - self.start[item])), axis=1))
         if keys:
@@ -154,9 +183,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
             for batch in batches:
                 texts, keep = batch.column(at).to_pylist(), []
                 for cut in chunks(texts):
-                    words, counts = word_hashes(texts[cut])
-                    ends = np.cumsum(counts)
-                    keep += [next(known.overlaps(words[e - n:e]), None) is None for e, n in zip(ends, counts, strict=True)]
+                    keep += [not found for found in known.overlaps(*word_hashes(texts[cut]))]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
@@ -191,13 +218,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 ids, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 rows = []
                 for cut in chunks(own):
-                    words, counts = word_hashes(own[cut])
-                    at = 0
-                    for doc, n in zip(ids[cut], map(int, counts), strict=True):
-                        for item, begin, end, equal, place in known.overlaps(words[at:at + n]):
+                    for doc, found in zip(ids[cut], known.overlaps(*word_hashes(own[cut])), strict=True):
+                        for item, begin, end, equal, place in found:
                             size = int(known.start[item + 1] - known.start[item])
                             rows.append((doc, known.ids[item], begin, end, place, equal, equal / (end - begin), equal / size))
-                        at += n
                 columns = list(zip(*rows, strict=True)) or [[]] * 8
                 kinds = [pa.int64()] * 6 + [pa.float64()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])

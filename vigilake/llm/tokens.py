@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 
 # Bytes worked on at once; bounds the memory of a task whatever the batch is.
 CHUNK = 1 << 20
+BLOCK = 1 << 16  # bytes hashed at once, or one word; small enough for the processor's cache
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
+_BYTE[_SPACE] = 0
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -41,20 +44,32 @@ def chunks(texts: Sequence[str | None], most: int = CHUNK) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
+def _turned(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the step, and of its inverse, for ``n`` places."""
+    back = np.full(n, pow(int(_STEP), -1, 1 << 64), dtype=np.uint64)
+    back[0] = 1
+    return powers(n), np.cumprod(back, dtype=np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _turned_block() -> tuple[np.ndarray, np.ndarray]:
+    """The same for all but blocks that end in a very long word."""
+    return _turned(2 * BLOCK)
+
+
 def _hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word of some bytes."""
+    """Hash and first byte of every word of some bytes: the sum of its bytes'
+    numbers, each times a power by its place in the word. Powers go by the place
+    in the data and are turned back by where a word begins; spaces count nothing."""
     inside = np.zeros(len(data) + 2, dtype=np.int8)
     inside[1:-1] = ~_SPACE[data]
     edge = np.diff(inside)
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(begin):
         return np.zeros(0, dtype=np.uint64), begin
-    size = end - begin
-    at = np.flatnonzero(inside[1:-1])
-    power = powers(int(size.max()))
-    first = np.concatenate(([0], np.cumsum(size)[:-1]))
-    place = np.arange(len(at)) - np.repeat(first, size)
-    return mixed(np.add.reduceat(_BYTE[data[at]] * power[place], first) + size.astype(np.uint64)), begin
+    power, back = _turned_block() if len(data) <= 2 * BLOCK else _turned(len(data))
+    sums = np.add.reduceat(_BYTE[data] * power[:len(data)], begin) * back[begin]
+    return mixed(sums + (end - begin).astype(np.uint64)), begin
 
 
 def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +79,7 @@ def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(raw), dtype=np.uint8)
     hashes, begins, at = [], [], 0
     while at < len(data):
-        stop = min(at + 4 * CHUNK, len(data))
+        stop = min(at + BLOCK, len(data))
         while stop < len(data) and not _SPACE[data[stop]]:
             stop += 1
         h, b = _hash_words(data[at:stop])
