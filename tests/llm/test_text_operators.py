@@ -295,3 +295,44 @@ def test_word_hashes_do_not_depend_on_what_is_around(monkeypatch):
     tokens._turned_block.cache_clear()
     assert np.array_equal(tokens.word_hashes(texts)[0], whole)
     tokens._turned_block.cache_clear()
+
+
+def test_sketch_of_many_texts_equals_that_of_each():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 5, 1, 0, 300)]
+    p, q = near_dup.prints(sets)
+    for i, s in enumerate(sets):
+        a, b = near_dup.prints([s])
+        assert (p[i], q[i]) == (a[0], b[0]) and (p[i] == 0) == (not len(s))
+        assert not len(s) or p[i] == tokens.mixed(s).sum(dtype=np.uint64).view(np.int64)
+    signed = np.stack([near_dup.signature(s) for s in sets if len(s)])
+    keys = near_dup.band_keys(signed)
+    assert keys.shape == (3, near_dup.BANDS)
+    assert all(np.array_equal(keys[i], near_dup.band_keys(signed[i:i + 1])[0]) for i in range(3))
+
+
+def test_scores_are_the_mean_over_subwords():
+    rng = np.random.default_rng(4)
+    model = langid.Model(["a", "b"], rng.normal(size=(langid.BUCKETS, 2)).astype(np.float32), np.zeros(2), 1.0, 0.0)
+    for text in ("a", "the cat and the hat, the cat", "é" * 40 + " word"):
+        z = model.scores[langid.subwords(text)].mean(axis=0, dtype=np.float64)
+        want = np.exp(z) / np.exp(z).sum()
+        lang, score = model.predict(text)
+        assert lang == "ab"[int(want.argmax())] and abs(score - want.max()) < 1e-12
+
+
+def test_mixed_pieces_travel_as_strings(spark):
+    words = [f"w{i}" for i in range(1000)]
+    docs = spark.createDataFrame([(1, "  ".join(words[:700]), "a"), (2, "\n".join(words[:90]), "b"), (3, None, "b")], "doc_id long, text string, source string")
+    rows = mixing.mixed(docs).collect()
+    assert {r.text == " ".join(words[r.first:r.first + r.n_words]) for r in rows} == {True}
+    sources = mixing.plan(mixing._sized(docs, "doc_id", "text", "source").select("source", "size"))
+    parts = mixing.pieces(mixing.placed(mixing._sized(docs, "doc_id", "text", "source"), sources, "text"), texts=True)
+    assert dict(parts.dtypes)["words"] == "string"
+    sizes = {r.doc_id: r.taken for r in mixing.taken(docs).collect()}
+    assert {i: sum(r.n_words for r in rows if r.doc_id == i) for i in sizes} == sizes
+
+
+def test_rules_reach_the_postings_without_python(spark):
+    posted = spark.range(1).selectExpr("id", "'pas' AS gram")
+    assert "ExistingRDD" not in secrets.candidates(posted, secrets.RULES)._jdf.queryExecution().executedPlan().toString()

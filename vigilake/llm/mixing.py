@@ -105,7 +105,9 @@ def placed(docs: DataFrame, sources: DataFrame, *more: str) -> DataFrame:
 
 def pieces(rows: DataFrame, block_words: int = BLOCK_WORDS, texts: bool = False) -> DataFrame:
     """The part of every block that a document fills: (src, block, offset of the
-    document, id, first word in the document, lo, hi in the block)."""
+    document, id, first word in the document, lo, hi in the block), with ``texts``
+    also its words joined by single spaces: a string goes through the join at
+    less than half the size of an array."""
     spread = rows.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(offset div {block_words}, (offset + size - 1) div {block_words})"))) if not texts else None
     if spread is not None:
         base = F.col("block") * block_words
@@ -117,7 +119,7 @@ def pieces(rows: DataFrame, block_words: int = BLOCK_WORDS, texts: bool = False)
     cut = F.expr(
         f"transform(sequence(offset div {block_words}, (offset + size - 1) div {block_words}), b -> named_struct('block', b, "
         f"'first', greatest(b * {block_words} - offset, 0L), 'lo', greatest(offset - b * {block_words}, 0L), 'hi', least(offset + size - b * {block_words}, {block_words}L), "
-        f"'words', slice(words, CAST(greatest(b * {block_words} - offset, 0L) + 1 AS INT), CAST(least(offset + size - b * {block_words}, {block_words}L) - greatest(offset - b * {block_words}, 0L) AS INT))))"
+        f"'words', array_join(slice(words, CAST(greatest(b * {block_words} - offset, 0L) + 1 AS INT), CAST(least(offset + size - b * {block_words}, {block_words}L) - greatest(offset - b * {block_words}, 0L) AS INT)), ' ')))"
     )
     return words.select("src", "offset", "id", F.explode(cut).alias("p")).select("src", "offset", "id", "p.*")
 
@@ -163,5 +165,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     met = slots(sources, block_words).hint("merge").join(parts, ["src", "block"]).withColumn("n_words", F.least("hi", "take") - F.col("lo")).where("n_words > 0")
     return met.join(sources.select("src", "source"), "src").select(
         "shard", F.xxhash64(F.lit(SEED + 4), "src", "slot").alias("turn"), F.col("source").alias(source_col), "slot", "block", "lo", F.col("id").alias(id_col),
-        "first", "n_words", F.array_join(F.slice("words", F.lit(1), F.col("n_words").cast("int")), " ").alias(text_col),
+        "first", "n_words", F.when(F.col("n_words") == F.col("hi") - F.col("lo"), F.col("words")).otherwise(
+            F.expr("substring_index(words, ' ', CAST(n_words AS INT))")).alias(text_col),
     )

@@ -52,14 +52,28 @@ def signature(shingles: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarr
     return least
 
 
-def band_keys(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    grid = signature(shingles, bands * rows).reshape(bands, rows).astype(np.uint64)
-    key = np.arange(bands, dtype=np.uint64)
-    for column in grid.T:
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
+def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """The keys of all bands of each signature (a row)."""
+    grid = signatures.reshape(len(signatures), bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), grid.shape[:2])
+    for i in range(rows):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + grid[:, :, i])
     return key
 
 
+def prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers that tell sets apart: a sum and an exclusive or of the
+    shingles' hashes; 0 for an empty set."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    p, q = np.zeros((2, len(sets)), dtype=np.uint64)
+    if size.any():
+        every, some = np.concatenate(sets), size > 0
+        first = (np.cumsum(size) - size)[some]
+        p[some] = np.add.reduceat(mixed(every), first)
+        q[some] = np.bitwise_xor.reduceat(mixed(every + np.uint64(1)), first)
+    return p.view(np.int64), q.view(np.int64)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -68,12 +82,15 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size, prints and band keys of each set; one without shingles has no bands."""
     for ids, sets in _rows(batches):
-        prints = [(int(mixed(s).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mixed(s + np.uint64(1))).view(np.int64))) if len(s) else (0, 0) for s in sets]
-        bands = [band_keys(s).view(np.int64) if len(s) else [] for s in sets]
+        p, q = prints(sets)
+        size = np.array([len(s) for s in sets], dtype=np.int64)
+        signed = [signature(s) for s in sets if len(s)]
+        keys = band_keys(np.stack(signed)).view(np.int64).ravel() if signed else np.zeros(0, dtype=np.int64)
+        offsets = np.concatenate(([0], np.cumsum(size > 0) * BANDS))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()),
-             pa.array([p[1] for p in prints], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+            [pa.array(ids, pa.int64()), pa.array(size), pa.array(p), pa.array(q), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys))],
             names=["id", "n", "p", "q", "bands"],
         )
 

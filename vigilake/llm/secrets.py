@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilake.llm.common import count_of, hits, joined, staged
@@ -95,7 +96,11 @@ def candidates(posted: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         (rule.kind, f"{rule.kind}:{i}", gram, len(grams))
         for rule in rules for i, grams in enumerate(trigram_query(rule)) for gram in sorted(grams)
     ]
-    plan = spark.createDataFrame(asked, "kind string, choice string, gram string, wanted int")
+    # From Arrow, as a list of tuples would be read by Python workers.
+    names = ["kind", "choice", "gram", "wanted"]
+    columns = list(zip(*asked, strict=True)) or [()] * 4
+    kinds = [pa.string()] * 3 + [pa.int32()]
+    plan = spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names))
     return (
         posted.join(plan, "gram").groupBy("id", "kind", "choice").agg(F.count(F.lit(1)).alias("met"), F.first("wanted").alias("wanted"))
         .where("met = wanted").groupBy("id").agg(F.collect_set("kind").alias("kinds"))
